@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import langid, pii, secrets, warc
+from quire.llm import langid, mixing, pii, secrets, spotsigs, warc
 
 
 def queries() -> dict:
-    return {"op3_pii": pii.op3_pii, "op5_secrets": secrets.op5_secrets, "op6_warc": warc.op6_warc, "op7_langid": langid.op7_langid}
+    return {"op3_pii": pii.op3_pii, "op5_secrets": secrets.op5_secrets, "op6_warc": warc.op6_warc, "op7_langid": langid.op7_langid, "op8_spotsigs": spotsigs.op8_spotsigs, "op9_mixing": mixing.op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
