@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import langid, mixing, pii, secrets, spotsigs, warc
+from quire.llm import langid, mixing, pii, secrets, spotsigs, topk, warc
 
 
 def queries() -> dict:
-    return {"op3_pii": pii.op3_pii, "op5_secrets": secrets.op5_secrets, "op6_warc": warc.op6_warc, "op7_langid": langid.op7_langid, "op8_spotsigs": spotsigs.op8_spotsigs, "op9_mixing": mixing.op9_mixing}
+    return {"op2_topk": topk.op2_topk, "op3_pii": pii.op3_pii, "op5_secrets": secrets.op5_secrets, "op6_warc": warc.op6_warc, "op7_langid": langid.op7_langid, "op8_spotsigs": spotsigs.op8_spotsigs, "op9_mixing": mixing.op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.OP6_SQL}
+    return {"op2_topk": topk.OP2_SQL, "op6_warc": warc.OP6_SQL}
