@@ -7,8 +7,9 @@ over weight, the level is the largest of (budget - caps before) / (weights left)
 the one-row-a-source table give it without a loop.
 
 Queue: a source's documents come in the order of a hash of the id, up to ``max_repeat`` rounds of all
-of them. A document's virtual finish time is the source's words up to its end over the source's
-target, and the mix is all documents by finish time (ties by source) up to the budget. Running
+of them. A document's virtual finish time is the source's words up to it, over the source's
+target; half of its own words count, so that the cut falls at the nearer of its two ends. The mix
+is all documents by finish time (ties by source) up to the budget. Running
 sums have two levels, so that no source is one task: a source is cut by the hash into buckets of
 a few rows, the buckets are summed first (map-side), and the windows run within a bucket. The cut
 is found the same way: words by range of finish time, then the documents of one range in order.
@@ -66,7 +67,7 @@ def _queued(sized: DataFrame, sources: DataFrame, rows_a_bucket: int) -> DataFra
 
 
 def _finish(round_: int | F.Column) -> F.Column:
-    return ((round_ - 1) * F.col("source_size") + F.col("__mix_end")) / F.col("target")
+    return ((round_ - 1) * F.col("source_size") + F.col("__mix_end") - F.col("__mix_size") / 2) / F.col("target")
 
 
 def cut(queued: DataFrame, max_repeat: int, ranges: int) -> tuple[float, str]:
