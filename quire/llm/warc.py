@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import shared_dir, table
+from quire.llm.common import materialize, shared_dir, table
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,14 +45,18 @@ def base32_sha1(payload: Column) -> Column:
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(id, url, payload, payload_bytes, payload_digest, refers_to): refers_to is null for a response.
 
-    The smallest id of each payload is aggregated map-side and joined back, so a payload that a
-    third of the rows share is one row there, and its join partition one that AQE can split.
+    Which rows are revisits is settled on ids and digests alone; the smallest id of each payload is
+    aggregated map-side and joined back, so a payload that a third of the rows share is one row
+    there, and its join partition one that AQE can split. The payloads then meet only the table of
+    revisits, which Spark broadcasts where its size on disk is below the session's threshold.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
-    first = rows.groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("payload_bytes") >= min_bytes)).drop("n")
-    out = rows.join(first, ["payload_digest", "payload_bytes"], "left")
-    return out.select("id", "url", "payload", "payload_bytes", "payload_digest", F.when((F.col("first_id") != F.col("id")) | F.col("id").isNull(), F.col("first_id")).alias("refers_to"))
+    slim = materialize(rows.select("id", "payload_bytes", "payload_digest"))
+    first = slim.groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("payload_bytes") >= min_bytes)).drop("n")
+    later = slim.join(first, ["payload_digest", "payload_bytes"]).where((F.col("first_id") != F.col("id")) | F.col("id").isNull())
+    later = materialize(later.select(F.col("id").alias("later_id"), F.col("payload_digest").alias("later_digest"), F.col("first_id").alias("refers_to")).where("refers_to is not null").distinct())
+    return rows.join(later, F.col("id").eqNullSafe(F.col("later_id")) & (F.col("payload_digest") == F.col("later_digest")), "left").drop("later_id", "later_digest")
 
 
 def record_text(date: str) -> Column:
