@@ -96,111 +96,121 @@ class Coder:
 
 
 class Models:
-    """The adaptive state of n lanes; the same for coder and decoder."""
+    """The adaptive state of n lanes; the same for coder and decoder. Tables are flat, a stretch for each lane."""
 
     def __init__(self, n: int, vocabulary: int):
         self.lanes, self.highs = np.arange(n), (vocabulary >> 8) + 1
-        self.base = self.lanes * BLOCK
-        self.id2, self.id1 = np.full(n * BLOCK, -1, np.int32), np.full(n * BLOCK, -1, np.int32)
-        self.sure2, self.sure1 = np.zeros(n * BLOCK, np.int8), np.zeros(n * BLOCK, np.int8)
-        start = np.arange(1, 17) * (1 << 15) // 17 + (1 << 13)
+        self.base, self.b16, self.b256 = self.lanes * BLOCK, self.lanes * 16, self.lanes * 256
+        # id, confidence << 16 (0: nothing yet), check of the context << 19
+        self.held2, self.held1 = np.zeros(n * BLOCK, np.int32), np.zeros(n * BLOCK, np.int32)
+        start = (np.arange(16) >> 1) * 6000 + 8000
         self.p2, self.p1 = np.tile(start.astype(np.int32), n), np.tile(start.astype(np.int32), n)
         self.w = [np.full(n, 1 << 12, np.int32) for _ in range(6)]
-        self.high = np.ones((n, self.highs), np.int32)
-        self.lowc = np.ones((n, 16, 256), np.int16)
+        self.high, self.lowc = np.ones(n * 256, np.int32), np.ones((n, 16, 256), np.int16)
+        self.lowc_flat = self.lowc.reshape(-1)
         self.prev, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.step = 0
         self._tables(True)
 
     def _tables(self, low: bool) -> None:
         """Cumulative shares of 2**14, at least one each, from the counts so far."""
-        c = np.cumsum(self.high, 1)
+        c = np.cumsum(self.high.reshape(-1, 256)[:, : self.highs], 1)
         c = c * ((1 << 14) - self.highs) // c[:, -1:] + np.arange(1, self.highs + 1)
-        self.high_cum = np.concatenate([np.zeros((len(c), 1), c.dtype), c], 1).astype(np.int32)
+        held = np.full((len(c), 257), 1 << 14, np.int32)
+        held[:, 0], held[:, 1 : self.highs + 1] = 0, c
+        self.high_cum, self.high_wide = held.reshape(-1), 257
         if low:
             c = np.cumsum(self.lowc, 2, dtype=np.int32)
             c = c * ((1 << 14) - 256) // c[:, :, -1:] + np.arange(1, 257, dtype=np.int32)
-            self.low_cum = np.concatenate([np.zeros((len(c), 16, 1), np.int32), c], 2).astype(np.int16)
-
-    def predict(self) -> None:
-        self.s2 = self.base + ((self.prev * 40503 + self.prev2 * 30011 >> 4) & (BLOCK - 1))
-        self.s1 = self.base + (self.prev * 40503 >> 5 & (BLOCK - 1))
-        self.c2, self.c1 = self.id2[self.s2], self.id1[self.s1]
-        self.k2, self.k1 = self.sure2[self.s2].astype(np.int64), self.sure1[self.s1].astype(np.int64)
-        self.agree = (self.c1 == self.c2).astype(np.int64)
-
-    def chance(self, i: np.ndarray, second: bool) -> np.ndarray:
+            self.low_cum = np.concatenate([np.zeros((len(c), 16, 1), np.int32), c], 2).astype(np.int16).reshape(-1)
+
+    def predict(self, n: int) -> None:
+        """Of the first n lanes: the slots of their contexts and what these hold."""
+        prev, base = self.prev[:n], self.base[:n]
+        h2, h1 = (prev * 40503 + self.prev2[:n] * 30011) * 40507, prev * 40503
+        self.s2, self.s1 = base + (h2 >> 9 & (BLOCK - 1)), base + (h1 >> 5 & (BLOCK - 1))
+        self.check2, self.check1 = h2 >> 20 & 4095, h1 >> 16 & 4095
+        e2, e1 = self.held2[self.s2], self.held1[self.s1]
+        self.on2, self.on1 = (e2 >> 19 == self.check2) & (e2 & 0x70000 > 0), (e1 >> 19 == self.check1) & (e1 & 0x70000 > 0)
+        self.c2, self.c1, self.k2, self.k1 = e2 & 65535, e1 & 65535, e2 >> 16 & 7, e1 >> 16 & 7
+        agree = self.on2 & self.on1 & (self.c1 == self.c2)
+        self.on1only = self.on1 & ~agree
+        b = self.b16[:n] + agree
+        self.at2, self.at1 = b + self.k2 * 2, b + np.where(self.on1, self.k1, 0) * 2
+
+    def candidates(self, second: bool) -> tuple[np.ndarray, np.ndarray]:
+        return (self.c1, self.on1only) if second else (self.c2, self.on2)
+
+    def chance(self, i: np.ndarray, cand: np.ndarray, second: bool) -> np.ndarray:
         """Shares of 2**12 of the event that the candidate (order 2's, or order 1's if second) comes."""
-        cand = (self.c1 if second else self.c2)[i]
-        a = self.p2[i * 16 + self.k2[i] * 2 + self.agree[i]]
-        b = self.p1[i * 16 + self.k1[i] * 2 + self.agree[i]]
-        at = cand >> 8
-        c = (self.high_cum[i, at + 1] - self.high_cum[i, at]) << 1
-        self.given = (a, b, c)
-        w = self.w[3:] if second else self.w[:3]
-        x, y, z = w[0][i], w[1][i], w[2][i]
-        total = x + y + z
-        mixed = (a.astype(np.int64) * x + b.astype(np.int64) * y + c.astype(np.int64) * z) // total
+        a, b = self.p2[self.at2[i]], self.p1[self.at1[i]]
+        at = i * 257 + (cand >> 8)
+        c = (self.high_cum[at + 1] - self.high_cum[at]) << 1
+        x, y, z = (w[i] for w in (self.w[3:] if second else self.w[:3]))
+        self.given = ((a, x), (b, y), (c, z))
+        mixed = (a.astype(np.int64) * x + b.astype(np.int64) * y + c.astype(np.int64) * z) // (x + y + z)
         return np.clip(mixed >> 4, 32, 4064)
 
     def learn(self, i: np.ndarray, second: bool, hit: np.ndarray) -> None:
-        w = self.w[3:] if second else self.w[:3]
-        for x, p in zip(w, self.given, strict=True):
-            got = np.where(hit, p, 65536 - p) >> 7
-            x[i] += got - (x[i] >> 5) + 1
+        for w, (p, x) in zip(self.w[3:] if second else self.w[:3], self.given, strict=True):
+            w[i] = x - (x >> 5) + 1 + (np.where(hit, p, 65536 - p) >> 7)
         to = np.where(hit, 65535, 0)
         if not second:
-            at = i * 16 + self.k2[i] * 2 + self.agree[i]
-            self.p2[at] += (to - self.p2[at]) >> 4
-        at = i * 16 + self.k1[i] * 2 + self.agree[i]
-        self.p1[at] += (to - self.p1[at]) >> 4
-
-    def update(self, i: np.ndarray, ids: np.ndarray) -> None:
-        """The ids that came in lanes i; their literals were counted already."""
-        for slot, held, sure in ((self.s2[i], self.id2, self.sure2), (self.s1[i], self.id1, self.sure1)):
-            same, k = held[slot] == ids, sure[slot]
-            keep = same | (k > 3)
-            held[slot] = np.where(keep, held[slot], ids)
-            sure[slot] = np.where(same, np.minimum(k + 1, 7), np.where(keep, k >> 1, 1))
-        self.high[i, ids >> 8] += 24
-        self.lowc[i, ids >> 12, ids & 255] += 2
-        self.prev2[i], self.prev[i] = self.prev[i], ids
+            a = self.given[0][0]
+            self.p2[self.at2[i]] = a + ((to - a) >> 4)
+        b = self.given[1][0]
+        self.p1[self.at1[i]] = b + ((to - b) >> 4)
+
+    def update(self, ids: np.ndarray) -> None:
+        """The ids that came in the first lanes."""
+        n = len(ids)
+        new = ids | 1 << 16
+        for held, slot, check, on, cand, k in ((self.held2, self.s2, self.check2, self.on2, self.c2, self.k2), (self.held1, self.s1, self.check1, self.on1, self.c1, self.k1)):
+            kept = np.where(cand == ids, np.minimum(k + 1, 7), np.where(k > 3, k >> 1, 0))
+            held[slot] = np.where(on & (kept > 0), cand | kept << 16, new) | check << 19
+        self.high[self.b256[:n] + (ids >> 8)] += 24
+        self.lowc_flat[(self.b16[:n] + (ids >> 12) << 8) + (ids & 255)] += 2
+        self.prev2[:n], self.prev[:n] = self.prev[:n], ids
         self.step += 1
-        if self.step % 64 == 0 or self.step in (8, 16, 32):
-            self._tables(self.step in (64, 192, 512, 1024))
+        if self.step % 128 == 0 or self.step in (8, 16, 32, 64):
+            self._tables(self.step in (64, 256, 1024))
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int = 1 << 16) -> list[bytes]:
-    """Each block's bytes; blocks of at most BLOCK ids, the longest first or not."""
+    """Each block's bytes; blocks of at most BLOCK ids."""
     order = sorted(range(len(blocks)), key=lambda b: -len(blocks[b]))
-    size = np.array([len(blocks[b]) for b in order])
     out: list[bytes] = [b""] * len(blocks)
     for lo in range(0, len(order), LANES):
-        part, n = order[lo : lo + LANES], size[lo : lo + LANES]
-        ids = np.zeros((int(n[0]), len(part)), np.int64)
+        part = order[lo : lo + LANES]
+        size = np.array([len(blocks[b]) for b in part])
+        ids = np.zeros((int(size[0]), len(part)), np.int64)
         for k, b in enumerate(part):
-            ids[: n[k], k] = blocks[b]
-        if ids.max(initial=0) >= vocabulary:
-            raise ValueError("a token id is beyond the vocabulary")
-        coder, m = Coder(len(part), 4 * int(n[0]) + 64), Models(len(part), vocabulary)
-        for t in range(int(n[0])):
-            live = m.lanes[: np.searchsorted(-n, -t, "left")]
-            x = ids[t, : len(live)]
-            m.predict()
-            rest = live
+            ids[: size[k], k] = blocks[b]
+        if vocabulary > 1 << 16 or ids.max(initial=0) >= vocabulary:
+            raise ValueError("a token id is beyond the vocabulary, or the vocabulary beyond 2**16")
+        coder, m = Coder(len(part), 4 * int(size[0]) + 64), Models(len(part), vocabulary)
+        for t in range(int(size[0])):
+            n = int(np.searchsorted(-size, -t, "left"))
+            x = ids[t, :n]
+            m.predict(n)
+            rest = np.ones(n, bool)
             for second in (False, True):
-                cand = m.c1 if second else m.c2
-                i = rest[(cand[rest] >= 0) & ((m.agree[rest] == 0) if second else True)]
+                cand, on = m.candidates(second)
+                i = np.flatnonzero(on & rest)
                 if len(i):
-                    p, hit = m.chance(i, second), cand[i] == x[i]
+                    c = cand[i]
+                    p, hit = m.chance(i, c, second), c == x[i]
                     coder.put(i, np.where(hit, 0, p), np.where(hit, p, 4096 - p), 12)
                     m.learn(i, second, hit)
-                rest = rest[cand[rest] != x[rest]]
-            if len(rest):
-                h, lw = x[rest] >> 8, x[rest] & 255
-                coder.put(rest, c := m.high_cum[rest, h], m.high_cum[rest, h + 1] - c, 14)
-                coder.put(rest, c := m.low_cum[rest, h >> 4, lw], m.low_cum[rest, h >> 4, lw + 1] - c, 14)
-            m.update(live, x)
+                    rest[i[hit]] = False
+            i = np.flatnonzero(rest)
+            if len(i):
+                high = x[i] >> 8
+                at = i * 257 + high
+                coder.put(i, c := m.high_cum[at], m.high_cum[at + 1] - c, 14)
+                at = (i * 16 + (high >> 4)) * 257 + (x[i] & 255)
+                coder.put(i, c := m.low_cum[at], m.low_cum[at + 1] - c, 14)
+            m.update(x)
         for b, data in zip(part, coder.finish(), strict=True):
             out[b] = data
     return out
@@ -211,50 +221,49 @@ def decode_blocks(data: list[bytes], sizes: list[int], vocabulary: int = 1 << 16
     out: list[np.ndarray] = [np.zeros(0, U32)] * len(data)
     for lo in range(0, len(order), LANES):
         part = order[lo : lo + LANES]
-        n = np.array([sizes[b] for b in part])
+        size = np.array([sizes[b] for b in part])
         held = np.zeros((len(part), max(len(data[b]) for b in part) + 8), np.uint8)
         for k, b in enumerate(part):
             held[k, : len(data[b])] = np.frombuffer(data[b], np.uint8)
         coder, m = Coder(len(part), 0, held), Models(len(part), vocabulary)
-        ids = np.zeros((int(n[0]), len(part)), np.int64)
-        for t in range(int(n[0])):
-            live = m.lanes[: np.searchsorted(-n, -t, "left")]
-            x = ids[t]
-            m.predict()
-            rest = live
+        ids = np.zeros((int(size[0]), len(part)), np.int64)
+        for t in range(int(size[0])):
+            n = int(np.searchsorted(-size, -t, "left"))
+            x = ids[t, :n]
+            m.predict(n)
+            rest = np.ones(n, bool)
             for second in (False, True):
-                cand = m.c1 if second else m.c2
-                asked = (cand[rest] >= 0) & ((m.agree[rest] == 0) if second else True)
-                i = rest[asked]
+                cand, on = m.candidates(second)
+                i = np.flatnonzero(on & rest)
                 if len(i):
-                    p = m.chance(i, second)
+                    c = cand[i]
+                    p = m.chance(i, c, second)
                     hit = coder.spot(i, 12) < p
                     coder.put(i, np.where(hit, 0, p), np.where(hit, p, 4096 - p), 12)
                     m.learn(i, second, hit)
-                    x[i[hit]] = cand[i[hit]]
-                    missed = np.ones(len(rest), bool)
-                    missed[np.flatnonzero(asked)[hit]] = False
-                    rest = rest[missed]
-            if len(rest):
-                h = _search(coder.spot(rest, 14), m.high_cum[rest])
-                coder.put(rest, c := m.high_cum[rest, h], m.high_cum[rest, h + 1] - c, 14)
-                lw = _search(coder.spot(rest, 14), m.low_cum[rest, h >> 4])
-                coder.put(rest, c := m.low_cum[rest, h >> 4, lw], m.low_cum[rest, h >> 4, lw + 1] - c, 14)
-                x[rest] = h << 8 | lw
-            m.update(live, x[: len(live)])
+                    x[i[hit]] = c[hit]
+                    rest[i[hit]] = False
+            i = np.flatnonzero(rest)
+            if len(i):
+                at = _search(coder.spot(i, 14), m.high_cum, i * 257)
+                coder.put(i, c := m.high_cum[at], m.high_cum[at + 1] - c, 14)
+                high = at - i * 257
+                base = (i * 16 + (high >> 4)) * 257
+                at = _search(coder.spot(i, 14), m.low_cum, base)
+                coder.put(i, c := m.low_cum[at], m.low_cum[at + 1] - c, 14)
+                x[i] = high << 8 | at - base
+            m.update(x)
         for k, b in enumerate(part):
-            out[b] = ids[: n[k], k].astype(U32)
+            out[b] = ids[: size[k], k].astype(U32)
     return out
 
 
-def _search(spot: np.ndarray, cum: np.ndarray) -> np.ndarray:
-    """The symbol whose share of its row holds the spot."""
-    lo, hi, rows = np.zeros(len(spot), np.int64), np.full(len(spot), cum.shape[1] - 1), np.arange(len(spot))
-    for _ in range(int(cum.shape[1] - 1).bit_length()):
-        mid = lo + hi >> 1
-        up = cum[rows, mid] <= spot
-        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
-    return lo
+def _search(spot: np.ndarray, cum: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Where, of the 256 entries from base on, the last one is that is not above the spot."""
+    at = base
+    for step in (128, 64, 32, 16, 8, 4, 2, 1):
+        at = np.where(cum[at + step] <= spot, at + step, at)
+    return at
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int) -> tuple[bytes, list[np.ndarray]]:
