@@ -108,7 +108,7 @@ def train(samples: dict[str, list[bytes]], order: int = 4, nodes: int = 6000, ma
             else:
                 rest = up[c == 0].sum()
                 share[i, li] = np.where(c > 0, c / (n + d), d / (n + d) * up / rest)
-    bits = -np.log2(share).transpose(0, 2, 1).reshape(-1, len(langs)).astype(np.float32)
+    bits = -np.log2(share).transpose(0, 2, 1).reshape(len(parent) * 256, len(langs)).astype(np.float32)
     return Model(langs, child, np.ascontiguousarray(bits), order)
 
 
@@ -153,8 +153,9 @@ def _predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, if None) and the two of the prediction. The model is of bounded size and broadcast."""
-    keep = df.columns if keep is None else keep
+    """The columns ``keep`` (all, if None) and the two of the prediction, which replace columns of their
+    names. The model is of bounded size and broadcast."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (lang_out, score_out)]
     rows = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -206,7 +206,7 @@ def _rows_of_groups(batches, key: int):
         yield held
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4) -> DataFrame:
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9) -> DataFrame:
     """(id, class_id, copy_id, n_links, n_text_links) of each row."""
     parts = shuffle_partitions(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -224,7 +224,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     unit = unit.withColumn("nb", F.ceil(F.col("m") / side).cast("int"))
     work = unit.join(reps.select("node", "rep", "key", "copies"), "node")
     work = materialize(work.select("component", "nb", F.pmod(F.xxhash64("node"), "nb").cast("int").alias("block"), "node", "copies", "key", "rep"))
-    texts = docs.join(work, docs["id"] == work["rep"]).select("component", "nb", "block", "node", "copies", "key", "text")
+    # a merge join at every size: how much moves then grows with the input alone
+    texts = docs.join(work.hint("merge"), docs["id"] == work["rep"]).select("component", "nb", "block", "node", "copies", "key", "text")
 
     def to_sets(batches):
         names = ["component", "nb", "block", "node", "copies", "shingles"]

@@ -17,9 +17,11 @@ All random numbers are hashes of the row's key, the seed and the place they are
 don't depend on batches or partitions.
 
 The lattices of all distinct words of some documents are built and sampled together in numpy, in
-steps of a character or piece; that takes about 200 bytes for each character of those words. Whole
+steps of a character or piece; that takes about 200 bytes for each character of those words, some
+of which are kept. Whole
 texts are encoded. A null text is the empty one, which has one segmentation, without pieces. Texts
-with fewer than k segmentations give all of them. Rows with equal keys and texts give equal results.
+with fewer than k segmentations give all of them (but those whose word's remaining share has
+fallen below 1e-12). Rows with equal keys and texts give equal results.
 The model's path must exist on the executors; it is a parameter.
 """
 
@@ -32,6 +34,7 @@ from math import exp, expm1, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ from quire.llm.common import table
 
 MARK = "▁"
 _K = np.uint64(0x9E3779B97F4A7C15)
+CHARS = 1 << 17  # of the texts that are worked on together
+STORE = 60_000  # words whose lattices are kept
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,10 +62,19 @@ def _uniform(seed: np.ndarray, *places) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+class _Numbers(dict):
+    """Numbers keys in order of first use."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Lattice:
     def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
 
+        self.store, self.number = None, {}
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         names, scores = [sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)]
@@ -73,6 +87,9 @@ class Lattice:
         self.weight = np.concatenate([self.weight, [self.lowest, -np.inf]])  # by id; at -2 a character without a piece, at -1 nothing
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.raw = [b"" if sp.is_control(i) else bytes([self.bytes.index(i)]) if sp.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
+        self.raw_size = np.array(list(map(len, self.raw)))
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_all = np.frombuffer(b"".join(self.raw), np.uint8)
         self.longest = max(len(names[i]) for i in plain)
         ids: dict[str, int] = {}
         for i in plain:
@@ -106,7 +123,21 @@ class Lattice:
             left = left[~hit & (self.ids[at[left]] != -2)]
         return out
 
+    def words(self, texts: list[list[str]]) -> tuple["Words", list[np.ndarray]]:
+        """The lattices of the words of each list, and their numbers. Lattices are kept for later calls while they are few."""
+        if self.store is None or len(self.number) > STORE:
+            self.store, self.number = Words(self), _Numbers()
+        number, known = self.number, len(self.number)
+        out = [np.array(list(map(number.__getitem__, t)), np.int64) for t in texts]
+        self.store.add(self._build(list(number)[known:] if known else list(number)))
+        return self.store, out
+
     def build(self, words: list[str]) -> "Words":
+        out = Words(self)
+        out.add(self._build(words))
+        return out
+
+    def _build(self, words: list[str]) -> tuple[np.ndarray, ...]:
         cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array(list(map(len, words)), np.int64)
         unit = np.repeat(np.arange(len(words)), size)
@@ -125,39 +156,61 @@ class Lattice:
                 found.append((1, odd + unit[odd] + 1, -2 - cp[odd].astype(np.int64)))
             on = (got >= -1) & (at + k < end[at])
             at, h = at[on], h[on]
-        wide = max([k for k, b, _ in found if len(b)], default=1)
         ids = np.full((len(cp) + len(words), wide), -1, np.int32)
         for k, b, got in found:
-            if len(b):
-                ids[b, wide - k] = got
+            ids[b, wide - k] = got
+        # in the loop below rows are only as wide as pieces are here
+        most = max([k for k, b, _ in found if len(b)], default=1)
         cum = np.zeros((len(ids), wide), np.float32)
         logz = np.full(len(ids) + wide, -np.inf)  # of boundary b at b + wide
         logz[first + wide] = 0
         order = np.argsort(-size, kind="stable")
-        sizes, back = size[order], np.arange(wide, 0, -1)
+        sizes, back = size[order], np.arange(most, 0, -1)
         for s in range(1, int(size.max(initial=0)) + 1):
             b = first[order[: np.searchsorted(-sizes, -s, "right")]] + s
-            w = self.weight[np.maximum(ids[b], -2)]
+            w = self.weight[np.maximum(ids[b, wide - most :], -2)]
             w += logz[(b + wide)[:, None] - back]
             top = w.max(1)
             w -= top[:, None]
             np.exp(w, out=w)
             np.cumsum(w, 1, out=w)
             logz[b + wide] = top + np.log(w[:, -1])
-            cum[b] = w / w[:, -1:]
+            cum[b, wide - most :] = w / w[:, -1:]
         last = first + size
-        return Words(self, ids, cum, first, last, logz[last + wide])
+        return ids, cum, first, last, logz[last + wide]
 
     def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return out[1:] if out[:1] == " " else out
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of the ids between each two of ``ends``; the space that encoding puts before a text goes."""
+        size = self.raw_size[ids]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        raw = self.raw_all[np.repeat(self.raw_start[ids] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        cut = upto[ends]
+        return [raw[a + (raw[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)]
 
 
 class Words:
     """The lattices of some words, and samples of their segmentations."""
 
-    def __init__(self, lattice: Lattice, ids: np.ndarray, cum: np.ndarray, first: np.ndarray, last: np.ndarray, logz: np.ndarray):
-        self.lattice, self.ids, self.cum, self.first, self.last, self.logz = lattice, ids, cum, first, last, logz
+    def __init__(self, lattice: Lattice):
+        self.lattice, self.size = lattice, 0
+        self.ids, self.cum = np.empty((1 << 12, lattice.longest), np.int32), np.empty((1 << 12, lattice.longest), np.float32)
+        self.first, self.last, self.logz = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, built: tuple[np.ndarray, ...]) -> None:
+        ids, cum, first, last, logz = built
+        end = self.size + len(ids)
+        if end > len(self.ids):
+            for name in ("ids", "cum"):
+                old = getattr(self, name)
+                new = np.empty((max(end, 2 * len(old)), old.shape[1]), old.dtype)
+                new[: self.size] = old[: self.size]
+                setattr(self, name, new)
+        self.ids[self.size : end], self.cum[self.size : end] = ids, cum
+        self.first, self.last, self.logz = np.concatenate([self.first, first + self.size]), np.concatenate([self.last, last + self.size]), np.concatenate([self.logz, logz])
+        self.size = end
 
     def draw(self, word: np.ndarray, seed: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pieces of each draw one after another, their counts, log probabilities) for a seed for each draw."""
@@ -167,7 +220,7 @@ class Words:
         live = live[at[live] > self.first[word[live]]]
         while len(live):
             u = _uniform(seed[live], round_, len(steps))
-            k = np.minimum((self.cum[at[live]] <= u[:, None].astype(np.float32)).sum(1), wide - 1)
+            k = (self.cum[at[live]] > u[:, None].astype(np.float32)).argmax(1)
             got = self.ids[at[live], k]
             dead = np.flatnonzero(got == -1)  # the sum of rounded shares may stay below 1
             for d in dead:
@@ -272,13 +325,9 @@ class _Tree:
 
 def sample_texts(lattice: Lattice, texts: list[str | None], keys: list[str], k: int, seed: int) -> list[list[dict]]:
     """For each text up to k dicts of ids, log_prob and log_inclusion, in order of perturbed log probability."""
-    number: dict[str, int] = {}
-    trees, ends = [], []
-    for text, key in zip(texts, keys, strict=True):
-        marked = (MARK + text.replace(" ", MARK)) if text else ""
-        words = np.array([number.setdefault(w, len(number)) for w in _UNITS.findall(marked)], np.int64)
-        trees.append(_Tree(xxhash.xxh64_intdigest(key, seed), words))
-    words = lattice.build(list(number))
+    units = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    words, numbers = lattice.words(units)
+    trees = [_Tree(xxhash.xxh64_intdigest(key, seed), w) for key, w in zip(keys, numbers, strict=True)]
     active = trees
     for n in range(k):
         if not active:
@@ -290,13 +339,15 @@ def sample_texts(lattice: Lattice, texts: list[str | None], keys: list[str], k:
         seeds = np.repeat(np.array([t.seed for t in active], np.uint64), size)
         seeds = _mix(_mix(seeds * _K + np.uint64(n)) * _K + where.astype(np.uint64))
         pieces, count, logp = words.draw(word, seeds, 0)
-        begin, at = np.concatenate([[0], np.cumsum(count)]), 0
-        for t, m in zip(active, size, strict=True):
+        begin, starts = np.concatenate([[0], np.cumsum(count)]), np.cumsum(size) - size
+        other = _others(words, active, word, seeds, starts, pieces, begin) if n else {}
+        for i, (t, at, m) in enumerate(zip(active, starts, size, strict=True)):
             own, c, p = pieces[begin[at] : begin[at + m]], count[at : at + m], logp[at : at + m]
-            if t.base is not None:
-                own, c, p = _other(words, t, own, c, p, seeds[at : at + 1])
+            if i in other:
+                first, share = other[i]
+                own, c, p = np.concatenate([first, own[c[0] :]]), c.copy(), p.copy()
+                c[0], p[0] = len(first), share
             t.add(own, c, p)
-            at += m
         active = [t for t in active if n + 1 < k and t.pop()]
     out = []
     for t in trees:
@@ -310,20 +361,29 @@ def _inclusion(above: float) -> float:
     return above if above < -30 else log(-expm1(-exp(min(above, 700.0))))
 
 
-def _other(words: Words, t: _Tree, pieces: np.ndarray, count: np.ndarray, logp: np.ndarray, seed: np.ndarray):
-    """The draw with its first word's segmentation drawn again until it is one that is not taken there."""
-    taken, first, rest, word, p, tries = t.taken(), pieces[: count[0]], pieces[count[0] :], t.words[t.level : t.level + 1], logp[0], 0
-    while first.tobytes() in taken:
+def _others(words: Words, trees: list[_Tree], word: np.ndarray, seeds: np.ndarray, starts: np.ndarray, pieces: np.ndarray, begin: np.ndarray) -> dict[int, tuple[np.ndarray, float]]:
+    """For the trees whose first word came out as a segmentation that is taken there: another one, drawn until it isn't."""
+    taken = [t.taken() for t in trees]
+    left = [i for i, a in enumerate(starts) if pieces[begin[a] : begin[a + 1]].tobytes() in taken[i]]
+    out, tries = {}, 0
+    while left:
         tries += 1
-        if tries == 16 and (every := words.all(int(word[0]))) is not None:
-            free = [(q, x) for q, x in every if np.array(x, np.int64).tobytes() not in taken]
-            share = np.exp([q for q, _ in free])
-            i = min(len(free) - 1, int(np.searchsorted(np.cumsum(share), _uniform(seed, 1 << 42)[0] * share.sum(), "right")))
-            first, p = np.array(free[i][1], np.int64), free[i][0]
-            break
-        first, _, q = words.draw(word, seed, tries)
-        p = q[0]
-    return np.concatenate([first, rest]), np.concatenate([[len(first)], count[1:]]), np.concatenate([[p], logp[1:]])
+        if tries == 16:
+            for i in left:
+                if (every := words.all(int(word[starts[i]]))) is not None:
+                    free = [(q, x) for q, x in every if np.array(x, np.int64).tobytes() not in taken[i]]
+                    share = np.exp([q for q, _ in free])
+                    k = min(len(free) - 1, int(np.searchsorted(np.cumsum(share), _uniform(seeds[starts[i] : starts[i] + 1], 1 << 42)[0] * share.sum(), "right")))
+                    out[i] = np.array(free[k][1], np.int64), free[k][0]
+            left = [i for i in left if i not in out]
+        at = starts[left]
+        got, count, logp = words.draw(word[at], seeds[at], tries)
+        ends = np.cumsum(count)
+        for i, a, b, p in zip(left, ends - count, ends, logp, strict=True):
+            if got[a:b].tobytes() not in taken[i]:
+                out[i] = got[a:b], p
+        left = [i for i in left if i not in out]
+    return out
 
 
 def _spelled(lattice: Lattice, pieces: np.ndarray) -> np.ndarray:
@@ -347,7 +407,6 @@ def lattice(path: str, alpha: float) -> Lattice:
 
 
 _SAMPLES = "array<struct<ids:array<int>,log_prob:double,log_inclusion:double>>"
-CHARS = 1 << 20  # of the texts that are worked on together
 
 
 def _parts(texts: list[str | None]):
@@ -401,9 +460,18 @@ def decode(df: DataFrame, model: str, ids_col: str, out: str = "decoded") -> Dat
     def run(batches):
         own = lattice(model, 1.0)
         at = names.index(ids_col)
-        for b in batches:
-            texts = [None if lists is None else [own.decode(x) for x in lists] for lists in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.list_(pa.string()))], [*names, out])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                b = whole.slice(lo, 64)
+                lists = b.column(at)
+                inner = lists.flatten()
+                ids = inner.flatten()
+                size = np.array([0 if n is None else n for n in pa.compute.list_value_length(inner).to_pylist()], np.int64)
+                texts = own.decode_all(ids.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)]))
+                count = pa.compute.list_value_length(lists).to_pylist()
+                ends = np.cumsum([0, *(n or 0 for n in count)])
+                out_texts = [None if n is None else texts[a : a + n] for n, a in zip(count, ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out_texts, pa.list_(pa.string()))], [*names, out])
 
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(out, ArrayType(StringType())))
 
