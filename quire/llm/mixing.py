@@ -35,7 +35,8 @@ def _sized(df: DataFrame, source_col: str, text_col: str, id_col: str, seed: int
         {
             "__mix_size": F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long"),
             "__mix_key": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")),
-            "__mix_hash": F.xxhash64(F.lit(seed), F.col(id_col)),
+            # 60 bits of a digest that any SQL engine has
+            "__mix_hash": F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("long"),
         }
     )
 
@@ -57,7 +58,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat:
 def _queued(sized: DataFrame, sources: DataFrame, rows_a_bucket: int) -> DataFrame:
     """Adds the source's size and target, and the words of the source up to each row's end."""
     rows = sized.join(sources, "__mix_key")  # Spark broadcasts the sources only below its own size threshold
-    rows = rows.withColumn("__mix_bucket", F.pmod("__mix_hash", F.ceil(F.col("rows") / rows_a_bucket))).drop("rows")
+    rows = rows.withColumn("__mix_bucket", F.floor(F.col("__mix_hash") / float(1 << 60) * F.ceil(F.col("rows") / rows_a_bucket))).drop("rows")
     sums = rows.groupBy("__mix_key", "__mix_bucket").agg(F.sum("__mix_size").alias("__mix_sum"))
     before = F.sum("__mix_sum").over(W.partitionBy("__mix_key").orderBy("__mix_bucket").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("__mix_key", "__mix_bucket", F.coalesce(before, F.lit(0)).alias("__mix_before"))
@@ -113,3 +114,30 @@ def mix(df: DataFrame, source_col: str = "source", text_col: str = "text", id_co
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     queued, _, at, _ = plan(table(spark, sf_dir, "documents"))
     return queued.select("doc_id", F.col("__mix_size").alias("size"), "source_size", "target", (_copies(at, 3) * F.col("__mix_size")).cast("long").alias("taken"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce('s' || source, 't') AS k,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':9'), 1, 15))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT k, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY k) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM d GROUP BY k
+), t AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+    ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM s
+), u AS (
+  SELECT k, source_size, least(cap, max(level) OVER () * w) AS target FROM t
+), q AS (
+  SELECT doc_id, size, k, source_size, target, sum(size) OVER (PARTITION BY k ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto, row_number() OVER () AS id FROM d JOIN u USING (k)
+), f AS (
+  SELECT id, k, size, ((r - 1) * source_size + upto - size / 2) / target AS f FROM q, (VALUES (1), (2), (3)) x(r) WHERE target > 0 AND size > 0
+), a AS (
+  SELECT id, size, sum(size) OVER (ORDER BY f, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= (SELECT sum(size) FROM d) AS taken FROM f
+), n AS (
+  SELECT id, sum(size)::BIGINT AS taken FROM a WHERE taken GROUP BY id
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN n USING (id)
+"""

@@ -288,3 +288,29 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, array_to_string(w, ' ') AS words,
+    list_distinct(list_transform(range(0, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS grams
+  FROM w WHERE len(w) > 0
+), g AS (
+  SELECT doc_id, words, len(grams) AS n, unnest(grams) AS gram FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.words) AS wa, any_value(b.words) AS wb
+  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+), reach AS (
+  SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON p.a = r.b
+), c AS (
+  SELECT a, min(b) AS low FROM reach GROUP BY 1
+), l AS (
+  SELECT a, count(*) AS n_links, count(DISTINCT CASE WHEN wa <> wb THEN wb END) AS n_text_links, min(CASE WHEN wa = wb THEN b END) AS same FROM p GROUP BY 1
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.low, d.doc_id)) AS class_id, least(d.doc_id, coalesce(l.same, d.doc_id)) AS copy_id,
+  coalesce(l.n_links, 0) AS n_links, coalesce(l.n_text_links, 0) AS n_text_links
+FROM documents d LEFT JOIN c ON c.a = d.doc_id LEFT JOIN l ON l.a = d.doc_id
+"""

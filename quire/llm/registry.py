@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.OP2_SQL, "op6_warc": warc.OP6_SQL}
+    return {"op2_topk": topk.OP2_SQL, "op6_warc": warc.OP6_SQL, "op9_mixing": mixing.OP9_SQL, "op10_ngram_join": ngram_join.OP10_SQL}
