@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from functools import lru_cache
 from math import exp, expm1, log
 
@@ -45,7 +46,8 @@ from quire.llm.common import table
 MARK = "▁"
 _K = np.uint64(0x9E3779B97F4A7C15)
 CHARS = 1 << 17  # of the texts that are worked on together
-STORE = 60_000  # words whose lattices are kept
+STORE = 200_000  # words whose lattices are kept
+RARE = 127  # the kind of characters that are in few pieces
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,7 +76,7 @@ class Lattice:
     def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
 
-        self.store, self.number = None, {}
+        self.store, self.number = None, _Numbers()
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         names, scores = [sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)]
@@ -91,42 +93,49 @@ class Lattice:
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.raw_all = np.frombuffer(b"".join(self.raw), np.uint8)
         self.longest = max(len(names[i]) for i in plain)
-        ids: dict[str, int] = {}
-        for i in plain:
-            for k in range(1, len(names[i])):
-                ids.setdefault(names[i][:k], -1)
-            ids[names[i]] = i
-        bits = max(10, (4 * len(ids)).bit_length())
-        self.shift, self.keys, self.ids = np.uint64(64 - bits), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -2, np.int32)
-        for text, i in ids.items():
-            h = np.zeros(1, np.uint64)
-            for c in text:
-                h = self._next(h, np.array([ord(c)], np.uint32))
-            at = int(h[0] >> self.shift)
-            while self.ids[at] != -2:
-                at = (at + 1) % len(self.ids)
-            self.keys[at], self.ids[at] = h[0], i
-
-    @staticmethod
-    def _next(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return _mix(h * _K + c.astype(np.uint64) + np.uint64(1))
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Ids; -1 for the beginning of a piece, -2 for anything else."""
-        at = (h >> self.shift).astype(np.int64)
-        out = np.where(self.keys[at] == h, self.ids[at], -2)
-        left = np.flatnonzero((self.keys[at] != h) & (self.ids[at] != -2))
-        while len(left):
-            at[left] = (at[left] + 1) % len(self.ids)
-            hit = self.keys[at[left]] == h[left]
-            out[left[hit]] = self.ids[at[left[hit]]]
-            left = left[~hit & (self.ids[at[left]] != -2)]
-        return out
+        self._trie({names[i]: i for i in plain})
+
+    def _trie(self, pieces: dict[str, int]) -> None:
+        """States are beginnings of pieces. Steps over the most frequent characters are in a table, the others in sorted keys."""
+        states, steps = {"": 0}, []
+        for text in pieces:
+            for k in range(1, len(text) + 1):
+                if text[:k] not in states:
+                    states[text[:k]] = len(states)
+                    steps.append((states[text[: k - 1]], ord(text[k - 1]), states[text[:k]]))
+        self.piece = np.full(len(states), -1, np.int32)
+        for text, i in pieces.items():
+            self.piece[states[text]] = i
+        often = [c for c, _ in Counter(c for _, c, _ in steps).most_common(RARE)]
+        self.kind = np.full(0x110000, RARE, np.uint8)
+        self.kind[often] = np.arange(len(often))
+        self.table = np.full(len(states) * (RARE + 1), -1, np.int32)
+        rare = []
+        for at, c, to in steps:
+            if self.kind[c] < RARE:
+                self.table[at * (RARE + 1) + int(self.kind[c])] = to
+            else:
+                rare.append((at << 21 | c, to))
+        rare.sort()
+        self.rare_key, self.rare_to = np.array([k for k, _ in rare] + [1 << 62], np.int64), np.array([t for _, t in rare] + [-1], np.int32)
+
+    def _step(self, state: np.ndarray, c: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The states after a character; -1 where no piece goes on like that."""
+        to = self.table[state * np.int32(RARE + 1) + kind]
+        odd = np.flatnonzero(kind == RARE)
+        if len(odd):
+            key = state[odd].astype(np.int64) << 21 | c[odd]
+            at = np.searchsorted(self.rare_key, key)
+            to[odd] = np.where(self.rare_key[at] == key, self.rare_to[at], -1)
+        return to
 
     def words(self, texts: list[list[str]]) -> tuple["Words", list[np.ndarray]]:
         """The lattices of the words of each list, and their numbers. Lattices are kept for later calls while they are few."""
-        if self.store is None or len(self.number) > STORE:
-            self.store, self.number = Words(self), _Numbers()
+        if self.store is None:
+            self.store = Words(self)
+        if len(self.number) > STORE:
+            self.number = _Numbers()
+            self.store.clear()
         number, known = self.number, len(self.number)
         out = [np.array(list(map(number.__getitem__, t)), np.int64) for t in texts]
         self.store.add(self._build(list(number)[known:] if known else list(number)))
@@ -143,41 +152,49 @@ class Lattice:
         unit = np.repeat(np.arange(len(words)), size)
         start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(words) else size
         end, wide = (start + size)[unit], self.longest
-        # boundaries: one more than characters for each word; ids[b, wide - l] is the piece of length l that ends at b
+        # boundaries: one more than characters for each word; ids[b, most - l] is the piece of length l that ends at b
         first = start + np.arange(len(words))
-        at, h, found = np.arange(len(cp)), np.zeros(len(cp), np.uint64), []
+        kind, found = self.kind[cp], []
+        at, state = np.arange(len(cp)), np.zeros(len(cp), np.int32)
         for k in range(1, wide + 1):
-            h = self._next(h, cp[at + k - 1])
-            got = self._find(h)
-            piece = got >= 0
-            found.append((k, at[piece] + unit[at[piece]] + k, got[piece]))
+            here = at + (k - 1)
+            state = self._step(state, cp[here], kind[here])
             if k == 1:
-                odd = at[~piece]
+                odd = np.flatnonzero((state < 0) | (self.piece[state] < 0))
                 found.append((1, odd + unit[odd] + 1, -2 - cp[odd].astype(np.int64)))
-            on = (got >= -1) & (at + k < end[at])
-            at, h = at[on], h[on]
-        ids = np.full((len(cp) + len(words), wide), -1, np.int32)
-        for k, b, got in found:
-            ids[b, wide - k] = got
-        # in the loop below rows are only as wide as pieces are here
+            on = np.flatnonzero(state >= 0)
+            at, state = at[on], state[on]
+            got = self.piece[state]
+            piece = np.flatnonzero(got >= 0)
+            found.append((k, at[piece] + unit[at[piece]] + k, got[piece]))
+            on = np.flatnonzero(at + k < end[at])
+            at, state = at[on], state[on]
         most = max([k for k, b, _ in found if len(b)], default=1)
-        cum = np.zeros((len(ids), wide), np.float32)
-        logz = np.full(len(ids) + wide, -np.inf)  # of boundary b at b + wide
-        logz[first + wide] = 0
+        ids = np.full((len(cp) + len(words), most), -1, np.int32)
+        for k, b, got in found:
+            if len(b):
+                ids[b, most - k] = got
+        cum = np.zeros((len(ids), most), np.float32)
+        logz = np.full(len(ids) + most, -np.inf)  # of boundary b at b + most
+        logz[first + most] = 0
         order = np.argsort(-size, kind="stable")
         sizes, back = size[order], np.arange(most, 0, -1)
         for s in range(1, int(size.max(initial=0)) + 1):
             b = first[order[: np.searchsorted(-sizes, -s, "right")]] + s
-            w = self.weight[np.maximum(ids[b, wide - most :], -2)]
-            w += logz[(b + wide)[:, None] - back]
+            w = self.weight[np.maximum(ids[b], -2)]
+            w += logz[(b + most)[:, None] - back]
             top = w.max(1)
             w -= top[:, None]
             np.exp(w, out=w)
             np.cumsum(w, 1, out=w)
-            logz[b + wide] = top + np.log(w[:, -1])
-            cum[b, wide - most :] = w / w[:, -1:]
+            logz[b + most] = top + np.log(w[:, -1])
+            cum[b] = w / w[:, -1:]
         last = first + size
-        return ids, cum, first, last, logz[last + wide]
+        row, col = np.nonzero(ids != -1)  # by boundary, the longest piece first
+        share = cum[row, col]
+        share[np.flatnonzero(np.diff(row, append=len(ids)))] = 2  # a draw stops at a boundary's last piece
+        begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))])
+        return begin, ids[row, col], share, (most - col).astype(np.int8), first, last, logz[last + most]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
@@ -195,42 +212,52 @@ class Words:
     """The lattices of some words, and samples of their segmentations."""
 
     def __init__(self, lattice: Lattice):
-        self.lattice, self.size = lattice, 0
-        self.ids, self.cum = np.empty((1 << 12, lattice.longest), np.int32), np.empty((1 << 12, lattice.longest), np.float32)
-        self.first, self.last, self.logz = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.lattice = lattice
+        # pieces that end at boundary b: begin[b] to begin[b + 1] of id, cum (shares up to each) and length
+        self.begin, self.id, self.cum, self.length = np.zeros(1, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int8)
+        self.first, self.last, self.logz = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = self.boundaries = self.pieces = 0
+
+    def _put(self, name: str, at: int, new: np.ndarray) -> None:
+        held = getattr(self, name)
+        if at + len(new) > len(held):
+            held, old = np.zeros(max(at + len(new), 2 * len(held)), held.dtype), held
+            held[:at] = old[:at]
+            setattr(self, name, held)
+        held[at : at + len(new)] = new
 
     def add(self, built: tuple[np.ndarray, ...]) -> None:
-        ids, cum, first, last, logz = built
-        end = self.size + len(ids)
-        if end > len(self.ids):
-            for name in ("ids", "cum"):
-                old = getattr(self, name)
-                new = np.empty((max(end, 2 * len(old)), old.shape[1]), old.dtype)
-                new[: self.size] = old[: self.size]
-                setattr(self, name, new)
-        self.ids[self.size : end], self.cum[self.size : end] = ids, cum
-        self.first, self.last, self.logz = np.concatenate([self.first, first + self.size]), np.concatenate([self.last, last + self.size]), np.concatenate([self.logz, logz])
-        self.size = end
+        begin, ids, cum, length, first, last, logz = built
+        self._put("begin", self.boundaries, begin + self.pieces)
+        for name, new in (("id", ids), ("cum", cum), ("length", length)):
+            self._put(name, self.pieces, new)
+        for name, new in (("first", first + self.boundaries), ("last", last + self.boundaries), ("logz", logz)):
+            self._put(name, self.words, new)
+        self.words, self.boundaries, self.pieces = self.words + len(first), self.boundaries + len(begin) - 1, self.pieces + len(ids)
 
     def draw(self, word: np.ndarray, seed: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pieces of each draw one after another, their counts, log probabilities) for a seed for each draw."""
-        wide = self.ids.shape[1]
-        at, live = self.last[word].copy(), np.arange(len(word))
+        first = self.first[word]
         logp, count, steps = -self.logz[word], np.zeros(len(word), np.int64), []
-        live = live[at[live] > self.first[word[live]]]
+        live = np.flatnonzero(self.last[word] > first)
+        at, start = self.last[word[live]], first[live]
         while len(live):
-            u = _uniform(seed[live], round_, len(steps))
-            k = (self.cum[at[live]] > u[:, None].astype(np.float32)).argmax(1)
-            got = self.ids[at[live], k]
-            dead = np.flatnonzero(got == -1)  # the sum of rounded shares may stay below 1
-            for d in dead:
-                k[d] = np.flatnonzero(self.ids[at[live[d]]] != -1)[-1]
-                got[d] = self.ids[at[live[d]], k[d]]
+            u = _uniform(seed[live], round_, len(steps)).astype(np.float32)
+            k = self.begin[at]
+            more = np.flatnonzero(self.cum[k] <= u)
+            while len(more):
+                k[more] += 1
+                more = more[self.cum[k[more]] <= u[more]]
+            got = self.id[k]
             logp[live] += self.lattice.weight[np.maximum(got, -2)]
             steps.append((live, got))
             count[live] += 1
-            at[live] -= wide - k
-            live = live[at[live] > self.first[word[live]]]
+            at = at - self.length[k]
+            on = np.flatnonzero(at > start)
+            live, at, start = live[on], at[on], start[on]
         begin = np.concatenate([[0], np.cumsum(count)])
         out = np.empty(begin[-1], np.int64)
         for i, (rows, got) in enumerate(steps):
@@ -239,14 +266,15 @@ class Words:
 
     def all(self, word: int, most: int = 4096) -> list[tuple[float, tuple[int, ...]]] | None:
         """(log probability, pieces) of every segmentation; None if there are more than ``most``."""
-        wide, out, stack = self.ids.shape[1], [], [(int(self.last[word]), -float(self.logz[word]), ())]
+        out, stack = [], [(int(self.last[word]), -float(self.logz[word]), ())]
         while stack:
             at, p, path = stack.pop()
             if at == self.first[word]:
                 out.append((p, path))
-            for k in range(wide):
-                if at > self.first[word] and (i := int(self.ids[at, k])) != -1:
-                    stack.append((at - wide + k, p + float(self.lattice.weight[max(i, -2)]), (i, *path)))
+                continue
+            for k in range(self.begin[at], self.begin[at + 1]):
+                i = int(self.id[k])
+                stack.append((at - int(self.length[k]), p + float(self.lattice.weight[max(i, -2)]), (i, *path)))
             if len(out) + len(stack) > most:
                 return None
         return out
@@ -258,7 +286,8 @@ _UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 class _Tree:
     """The search of one text: its paths so far and the queue of groups of other children."""
 
-    def __init__(self, seed: int, words: np.ndarray):
+    def __init__(self, seed: int, words: np.ndarray, k: int):
+        self.k = k
         self.seed, self.words, self.paths, self.queue, self.seen = seed, words, [], [], {}
         root = np.array([seed], np.uint64)
         self.bound = -log(-log(_uniform(root, 1 << 40)[0]))  # of the path that is drawn next
@@ -285,7 +314,11 @@ class _Tree:
             before = np.concatenate([[0], np.cumsum(logp)[:-1]])
             noise = np.log(-np.log(_uniform(np.full(len(at), self.seed, np.uint64), (1 << 41) + n, at)))
             value = -np.logaddexp(-self.bound, noise - before[at] - np.log(rest[at]))
-            # only the largest few can be popped; all are kept in one sorted list, and its head in the queue
+            # as many as can still be popped, and one for kappa, in a sorted list whose head is in the queue
+            most = self.k - n
+            if len(at) > most:
+                best = np.argpartition(-value, most)[:most]
+                at, value = at[best], value[best]
             order = np.argsort(-value, kind="stable")
             self._push(n, at[order], value[order], 0)
 
@@ -327,7 +360,7 @@ def sample_texts(lattice: Lattice, texts: list[str | None], keys: list[str], k:
     """For each text up to k dicts of ids, log_prob and log_inclusion, in order of perturbed log probability."""
     units = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
     words, numbers = lattice.words(units)
-    trees = [_Tree(xxhash.xxh64_intdigest(key, seed), w) for key, w in zip(keys, numbers, strict=True)]
+    trees = [_Tree(xxhash.xxh64_intdigest(key, seed), w, k) for key, w in zip(keys, numbers, strict=True)]
     active = trees
     for n in range(k):
         if not active:
@@ -453,17 +486,17 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(df: DataFrame, model: str, ids_col: str, out: str = "decoded") -> DataFrame:
-    """df and the texts of each list of ids in the array ids_col; bytes that are not UTF-8 become U+FFFD."""
-    names = df.columns
+def decode(df: DataFrame, model: str, ids_col: str, out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of df (all, if None) and the texts of each list of ids in the array ids_col; bytes that are not UTF-8 become U+FFFD."""
+    names = df.columns if keep is None else keep
+    df = df.select(*names, F.col(ids_col).alias("__ids"))
 
     def run(batches):
         own = lattice(model, 1.0)
-        at = names.index(ids_col)
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 b = whole.slice(lo, 64)
-                lists = b.column(at)
+                lists = b.column(len(names))
                 inner = lists.flatten()
                 ids = inner.flatten()
                 size = np.array([0 if n is None else n for n in pa.compute.list_value_length(inner).to_pylist()], np.int64)
@@ -471,22 +504,21 @@ def decode(df: DataFrame, model: str, ids_col: str, out: str = "decoded") -> Dat
                 count = pa.compute.list_value_length(lists).to_pylist()
                 ends = np.cumsum([0, *(n or 0 for n in count)])
                 out_texts = [None if n is None else texts[a : a + n] for n, a in zip(count, ends, strict=False)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out_texts, pa.list_(pa.string()))], [*names, out])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out_texts, pa.list_(pa.string()))], [*names, out])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add(out, ArrayType(StringType())))
+    return df.mapInArrow(run, StructType(df.schema.fields[: len(names)]).add(out, ArrayType(StringType())))
 
 
 def sampled_rows(df: DataFrame, model: str, k: int = 2) -> DataFrame:
     """The query's columns for documents: what was sampled, and whether it decodes to the text."""
-    rows = sample(df, model, k=k).withColumn("ids", F.transform("samples", lambda s: s["ids"]))
-    rows = decode(rows, model, "ids")
-    whole = F.forall("decoded", lambda d: d == F.coalesce("text", F.lit("")))
     digest = lambda f: F.transform("samples", f)
-    return rows.select(
-        "doc_id", F.size("samples").alias("n_samples"), digest(lambda s: F.size(s["ids"])).alias("n_pieces"),
-        digest(lambda s: F.xxhash64(s["ids"])).alias("ids_hash"), digest(lambda s: s["log_prob"]).alias("log_prob"),
-        digest(lambda s: s["log_inclusion"]).alias("log_inclusion"), whole.alias("decodes"),
+    rows = sample(df, model, k=k).select(
+        "doc_id", "text", digest(lambda s: s["ids"]).alias("ids"), F.size("samples").alias("n_samples"), digest(lambda s: F.size(s["ids"])).alias("n_pieces"),
+        digest(lambda s: F.xxhash64(s["ids"])).alias("ids_hash"), digest(lambda s: s["log_prob"]).alias("log_prob"), digest(lambda s: s["log_inclusion"]).alias("log_inclusion"),
     )
+    kept = ["doc_id", "n_samples", "n_pieces", "ids_hash", "log_prob", "log_inclusion"]
+    rows = decode(rows, model, "ids", keep=[*kept, "text"])
+    return rows.select(*kept, F.forall("decoded", lambda d: d == F.coalesce("text", F.lit(""))).alias("decodes"))
 
 
 def op4_pieces(spark, sf_dir: str) -> DataFrame:
