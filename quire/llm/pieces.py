@@ -60,7 +60,7 @@ def _uniform(seed: np.ndarray, *places) -> np.ndarray:
     """In (0, 1), by hash."""
     x = seed
     for p in places:
-        x = _mix(x * _K + np.uint64(p) if np.isscalar(p) else x * _K + p.astype(np.uint64))
+        x = _mix(x * _K + (np.uint64(p) if np.isscalar(p) else p.astype(np.uint64)))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -88,12 +88,13 @@ class Lattice:
         self.lowest = float(self.weight[plain].min()) - 10
         self.weight = np.concatenate([self.weight, [self.lowest, -np.inf]])  # by id; at -2 a character without a piece, at -1 nothing
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.byte_ids = np.array(self.bytes, np.int32)
         self.raw = [b"" if sp.is_control(i) else bytes([self.bytes.index(i)]) if sp.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
         self.raw_size = np.array(list(map(len, self.raw)))
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.raw_all = np.frombuffer(b"".join(self.raw), np.uint8)
         self.longest = max(len(names[i]) for i in plain)
-        self._trie({names[i]: i for i in plain})
+        self._trie({names[i].replace(MARK, " "): i for i in plain})
 
     def _trie(self, pieces: dict[str, int]) -> None:
         """States are beginnings of pieces. Steps over the most frequent characters are in a table, the others in sorted keys."""
@@ -137,7 +138,7 @@ class Lattice:
             self.number = _Numbers()
             self.store.clear()
         number, known = self.number, len(self.number)
-        out = [np.array(list(map(number.__getitem__, t)), np.int64) for t in texts]
+        out = [np.fromiter(map(number.__getitem__, t), np.int32, len(t)) for t in texts]
         self.store.add(self._build(list(number)[known:] if known else list(number)))
         return self.store, out
 
@@ -245,7 +246,7 @@ class Words:
         live = np.flatnonzero(self.last[word] > first)
         at, start = self.last[word[live]], first[live]
         while len(live):
-            u = _uniform(seed[live], round_, len(steps)).astype(np.float32)
+            u = _uniform(seed[live], round_ << 32 | len(steps)).astype(np.float32)
             k = self.begin[at]
             more = np.flatnonzero(self.cum[k] <= u)
             while len(more):
@@ -280,7 +281,7 @@ class Words:
         return out
 
 
-_UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_UNITS = re.compile(" *[^ \n]+| +|\n")
 
 
 class _Tree:
@@ -293,34 +294,25 @@ class _Tree:
         self.bound = -log(-log(_uniform(root, 1 << 40)[0]))  # of the path that is drawn next
         self.base, self.level = None, 0  # that path follows path ``base`` up to a word, and differs there
 
-    def add(self, pieces: np.ndarray, count: np.ndarray, logp: np.ndarray) -> None:
-        """Takes the path's words from ``level`` on."""
+    def add(self, pieces: np.ndarray, count: np.ndarray, logp: np.ndarray, values: np.ndarray) -> None:
+        """Takes the path's words from ``level`` on, and the bounds of their other children."""
+        n, at = len(self.paths), self.level
         if self.base is not None:
             old = self.paths[self.base]
-            cut = int(old[1][: self.level].sum())
-            pieces, count, logp = np.concatenate([old[0][:cut], pieces]), np.concatenate([old[1][: self.level], count]), np.concatenate([old[2][: self.level], logp])
-        n = len(self.paths)
+            cut = int(old[1][:at].sum())
+            pieces, count, logp = np.concatenate([old[0][:cut], pieces]), np.concatenate([old[1][:at], count]), np.concatenate([old[2][:at], logp])
         self.paths.append((pieces, count, logp, self.bound))
-        p = np.exp(np.minimum(logp, 0))
-        rest = np.maximum(0, 1 - p)
-        at = np.arange(self.level, len(logp))
-        if self.base is not None and len(at):
-            # this word's other children are without those of the paths that part here, too
-            key = self.branch
-            self.seen[key].append((n, float(p[self.level])))
-            rest[self.level] = max(0, 1 - sum(x for _, x in self.seen[key]))
-        at = at[rest[at] > 1e-12]
-        if len(at):
-            before = np.concatenate([[0], np.cumsum(logp)[:-1]])
-            noise = np.log(-np.log(_uniform(np.full(len(at), self.seed, np.uint64), (1 << 41) + n, at)))
-            value = -np.logaddexp(-self.bound, noise - before[at] - np.log(rest[at]))
-            # as many as can still be popped, and one for kappa, in a sorted list whose head is in the queue
-            most = self.k - n
-            if len(at) > most:
-                best = np.argpartition(-value, most)[:most]
-                at, value = at[best], value[best]
-            order = np.argsort(-value, kind="stable")
-            self._push(n, at[order], value[order], 0)
+        # as many as can still be popped, and one for kappa, in a sorted list whose head is in the queue
+        most = self.k - n
+        best = np.argpartition(-values, most)[:most] if len(values) > most else np.arange(len(values))
+        best = best[np.argsort(-values[best], kind="stable")]
+        best = best[values[best] > -np.inf]
+        self._push(n, best + at, values[best], 0)
+
+    def part(self, share: float) -> float:
+        """What is left at the word where the path to come parts from its base, once it takes this share."""
+        self.seen[self.branch].append((len(self.paths), share))
+        return max(0.0, 1 - sum(x for _, x in self.seen[self.branch]))
 
     def _push(self, path: int, levels: np.ndarray, values: np.ndarray, i: int) -> None:
         if i < len(levels):
@@ -358,7 +350,7 @@ class _Tree:
 
 def sample_texts(lattice: Lattice, texts: list[str | None], keys: list[str], k: int, seed: int) -> list[list[dict]]:
     """For each text up to k dicts of ids, log_prob and log_inclusion, in order of perturbed log probability."""
-    units = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    units = [_UNITS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]  # a space is a mark here
     words, numbers = lattice.words(units)
     trees = [_Tree(xxhash.xxh64_intdigest(key, seed), w, k) for key, w in zip(keys, numbers, strict=True)]
     active = trees
@@ -374,13 +366,23 @@ def sample_texts(lattice: Lattice, texts: list[str | None], keys: list[str], k:
         pieces, count, logp = words.draw(word, seeds, 0)
         begin, starts = np.concatenate([[0], np.cumsum(count)]), np.cumsum(size) - size
         other = _others(words, active, word, seeds, starts, pieces, begin) if n else {}
+        for i, (_, share) in other.items():
+            logp[starts[i]] = share
+        rest = np.maximum(0, -np.expm1(np.minimum(logp, 0)))
+        whole, base = np.cumsum(logp), np.zeros(len(active))
+        for i, t in enumerate(active if n else ()):
+            base[i] = t.paths[t.base][2][: t.level].sum()
+            rest[starts[i]] = t.part(float(np.exp(logp[starts[i]])))
+        before = whole - logp + np.repeat(base - np.concatenate([[0], whole])[starts], size)
+        noise = np.log(-np.log(_uniform(seeds, 1 << 41)))
+        with np.errstate(divide="ignore"):
+            value = -np.logaddexp(-np.repeat([t.bound for t in active], size), noise - before - np.log(np.where(rest > 1e-12, rest, 0)))
         for i, (t, at, m) in enumerate(zip(active, starts, size, strict=True)):
-            own, c, p = pieces[begin[at] : begin[at + m]], count[at : at + m], logp[at : at + m]
+            own, c = pieces[begin[at] : begin[at + m]], count[at : at + m]
             if i in other:
-                first, share = other[i]
-                own, c, p = np.concatenate([first, own[c[0] :]]), c.copy(), p.copy()
-                c[0], p[0] = len(first), share
-            t.add(own, c, p)
+                own, c = np.concatenate([other[i][0], own[c[0] :]]), c.copy()
+                c[0] = len(other[i][0])
+            t.add(own, c, logp[at : at + m], value[at : at + m])
         active = [t for t in active if n + 1 < k and t.pop()]
     out = []
     for t in trees:
@@ -424,6 +426,11 @@ def _spelled(lattice: Lattice, pieces: np.ndarray) -> np.ndarray:
     odd = np.flatnonzero(pieces < 0)
     if not len(odd):
         return pieces.astype(np.int32)
+    code = -2 - pieces[odd]
+    if code.max() < 128:
+        out = pieces.astype(np.int32)
+        out[odd] = lattice.byte_ids[code]
+        return out
     spelled = [[lattice.bytes[b] for b in chr(-2 - int(c)).encode("utf-8", "surrogatepass")] for c in pieces[odd]]
     size = np.ones(len(pieces), np.int64)
     size[odd] = list(map(len, spelled))
