@@ -51,9 +51,12 @@ RARE = 127  # the kind of characters that are in few pieces
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _uniform(seed: np.ndarray, *places) -> np.ndarray:
@@ -94,7 +97,7 @@ class Lattice:
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.raw_all = np.frombuffer(b"".join(self.raw), np.uint8)
         self.longest = max(len(names[i]) for i in plain)
-        self._trie({names[i].replace(MARK, " "): i for i in plain})
+        self.plain, self.table = {names[i].replace(MARK, " "): i for i in plain}, None
 
     def _trie(self, pieces: dict[str, int]) -> None:
         """States are beginnings of pieces. Steps over the most frequent characters are in a table, the others in sorted keys."""
@@ -148,6 +151,8 @@ class Lattice:
         return out
 
     def _build(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        if self.table is None:
+            self._trie(self.plain)
         cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array(list(map(len, words)), np.int64)
         unit = np.repeat(np.arange(len(words)), size)
@@ -294,8 +299,8 @@ class _Tree:
         self.bound = -log(-log(_uniform(root, 1 << 40)[0]))  # of the path that is drawn next
         self.base, self.level = None, 0  # that path follows path ``base`` up to a word, and differs there
 
-    def add(self, pieces: np.ndarray, count: np.ndarray, logp: np.ndarray, values: np.ndarray) -> None:
-        """Takes the path's words from ``level`` on, and the bounds of their other children."""
+    def add(self, pieces: np.ndarray, count: np.ndarray, logp: np.ndarray, depth: np.ndarray) -> None:
+        """Takes the path's words from ``level`` on, and the depth of their other children, whose bound is minus that, truncated at this path's."""
         n, at = len(self.paths), self.level
         if self.base is not None:
             old = self.paths[self.base]
@@ -304,10 +309,10 @@ class _Tree:
         self.paths.append((pieces, count, logp, self.bound))
         # as many as can still be popped, and one for kappa, in a sorted list whose head is in the queue
         most = self.k - n
-        best = np.argpartition(-values, most)[:most] if len(values) > most else np.arange(len(values))
-        best = best[np.argsort(-values[best], kind="stable")]
-        best = best[values[best] > -np.inf]
-        self._push(n, best + at, values[best], 0)
+        best = np.argpartition(depth, most)[:most] if len(depth) > most else np.arange(len(depth))
+        best = best[np.argsort(depth[best], kind="stable")]
+        best = best[depth[best] < np.inf]
+        self._push(n, best + at, -np.logaddexp(-self.bound, depth[best]), 0)
 
     def part(self, share: float) -> float:
         """What is left at the word where the path to come parts from its base, once it takes this share."""
@@ -376,13 +381,13 @@ def sample_texts(lattice: Lattice, texts: list[str | None], keys: list[str], k:
         before = whole - logp + np.repeat(base - np.concatenate([[0], whole])[starts], size)
         noise = np.log(-np.log(_uniform(seeds, 1 << 41)))
         with np.errstate(divide="ignore"):
-            value = -np.logaddexp(-np.repeat([t.bound for t in active], size), noise - before - np.log(np.where(rest > 1e-12, rest, 0)))
+            depth = noise - before - np.log(np.where(rest > 1e-12, rest, 0))  # the bounds' negatives before they are truncated
         for i, (t, at, m) in enumerate(zip(active, starts, size, strict=True)):
             own, c = pieces[begin[at] : begin[at + m]], count[at : at + m]
             if i in other:
                 own, c = np.concatenate([other[i][0], own[c[0] :]]), c.copy()
                 c[0] = len(other[i][0])
-            t.add(own, c, logp[at : at + m], value[at : at + m])
+            t.add(own, c, logp[at : at + m], depth[at : at + m])
         active = [t for t in active if n + 1 < k and t.pop()]
     out = []
     for t in trees:
@@ -460,8 +465,11 @@ def _parts(texts: list[str | None]):
         at = end
 
 
-def sample(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 4, out: str = "samples") -> DataFrame:
-    """(id, text, samples): up to k distinct segmentations of each text, with log_prob and log_inclusion."""
+def sample(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 4, out: str = "samples", check: bool = False) -> DataFrame:
+    """(id, text, samples): up to k distinct segmentations of each text, with log_prob and log_inclusion.
+
+    With ``check``, decodes in place of text: whether every segmentation, decoded, is the text.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     item = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("log_inclusion", pa.float64())])
 
@@ -472,13 +480,19 @@ def sample(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
             for at, end in _parts(texts):
                 rows = sample_texts(own, texts[at:end], keys[at:end], k, seed)
                 flat = [s for r in rows for s in r]
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s["ids"]) for s in flat)]).astype(np.int32)), pa.array(np.concatenate([s["ids"] for s in flat])))
+                joined, ends = np.concatenate([s["ids"] for s in flat]), np.cumsum([0, *(len(s["ids"]) for s in flat)])
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(joined))
+                middle = b.column(1).slice(at, end - at)
+                if check:
+                    back = iter(own.decode_all(joined, ends))
+                    middle = pa.array([all([next(back) == (t or "") for _ in r]) for t, r in zip(texts[at:end], rows, strict=True)], pa.bool_())
                 items = pa.StructArray.from_arrays([ids, pa.array([s["log_prob"] for s in flat]), pa.array([s["log_inclusion"] for s in flat])], fields=list(item))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), items)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(1).slice(at, end - at), lists], ["id", "text", "samples"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), middle, lists], ["id", "middle", "samples"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    return rows.mapInArrow(run, f"id {kind}, text string, samples {_SAMPLES}").withColumnsRenamed({"id": id_col, "text": text_col, "samples": out})
+    named = rows.mapInArrow(run, f"id {kind}, middle {'boolean' if check else 'string'}, samples {_SAMPLES}")
+    return named.withColumnsRenamed({"id": id_col, "middle": "decodes" if check else text_col, "samples": out})
 
 
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -519,13 +533,10 @@ def decode(df: DataFrame, model: str, ids_col: str, out: str = "decoded", keep:
 def sampled_rows(df: DataFrame, model: str, k: int = 2) -> DataFrame:
     """The query's columns for documents: what was sampled, and whether it decodes to the text."""
     digest = lambda f: F.transform("samples", f)
-    rows = sample(df, model, k=k).select(
-        "doc_id", "text", digest(lambda s: s["ids"]).alias("ids"), F.size("samples").alias("n_samples"), digest(lambda s: F.size(s["ids"])).alias("n_pieces"),
-        digest(lambda s: F.xxhash64(s["ids"])).alias("ids_hash"), digest(lambda s: s["log_prob"]).alias("log_prob"), digest(lambda s: s["log_inclusion"]).alias("log_inclusion"),
+    return sample(df, model, k=k, check=True).select(
+        "doc_id", F.size("samples").alias("n_samples"), digest(lambda s: F.size(s["ids"])).alias("n_pieces"), digest(lambda s: F.xxhash64(s["ids"])).alias("ids_hash"),
+        digest(lambda s: s["log_prob"]).alias("log_prob"), digest(lambda s: s["log_inclusion"]).alias("log_inclusion"), "decodes",
     )
-    kept = ["doc_id", "n_samples", "n_pieces", "ids_hash", "log_prob", "log_inclusion"]
-    rows = decode(rows, model, "ids", keep=[*kept, "text"])
-    return rows.select(*kept, F.forall("decoded", lambda d: d == F.coalesce("text", F.lit(""))).alias("decodes"))
 
 
 def op4_pieces(spark, sf_dir: str) -> DataFrame:
