@@ -45,8 +45,8 @@ from quire.llm.common import table
 
 MARK = "▁"
 _K = np.uint64(0x9E3779B97F4A7C15)
-CHARS = 1 << 17  # of the texts that are worked on together
-STORE = 200_000  # words whose lattices are kept
+CHARS = 1 << 18  # of the texts that are worked on together
+STORE = 400_000  # words whose lattices are kept
 RARE = 127  # the kind of characters that are in few pieces
 
 
