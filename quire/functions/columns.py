@@ -94,3 +94,11 @@ def reader_reply(raw: Column | str) -> Column:
     got = F.coalesce(whole, inner)
     answer = F.coalesce(F.nullif(strip(got["answer"]), F.lit("")), strip(raw))
     return F.struct(answer.alias("answer"), F.coalesce(got["verbatim_quotes"], F.array().cast("array<string>")).alias("quotes"))
+
+
+def highlight(content: Column | str, text: Column, offset: Column) -> Column:
+    """struct(start, end) of a quote in its passage: at its offset, else at its first place; null where it does not fit."""
+    content = col(content)
+    start = F.coalesce(offset, F.nullif(F.instr(content, text), F.lit(0)) - 1)
+    end = start + F.length(text)
+    return F.when((start >= 0) & (end <= F.length(content)), F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))

@@ -35,3 +35,18 @@ def outline(chapters: DataFrame, budget: int = 8000) -> DataFrame:
         return F.struct((acc["used"] + F.length(body)).alias("used"), longer.alias("parts"))
 
     return rows.select("book_id", F.array_join(F.aggregate("chapters", start, step)["parts"], "\n\n").alias("outline"))
+
+
+def evidence(results: DataFrame) -> DataFrame:
+    """(conv_id, evidence): each result (result_no, chapter, answer) under its number, in order."""
+    one = F.concat(F.lit("[Source "), F.col("result_no").cast("string"), F.lit(" — chapter "), F.col("chapter").cast("string"), F.lit("]\n"), F.col("answer"))
+    rows = results.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("result_no", one.alias("text")))).alias("r"))
+    return rows.select("conv_id", F.array_join(F.transform("r", lambda x: x["text"]), "\n\n").alias("evidence"))
+
+
+def reduce_input(chapters: DataFrame, most_chars: int = 50_000) -> DataFrame:
+    """(book_id, text): the titles and summaries of a book's chapters in order, blank ones left out, cut to most_chars."""
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled"))
+    one = F.struct("ordinal", F.concat(F.lit("## "), title, F.lit("\n"), F.col("summary")).alias("text"))
+    rows = chapters.where(F.trim(F.coalesce("summary", F.lit(""))) != "").groupBy("book_id").agg(F.sort_array(F.collect_list(one)).alias("c"))
+    return rows.select("book_id", F.substring(F.array_join(F.transform("c", lambda x: x["text"]), "\n\n"), 1, most_chars).alias("text"))

@@ -530,6 +530,96 @@ def reader_replies(spark, d):
     return rows.select("event_id", F.when(F.try_parse_json("props").isNotNull(), "json").otherwise("text").alias("kind"))
 
 
+@query(f"WITH {CH} SELECT book_id, count(*) AS sections, count(*) FILTER (WHERE is_body) AS body, count(DISTINCT CASE WHEN is_body THEN chapter_id END) AS body_chapters FROM ch GROUP BY 1")
+def body_counts(spark, d):
+    rows = chapters(spark, d)
+    return rows.groupBy("book_id").agg(F.count("*").alias("sections"), F.count_if("is_body").alias("body"), F.countDistinct(F.when(F.col("is_body"), F.col("chapter_id"))).alias("body_chapters"))
+
+
+@query(f"WITH {CH} SELECT vec_id AS section_id, coalesce(number, 0)::INT AS chapter FROM embeddings LEFT JOIN num ON chapter_id = vec_id")
+def section_chapter(spark, d):
+    """The display number of each section's chapter, 0 where there is none: one join for all of them."""
+    numbers = chapters(spark, d).select(F.col("chapter_id").alias("vec_id"), "number")
+    return read(spark, d, "embeddings").select("vec_id").join(numbers, "vec_id", "left").select(F.col("vec_id").alias("section_id"), F.coalesce("number", F.lit(0)).alias("chapter"))
+
+
+@query("SELECT n_nationkey, 'data:image/png;base64,' || to_base64(n_name::BLOB) AS url FROM nation")
+def cover_urls(spark, d):
+    return read(spark, d, "nation").select("n_nationkey", C.cover_url(F.lit("image/png"), F.col("n_name").cast("binary")).alias("url"))
+
+
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN text[:40] ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 0 THEN lang END, ''), 'No summary available.') AS summary FROM documents")
+def summary_choice(spark, d):
+    full = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 40)).otherwise("")
+    return read(spark, d, "documents").select("doc_id", C.any_summary(full, F.when(F.col("doc_id") % 3 == 0, F.col("lang")), "No summary available.").alias("summary"))
+
+
+@query(
+    """
+WITH n AS (SELECT conv_id, (count(*) - 1) % 4 AS n, count(*) % 2 = 0 AS weak FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN n = 0 THEN 'I couldn''t find any passages that clearly speak to that.' WHEN weak THEN 'The closest ' || CASE WHEN n = 1 THEN 'passage' ELSE 'passages' END || ' I found only touch on this loosely:'
+  ELSE 'Here ' || CASE WHEN n = 1 THEN 'is ' ELSE 'are ' END || n || CASE WHEN n = 1 THEN ' passage' ELSE ' passages' END || ' that speak to that:' END AS framing FROM n
+"""
+)
+def quote_framing(spark, d):
+    n = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("c"))
+    return n.select("conv_id", Q.quote_framing((F.col("c") - 1) % 4, F.col("c") % 2 == 0).alias("framing"))
+
+
+@query("SELECT conv_id, string_agg('[Source ' || turn || ' — chapter ' || turn % 5 || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS evidence FROM conversations GROUP BY 1")
+def evidence_render(spark, d):
+    rows = read(spark, d, "conversations").select("conv_id", F.col("turn").alias("result_no"), (F.col("turn") % 5).alias("chapter"), F.col("text").alias("answer"))
+    return history.evidence(rows)
+
+
+@query(f"WITH {CH} SELECT book_id, md5(left(string_agg('## Chapter ' || number || chr(10) || text[:300], chr(10) || chr(10) ORDER BY ordinal), 5000)) AS digest FROM num WHERE is_body AND number <= 40 AND trim(text[:300]) <> '' GROUP BY 1")
+def book_reduce_input(spark, d):
+    rows = chapters(spark, d, text=True).where("is_body AND number <= 40")
+    rows = rows.select("book_id", "ordinal", C.display_title(F.lit(""), "number").alias("title"), F.substring("text", 1, 300).alias("summary"))
+    return history.reduce_input(rows, 5000).select("book_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT n_name || ' (' || CASE WHEN n_regionkey <= 2 THEN 'PERSON' ELSE 'PLACE' END || '): ' || count(s_suppkey) || ' occurrence(s)' AS line FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_regionkey")
+def occurrence_render(spark, d):
+    at = read(spark, d, "supplier").select(F.col("s_nationkey").alias("entity_id"), F.lit("world").alias("book_id"), F.col("s_suppkey").cast("string").alias("section_id"))
+    rows = graph.entity_sections(nations(spark, d), at)
+    return rows.select(F.format_string("%s (%s): %d occurrence(s)", "name", "entity_type", F.size("section_ids")).alias("line"))
+
+
+@query("SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'PERSON' ELSE 'PLACE' END AS entity_type, o_custkey + 10 AS char_offset FROM orders JOIN customer ON c_custkey = o_custkey")
+def typed_offsets(spark, d):
+    """Types by label, and offsets moved from the section to the chapter."""
+    rows = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    label = F.when(F.col("c_mktsegment") == "BUILDING", "Character").otherwise(F.col("c_mktsegment"))
+    return rows.select("o_orderkey", C.entity_type(label).alias("entity_type"), (F.coalesce("o_custkey", F.lit(0)) + 10).alias("char_offset"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'replaced' ELSE o_orderstatus END AS status FROM orders")
+def upsert_rows(spark, d):
+    rows = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    new = rows.where("o_orderkey % 10 = 0").withColumn("status", F.lit("replaced"))
+    return ledger.upsert(rows, new, ["o_orderkey"])
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0 GROUP BY 1")
+def cascade_delete(spark, d):
+    """Customers of a list go with their orders."""
+    tables = {"customer": read(spark, d, "customer").select("c_custkey"), "orders": read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))}
+    left = ledger.without(tables, tables["customer"].where("c_custkey % 7 = 0"), "c_custkey")
+    return left["customer"].join(left["orders"], "c_custkey", "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
+
+
+@query()
+def html_text_chunks(spark, d):
+    """Chunks of the text of web pages: markup to text to windows, in two Arrow passes."""
+    from quire.functions import passages
+    from quire.operators.quotes import _mapped
+
+    pages = read(spark, d, "pages").select("page_id", "html")
+    text = _mapped(pages, ["html"], "text string", lambda h: {"text": passages.html_text(h)[0].strip()})
+    return segment.explode_text(text, "text", passages.chunks, ["page_id"]).select("page_id", "ordinal", "char_start", "char_end")
+
+
 @query()
 def html_text(spark, d):
     from quire.functions import passages

@@ -13,7 +13,8 @@ from quire.functions.questions import RECIPES
 
 
 class ModelClient(Protocol):
-    """kind names the task, so that a client can choose its prompt: route, condense, read, synthesize, extract, cluster, summary, micro or book."""
+    """kind names the task, so that a client can choose its prompt: route, condense, read, synthesize (read_open and
+    synthesize_open where the model may use what it knows of the book), extract, cluster, summary, micro or book."""
 
     def complete(self, kind: str, text: str, question: str = "", max_tokens: int = 512) -> str: ...
 
@@ -28,7 +29,7 @@ class StandIn:
 
     def complete(self, kind: str, text: str, question: str = "", max_tokens: int = 512) -> str:
         out = getattr(self, f"_{kind}")(text, question)
-        return out if kind in ("extract", "cluster", "read") else out[: max_tokens * 4]
+        return out if kind in ("extract", "cluster", "read", "read_open") else out[: max_tokens * 4]
 
     def stream(self, kind: str, text: str, question: str = "", max_tokens: int = 512) -> Iterator[str]:
         for part in re.findall(r"\S+\s*", self.complete(kind, text, question, max_tokens)):
@@ -64,6 +65,8 @@ class StandIn:
     def _synthesize(self, text: str, question: str) -> str:
         return " ".join(self._sentences(text)[:3])
 
+    _read_open, _synthesize_open = _read, _synthesize
+
     def _summary(self, text: str, question: str) -> str:
         return " ".join(" ".join(self._sentences(text)[:5]).split()[:120])
 

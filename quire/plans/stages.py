@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import columns as C
-from quire.operators import extraction, retrieval
+from quire.operators import extraction, history, retrieval
 from quire.operators import ledger as L
 from quire.plans.models import ModelClient
 from quire.schema import EXTRACTION
@@ -58,9 +58,8 @@ def summaries(store: Store, book_id: str, model: ModelClient) -> None:
 
 
 def book_summary(store: Store, book_id: str, model: ModelClient) -> None:
-    part = F.concat(F.lit("## "), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")), F.lit("\n"), F.col("summary"))
-    rows = store.of("chapters", book_id).where("is_body AND trim(coalesce(summary, '')) != ''").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", part.alias("t")))).alias("s")).first()
-    text = "\n\n".join(x["t"] for x in rows["s"])[:BOOK_CHARS] if rows else ""
+    row = history.reduce_input(store.of("chapters", book_id).where("is_body"), BOOK_CHARS).first()
+    text = row["text"] if row else ""
     store.set_book(book_id, summary=model.complete("book", text, max_tokens=600).strip() if text else "")
 
 

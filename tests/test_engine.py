@@ -165,6 +165,7 @@ def test_streams(made):
     kinds = [e["type"] for e in events]
     assert kinds[0] == "step" and "token" in kinds and kinds[-1] == "done" and "weak" not in events[-1]["result"]
     assert len(events[-1]["result"]["quotes"]) <= 2
+    assert list(engine.ask_stream(b, "Who walked?", grounded=False))[-1]["type"] == "done" and engine.health() == {"status": "ok"}
     lines = list(answers.frames(events))
     assert all(line.startswith("data: ") and line.endswith("\n\n") and json.loads(line[6:]) for line in lines)
 

@@ -143,3 +143,9 @@ def test_long_paragraphs():
     text = " ".join(f"Sentence {i} ends." for i in range(300))
     got = passages.paragraph_sections(text, 10, 100)
     assert " ".join(c for c, _, _ in got) == text and got[0][1] == 10 and all(e - s == len(c) for c, s, e in got)
+
+
+@pytest.mark.parametrize(("offset", "want"), [(4, (4, 7)), (None, (4, 7)), (9, None)])
+def test_highlights(spark, offset, want):
+    got = spark.range(1).select(C.highlight(F.lit("the cat sat"), F.lit("cat"), F.lit(offset).cast("int"))).first()[0]
+    assert (got and tuple(got)) == want
