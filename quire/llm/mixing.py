@@ -42,23 +42,23 @@ def _sized(df: DataFrame, source_col: str, text_col: str, id_col: str, seed: int
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
-    """(key, rows, source_size, target) of each source; the key of null sorts last."""
-    s = sized.groupBy("__mix_key").agg(F.sum("__mix_size").alias("source_size"), F.count("*").alias("rows"))
+    """Each source's key (that of null sorts last), rows, size and target, under names that start with ``__mix``."""
+    s = sized.groupBy("__mix_key").agg(F.sum("__mix_size").alias("__mix_source_size"), F.count("*").alias("__mix_rows"))
     rank = F.row_number().over(W.orderBy("__mix_key"))
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"))
-    s = s.withColumn("cap", (F.col("source_size") * max_repeat).cast("double"))
+    s = s.withColumn("cap", (F.col("__mix_source_size") * max_repeat).cast("double"))
     before = W.orderBy(F.col("cap") / F.col("w"), "__mix_key").rowsBetween(W.unboundedPreceding, -1)
     every = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     left = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / left
+    level = (F.sum("__mix_source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / left
     s = s.withColumn("level", level)
-    return s.select("__mix_key", "rows", "source_size", F.least("cap", F.max("level").over(every) * F.col("w")).alias("target"))
+    return s.select("__mix_key", "__mix_rows", "__mix_source_size", F.least("cap", F.max("level").over(every) * F.col("w")).alias("__mix_target"))
 
 
 def _queued(sized: DataFrame, sources: DataFrame, rows_a_bucket: int) -> DataFrame:
     """Adds the source's size and target, and the words of the source up to each row's end."""
     rows = sized.join(sources, "__mix_key")  # Spark broadcasts the sources only below its own size threshold
-    rows = rows.withColumn("__mix_bucket", F.floor(F.col("__mix_hash") / float(1 << 60) * F.ceil(F.col("rows") / rows_a_bucket))).drop("rows")
+    rows = rows.withColumn("__mix_bucket", F.floor(F.col("__mix_hash") / float(1 << 60) * F.ceil(F.col("__mix_rows") / rows_a_bucket))).drop("__mix_rows")
     sums = rows.groupBy("__mix_key", "__mix_bucket").agg(F.sum("__mix_size").alias("__mix_sum"))
     before = F.sum("__mix_sum").over(W.partitionBy("__mix_key").orderBy("__mix_bucket").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("__mix_key", "__mix_bucket", F.coalesce(before, F.lit(0)).alias("__mix_before"))
@@ -68,12 +68,12 @@ def _queued(sized: DataFrame, sources: DataFrame, rows_a_bucket: int) -> DataFra
 
 
 def _finish(round_: int | F.Column) -> F.Column:
-    return ((round_ - 1) * F.col("source_size") + F.col("__mix_end") - F.col("__mix_size") / 2) / F.col("target")
+    return ((round_ - 1) * F.col("__mix_source_size") + F.col("__mix_end") - F.col("__mix_size") / 2) / F.col("__mix_target")
 
 
 def cut(queued: DataFrame, max_repeat: int, ranges: int) -> tuple[float, str]:
     """Finish time and source of the first document beyond the budget."""
-    offers = queued.where("target > 0 and __mix_size > 0").select("__mix_key", "__mix_size", F.explode(F.array(*(_finish(i + 1) for i in range(max_repeat)))).alias("f"))
+    offers = queued.where("__mix_target > 0 and __mix_size > 0").select("__mix_key", "__mix_size", F.explode(F.array(*(_finish(i + 1) for i in range(max_repeat)))).alias("f"))
     # a source with a document longer than its target may have finish times far beyond 1; they share the last range
     offers = offers.withColumn("r", F.floor(F.least("f", F.lit(2.0)) * ranges))
     budget = queued.agg(F.sum("__mix_size")).first()[0] or 0
@@ -90,7 +90,7 @@ def cut(queued: DataFrame, max_repeat: int, ranges: int) -> tuple[float, str]:
 
 def _copies(at: tuple[float, str], max_repeat: int) -> F.Column:
     taken = [((_finish(i + 1) < at[0]) | ((_finish(i + 1) == at[0]) & (F.col("__mix_key") < at[1]))).cast("int") for i in range(max_repeat)]
-    return F.when((F.col("target") > 0) & (F.col("__mix_size") > 0), sum(taken[1:], taken[0])).otherwise(0)
+    return F.when((F.col("__mix_target") > 0) & (F.col("__mix_size") > 0), sum(taken[1:], taken[0])).otherwise(0)
 
 
 def plan(df: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: int = 9):
@@ -113,7 +113,7 @@ def mix(df: DataFrame, source_col: str = "source", text_col: str = "text", id_co
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     queued, _, at, _ = plan(table(spark, sf_dir, "documents"))
-    return queued.select("doc_id", F.col("__mix_size").alias("size"), "source_size", "target", (_copies(at, 3) * F.col("__mix_size")).cast("long").alias("taken"))
+    return queued.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (_copies(at, 3) * F.col("__mix_size")).cast("long").alias("taken"))
 
 
 OP9_SQL = r"""

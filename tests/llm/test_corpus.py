@@ -176,6 +176,7 @@ def test_targets_and_taken(spark, tables, seed):
 
 
 def test_mix_of_odd_rows(spark, odd_documents):
+    odd_documents = odd_documents.selectExpr("*", "1 AS target", "2 AS rows", "3 AS source_size", "4 AS w", "5 AS cap", "6 AS level", "7 AS f", "8 AS r")
     got = mixing.mix(odd_documents)
     assert got.columns == odd_documents.columns
     assert got.count() >= 1
