@@ -64,7 +64,8 @@ def lexical_search(posts: DataFrame, sections: DataFrame, query: str, top_k: int
     Only the postings of the query's words are read (a pushed filter on term). A section's postings
     for them meet in one small group, at most one row a word.
     """
-    alternatives = english.parse(query)
+    # an alternative that only excludes has nothing to rank by, and matches nothing
+    alternatives = [a for a in english.parse(query) if not all(c.negative for c in a)]
     words = sorted({w for a in alternatives for c in a for w, _ in c.words})
     if not words:
         return sections.select("section_id", F.lit(0.0).alias("score")).limit(0)
@@ -84,8 +85,6 @@ def lexical_search(posts: DataFrame, sections: DataFrame, query: str, top_k: int
         return ~here if c.negative else here
 
     match = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, map(holds, a)) for a in alternatives))
-    if all(c.negative for a in alternatives for c in a):
-        match = F.lit(False)  # nothing to rank by
     wanted = sorted({w for a in alternatives for c in a if not c.negative for w, _ in c.words})
     score = F.lit(0.0)
     for w in wanted:

@@ -273,10 +273,24 @@ def _text_sections(spark, d):
     return chapters(spark, d, text=True).select("book_id", F.col("chapter_id").cast("string").alias("chapter_id"), F.col("chapter_id").cast("string").alias("section_id"), "is_body", "number", F.col("text").alias("content"))
 
 
-@query()
+def _bm25_sql(word: str, without: str, top: int) -> str:
+    """For words whose inflections are plain endings."""
+    from quire.functions.english import STOP
+
+    stop = ", ".join("'" + w + "'" for w in sorted(STOP))
+    form = lambda w: f"'^{w}(e|s|es|ed|ing|ings|ness|ful)?$'"
+    return f"""
+WITH {CH}, w AS (SELECT chapter_id, is_body, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({stop})) AS w FROM num),
+c AS (SELECT chapter_id, is_body, len(w)::DOUBLE AS n, len(list_filter(w, lambda x: regexp_matches(x, {form(word)})))::DOUBLE AS tf, len(list_filter(w, lambda x: regexp_matches(x, {form(without)}))) AS bad FROM w WHERE len(w) > 0),
+g AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean, count(*) FILTER (WHERE tf > 0)::DOUBLE AS df FROM c)
+SELECT chapter_id::VARCHAR AS section_id, round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
+FROM c, g WHERE is_body AND tf > 0 AND bad = 0 ORDER BY ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) DESC, section_id LIMIT {top}"""
+
+
+@query(_bm25_sql("thing", "question", 20))
 def lexical_topk(spark, d):
     s = _text_sections(spark, d)
-    return retrieval.lexical_search(retrieval.postings(s), s, 'thing or "of the" -question', 20)
+    return retrieval.lexical_search(retrieval.postings(s), s, "things -question", 20).select("section_id", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -48,6 +48,7 @@ def test_lexical(library):
     assert find("rabbit -tea") == ["s0"]
     assert find('"white rabbit"') == ["s0"] and find('"rabbit white"') == []
     assert find('"rabbit was late"') == ["s1"]
+    assert find("-tea") == [] and set(find("bob or -tea")) == {"s2", "s3"}
     assert find("the of") == [] == find("") == find("zebra")
     assert find("bob", up_to_chapter=1) == [] and set(find("bob", up_to_chapter=2)) == {"s2", "s3"}
     assert set(find("river", chapter=1)) == {"s0"}
