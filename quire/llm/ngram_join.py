@@ -52,7 +52,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _word_hashes(text: str | None) -> np.ndarray:
     words, get = _WORD.findall((text or "").lower()), _CACHE.get
-    if len(_CACHE) > 500_000:
+    if len(_CACHE) > 300_000:
         _CACHE.clear()
     out = []
     for w in words:
@@ -186,6 +186,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 own = set(first.values())
                 count = np.array([0, *(BANDS * (i in own) for i in range(len(keys)))]).cumsum().astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(count), pa.array(values))], ["id", "key", "bands"])
+        _CACHE.clear()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, key binary, bands array<bigint>")
@@ -237,6 +238,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
                     keep.append(i)
                     sets.append(shingles(words, n).tobytes())
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(keep, pa.int64())) for c in b.columns[:5]), pa.array(sets, pa.binary())], names)
+        _CACHE.clear()
 
     sets = texts.mapInArrow(to_sets, "component long, nb int, block int, node long, copies long, shingles binary")
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj")))
