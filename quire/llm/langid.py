@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import give_back, table
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
 START = 10  # contexts before the first byte of a text are line feeds
@@ -131,7 +131,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def _predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
-    """Texts are taken a few megabytes at a time; one text may be larger."""
+    """Texts are taken a quarter of a megabyte at a time; one text may be larger."""
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not model.langs:
         return langs, scores
@@ -140,7 +140,7 @@ def _predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 18), "right")) - 1)
         bits = model.lengths(data[off[i] : off[j]], off[i : j + 1] - off[i])
         best = bits.argmin(axis=1)
         p = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
@@ -163,6 +163,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
         for b in batches:
             langs, scores = _predict(shared.value, b.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, lang_out, score_out])
+        give_back()
 
     schema = df.select(*keep).schema.add(lang_out, "string").add(score_out, "double")
     return rows.mapInArrow(run, schema)

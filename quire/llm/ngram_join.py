@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, shuffle_partitions, table
+from quire.llm.common import give_back, materialize, shuffle_partitions, table
 
 BANDS, ROWS, STEP = 48, 8, 16
 HASHES = BANDS * ROWS
@@ -187,6 +187,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 count = np.array([0, *(BANDS * (i in own) for i in range(len(keys)))]).cumsum().astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(count), pa.array(values))], ["id", "key", "bands"])
         _CACHE.clear()
+        give_back()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, key binary, bands array<bigint>")
@@ -239,6 +240,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
                     sets.append(shingles(words, n).tobytes())
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(keep, pa.int64())) for c in b.columns[:5]), pa.array(sets, pa.binary())], names)
         _CACHE.clear()
+        give_back()
 
     sets = texts.mapInArrow(to_sets, "component long, nb int, block int, node long, copies long, shingles binary")
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj")))

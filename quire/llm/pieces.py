@@ -41,12 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from quire.llm.common import table
+from quire.llm.common import give_back, table
 
 MARK = "▁"
 _K = np.uint64(0x9E3779B97F4A7C15)
 CHARS = 1 << 18  # of the texts that are worked on together
-STORE = 300_000  # words whose lattices are kept
+STORE = 200_000  # words whose lattices are kept
 RARE = 127  # the kind of characters that are in few pieces
 
 
@@ -145,10 +145,6 @@ class Lattice:
         self.store.add(self._build(list(number)[known:] if known else list(number)))
         return self.store, out
 
-    def forget(self) -> None:
-        """Lets go of all lattices; a worker may have other work next."""
-        self.store, self.number = None, _Numbers()
-
     def build(self, words: list[str]) -> "Words":
         out = Words(self)
         out.add(self._build(words))
@@ -493,7 +489,10 @@ def sample(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 items = pa.StructArray.from_arrays([ids, pa.array([s["log_prob"] for s in flat]), pa.array([s["log_inclusion"] for s in flat])], fields=list(item))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), items)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), middle, lists], ["id", "middle", "samples"])
-        own.forget()
+        # a worker may have other work next
+        del own
+        lattice.cache_clear()
+        give_back()
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     named = rows.mapInArrow(run, f"id {kind}, middle {'boolean' if check else 'string'}, samples {_SAMPLES}")
