@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pieces.sample(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "samples")
+    return pieces.sample(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_words=50_000, chars=1 << 17).select("doc_id", "samples")
 
 
 STAGES = [

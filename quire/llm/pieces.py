@@ -46,7 +46,7 @@ from quire.llm.common import give_back, table
 MARK = "▁"
 _K = np.uint64(0x9E3779B97F4A7C15)
 CHARS = 1 << 18  # of the texts that are worked on together
-STORE = 200_000  # words whose lattices are kept
+STORE = 400_000  # words whose lattices are kept, some 400 bytes each
 RARE = 127  # the kind of characters that are in few pieces
 
 
@@ -79,7 +79,7 @@ class Lattice:
     def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
 
-        self.store, self.number = None, _Numbers()
+        self.store, self.number, self.keep = None, _Numbers(), STORE
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         names, scores = [sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)]
@@ -137,7 +137,7 @@ class Lattice:
         """The lattices of the words of each list, and their numbers. Lattices are kept for later calls while they are few."""
         if self.store is None:
             self.store = Words(self)
-        if len(self.number) > STORE:
+        if len(self.number) > self.keep:
             self.number = _Numbers()
             self.store.clear()
         number, known = self.number, len(self.number)
@@ -454,30 +454,31 @@ def lattice(path: str, alpha: float) -> Lattice:
 _SAMPLES = "array<struct<ids:array<int>,log_prob:double,log_inclusion:double>>"
 
 
-def _parts(texts: list[str | None]):
+def _parts(texts: list[str | None], chars: int = CHARS):
     at = 0
     while at < len(texts):
         end, total = at, 0
-        while end < len(texts) and (end == at or total + len(texts[end] or "") <= CHARS):
+        while end < len(texts) and (end == at or total + len(texts[end] or "") <= chars):
             total += len(texts[end] or "")
             end += 1
         yield at, end
         at = end
 
 
-def sample(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 4, out: str = "samples", check: bool = False) -> DataFrame:
+def sample(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 4, out: str = "samples", check: bool = False, keep_words: int = STORE, chars: int = CHARS) -> DataFrame:
     """(id, text, samples): up to k distinct segmentations of each text, with log_prob and log_inclusion.
 
-    With ``check``, decodes in place of text: whether every segmentation, decoded, is the text.
+    keep_words and chars trade a worker's memory for time. With ``check``, decodes in place of text: whether every segmentation, decoded, is the text.
     """
     kind = df.schema[id_col].dataType.simpleString()
     item = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("log_inclusion", pa.float64())])
 
     def run(batches):
         own = lattice(model, alpha)
+        own.keep = keep_words
         for b in batches:
             texts, keys = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for at, end in _parts(texts):
+            for at, end in _parts(texts, chars):
                 rows = sample_texts(own, texts[at:end], keys[at:end], k, seed)
                 flat = [s for r in rows for s in r]
                 joined, ends = np.concatenate([s["ids"] for s in flat]), np.cumsum([0, *(len(s["ids"]) for s in flat)])
