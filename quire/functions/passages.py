@@ -158,3 +158,8 @@ def chunks(text: str | None, chunk_tokens: int = CHUNK_TOKENS, overlap_tokens: i
             break
         pos = max(pos + 1, end - back)
     return out
+
+
+def section_chunks(text: str | None) -> list[tuple[str, int, int]]:
+    """(content, start, end) of the chunks of a text's sections, in order; no chunk crosses a section's end."""
+    return [(content, at + start, at + end) for section, at, _ in sections(text) for content, start, end in chunks(section)]

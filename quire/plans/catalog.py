@@ -122,11 +122,11 @@ FROM part WHERE length(regexp_replace(substring(text, pos + 1, e - pos), '\\s+',
 
 @query(CHUNK_SQL)
 def chunk_split(spark, d):
-    """Chunks of the texts that are one section."""
-    docs = read(spark, d, "documents").where(F.length("text") <= 40000).withColumn("text", C.strip("text"))
+    """Chunks of all texts, section by section; the SQL has only the texts of up to 40,000 characters, which are one section."""
+    docs = read(spark, d, "documents").withColumn("text", C.strip("text"))
     from quire.functions import passages
 
-    parts = segment.explode_text(docs, "text", passages.chunks, ["doc_id"])
+    parts = segment.explode_text(docs, "text", passages.section_chunks, ["doc_id"])
     return parts.select("doc_id", "ordinal", "char_start", "char_end", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
