@@ -27,14 +27,19 @@ def outline(chapters: DataFrame, budget: int = 8000) -> DataFrame:
     title = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Chapter "), F.col("number").cast("string")))
     one = F.struct("ordinal", F.concat(F.lit("[Chapter "), F.col("number").cast("string"), F.lit(" — "), title, F.lit("]\n")).alias("head"), text("summary").alias("full"), text("micro_summary").alias("micro"))
     rows = chapters.groupBy("book_id").agg(F.sort_array(F.collect_list(one)).alias("chapters"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("parts"))
+    # only the places of full summaries are carried along, so that a step's cost does not grow with the chapters before it
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("full"))
 
     def step(acc, c):
-        body = F.when((c["full"] != "") & (acc["used"] + F.length(c["full"]) <= budget), c["full"]).otherwise(c["micro"])
-        longer = F.when(body != "", F.concat(acc["parts"], F.array(F.concat(c["head"], body)))).otherwise(acc["parts"])
-        return F.struct((acc["used"] + F.length(body)).alias("used"), longer.alias("parts"))
+        fits = (c["full"] != "") & (acc["used"] + F.length(c["full"]) <= budget)
+        used = acc["used"] + F.length(F.when(fits, c["full"]).otherwise(c["micro"]))
+        return F.struct(used.alias("used"), (acc["at"] + 1).alias("at"), F.when(fits, F.concat(acc["full"], F.array(acc["at"]))).otherwise(acc["full"]).alias("full"))
 
-    return rows.select("book_id", F.array_join(F.aggregate("chapters", start, step)["parts"], "\n\n").alias("outline"))
+    def joined(acc):
+        part = lambda c, i: F.concat(c["head"], F.nullif(F.when(F.array_contains(acc["full"], i), c["full"]).otherwise(c["micro"]), F.lit("")))
+        return F.array_join(F.transform("chapters", part), "\n\n")
+
+    return rows.select("book_id", F.aggregate("chapters", start, step, joined).alias("outline"))
 
 
 def evidence(results: DataFrame) -> DataFrame:

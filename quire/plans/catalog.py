@@ -38,9 +38,10 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 # the library
 
 
-def chapters(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
-    """book_id, chapter_id, ordinal, is_body, number (and text)."""
-    docs = read(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), *(["text"] if text else []))
+def chapters(spark: SparkSession, d: str, text: bool = False, first: int | None = None) -> DataFrame:
+    """book_id, chapter_id, ordinal, is_body, number (and text, or its first characters where no more are used)."""
+    held = F.substring("text", 1, first).alias("text") if first else F.col("text")
+    docs = read(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), *([held] if text else []))
     quality = read(spark, d, "labels").groupBy(F.col("doc_id").alias("chapter_id")).agg(F.max("quality").alias("quality"))
     rows = docs.join(quality, "chapter_id", "left").withColumn("is_body", F.coalesce("quality", F.lit(1)) == 1).drop("quality")
     rows = number_rows(rows, ["book_id"], "chapter_id", "ordinal", start=0)
@@ -490,7 +491,7 @@ SELECT book_id, arg_max(out, n) AS outline FROM w GROUP BY 1
 """
 )
 def outline_fold(spark, d):
-    rows = chapters(spark, d, text=True).where("is_body AND number <= 30")
+    rows = chapters(spark, d, text=True, first=700).where("is_body")
     return history.outline(rows.select("book_id", "ordinal", "number", F.lit("").alias("title"), F.substring("text", 1, 700).alias("summary"), F.substring("text", 1, 60).alias("micro_summary")))
 
 
@@ -588,7 +589,7 @@ def evidence_render(spark, d):
 
 @query(f"WITH {CH} SELECT book_id, md5(left(string_agg('## Chapter ' || number || chr(10) || text[:300], chr(10) || chr(10) ORDER BY ordinal), 5000)) AS digest FROM num WHERE is_body AND number <= 40 AND trim(text[:300]) <> '' GROUP BY 1")
 def book_reduce_input(spark, d):
-    rows = chapters(spark, d, text=True).where("is_body AND number <= 40")
+    rows = chapters(spark, d, text=True, first=300).where("is_body")
     rows = rows.select("book_id", "ordinal", C.display_title(F.lit(""), "number").alias("title"), F.substring("text", 1, 300).alias("summary"))
     return history.reduce_input(rows, 5000).select("book_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
