@@ -28,8 +28,12 @@ SCHEMA = "array<struct<kind:string,start:int,end:int,log10_guesses:double,value:
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-#: A credential word, a separator or "is", and the value up to white space or a quote.
-_CONTEXT = re.compile(r"""(?ai:\b(?:password|passwd|passphrase|pass|pwd|pin|secret|credentials?|token|bearer|api[_-]?key|access[_-]?key|auth|login))["']?(?:\x20{0,4}[:=]{1,2}>?\x20{0,4}|\x20(?ai:is)\x20)["']?([!-~]{6,})""")
+#: A credential word, a separator or "is", and the value up to white space or a quote. The longer words may end any name
+#: (DB_PASSWORD, PGPASSWORD, clientSecret); the shorter ones stand alone, behind _ or as a part in camel case (not in compass).
+_CONTEXT = re.compile(
+    r"""(?:(?ai:password|passwd|passphrase|secret|credentials?|token|api[_-]?key|access[_-]?key)|(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?ai:pass|pwd|pin|bearer|auth|login))"""
+    r"""["']?(?:[\x20\t]*+[:=]{1,2}>?[\x20\t]*+|[\x20\t]++(?ai:is)[\x20\t]++)["']?([!-~]{6,})"""
+)
 _WORD_HINT = re.compile(r"(?ai:pass|pwd|pin|secret|credential|token|bearer|key|auth|login)")
 
 # Ranked words of credentials: the guesses of a word are its rank.

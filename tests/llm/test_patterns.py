@@ -91,6 +91,28 @@ def test_guesses_need_a_context_and_a_cost():
     assert kinds("password: password1") == ["assign"]
 
 
+@pytest.mark.parametrize("value", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "p@ss-Xk29!vR7z"])
+@pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "DB_PASSWORD='", "export MYSQL_PWD=", "PGPASSWORD=", "clientSecret: ", "dbPass = '", "my_pin:\t", "password:      ", "token \t = \t", "passphrase  is  ", "éauth="])
+def test_guesses_behind_name_parts_and_any_spaces(before, value):
+    got = [s for s in secrets.find_secrets(f"x {before}{value}' y") if s["kind"] == "guess"]
+    assert [s["value"] for s in got] == [value]
+
+
+@pytest.mark.parametrize("text", ["compass: x9$kQ2!vR7z", "SPIN=x9$kQ2!vR7z", "blogin = x9$kQ2!vR7z", "token x9$kQ2!vR7z", "password:\nx9$kQ2!vR7z"])
+def test_no_guess_where_a_short_word_ends_another(text):
+    assert [s for s in secrets.find_secrets(text) if s["kind"] == "guess"] == []
+
+
+def test_masking_takes_secrets_of_prefixed_names(spark):
+    df = spark.createDataFrame([("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY DB_PASSWORD='p@ss-Xk29!vR7z'",)], "text string")
+    assert secrets.mask_column(df).first()["text"] == "AWS_SECRET_ACCESS_KEY=<secret> DB_PASSWORD='<secret>'"
+
+
+def test_long_runs_before_a_value_take_linear_time():
+    for text in ("token" + "\t" * 300_000, "token=" + " " * 300_000, "token is" + " " * 300_000, "token" * 60_000, "aPass" * 60_000):
+        secrets.find_secrets(text)
+
+
 @pytest.mark.parametrize("scan", [pii.detect, secrets.scan])
 def test_odd_rows(scan, odd_documents):
     got = scan(odd_documents).collect()
