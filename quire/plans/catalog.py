@@ -192,8 +192,8 @@ ASKED_SQL = "asked(q) AS (VALUES " + ", ".join("('" + q.replace("'", "''") + "')
 
 
 def asked(spark, d):
-    """The questions above, and what was said in conversations (in ASCII, where the two engines' word bounds agree)."""
-    said = read(spark, d, "conversations").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select(F.col("text").alias("q")).distinct()
+    """The questions above, and all that was said in conversations; the SQL has what is ASCII, where the two engines' word bounds agree."""
+    said = read(spark, d, "conversations").where("text IS NOT NULL").select(F.col("text").alias("q")).distinct()
     return spark.createDataFrame([(q,) for q in ASKED], "q string").unionByName(said)
 
 
