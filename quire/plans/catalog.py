@@ -357,7 +357,7 @@ WHERE n_name ILIKE '%n%' OR r_name ILIKE '%n%' GROUP BY 1
 """
 )
 def entity_lookup(spark, d):
-    at = read(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.lit("world").alias("book_id"), F.col("s_nationkey").alias("entity_id"), F.col("s_suppkey").cast("string").alias("section_id"), F.col("s_suppkey").cast("int").alias("char_offset_start"), F.col("s_suppkey").cast("int").alias("char_offset_end"), F.col("s_name").alias("context"))
+    at = read(spark, d, "supplier").select(F.lit("world").alias("book_id"), F.col("s_nationkey").alias("entity_id"), F.col("s_suppkey").cast("string").alias("section_id"), F.col("s_suppkey").cast("int").alias("char_offset_start"), F.col("s_suppkey").cast("int").alias("char_offset_end"), F.col("s_name").alias("context"))
     rows = lookups.entities(nations(spark, d), at, chapters(spark, d), "n")
     return rows.select("name", F.size("occurrences").cast("long").alias("occurrences"), F.get("occurrences", F.lit(0))["char_offset_start"].cast("long").alias("first_offset"))
 
@@ -433,7 +433,7 @@ SELECT doc_id, s AS char_start, e AS char_end, text[greatest(0, s - 40) + 1 : e
 """
 )
 def offset_recovery(spark, d):
-    rows = read(spark, d, "documents").where("lang = 'en'").withColumn("s", (F.col("doc_id") % 7).cast("int"))
+    rows = read(spark, d, "documents").withColumn("s", (F.col("doc_id") % 7).cast("int"))
     rows = rows.withColumn("at", C.resolve_offsets(F.col("text"), F.lit("the"), F.col("s"), F.col("s") + 3)).where("at IS NOT NULL")
     return rows.select("doc_id", F.col("at.start").alias("char_start"), F.col("at.end").alias("char_end"), C.snippet(F.col("text"), F.col("at.start"), F.col("at.end")).alias("context"))
 
