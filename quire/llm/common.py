@@ -60,6 +60,13 @@ def give_back() -> None:
         return  # another C library; it keeps what it has
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, as the planner knows them; 0 where it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,266 +4,337 @@ Documents are dealt by id into ranges (a shard each, in order) and tokenized who
 holds a segment: some whole documents' ids, cut into blocks of 2048 ids. A block is coded by itself, from fresh
 models, and carries the crc32 of its ids, so any block can be read or found damaged alone.
 
-Within a block three models predict the next id. Order 2 and order 1 each remember the id that last
-followed the two ids or the id before, with a confidence. Whether the id is the order-2
-prediction, then whether it is the order-1 prediction, are binary decisions; their probability mixes
-the three orders' estimates by weights that grow with the probability that each gave to what came
-(the third estimate is how often the predicted id's upper byte has come so far, order 0). Any other id
-is coded by order-0 frequencies of its upper byte and, by class of that, of its lower byte. A
-32-bit carry-less range coder does the coding. All arithmetic is in integers, so files read the same everywhere.
+Within a block three orders predict the next id. Order 2 and order 1 each name the id that last followed the
+two ids or the id before, with a probability learned for how often in a row that came true. Order 0 is the distribution of the
+ids so far: their counts, taken anew at the positions of ``REFRESH``, and, with as many counts as there are distinct
+ids, an escape to all ids alike. The three are mixed linearly; an order's weight is the mean probability that it gave to what came, lately.
+The mixture is coded as an interval of the range: first the order-2 id, the order-1 id (one interval,
+if they agree) or neither, then where neither the id in order 0, then where that escapes the id itself.
 
-Coding runs in numpy over all blocks of a task side by side (one step per position in a block), so its
-memory is about 60 kB for each block, at most ``LANES`` at a time.
+The range coder keeps 48 bits and moves 16 at a time; carries are settled at the end. Its numbers are doubles that hold whole
+numbers below 2**53 exactly, and probabilities change by single IEEE operations, so files read the same everywhere.
 
-A null text is the empty one; each document ends with the end id. Null ids come first. Rows that repeat an id stand
-next to each other in order of text, each with its own start. Ids of tokens lie below 2**16 (checked on writing).
-An empty table gives no rows. The files are in Parquet containers, written by Spark's committer.
+Coding runs in numpy over all blocks of a task side by side (one step per position in a block), at most
+``LANES`` at a time, in about 30 kB for each.
 
-Tokenizing: for texts of ASCII and Latin letters and common punctuation, the pre-tokenizer's split is repeated by
-a regular expression and the library encodes each distinct piece once; any other text, and any
-with ``<|``, goes through the library whole. Only a byte-level BPE tokenizer with the usual split is
-taken that way; with any other, all texts go through the library.
+A null text is the empty one; each document ends with the end id. Null ids come first. Rows that repeat an id stand
+next to each other in order of text, each with its own start. Columns beside the two that are named are never read, so their
+names can't clash. A text is in memory whole, with 4 bytes for each of its ids; there is no other bound on its
+length. Ids of tokens lie below 2**16 (checked on writing). An empty table gives no rows. The files are in
+Parquet containers, written by Spark's committer.
+
+Tokenizing: a space that other text follows starts a piece of the pre-tokenizer, so texts are cut there, and the library
+encodes each distinct word of a batch once; of the words some are remembered (``KNOWN``, ``BYTES``). Texts where a space stands
+between white space or between it and the end, and any with ``<|``, go through the library whole. Only a
+byte-level BPE tokenizer with the usual split is taken that way; with any other, all texts go through the library.
 """
 
 from __future__ import annotations
 
 import json
-import re
+import math
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, shared_dir, shuffle_partitions, table
+from quire.llm.common import input_bytes, materialize, shared_dir, shuffle_partitions, table
 
-BLOCK, LANES, SEGMENT = 2048, 4096, 1 << 18
-MAGIC = b"QTK1"
+BLOCK, LANES, SEGMENT = 2048, 2048, 1 << 18
+MAGIC = b"QTK2"
 U32 = np.uint32
-_TOP, _BOT = U32(1 << 24), U32(1 << 16)
-
-
-class Coder:
-    """The range coder of n lanes. Encoding if data is None, else decoding its rows."""
-
-    def __init__(self, n: int, size: int, data: np.ndarray | None = None):
-        self.low, self.range = np.zeros(n, U32), np.full(n, 0xFFFFFFFF, U32)
-        self.at = np.zeros(n, np.int64)
-        self.bytes = np.zeros((n, size), np.uint8) if data is None else data
-        self.code = None
-        if data is not None:
-            self.code = (data[:, :4].astype(U32) << np.array([24, 16, 8, 0], U32)).sum(1, dtype=U32)
-            self.at[:] = 4
-
-    def _shift(self, i: np.ndarray, low: np.ndarray, rng: np.ndarray) -> None:
-        """Stores the state of lanes i and moves settled bytes."""
-        self.low[i], self.range[i] = low, rng
-        while True:
-            same = (low ^ (low + rng)) < _TOP
-            go = np.flatnonzero(same | (rng < _BOT))
-            if not len(go):
-                return
-            i, low = i[go], low[go]
-            rng = np.where(same[go], rng[go], (U32(0) - low) & U32(0xFFFF))
-            if self.code is None:
-                self.bytes[i, self.at[i]] = low >> U32(24)
-            else:
-                self.code[i] = (self.code[i] << U32(8)) | self.bytes[i, np.minimum(self.at[i], self.bytes.shape[1] - 1)]
-            self.at[i] += 1
-            low, rng = low << U32(8), rng << U32(8)
-            self.low[i], self.range[i] = low, rng
-
-    def put(self, i: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range[i] >> U32(bits)
-        self._shift(i, self.low[i] + r * cum.astype(U32), r * freq.astype(U32))
-
-    def spot(self, i: np.ndarray, bits: int) -> np.ndarray:
-        """Where in the 2**bits shares the next symbol of each lane lies."""
-        r = self.range[i] >> U32(bits)
-        return np.minimum((self.code[i] - self.low[i]) // r, U32((1 << bits) - 1)).astype(np.int64)
-
-    def finish(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        for _ in range(4):
-            self.bytes[lanes, self.at] = self.low >> U32(24)
-            self.low <<= U32(8)
-            self.at += 1
-        return [self.bytes[k, : self.at[k]].tobytes() for k in lanes]
-
-
-class Models:
-    """The adaptive state of n lanes; the same for coder and decoder. Tables are flat, a stretch for each lane."""
-
-    def __init__(self, n: int, vocabulary: int):
-        self.lanes, self.highs = np.arange(n), (vocabulary >> 8) + 1
-        self.base, self.b16, self.b256 = self.lanes * BLOCK, self.lanes * 16, self.lanes * 256
-        # id, confidence << 16 (0: nothing yet), check of the context << 19
-        self.held2, self.held1 = np.zeros(n * BLOCK, np.int32), np.zeros(n * BLOCK, np.int32)
-        start = (np.arange(16) >> 1) * 6000 + 8000
-        self.p2, self.p1 = np.tile(start.astype(np.int32), n), np.tile(start.astype(np.int32), n)
-        self.w = [np.full(n, 1 << 12, np.int32) for _ in range(6)]
-        self.high, self.lowc = np.ones(n * 256, np.int32), np.ones((n, 16, 256), np.int16)
-        self.lowc_flat = self.lowc.reshape(-1)
-        self.prev, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.step = 0
-        self._tables(True)
-
-    def _tables(self, low: bool) -> None:
-        """Cumulative shares of 2**14, at least one each, from the counts so far."""
-        c = np.cumsum(self.high.reshape(-1, 256)[:, : self.highs], 1)
-        c = c * ((1 << 14) - self.highs) // c[:, -1:] + np.arange(1, self.highs + 1)
-        held = np.full((len(c), 257), 1 << 14, np.int32)
-        held[:, 0], held[:, 1 : self.highs + 1] = 0, c
-        self.high_cum, self.high_wide = held.reshape(-1), 257
-        if low:
-            c = np.cumsum(self.lowc, 2, dtype=np.int32)
-            c = c * ((1 << 14) - 256) // c[:, :, -1:] + np.arange(1, 257, dtype=np.int32)
-            self.low_cum = np.concatenate([np.zeros((len(c), 16, 1), np.int32), c], 2).astype(np.int16).reshape(-1)
-
-    def predict(self, n: int) -> None:
-        """Of the first n lanes: the slots of their contexts and what these hold."""
-        prev, base = self.prev[:n], self.base[:n]
-        h2, h1 = (prev * 40503 + self.prev2[:n] * 30011) * 40507, prev * 40503
-        self.s2, self.s1 = base + (h2 >> 9 & (BLOCK - 1)), base + (h1 >> 5 & (BLOCK - 1))
-        self.check2, self.check1 = h2 >> 20 & 4095, h1 >> 16 & 4095
-        e2, e1 = self.held2[self.s2], self.held1[self.s1]
-        self.on2, self.on1 = (e2 >> 19 == self.check2) & (e2 & 0x70000 > 0), (e1 >> 19 == self.check1) & (e1 & 0x70000 > 0)
-        self.c2, self.c1, self.k2, self.k1 = e2 & 65535, e1 & 65535, e2 >> 16 & 7, e1 >> 16 & 7
-        agree = self.on2 & self.on1 & (self.c1 == self.c2)
-        self.on1only = self.on1 & ~agree
-        b = self.b16[:n] + agree
-        self.at2, self.at1 = b + self.k2 * 2, b + np.where(self.on1, self.k1, 0) * 2
-
-    def candidates(self, second: bool) -> tuple[np.ndarray, np.ndarray]:
-        return (self.c1, self.on1only) if second else (self.c2, self.on2)
-
-    def chance(self, i: np.ndarray, cand: np.ndarray, second: bool) -> np.ndarray:
-        """Shares of 2**12 of the event that the candidate (order 2's, or order 1's if second) comes."""
-        a, b = self.p2[self.at2[i]], self.p1[self.at1[i]]
-        at = i * 257 + (cand >> 8)
-        c = (self.high_cum[at + 1] - self.high_cum[at]) << 1
-        x, y, z = (w[i] for w in (self.w[3:] if second else self.w[:3]))
-        self.given = ((a, x), (b, y), (c, z))
-        mixed = (a.astype(np.int64) * x + b.astype(np.int64) * y + c.astype(np.int64) * z) // (x + y + z)
-        return np.clip(mixed >> 4, 32, 4064)
-
-    def learn(self, i: np.ndarray, second: bool, hit: np.ndarray) -> None:
-        for w, (p, x) in zip(self.w[3:] if second else self.w[:3], self.given, strict=True):
-            w[i] = x - (x >> 5) + 1 + (np.where(hit, p, 65536 - p) >> 7)
-        to = np.where(hit, 65535, 0)
-        if not second:
-            a = self.given[0][0]
-            self.p2[self.at2[i]] = a + ((to - a) >> 4)
-        b = self.given[1][0]
-        self.p1[self.at1[i]] = b + ((to - b) >> 4)
-
-    def update(self, ids: np.ndarray) -> None:
-        """The ids that came in the first lanes."""
-        n = len(ids)
-        new = ids | 1 << 16
-        for held, slot, check, on, cand, k in ((self.held2, self.s2, self.check2, self.on2, self.c2, self.k2), (self.held1, self.s1, self.check1, self.on1, self.c1, self.k1)):
-            kept = np.where(cand == ids, np.minimum(k + 1, 7), np.where(k > 3, k >> 1, 0))
-            held[slot] = np.where(on & (kept > 0), cand | kept << 16, new) | check << 19
-        self.high[self.b256[:n] + (ids >> 8)] += 24
-        self.lowc_flat[(self.b16[:n] + (ids >> 12) << 8) + (ids & 255)] += 2
-        self.prev2[:n], self.prev[:n] = self.prev[:n], ids
+SLOTS2, SLOTS1 = 256, 128
+REFRESH = (32, 96, 224, 448, 832, 1344)
+#: One position is worth 12 bits for the choice of an order; the coder's range is 2**32 at least before each.
+CHOICE, ROOM, WORD = 4096.0, 2.0**32, 65536.0
+#: An id by itself is worth 16 bits and takes a range of this at least.
+ENOUGH = 2.0**26
+#: What keeps a rounded quotient from lying above the true one.
+BELOW = 1 - 2.0**-45
+SLICE = 128
+
+
+class Lanes:
+    """Predictions of n blocks and the state of their range coders, the same for coder and decoder."""
+
+    def __init__(self, n: int):
+        lane = np.arange(n)
+        self.base2, self.base1, self.base_k = lane * SLOTS2, lane * SLOTS1, lane * 8
+        # id, times in a row << 16 (0: nothing yet), check of the context << 19
+        self.held2, self.held1 = np.zeros(n * SLOTS2, U32), np.zeros(n * SLOTS1, U32)
+        start = np.minimum(400.0 * np.arange(1, 9), 3600.0)
+        start[0] = 0
+        self.p2, self.p1 = np.tile(start, n), np.tile(start, n)
+        self.w2, self.w1, self.w0 = np.full(n, 1024.0), np.full(n, 1024.0), np.full(n, 512.0)
+        self.prev, self.prev2 = np.zeros(n, U32), np.zeros(n, U32)
+        self.range, self.at, self.step = np.full(n, 2.0**48), lane.copy(), 0
+        self._weigh()
+
+    def cut(self, n: int) -> None:
+        """Only the first n lanes go on."""
+        for k in ("base2", "base1", "base_k", "w2", "w1", "w0", "v2", "v1", "prev", "prev2", "range", "at"):
+            setattr(self, k, getattr(self, k)[:n])
+
+    def _weigh(self) -> None:
+        w = self.w2 + self.w1 + self.w0
+        self.v2, self.v1 = self.w2 / w, self.w1 / w
+
+    def predict(self) -> None:
+        """The ids that order 2 and order 1 name, and their shares of CHOICE."""
+        h1 = self.prev * U32(2654435769)
+        h2 = (h1 + self.prev2 * U32(81007)) * U32(73244475)
+        self.s2 = (h2 >> U32(8) & U32(SLOTS2 - 1)) + self.base2
+        self.s1 = (h1 >> U32(10) & U32(SLOTS1 - 1)) + self.base1
+        e2, e1 = self.held2.take(self.s2), self.held1.take(self.s1)
+        h2 &= U32(0xFFF80000)
+        h1 &= U32(0xFFF80000)
+        self.h2, self.h1 = h2, h1
+        k2, k1 = (e2 ^ h2) >> U32(16), (e1 ^ h1) >> U32(16)
+        k2 *= k2 < 8
+        k1 *= k1 < 8
+        self.k2, self.k1 = k2, k1
+        self.c2, self.c1 = e2 & U32(65535), e1 & U32(65535)
+        self.at2, self.at1 = k2 + self.base_k, k1 + self.base_k
+        self.a2, self.a1 = self.p2.take(self.at2), self.p1.take(self.at1)
+        self.f2, self.f1 = np.floor(self.a2 * self.v2), np.floor(self.a1 * self.v1)
+        both = self.f1 * (self.c2 == self.c1)
+        self.f2 += both
+        self.f1 -= both
+        self.f = self.f2 + self.f1
+
+    def learn(self, x: np.ndarray) -> None:
+        """The ids that came."""
+        e2, e1 = x == self.c2, x == self.c1
+        e2 &= self.k2 > 0
+        e1 &= self.k1 > 0
+        g2, g1 = e2 * 4000.0 - self.a2, e1 * 4000.0 - self.a1
+        self.p2[self.at2] = self.a2 + g2 * 0.0625
+        self.p1[self.at1] = self.a1 + g1 * 0.0625
         self.step += 1
-        if self.step % 128 == 0 or self.step in (8, 16, 32, 64):
-            self._tables(self.step in (64, 256, 1024))
+        if self.step % 4 == 0:
+            # 4000 less what is missing is the probability that an order gave to what came
+            self.w2 += (4000.0 - np.abs(g2) - self.w2) * 0.125
+            self.w1 += (4000.0 - np.abs(g1) - self.w1) * 0.125
+            self.w0 += (4064.0 - 4000.0 * (e2 | e1) - self.w0) * 0.125
+            self._weigh()
+        one = U32(1)
+        self.held2[self.s2] = np.minimum(self.k2 * e2 + one, U32(7)) << U32(16) | self.h2 | x
+        self.held1[self.s1] = np.minimum(self.k1 * e1 + one, U32(7)) << U32(16) | self.h1 | x
+        self.prev2, self.prev = self.prev, x
+
+
+def _sorted(sizes: list[int]) -> list[list[int]]:
+    """Blocks in descending size, in parts of LANES."""
+    order = sorted(range(len(sizes)), key=lambda b: -sizes[b])
+    return [order[lo : lo + LANES] for lo in range(0, len(order), LANES)]
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int = 1 << 16) -> list[bytes]:
     """Each block's bytes; blocks of at most BLOCK ids."""
-    order = sorted(range(len(blocks)), key=lambda b: -len(blocks[b]))
+    if vocabulary > 1 << 16 or max((int(b.max()) for b in blocks if len(b)), default=0) >= vocabulary:
+        raise ValueError("a token id is beyond the vocabulary, or the vocabulary beyond 2**16")
     out: list[bytes] = [b""] * len(blocks)
-    for lo in range(0, len(order), LANES):
-        part = order[lo : lo + LANES]
-        size = np.array([len(blocks[b]) for b in part])
-        ids = np.zeros((int(size[0]), len(part)), np.int64)
-        for k, b in enumerate(part):
-            ids[: size[k], k] = blocks[b]
-        if vocabulary > 1 << 16 or ids.max(initial=0) >= vocabulary:
-            raise ValueError("a token id is beyond the vocabulary, or the vocabulary beyond 2**16")
-        coder, m = Coder(len(part), 4 * int(size[0]) + 64), Models(len(part), vocabulary)
-        for t in range(int(size[0])):
-            n = int(np.searchsorted(-size, -t, "left"))
-            x = ids[t, :n]
-            m.predict(n)
-            rest = np.ones(n, bool)
-            for second in (False, True):
-                cand, on = m.candidates(second)
-                i = np.flatnonzero(on & rest)
-                if len(i):
-                    c = cand[i]
-                    p, hit = m.chance(i, c, second), c == x[i]
-                    coder.put(i, np.where(hit, 0, p), np.where(hit, p, 4096 - p), 12)
-                    m.learn(i, second, hit)
-                    rest[i[hit]] = False
-            i = np.flatnonzero(rest)
-            if len(i):
-                high = x[i] >> 8
-                at = i * 257 + high
-                coder.put(i, c := m.high_cum[at], m.high_cum[at + 1] - c, 14)
-                at = (i * 16 + (high >> 4)) * 257 + (x[i] & 255)
-                coder.put(i, c := m.low_cum[at], m.low_cum[at + 1] - c, 14)
-            m.update(x)
-        for b, data in zip(part, coder.finish(), strict=True):
+    for part in _sorted(list(map(len, blocks))):
+        for b, data in zip(part, _encode([blocks[b] for b in part], vocabulary), strict=True):
             out[b] = data
     return out
 
 
+def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each lane (a row): ids as numbers from 1 in order of id, where ids are new, and the largest number."""
+    n, steps = ids.shape
+    number, new = np.zeros(n * steps, np.int32), np.zeros(n * steps, bool)
+    place = np.arange(SLICE)[:, None] * steps
+    for lo in range(0, n, SLICE):
+        s = ids[lo : lo + SLICE] << 11 | np.arange(steps, dtype=np.int32)
+        s.sort(axis=1)
+        at = (s & 2047) + (place[: len(s)] + lo * steps)
+        s >>= 11
+        first = np.ones(s.shape, bool)
+        np.not_equal(s[:, 1:], s[:, :-1], out=first[:, 1:])
+        number[at] = np.cumsum(first, axis=1, dtype=np.int32)
+        new[at] = first
+    return number.reshape(n, steps), new.reshape(n, steps), int(number.max(initial=0))
+
+
+def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
+    n, size = len(blocks), np.array(list(map(len, blocks)))
+    steps = int(size[0])
+    ids = np.full((n, steps), 1 << 16, np.int32)  # an id beyond all fills up shorter blocks
+    for k, b in enumerate(blocks):
+        ids[k, : len(b)] = b
+    number, new, wide = _dense(ids)
+    ids, number, new = ids.T.astype(U32, order="C"), number.T.copy(), new.T.copy()
+    m, low = Lanes(n), np.zeros(n)
+    words = np.zeros((3 * steps + 8) * n, U32)
+    all_low, all_at = low, m.at
+    # how many ids so far have a number up to this one; from 0 on
+    upto = np.zeros((n, wide + 1), np.int32)
+    flat, home = upto.ravel(), np.arange(n, dtype=np.int32) * (wide + 1)
+    seen, distinct = 0, np.zeros(n)
+    total = escape = np.ones(n)
+    part = BELOW / total
+    refresh = set(REFRESH)
+
+    def emit(i) -> None:
+        """Moves 16 bits of the lanes i, until their ranges have room."""
+        while len(i):
+            at, held, wide_ = m.at[i], low[i], m.range[i] * WORD
+            word = np.floor(held * (1 / ROOM))
+            words[at] = word
+            m.at[i], low[i], m.range[i] = at + n, (held - word * ROOM) * WORD, wide_
+            i = i[wide_ < ROOM]
+
+    for t in range(steps):
+        live = len(low)
+        if size[live - 1] <= t:
+            live = int(np.searchsorted(-size, -t, "left"))
+            m.cut(live)
+            low, home, total, escape, part, distinct = low[:live], home[:live], total[:live], escape[:live], part[:live], distinct[:live]
+        if t in refresh:
+            for lo in range(0, live, SLICE):
+                fresh = number[seen:t, lo : min(live, lo + SLICE)]
+                k = fresh.shape[1]
+                counts = np.bincount((fresh + home[:k]).ravel(), minlength=k * (wide + 1)).reshape(k, wide + 1)
+                upto[lo : lo + k] += np.cumsum(counts, axis=1, dtype=np.int32)
+            distinct = distinct + np.count_nonzero(new[seen:t, :live], axis=0)
+            seen, escape, total = t, distinct, distinct + t
+            part = BELOW / total
+        x = ids[t, :live]
+        m.predict()
+        hit2, hit1 = x == m.c2, x == m.c1
+        hit2 &= m.f2 > 0
+        hit1 &= m.f1 > 0
+        miss = ~(hit2 | hit1)
+        r = np.floor(m.range * (1 / CHOICE))
+        low += r * np.where(miss, m.f, hit1 * m.f2)
+        r *= np.where(miss, CHOICE - m.f, np.where(hit1, m.f1, m.f2))
+        r = np.floor(r * part)
+        g = number[t, :live] + home
+        below, count = flat.take(g - 1), flat.take(g)
+        count -= below
+        unseen = count == 0
+        below[unseen] = seen
+        low += r * (below * miss)
+        m.range = r * np.where(miss, np.where(unseen, escape, count), total)
+        i = np.flatnonzero(unseen & miss)
+        if len(i):
+            emit(i[m.range[i] < ENOUGH])
+            r = np.floor(m.range[i] * (BELOW / vocabulary))
+            low[i] += r * x[i]
+            m.range[i] = r
+        emit(np.flatnonzero(m.range < ROOM))
+        m.learn(x)
+    for _ in range(3):
+        word = np.floor(all_low * (1 / ROOM))
+        words[all_at] = word
+        all_low[:] = (all_low - word * ROOM) * WORD
+        all_at += n
+    ends = all_at // n
+    rows = words.reshape(-1, n)[: ends.max()]
+    for j in range(len(rows) - 1, 0, -1):
+        rows[j - 1] += rows[j] >> U32(16)
+    settled = rows.astype("<u2").T.copy()
+    return [settled[k, : ends[k]].tobytes() for k in range(n)]
+
+
 def decode_blocks(data: list[bytes], sizes: list[int], vocabulary: int = 1 << 16) -> list[np.ndarray]:
-    order = sorted(range(len(data)), key=lambda b: -sizes[b])
     out: list[np.ndarray] = [np.zeros(0, U32)] * len(data)
-    for lo in range(0, len(order), LANES):
-        part = order[lo : lo + LANES]
-        size = np.array([sizes[b] for b in part])
-        held = np.zeros((len(part), max(len(data[b]) for b in part) + 8), np.uint8)
-        for k, b in enumerate(part):
-            held[k, : len(data[b])] = np.frombuffer(data[b], np.uint8)
-        coder, m = Coder(len(part), 0, held), Models(len(part), vocabulary)
-        ids = np.zeros((int(size[0]), len(part)), np.int64)
-        for t in range(int(size[0])):
-            n = int(np.searchsorted(-size, -t, "left"))
-            x = ids[t, :n]
-            m.predict(n)
-            rest = np.ones(n, bool)
-            for second in (False, True):
-                cand, on = m.candidates(second)
-                i = np.flatnonzero(on & rest)
-                if len(i):
-                    c = cand[i]
-                    p = m.chance(i, c, second)
-                    hit = coder.spot(i, 12) < p
-                    coder.put(i, np.where(hit, 0, p), np.where(hit, p, 4096 - p), 12)
-                    m.learn(i, second, hit)
-                    x[i[hit]] = c[hit]
-                    rest[i[hit]] = False
-            i = np.flatnonzero(rest)
-            if len(i):
-                at = _search(coder.spot(i, 14), m.high_cum, i * 257)
-                coder.put(i, c := m.high_cum[at], m.high_cum[at + 1] - c, 14)
-                high = at - i * 257
-                base = (i * 16 + (high >> 4)) * 257
-                at = _search(coder.spot(i, 14), m.low_cum, base)
-                coder.put(i, c := m.low_cum[at], m.low_cum[at + 1] - c, 14)
-                x[i] = high << 8 | at - base
-            m.update(x)
-        for k, b in enumerate(part):
-            out[b] = ids[: size[k], k].astype(U32)
+    for part in _sorted(sizes):
+        for b, ids in zip(part, _decode([data[b] for b in part], np.array([sizes[b] for b in part]), vocabulary), strict=True):
+            out[b] = ids
     return out
 
 
-def _search(spot: np.ndarray, cum: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Where, of the 256 entries from base on, the last one is that is not above the spot."""
-    at = base
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        at = np.where(cum[at + step] <= spot, at + step, at)
-    return at
+def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order 0 of lanes (columns) of t ids each: a row of t + 1 spots for each lane, and the numbers of distinct ids.
+
+    A spot holds id << 32 | first spot of that id << 16 | number of its spots; the last is the escape.
+    """
+    t, n = ids.shape
+    table, distinct = np.empty((n, t + 1), np.int64), np.empty(n)
+    for lo in range(0, n, SLICE):
+        part = ids[:, lo : lo + SLICE]
+        s = np.full((part.shape[1], t + 1), 1 << 20, np.int32)
+        s[:, :t] = part.T
+        s.sort(axis=1)
+        first = np.ones(s.shape, bool)
+        np.not_equal(s[:, 1:], s[:, :-1], out=first[:, 1:])
+        distinct[lo : lo + len(s)] = many = np.count_nonzero(first, axis=1) - 1
+        at = np.flatnonzero(first)
+        run = np.diff(np.append(at, first.size))
+        spots = np.repeat(at % (t + 1) << 16 | run, run).reshape(s.shape)
+        spots[:, t] = many + (t << 16)
+        spots |= s.astype(np.int64) << 32
+        table[lo : lo + len(s)] = spots
+    return table, distinct
+
+
+def _decode(data: list[bytes], size: np.ndarray, vocabulary: int) -> list[np.ndarray]:
+    n, steps = len(data), int(size[0])
+    held = np.zeros((n, max(map(len, data)) // 2 + 4), np.uint16)
+    for k, d in enumerate(data):
+        held[k, : len(d) // 2] = np.frombuffer(d, "<u2", len(d) // 2)
+    m, words, last = Lanes(n), held.T.astype(np.uint16), held.size - 1
+    code = words[0] * ROOM + words[1] * WORD + words[2]
+    words = words.ravel()
+    m.at += 3 * n
+    ids = np.zeros((steps, n), U32)
+    seen, table, home = 0, np.full(n, 1, np.int64), np.arange(n)
+    total = np.ones(n)
+    part = BELOW / total
+    refresh = set(REFRESH)
+
+    def take(i) -> None:
+        while len(i):
+            at, wide = m.at[i], m.range[i] * WORD
+            # a damaged block may ask for more than there is; its sum tells
+            code[i] = code[i] * WORD + words[np.minimum(at, last)]
+            m.at[i], m.range[i] = at + n, wide
+            i = i[wide < ROOM]
+
+    for t in range(steps):
+        live = len(code)
+        if size[live - 1] <= t:
+            live = int(np.searchsorted(-size, -t, "left"))
+            m.cut(live)
+            code, home, total, part = code[:live], home[:live], total[:live], part[:live]
+        if t in refresh:
+            table, distinct = _counts(ids[:t, :live])
+            seen, total, home = t, distinct + t, np.arange(live) * (t + 1)
+            part = BELOW / total
+            table = table.ravel()
+        m.predict()
+        r = np.floor(m.range * (1 / CHOICE))
+        f2, f = r * m.f2, r * m.f
+        hit2, miss = code < f2, code >= f
+        code -= np.where(miss, f, np.where(hit2, 0.0, f2))
+        r *= np.where(miss, CHOICE - m.f, np.where(hit2, m.f2, m.f1))
+        r = np.floor(r * part)
+        spot = np.minimum(np.floor(code / r), float(seen)) * miss
+        e = table.take(spot.astype(np.int64) + home)
+        below, count = e >> 16 & 65535, e & 65535
+        code -= r * (below * miss)
+        m.range = r * np.where(miss, count, total)
+        x = np.where(miss, e >> 32, np.where(hit2, m.c2, m.c1)).astype(U32)
+        i = np.flatnonzero(miss & (below == seen))
+        if len(i):
+            take(i[m.range[i] < ENOUGH])
+            r = np.floor(m.range[i] * (BELOW / vocabulary))
+            c = code[i]
+            v = np.minimum(np.floor(c / r), vocabulary - 1.0)
+            x[i], code[i], m.range[i] = v, c - r * v, r
+        take(np.flatnonzero(m.range < ROOM))
+        x &= U32(65535)
+        ids[t, :live] = x
+        m.learn(x)
+    return [ids[: size[k], k].copy() for k in range(n)]
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int) -> tuple[bytes, list[np.ndarray]]:
@@ -300,9 +371,10 @@ class Segment:
 
 
 class Tokenizer:
-    _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    #: Outside these, classes of characters may differ between the library's and Python's expressions.
-    _OTHER = re.compile("[^\t\n\r -~¡-©«-±´-·»¿-ɏ‐-‧]")
+    _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+    #: Texts where a space may be no start of a piece, or where an added token may be.
+    _WHOLE = f"{_WHITE} (?:{_WHITE}|$)|<\\|"
+    KNOWN, BYTES = 1 << 20, 1 << 24
 
     def __init__(self, path: str):
         import tokenizers
@@ -312,37 +384,70 @@ class Tokenizer:
         plan = json.loads(self.own.to_str())
         split = plan.get("pre_tokenizer") or {}
         self.split = plan.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(x["content"].startswith("<|") for x in plan.get("added_tokens", []))
-        self.known: dict[str, np.ndarray] = {}
+        # "Ġ" is how a byte-level vocabulary writes the space
+        self.opens = np.array([(self.own.id_to_token(i) or "").startswith("Ġ") for i in range(self.vocabulary)])
+        # words behind a space that are remembered, and their ids
+        self.known, self.ids, self.starts = pa.array([], pa.large_string()), np.zeros(0, U32), np.zeros(1, np.int64)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         call = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
         return [np.array(e.ids, U32) for e in call(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words behind a space each, joined, and how many each has."""
+        lines = [" " + " ".join(words[i : i + 2048]) for i in range(0, len(words), 2048)]
+        ids = np.concatenate([np.zeros(0, U32), *self._library(lines)])
+        start = np.flatnonzero(self.opens[ids])
+        if len(start) != len(words):  # a vocabulary that writes spaces in another way
+            each = self._library([" " + w for w in words])
+            return np.concatenate([np.zeros(0, U32), *each]), np.array(list(map(len, each)), np.int64)
+        return ids, np.diff(np.append(start, len(ids)))
+
+    def _look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and where in them each word's begin and how many these are."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        new = words.take(pa.array(fresh))
+        ids, n = self._words(new.to_pylist())
+        at[fresh] = len(self.known) + np.arange(len(new))
+        ids, starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
+        # frequent words come first, so what is full stays as it is
+        if len(self.known) + len(new) <= self.KNOWN and self.known.nbytes + new.nbytes <= self.BYTES:
+            self.known, self.ids, self.starts = pa.concat_arrays([self.known, new]), ids, starts
+        return ids, starts[at], starts[at + 1] - starts[at]
+
+    def encode(self, texts: list[str] | pa.Array, end: int) -> list[np.ndarray]:
         """Ids of each text with the end id."""
+        texts = pa.array(texts, pa.large_string()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_string())
+        plain = pc.invert(pc.match_substring_regex(texts, self._WHOLE)) if self.split else pa.array([False] * len(texts), pa.bool_())
+        plain = plain.to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, U32)] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.split or "<|" in t or self._OTHER.search(t)]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+        whole = np.flatnonzero(~plain)
+        for i, ids in zip(whole, self._library(texts.take(pa.array(whole)).to_pylist()), strict=True):
             out[i] = np.append(ids, U32(end))
-        done, number, at, spans = set(whole), {}, [], []
-        for i, t in enumerate(texts):
-            if i not in done:
-                spans.append((i, len(at)))
-                at += [number.setdefault(p, len(number)) for p in self._PIECES.findall(t)]
-        spans.append((-1, len(at)))
-        new = [p for p in number if p not in self.known]
-        if len(self.known) + len(new) > 400_000:
-            self.known, new = {}, list(number)
-        self.known.update(zip(new, self._library(new), strict=True))
-        pieces = [self.known[p] for p in number]
-        flat, size = np.concatenate([*pieces, np.zeros(0, U32)]), np.array(list(map(len, pieces)), np.int64)
-        start = np.cumsum(size) - size
-        at_ = np.array(at, np.int64)
-        n = size[at_]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(start[at_] - upto[:-1], n) + np.arange(upto[-1])]
-        for (i, a), (_, b) in zip(spans, spans[1:], strict=False):
-            out[i] = np.append(ids[upto[a] : upto[b]], U32(end))
+        which = np.flatnonzero(plain)
+        if not len(which):
+            return out
+        cut = pc.split_pattern(texts.filter(pa.array(plain)) if len(whole) else texts, " ")
+        off = cut.offsets.to_numpy().astype(np.int64)
+        off -= off[0]
+        words = cut.flatten().dictionary_encode()
+        ids, start, n = self._look(words.dictionary)
+        # a text's first word stands behind no space; the end id is a word of its own
+        heads = cut.flatten().take(pa.array(off[:-1])).dictionary_encode()
+        own = self._library(heads.dictionary.to_pylist())
+        own_n = np.array(list(map(len, own)), np.int64)
+        start = np.concatenate([start, len(ids) + np.cumsum(own_n) - own_n, [len(ids) + own_n.sum()]])
+        n = np.concatenate([n, own_n, [1]])
+        ids = np.concatenate([ids, *own, np.array([end], U32)])
+        at = np.insert(words.indices.to_numpy().astype(np.int64), off[1:], len(n) - 1)
+        at[off[:-1] + np.arange(len(which))] = len(words.dictionary) + heads.indices.to_numpy()
+        many = n[at]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        flat = ids[np.repeat(start[at] - upto[:-1], many) + np.arange(upto[-1])]
+        bound = upto[off + np.arange(len(off))]
+        for i, a, b in zip(which, bound[:-1], bound[1:], strict=True):
+            out[i] = flat[a:b]
         return out
 
 
@@ -352,8 +457,8 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def write_tokens(df: DataFrame, path: str, model: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None) -> None:
-    """Writes (shard, seq, n_docs, n_ids, segment) rows below path."""
-    shards = shards or shuffle_partitions(df.sparkSession)
+    """Writes (shard, seq, n_docs, n_ids, segment) rows below path. Shards grow with the input: one for 64 MB of it."""
+    shards = shards or max(shuffle_partitions(df.sparkSession), math.ceil(input_bytes(df) / (64 << 20)))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shards, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "text")
 
@@ -382,7 +487,7 @@ def write_tokens(df: DataFrame, path: str, model: str, id_col: str = "doc_id", t
             at = 0
             while at < len(texts):
                 to, total = at, 0
-                while to < len(texts) and (to == at or total + len(texts[to]) <= 1 << 22):
+                while to < len(texts) and (to == at or total + len(texts[to]) <= 1 << 23):
                     total += len(texts[to])
                     to += 1
                 for name, got in zip(names[at:to], own.encode(texts[at:to], end_id), strict=True):
