@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,7 @@ def materialize(df: DataFrame, **options) -> DataFrame:
 def give_back() -> None:
     """Returns freed memory to the system, where the C library can: a Python worker lives on for other stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

@@ -15,7 +15,7 @@ The range coder keeps 48 bits and moves 16 at a time; carries are settled at the
 numbers below 2**53 exactly, and probabilities change by single IEEE operations, so files read the same everywhere.
 
 Coding runs in numpy over all blocks of a task side by side (one step per position in a block), at most
-``LANES`` at a time, in about 30 kB for each.
+``LANES`` at a time, in about 25 kB for each.
 
 A null text is the empty one; each document ends with the end id. Null ids come first. Rows that repeat an id stand
 next to each other in order of text, each with its own start. Columns beside the two that are named are never read, so their
@@ -44,9 +44,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import input_bytes, materialize, shared_dir, shuffle_partitions, table
+from quire.llm.common import give_back, input_bytes, materialize, shared_dir, shuffle_partitions, table
 
-BLOCK, LANES, SEGMENT = 2048, 2048, 1 << 18
+BLOCK, LANES, SEGMENT = 2048, 4096, 1 << 18
 MAGIC = b"QTK2"
 U32 = np.uint32
 SLOTS2, SLOTS1 = 256, 128
@@ -58,6 +58,8 @@ ENOUGH = 2.0**26
 #: What keeps a rounded quotient from lying above the true one.
 BELOW = 1 - 2.0**-45
 SLICE = 128
+#: Bytes of text that are tokenized together; a longer text is taken alone.
+TAKE = 1 << 23
 
 
 class Lanes:
@@ -146,13 +148,16 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int = 1 << 16) -> list[b
     return out
 
 
-def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _dense(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Of each lane (a row): ids as numbers from 1 in order of id, where ids are new, and the largest number."""
     n, steps = ids.shape
-    number, new = np.zeros(n * steps, np.int32), np.zeros(n * steps, bool)
+    number, new = np.zeros(n * steps, np.int16), np.zeros(n * steps, bool)
     place = np.arange(SLICE)[:, None] * steps
     for lo in range(0, n, SLICE):
-        s = ids[lo : lo + SLICE] << 11 | np.arange(steps, dtype=np.int32)
+        s = ids[lo : lo + SLICE].astype(np.int32)
+        if size[min(lo + SLICE, n) - 1] < steps:  # an id beyond all fills up shorter blocks
+            s[np.arange(steps) >= size[lo : lo + SLICE, None]] = 1 << 16
+        s = s << 11 | np.arange(steps, dtype=np.int32)
         s.sort(axis=1)
         at = (s & 2047) + (place[: len(s)] + lo * steps)
         s >>= 11
@@ -166,16 +171,16 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     n, size = len(blocks), np.array(list(map(len, blocks)))
     steps = int(size[0])
-    ids = np.full((n, steps), 1 << 16, np.int32)  # an id beyond all fills up shorter blocks
+    ids = np.zeros((n, steps), np.uint16)
     for k, b in enumerate(blocks):
         ids[k, : len(b)] = b
-    number, new, wide = _dense(ids)
-    ids, number, new = ids.T.astype(U32, order="C"), number.T.copy(), new.T.copy()
+    number, new, wide = _dense(ids, size)
+    ids, number, new = ids.T.astype(np.uint16, order="C"), number.T.copy(), new.T.copy()
     m, low = Lanes(n), np.zeros(n)
     words = np.zeros((3 * steps + 8) * n, U32)
     all_low, all_at = low, m.at
     # how many ids so far have a number up to this one; from 0 on
-    upto = np.zeros((n, wide + 1), np.int32)
+    upto = np.zeros((n, wide + 1), np.int16)
     flat, home = upto.ravel(), np.arange(n, dtype=np.int32) * (wide + 1)
     seen, distinct = 0, np.zeros(n)
     total = escape = np.ones(n)
@@ -202,11 +207,11 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
                 fresh = number[seen:t, lo : min(live, lo + SLICE)]
                 k = fresh.shape[1]
                 counts = np.bincount((fresh + home[:k]).ravel(), minlength=k * (wide + 1)).reshape(k, wide + 1)
-                upto[lo : lo + k] += np.cumsum(counts, axis=1, dtype=np.int32)
+                upto[lo : lo + k] += np.cumsum(counts, axis=1, dtype=np.int16)
             distinct = distinct + np.count_nonzero(new[seen:t, :live], axis=0)
             seen, escape, total = t, distinct, distinct + t
             part = BELOW / total
-        x = ids[t, :live]
+        x = ids[t, :live].astype(U32)
         m.predict()
         hit2, hit1 = x == m.c2, x == m.c1
         hit2 &= m.f2 > 0
@@ -285,7 +290,7 @@ def _decode(data: list[bytes], size: np.ndarray, vocabulary: int) -> list[np.nda
     code = words[0] * ROOM + words[1] * WORD + words[2]
     words = words.ravel()
     m.at += 3 * n
-    ids = np.zeros((steps, n), U32)
+    ids = np.zeros((steps, n), np.uint16)
     seen, table, home = 0, np.full(n, 1, np.int64), np.arange(n)
     total = np.ones(n)
     part = BELOW / total
@@ -334,12 +339,14 @@ def _decode(data: list[bytes], size: np.ndarray, vocabulary: int) -> list[np.nda
         x &= U32(65535)
         ids[t, :live] = x
         m.learn(x)
-    return [ids[: size[k], k].copy() for k in range(n)]
+    return [ids[: size[k], k].astype(U32) for k in range(n)]
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int) -> tuple[bytes, list[np.ndarray]]:
     """The head of a segment without its block table, and the blocks to code."""
     joined = np.concatenate(ids) if ids else np.zeros(0, U32)
+    if vocabulary <= 1 << 16:
+        joined = joined.astype(np.uint16)
     blocks = [joined[i : i + BLOCK] for i in range(0, len(joined), BLOCK)]
     head = struct.pack("<4sIIQI", MAGIC, len(doc_ids), vocabulary, len(joined), len(blocks))
     head += np.array([d is not None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes()
@@ -404,7 +411,7 @@ class Tokenizer:
         return ids, np.diff(np.append(start, len(ids)))
 
     def _look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, and where in them each word's begin and how many these are."""
+        """ids, where in them each piece starts (and the last ends), and which piece each word is."""
         at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(at < 0)
         new = words.take(pa.array(fresh))
@@ -414,7 +421,7 @@ class Tokenizer:
         # frequent words come first, so what is full stays as it is
         if len(self.known) + len(new) <= self.KNOWN and self.known.nbytes + new.nbytes <= self.BYTES:
             self.known, self.ids, self.starts = pa.concat_arrays([self.known, new]), ids, starts
-        return ids, starts[at], starts[at + 1] - starts[at]
+        return ids, starts, at
 
     def encode(self, texts: list[str] | pa.Array, end: int) -> list[np.ndarray]:
         """Ids of each text with the end id."""
@@ -431,23 +438,25 @@ class Tokenizer:
         cut = pc.split_pattern(texts.filter(pa.array(plain)) if len(whole) else texts, " ")
         off = cut.offsets.to_numpy().astype(np.int64)
         off -= off[0]
-        words = cut.flatten().dictionary_encode()
-        ids, start, n = self._look(words.dictionary)
-        # a text's first word stands behind no space; the end id is a word of its own
-        heads = cut.flatten().take(pa.array(off[:-1])).dictionary_encode()
+        every = cut.flatten()
+        words = every.dictionary_encode()
+        ids, starts, at = self._look(words.dictionary)
+        # a text's first word stands behind no space
+        heads = every.take(pa.array(off[:-1])).dictionary_encode()
         own = self._library(heads.dictionary.to_pylist())
-        own_n = np.array(list(map(len, own)), np.int64)
-        start = np.concatenate([start, len(ids) + np.cumsum(own_n) - own_n, [len(ids) + own_n.sum()]])
-        n = np.concatenate([n, own_n, [1]])
-        ids = np.concatenate([ids, *own, np.array([end], U32)])
-        at = np.insert(words.indices.to_numpy().astype(np.int64), off[1:], len(n) - 1)
-        at[off[:-1] + np.arange(len(which))] = len(words.dictionary) + heads.indices.to_numpy()
-        many = n[at]
-        upto = np.concatenate([[0], np.cumsum(many)])
-        flat = ids[np.repeat(start[at] - upto[:-1], many) + np.arange(upto[-1])]
-        bound = upto[off + np.arange(len(off))]
-        for i, a, b in zip(which, bound[:-1], bound[1:], strict=True):
-            out[i] = flat[a:b]
+        pick = at[words.indices.to_numpy()]
+        pick[off[:-1]] = len(starts) - 1 + heads.indices.to_numpy()
+        starts = np.concatenate([starts, starts[-1] + np.cumsum(list(map(len, own)))])
+        ids = np.concatenate([ids, *own])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(4 * starts), pa.py_buffer(ids)])
+        taken = pieces.take(pa.array(pick))
+        upto = np.frombuffer(taken.buffers()[1], np.int64, len(pick) + 1)[off] // 4
+        flat = np.frombuffer(taken.buffers()[2] or b"", U32, upto[-1])
+        joined = np.empty(len(flat) + len(which), U32)
+        for k, (i, a, b) in enumerate(zip(which, upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
+            joined[a + k : b + k] = flat[a:b]
+            joined[b + k] = end
+            out[i] = joined[a + k : b + k + 1]
         return out
 
 
@@ -483,24 +492,23 @@ def write_tokens(df: DataFrame, path: str, model: str, id_col: str = "doc_id", t
             docs, ids, held = [], [], 0
 
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            names, texts = b.column(0).to_pylist(), b.column(1)
+            upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
             at = 0
             while at < len(texts):
-                to, total = at, 0
-                while to < len(texts) and (to == at or total + len(texts[to]) <= 1 << 23):
-                    total += len(texts[to])
-                    to += 1
-                for name, got in zip(names[at:to], own.encode(texts[at:to], end_id), strict=True):
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + TAKE, "right")) - 1)
+                for name, got in zip(names[at:to], own.encode(texts.slice(at, to - at), end_id), strict=True):
                     docs.append(name)
                     ids.append(got)
                     held += len(got)
                     if held >= SEGMENT:
                         close()
-                        if sum(len(x[1]) for x in open_) >= LANES - SEGMENT // BLOCK:
+                        if sum(len(x[1]) for x in open_) > LANES - SEGMENT // BLOCK:
                             yield from flush()
                 at = to
         close()
         yield from flush()
+        give_back()
 
     rows.mapInArrow(run, "shard int, seq int, n_docs long, n_ids long, segment binary").write.option("compression", "none").parquet(path)
 
@@ -546,6 +554,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     yield from flush()
                 held.append((start, s))
         yield from flush()
+        give_back()
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
