@@ -59,7 +59,7 @@ ENOUGH = 2.0**26
 BELOW = 1 - 2.0**-45
 SLICE = 128
 #: Bytes of text that are tokenized together; a longer text is taken alone.
-TAKE = 1 << 23
+TAKE = 1 << 24
 
 
 class Lanes:
@@ -339,7 +339,11 @@ def _decode(data: list[bytes], size: np.ndarray, vocabulary: int) -> list[np.nda
         x &= U32(65535)
         ids[t, :live] = x
         m.learn(x)
-    return [ids[: size[k], k].astype(U32) for k in range(n)]
+    out = []
+    for lo in range(0, n, SLICE):
+        rows = ids[:, lo : lo + SLICE].T.astype(U32, order="C")
+        out += [row[:m] for row, m in zip(rows, size[lo : lo + SLICE], strict=True)]
+    return out
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int) -> tuple[bytes, list[np.ndarray]]:
@@ -355,7 +359,7 @@ def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: i
 
 def close_segment(head: bytes, blocks: list[np.ndarray], coded: list[bytes]) -> bytes:
     sizes = np.array(list(map(len, coded)), "<u4").tobytes()
-    sums = np.array([zlib.crc32(b.astype("<u4").tobytes()) for b in blocks], "<u4").tobytes()
+    sums = np.array([zlib.crc32(b.astype("<u4")) for b in blocks], "<u4").tobytes()
     head = head + sizes + sums
     return b"".join([struct.pack("<I", zlib.crc32(head)), head, *coded])
 
@@ -410,17 +414,19 @@ class Tokenizer:
             return np.concatenate([np.zeros(0, U32), *each]), np.array(list(map(len, each)), np.int64)
         return ids, np.diff(np.append(start, len(ids)))
 
-    def _look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, where in them each piece starts (and the last ends), and which piece each word is."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+    def _look(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, where in them each piece starts (and the last ends), and which piece each distinct word is."""
+        known = len(self.known)
+        at = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(at < 0)
-        new = words.take(pa.array(fresh))
+        new = names.take(pa.array(fresh))
         ids, n = self._words(new.to_pylist())
-        at[fresh] = len(self.known) + np.arange(len(new))
-        ids, starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
-        # frequent words come first, so what is full stays as it is
-        if len(self.known) + len(new) <= self.KNOWN and self.known.nbytes + new.nbytes <= self.BYTES:
-            self.known, self.ids, self.starts = pa.concat_arrays([self.known, new]), ids, starts
+        at[fresh] = known + np.arange(len(new))
+        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
+        ids = np.concatenate([self.ids, ids])
+        # frequent words come early, so what is full stays as it is
+        if known + len(new) <= self.KNOWN and self.known.nbytes + new.nbytes <= self.BYTES:
+            self.known, self.starts, self.ids = pa.concat_arrays([self.known, new]), starts, ids
         return ids, starts, at
 
     def encode(self, texts: list[str] | pa.Array, end: int) -> list[np.ndarray]:
@@ -536,13 +542,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for start, s in held:
                 own = got[at : at + len(s.blocks)]
                 for k, (ids, b) in enumerate(zip(own, s.blocks, strict=True)):
-                    if zlib.crc32(ids.astype("<u4").tobytes()) != b[2]:
+                    if zlib.crc32(ids.astype("<u4", copy=False)) != b[2]:
                         raise ValueError(f"damaged block {k} of the segment that starts at id {start}")
                 at += len(s.blocks)
-                raw = np.concatenate(own).astype("<u4").tobytes() if own else b""
+                raw = np.concatenate([np.zeros(0, U32), *own]).astype("<u4", copy=False)
                 ends = np.concatenate([[0], np.cumsum(s.counts)])
+                if 4 * ends[-1] >= 1 << 31:
+                    raise ValueError(f"the text at id {start} has too many ids for a row")
+                lists = pa.Array.from_buffers(pa.binary(), len(s.counts), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, pa.int64()), pa.array(start + ends[:-1]), pa.array(s.counts), pa.array([raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())],
+                    [pa.array(s.doc_ids, pa.int64()), pa.array(start + ends[:-1]), pa.array(s.counts), lists],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
             held.clear()
