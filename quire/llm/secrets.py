@@ -4,16 +4,27 @@ Every text is read whole. Base kinds (assign, access, hex) are the leftmost non-
 matches of their pattern; matches that fail their length are dropped without another try. The
 method adds ``guess``: the value after a credential word that the cheapest segmentation into
 words, dates, repeats, keyboard walks and brute-force spans still makes costly to guess
-(log10 of guesses at least ``min_log10``). Null and empty texts have no spans; repeated rows give
-the same spans each; only the two named columns are read. The segmentation of a value of n
-characters takes at most 32 n steps, for any length.
+(log10 of guesses at least ``min_log10``). A value ends at white space or a quote. Behind the word "is" it is
+prose unless it holds a digit, a capital inside or a mark that words don't have.
+
+Words cost their rank: first some credential words, then the whole words of a tokenizer's vocabulary (``words``, the path
+of a BPE file whose words end in ``</w>``; its merges come in order of frequency). Brute force
+tries likely letters first: a small letter costs what its place behind the letter before it says, by the pairs of letters
+of that vocabulary, and its share of the value's alphabet at most. A value of 5 to 16 letters that these
+pairs make likely counts as an unlisted word. Without ``words`` there are only the credential words and even letters.
+
+Null and empty texts have no spans; repeated rows give the same spans each, and spans that start together come in the order
+of KINDS; only the named columns are read, so names can't clash; an empty table gives an empty one. The segmentation of
+a value of n characters takes at most 100 n steps, for any length.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +43,10 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: (DB_PASSWORD, PGPASSWORD, clientSecret); the shorter ones stand alone, behind _ or as a part in camel case (not in compass).
 _CONTEXT = re.compile(
     r"""(?:(?ai:password|passwd|passphrase|secret|credentials?|token|api[_-]?key|access[_-]?key)|(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?ai:pass|pwd|pin|bearer|auth|login))"""
-    r"""["']?(?:[\x20\t]*+[:=]{1,2}>?[\x20\t]*+|[\x20\t]++(?ai:is)[\x20\t]++)["']?([!-~]{6,})"""
+    r"""["']?(?:[\x20\t]*+[:=]{1,2}>?[\x20\t]*+|(?P<prose>[\x20\t]++(?ai:is)[\x20\t]++))["']?(?P<value>[!#-&(-~]{6,})"""
 )
+#: What a word of prose does not hold.
+_UNLIKE_PROSE = re.compile(r"[0-9]|(?<!^)[A-Z]|[!@#$%^&*=+~|\\<>{}\[\]]")
 _WORD_HINT = re.compile(r"(?ai:pass|pwd|pin|secret|credential|token|bearer|key|auth|login)")
 
 # Ranked words of credentials: the guesses of a word are its rank.
@@ -44,13 +57,45 @@ WORDS = (
     "your my the value string none null true false todo placeholder dummy sample demo prod dev stage local company house home "
     "pass word blue red green black white money king queen star happy lucky magic power"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
-ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+LONGEST = 24
+
+
+class Dictionary:
+    """Words by rank, and the costs of letters behind letters."""
+
+    def __init__(self, words: list[str]):
+        self.rank: dict[str, int] = {}
+        for w in words:
+            if len(w) <= LONGEST:
+                self.rank.setdefault(w, len(self.rank) + 1)
+        #: A place of its own for each two letters, and 0 for the start of a word.
+        self.pair: dict[str, float] = {}
+        count: dict[str, int] = {}
+        for w in words[len(WORDS) :]:
+            for x, y in zip("^" + w, w, strict=False):
+                count[x + y] = count.get(x + y, 0) + 1
+        for x in "^abcdefghijklmnopqrstuvwxyz" if count else "":
+            total = sum(count.get(x + y, 0) + 1 for y in "abcdefghijklmnopqrstuvwxyz")
+            for y in "abcdefghijklmnopqrstuvwxyz":
+                self.pair[x + y] = math.log10(total / (count.get(x + y, 0) + 1))
+
+
+@lru_cache(maxsize=4)
+def dictionary(path: str | None) -> Dictionary:
+    if path is None:
+        return Dictionary(WORDS)
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    whole = (w.removesuffix("</w>") for w in sorted(vocabulary, key=vocabulary.get) if w.endswith("</w>"))
+    return Dictionary(WORDS + [w for w in whole if len(w) > 1 and w.isascii() and w.isalpha()])
+
+
+ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {(r[i], r[j]) for r in ROWS for i in range(len(r)) for j in (i - 1, i + 1) if 0 <= j < len(r)}
 LEET = str.maketrans("430157@$!", "aeoistasi")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12][0-9]|3[01]))?)?")
 REACH = 32
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 
 
 def _alphabet(value: str) -> int:
@@ -58,57 +103,85 @@ def _alphabet(value: str) -> int:
     return max(10, n + 33 * any(not c.isalnum() for c in value))
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, str]]]:
-    """log10 of the guesses of the cheapest segmentation, and its (kind, part) pieces."""
+def pieces(value: str, known: Dictionary) -> Iterator[tuple[int, int, float, str]]:
+    """(start, end, log10 of guesses, kind) of every piece that a segmentation may use, by start."""
     n, lower = len(value), value.lower()
     plain, one = lower.translate(LEET), math.log10(_alphabet(value))
-    best, how = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
-
-    def offer(i: int, j: int, cost: float, kind: str) -> None:
-        # each further piece also costs the choice of a piece
-        if (c := best[i] + cost + (0.3 if i else 0.0)) < best[j]:
-            best[j], how[j] = c, (i, kind)
-
+    if len(lower) != n:  # a letter whose small form is longer
+        lower = plain = value
+    if known.pair and 5 <= n <= 16 and lower.isascii() and lower.isalpha() and value[1:].islower():
+        if sum(known.pair[x + y] for x, y in zip("^" + lower, lower, strict=False)) <= LIKELY * n:
+            yield 0, n, UNLISTED, "word"  # as one of a million words that no list here has
     for i in range(n):
-        if (c := best[i] + one) < best[i + 1]:
-            best[i + 1], how[i + 1] = c, (i, "brute")
+        pair = known.pair.get((lower[i - 1] if i and lower[i - 1] in _LETTERS else "^") + value[i])
+        yield i, i + 1, one if pair is None else min(one, pair), "brute"
         for j in range(i + 2, min(n, i + LONGEST) + 1):
             for form, extra in ((lower, 0.0), (plain, 0.6)):
-                if rank := RANK.get(form[i:j]):
-                    offer(i, j, math.log10(rank + 1) + extra + (0.3 if value[i:j] != lower[i:j] else 0.0), "word")
+                if rank := known.rank.get(form[i:j]):
+                    yield i, j, math.log10(rank + 1) + extra + (0.3 if value[i:j] != lower[i:j] else 0.0), "word"
         if m := _DATE.match(value, i):
-            offer(i, m.end(), math.log10(150 * (365 if m.end() - i > 4 else 1)), "date")
-        j = i + 1
-        while j < min(n, i + REACH) and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            offer(i, j, one + math.log10(j - i), "repeat")
+            yield i, m.end(), math.log10(150 * (365 if m.end() - i > 4 else 1)), "date"
+        for unit in range(1, 5):
+            j = i + unit
+            while j < min(n, i + REACH * unit) and value[j] == value[j - unit]:
+                j += 1
+            times = (j - i) // unit
+            if times >= (3 if unit == 1 else 2):
+                yield i, i + times * unit, one * unit + math.log10(times), "repeat"
         j = i + 1
         while j < min(n, i + REACH) and (lower[j - 1], lower[j]) in NEXT:
             j += 1
         if j - i >= 3:
-            offer(i, j, math.log10(47 * (j - i)) + 0.3 * (j - i) / 3, "walk")
+            yield i, j, math.log10(47 * (j - i)) + 0.3 * (j - i) / 3, "walk"
+
+
+#: log10 of the rank of an unlisted word, and the mean cost of letters up to which a value looks like one.
+UNLISTED, LIKELY = 6.0, 1.3
+#: The choice of a further kind of piece.
+FURTHER = 0.3
+
+
+def guess_cost(value: str, known: Dictionary | None = None) -> tuple[float, list[tuple[str, str]]]:
+    """log10 of the guesses of the cheapest segmentation, and its (kind, part) pieces; letters by brute force side by side are one part."""
+    n = len(value)
+    best, how = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    # best: with whatever piece last; open: with a brute-force piece last, which goes on without a further choice
+    open_, back = [math.inf] * (n + 1), [(0, "")] * (n + 1)
+    for i, j, cost, kind in pieces(value, known or dictionary(None)):
+        c = best[i] + cost + (FURTHER if i else 0.0)
+        if kind == "brute":
+            on = open_[i] + cost
+            open_[j], back[j] = (on, (i, "on")) if on < c else (c, (i, "new"))
+            if open_[j] < best[j]:
+                best[j], how[j] = open_[j], (i, "brute")
+        elif c < best[j]:
+            best[j], how[j] = c, (i, kind)
     parts, j = [], n
     while j:
         i, kind = how[j]
-        if kind == "brute" and parts and parts[-1][0] == "brute":
-            parts[-1] = ("brute", value[i:j] + parts[-1][1])
-        else:
-            parts.append((kind, value[i:j]))
+        if kind == "brute":
+            start, (i, state) = j - 1, back[j]
+            while state == "on":
+                start = i - 1
+                i, state = back[i]
+            i = start
+        parts.append((kind, value[i:j]))
         j = i
     return best[n], parts[::-1]
 
 
-def _proposed(text: str, min_log10: float) -> Iterator[tuple[str, int, int, float | None]]:
+def _proposed(text: str, min_log10: float, known: Dictionary) -> Iterator[tuple[str, int, int, float | None]]:
     # every pattern of assignment or context holds one of these words
     if _WORD_HINT.search(text):
         for m in _ASSIGN.finditer(text):
             if len(m[1]) >= 8:
-                yield "assign", *m.span(), guess_cost(m[1])[0]
+                yield "assign", *m.span(), guess_cost(m[1], known)[0]
         for m in _CONTEXT.finditer(text):
-            value = m[1].rstrip("\"',;.)")
-            if len(value) >= 6 and (cost := guess_cost(value)[0]) >= min_log10:
-                yield "guess", m.start(1), m.start(1) + len(value), cost
+            value = m["value"].rstrip(",;.)")
+            if len(value) < 6 or (m["prose"] and not _UNLIKE_PROSE.search(value)):
+                continue
+            if (cost := guess_cost(value, known)[0]) >= min_log10:
+                yield "guess", m.start("value"), m.start("value") + len(value), cost
     if "AKIA" in text:
         for m in _ACCESS.finditer(text):
             if m.end() - m.start() >= 16:
@@ -117,26 +190,26 @@ def _proposed(text: str, min_log10: float) -> Iterator[tuple[str, int, int, floa
         yield "hex", *m.span(), None
 
 
-def find_secrets(text: str | None, min_log10: float = 10.0) -> list[dict]:
+def find_secrets(text: str | None, min_log10: float = 10.0, words: str | None = None) -> list[dict]:
     text = text or ""
-    out = [{"kind": k, "start": s, "end": e, "log10_guesses": c, "value": text[s:e]} for k, s, e, c in _proposed(text, min_log10)]
+    out = [{"kind": k, "start": s, "end": e, "log10_guesses": c, "value": text[s:e]} for k, s, e, c in _proposed(text, min_log10, dictionary(words))]
     return sorted(out, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0, words: str | None = None) -> DataFrame:
     """(id, spans) of each row: spans with kind, start, end (code points), log10_guesses and value."""
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("log10_guesses", pa.float64()), ("value", pa.string())]))
         for b in batches:
-            spans = [find_secrets(t, min_log10) for t in b.column(1).to_pylist()]
+            spans = [find_secrets(t, min_log10, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["id", "spans"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, spans {SCHEMA}").withColumnRenamed("id", id_col)
 
 
-def mask_column(df: DataFrame, text_col: str = "text", min_log10: float = 10.0, mask: str = "<secret>") -> DataFrame:
+def mask_column(df: DataFrame, text_col: str = "text", min_log10: float = 10.0, mask: str = "<secret>", words: str | None = None) -> DataFrame:
     """df, its rows and columns, with every secret in the text replaced; texts without one are left alone."""
     names = df.columns
     at = names.index(text_col)
@@ -146,7 +219,7 @@ def mask_column(df: DataFrame, text_col: str = "text", min_log10: float = 10.0,
             texts = b.column(at).to_pylist()
             for i, t in enumerate(texts):
                 out, done = [], 0
-                for s in find_secrets(t, min_log10):
+                for s in find_secrets(t, min_log10, words):
                     if s["start"] >= done:
                         out += [t[done : s["start"]], mask]
                     done = max(done, s["end"])
@@ -158,5 +231,7 @@ def mask_column(df: DataFrame, text_col: str = "text", min_log10: float = 10.0,
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    found = scan(table(spark, sf_dir, "documents"), words=public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", *(c.alias(k) for k, c in span_digests(BASE).items()))
