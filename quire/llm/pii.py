@@ -2,8 +2,13 @@
 
 Every text is read whole. Base kinds (email, ip, card, phone) are the leftmost non-overlapping
 matches of their pattern; a match that fails its check is dropped and not tried again, one that
-passes always stays. The extra kinds (iban by mod-97, ssn by its ranges) stay from ``threshold``
-on. Null and empty texts have no spans; rows that repeat give the same spans each; columns beside
+passes always stays. The extra kinds stay if their check holds and their score reaches ``threshold``: iban by mod-97, ssn by its ranges,
+nir (French, with key mod 97), dni (Spanish, letter mod 23) and steuer (German, digit by ISO 7064 mod 11, 10).
+
+A score starts at the kind's prior; words of the kind near the match (whole words, within ``WINDOW`` characters on either side) raise it,
+words of other numbers lower it, both once at most.
+
+Null and empty texts have no spans; rows that repeat give the same spans each; spans that start together come in the order of KINDS; columns beside
 the two that are named are never read, so their names can't clash; an empty table gives an empty
 one. Work and memory are linear in the text.
 """
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import span_digests, table
 
 BASE = ["email", "ip", "card", "phone"]
-KINDS = [*BASE, "iban", "ssn"]
+KINDS = [*BASE, "iban", "ssn", "nir", "dni", "steuer"]
 SCHEMA = "array<struct<kind:string,start:int,end:int,score:double,value:string>>"
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -33,17 +38,41 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 
-# Score of a confirmed match without context, and words that raise it when they are near.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
-CONTEXT = {
-    "email": ("mail", "contact", "write to"),
-    "ip": ("ip", "address", "host", "server"),
-    "card": ("card", "visa", "master", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "konto"),
-    "ssn": ("ssn", "social security", "social-security"),
+_NIR = re.compile(r"(?<![0-9A-Za-z])[1-478] ?[0-9]{2} ?[0-9]{2} ?(?:[0-9]{2}|2[AB]) ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9A-Za-z])")
+_DNI = re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{8}|[XYZ]-?[0-9]{7})-?[A-Z](?![0-9A-Za-z])")
+_STEUER = re.compile(r"(?<![0-9A-Za-z])[1-9][0-9](?: ?[0-9]{3}){3}(?![0-9A-Za-z])")
+
+# Score of a confirmed match without context, and the words near it that raise and lower it.
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "nir": 0.7, "dni": 0.5, "steuer": 0.4}
+RAISING = {
+    "email": "mail email e contact write courriel correo",
+    "ip": "ip ipv4 address host server adresse direccion",
+    "card": "card visa mastercard amex credit debit payment carte kreditkarte tarjeta",
+    "phone": "phone tel telephone telefon telefono call mobile cell fax whatsapp",
+    "iban": "iban account bank konto compte cuenta transfer",
+    "ssn": "ssn social security",
+    "nir": "nir insee securite sécurité sociale",
+    "dni": "dni nie nif documento identidad",
+    "steuer": "steuer steuerid idnr identifikationsnummer tax tin",
 }
-RAISE, WINDOW = 0.3, 48
+_OTHER = "order invoice serial part item isbn issn sku tracking ticket sample example"
+LOWERING = {"ip": f"version release firmware section chapter {_OTHER}", "email": "example sample"} | {k: _OTHER for k in ("card", "phone", "iban", "ssn", "nir", "dni", "steuer")}
+_SETS = {k: (frozenset(RAISING[k].split()), frozenset(LOWERING[k].split())) for k in PRIOR}
+ADJUST, WINDOW = 0.3, 48
+_TOKEN = re.compile(r"[^\W_]+")
+
+
+def score(kind: str, text: str, start: int, end: int) -> float:
+    """Of a confirmed match, between 0 and 1."""
+    lo, hi = max(0, start - WINDOW), min(len(text), end + WINDOW)
+    # words that the window cuts are not whole
+    while lo and lo < start and text[lo - 1].isalnum():
+        lo += 1
+    while hi < len(text) and hi > end and text[hi].isalnum():
+        hi -= 1
+    near = set(_TOKEN.findall(text[lo:start].lower())) | set(_TOKEN.findall(text[end:hi].lower()))
+    up, down = _SETS[kind]
+    return min(1.0, max(0.0, PRIOR[kind] + ADJUST * (not near.isdisjoint(up)) - ADJUST * (not near.isdisjoint(down))))
 
 
 def luhn(digits: str) -> bool:
@@ -60,6 +89,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def key97(nir: str) -> bool:
+    number = nir[:13].replace("2A", "19").replace("2B", "18") if nir[5:7] in ("2A", "2B") else nir[:13]
+    return number.isdigit() and 97 - int(number) % 97 == int(nir[13:])
+
+
+def letter23(dni: str) -> bool:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(dni[:-1].translate(str.maketrans("XYZ", "012"))) % 23] == dni[-1]
+
+
+def mod11_10(digits: str) -> bool:
+    product = 10
+    for d in digits[:-1]:
+        product = ((int(d) + product) % 10 or 10) * 2 % 11
+    return (11 - product) % 10 == int(digits[-1])
+
+
+_NUMBERS = [("nir", _NIR, " ", key97), ("dni", _DNI, "-", letter23), ("steuer", _STEUER, " ", mod11_10)]
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """As the pattern's leftmost matches: a match starts where the run of local characters before an @ does."""
     done, at = 0, text.find("@")
@@ -104,16 +152,19 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _SSN.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
                 yield "ssn", *m.span()
+    for kind, pattern, between, check in _NUMBERS:
+        for m in pattern.finditer(text):
+            if check(m[0].replace(between, "")):
+                yield kind, *m.span()
 
 
 def find_spans(text: str | None, threshold: float = 0.6) -> list[dict]:
     text = text or ""
     out = []
     for kind, s, e in _proposed(text):
-        near = (text[max(0, s - WINDOW) : s] + " " + text[e : e + WINDOW]).lower()
-        score = min(1.0, PRIOR[kind] + RAISE * any(w in near for w in CONTEXT[kind]))
-        if kind in BASE or score >= threshold:
-            out.append({"kind": kind, "start": s, "end": e, "score": score, "value": text[s:e]})
+        value = score(kind, text, s, e)
+        if kind in BASE or value >= threshold:
+            out.append({"kind": kind, "start": s, "end": e, "score": value, "value": text[s:e]})
     return sorted(out, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
 
@@ -142,4 +193,5 @@ def redact(text: str | None, spans: list[dict]) -> str:
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(c.alias(k) for k, c in span_digests(BASE).items()))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 1)), ",").alias("scores")
+    return found.select("doc_id", *(c.alias(k) for k, c in span_digests(BASE).items()), scores)
