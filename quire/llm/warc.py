@@ -2,17 +2,22 @@
 
 The writer is native: a record is text, and the text sink's line separator is the CR LF CR LF
 that ends a record, so Spark's own committer writes plain ``WARC/1.1`` files to any file system.
-Of equal payloads the one with the smallest id is the response, the others are revisits of it.
+Of equal payloads the one with the smallest id is the response, the others are revisits of it. Archives
+are sized by bytes: payloads of up to ``small`` bytes go a thousand to a file at most, longer ones so many to a file that it
+holds about ``target`` bytes and below ``most`` (or a single record).
 
 The reader takes archives of plain records or of gzip members. A record or member that fails its
 checks (version line, Content-Length, terminator, gzip CRC, payload digest) is not trusted:
 the reader searches for the next member or version line, goes on from there, and reports the bytes
-between as a ``gap`` row.
+between as a ``gap`` row; ``quarantine`` writes these to a table and counts them. A member is inflated in blocks, and one of
+more than ``INFLATED`` bytes is a gap too. A task holds one archive and one inflated member in memory, whatever
+their payloads; there is no other bound on a payload's length. Time is linear in an archive's bytes while its
+records are whole.
 
 Null html is an empty payload; a null id is written as ``null`` and read back as null (such a row
 is never the response that others refer to, and is a response itself if no other row of its
-payload has an id); rows that repeat an id and a payload are each a response; a null url is
-``urn:none``; an empty table writes no records.
+payload has an id); rows that repeat an id and a payload are each a response, and equal payloads tie to the smallest id; a null url is
+``urn:none``; only the three named columns are read, so names of others can't clash; an empty table writes no records.
 """
 
 from __future__ import annotations
@@ -82,9 +87,17 @@ def record_text(date: str) -> Column:
     )
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", records_per_file: int = 1000, **columns) -> None:
-    out = plan_records(pages, **columns).select(record_text(date).alias("value"))
-    out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", small: int = 1 << 16, target: int = 64 << 20, most: int = 1 << 30, **columns) -> None:
+    plan = plan_records(pages, **columns)
+    html = F.octet_length(F.coalesce(F.col(columns.get("html_col", "html")).cast("string"), F.lit("")))
+    long = pages.select(html.alias("n")).where(F.col("n") > small).agg(F.count("*").alias("n"), F.sum("n").alias("total"), F.max("n").alias("longest")).first()
+    parts = [(F.col("payload_bytes") <= small, min(1000, target // 1024))]
+    if long["n"]:
+        mean = long["total"] // long["n"]
+        parts.append((F.col("payload_bytes") > small, max(1, min(target // mean, most // (long["longest"] + 4096)))))
+    for which, records in parts:
+        out = plan.where(which).select(record_text(date).alias("value"))
+        out.write.mode("append").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -120,20 +133,35 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
     }, stop + 4
 
 
+#: Bytes that go into a decompressor at once, and that a member may come to.
+FEED, INFLATED = 1 << 16, 1 << 30
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int]:
+    """The gzip member that starts at ``at``, inflated, and its end; ValueError if it is damaged, cut or too large."""
+    z, out, size = zlib.decompressobj(31), [], 0
+    while not z.eof:
+        if at >= len(data):
+            raise ValueError("member")
+        try:
+            part = z.decompress(data[at : at + FEED], INFLATED + 1 - size)
+        except zlib.error as e:
+            raise ValueError("member") from e
+        size += len(part)
+        out.append(part)
+        if size > INFLATED:
+            raise ValueError("member size")
+        at = min(len(data), at + FEED) - len(z.unused_data) - len(z.unconsumed_tail)
+    return b"".join(out), at
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of one archive, in order. start and end are bytes of the archive."""
     at, n, gap, why = 0, len(data), None, ""
     while at < n:
         try:
             if data.startswith(b"\x1f\x8b", at):
-                z = zlib.decompressobj(31)
-                try:
-                    inner = z.decompress(memoryview(data)[at:])
-                except zlib.error as e:
-                    raise ValueError("member") from e
-                if not z.eof:
-                    raise ValueError("member")
-                end = n - len(z.unused_data)
+                inner, end = _member(data, at)
                 if gap is not None:
                     yield {"record_type": "gap", "start": gap, "end": at, "reason": why}
                     gap = None
@@ -178,10 +206,20 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return files.where("length > 0").select("path", "content").mapInArrow(run, _DDL)
 
 
+def quarantine(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """The records among rows of read_warc, and the number of gaps, which are written to a Parquet table below path."""
+    rows.where("record_type = 'gap'").select("archive", "start", "end", "reason").write.parquet(path)
+    return rows.where("record_type != 'gap'"), rows.sparkSession.read.schema("archive string, start long, end long, reason string").parquet(path).count()
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark)
-    write_warc(table(spark, sf_dir, "pages"), path)
-    got = read_warc(spark, path, payloads=False).where("record_type != 'gap'")
+    """Raises if the archives that were just written have gaps, or lost or gained a record."""
+    path, pages = shared_dir(spark), table(spark, sf_dir, "pages")
+    write_warc(pages, path)
+    rows = materialize(read_warc(spark, path, payloads=False))
+    got, gaps = quarantine(rows, shared_dir(spark))
+    if gaps or got.count() != (n := pages.count()):
+        raise ValueError(f"{got.count()} records of {n} pages came back, with {gaps} gaps")
     page = lambda c: F.try_to_number(F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1), F.lit("S9999999999999999999")).cast("long")
     return got.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 

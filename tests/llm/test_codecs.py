@@ -225,3 +225,45 @@ def test_top_k_of_no_rows_and_many_blocks(spark, tables):
 
     every = {tuple(r) for r in topk.top_k(df, F.col("id") % 3 == 0, k=4).collect()}
     assert every == {tuple(r) for r in topk.top_k(df, F.col("id") % 3 == 0, k=4, block_bytes=16 * 30).collect()}
+
+
+def _gzip_record(i, body):
+    import gzip
+
+    return gzip.compress(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n")
+
+
+def test_gzip_members_in_linear_time():
+    import time
+
+    rng = np.random.default_rng(1)
+    data = b"".join(_gzip_record(i, rng.bytes(1500)) for i in range(20_000))
+    start = time.time()
+    got = list(warc.salvage(data))
+    assert [r["record_id"] for r in got] == [f"<urn:{i}>" for i in range(20_000)] and time.time() - start < 5
+    assert [(r["start"], r["end"]) for r in got][1:] == [(a["end"], b["end"]) for a, b in zip(got, got[1:], strict=False)]
+
+
+def test_members_are_inflated_in_blocks_and_bounded(monkeypatch):
+    big, small = _gzip_record(1, b"a" * 300_000), _gzip_record(2, b"b")
+    assert [(r["record_type"], r["end"]) for r in warc.salvage(big + small)] == [("response", len(big)), ("response", len(big + small))]
+    cut = big[:-9] + small
+    assert [(r["record_type"], r.get("record_id")) for r in warc.salvage(cut)][-1] == ("response", "<urn:2>")
+    monkeypatch.setattr(warc, "INFLATED", 100_000)
+    assert [(r["record_type"], r.get("reason")) for r in warc.salvage(big + small)] == [("gap", "member size"), ("response", None)]
+
+
+def test_archives_are_sized_by_bytes_and_gaps_are_logged(spark, tmp_path):
+    rows = [(i, "u", "x" * 50_000 if i % 2 else f"page {i}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).selectExpr("*", "0 AS payload", "'a' AS id")
+    warc.write_warc(pages, f"file://{tmp_path}/w", small=1000, target=200_000)
+    files = sorted(p.stat().st_size for p in (tmp_path / "w").glob("*.txt"))
+    assert max(files) < 250_000 and len(files) > 5
+    read = warc.read_warc(spark, f"file://{tmp_path}/w")
+    got, gaps = warc.quarantine(read, f"file://{tmp_path}/g0")
+    assert (got.count(), gaps) == (60, 0)
+    first = next(iter((tmp_path / "w").glob("*.txt")))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.warc").write_bytes(first.read_bytes()[:-30])
+    got, gaps = warc.quarantine(warc.read_warc(spark, f"file://{tmp_path}/bad"), f"file://{tmp_path}/g1")
+    assert gaps == 1 and spark.read.parquet(f"file://{tmp_path}/g1").first()["end"] == first.stat().st_size - 30

@@ -137,3 +137,74 @@ def test_queries_return_the_contract(spark, small):
             assert r["base_sha256"] == digest(base)
             assert [r[f"n_{k}"] for k in kinds] == [sum(b[0] == k for b in base) for k in kinds]
             assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(r["spans"].split(","))
+
+
+@pytest.fixture(scope="module")
+def words():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+PROSE = ["a secret is something you keep", "the token is international in scope", "the secret is understanding", "pin is important", "auth: dandelion", "auth: Metamorphosis", "login: kaleidoscope", "the password is well-known there"]
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_is_no_guess(text, words):
+    assert [s for s in secrets.find_secrets(text, words=words) if s["kind"] == "guess"] == []
+
+
+@pytest.mark.parametrize(("text", "value"), [('token = "24be0a9907ffa1"### x', "24be0a9907ffa1"), ("pwd='x9$kQ2!vR7z'`tail", "x9$kQ2!vR7z"), ("the token is 24be00129907ffab21 now", "24be00129907ffab21"), ("auth: qzxvkjwptq", "qzxvkjwptq")])
+def test_values_end_at_a_quote(text, value, words):
+    assert [s["value"] for s in secrets.find_secrets(text, words=words) if s["kind"] == "guess"] == [value]
+
+
+def brute_cost(value, known):
+    """The cheapest of all segmentations, each tried."""
+    at = {}
+    for i, j, cost, kind in secrets.pieces(value, known):
+        at.setdefault(i, []).append((j, cost, kind))
+
+    def best(i, last):
+        if i == len(value):
+            return 0.0
+        # letters by brute force go on without a further choice
+        return min(cost + (secrets.FURTHER if i and not (kind == last == "brute") else 0.0) + best(j, kind) for j, cost, kind in at[i])
+
+    return best(0, None)
+
+
+def test_guess_costs_against_all_segmentations(words):
+    rng, known = random.Random(3), secrets.dictionary(words)
+    parts = ["the", "Pass", "p4ss", "1999", "20010506", "aaaa", "qwer", "x", "9", "$", "abab", "zyx", "K"]
+    for _ in range(200):
+        value = "".join(rng.choices(parts, k=rng.randint(1, 4)))[:11]
+        cost, found = secrets.guess_cost(value, known)
+        assert cost == pytest.approx(brute_cost(value, known)), value
+        assert "".join(p for _, p in found) == value
+
+
+def test_guess_spans_against_a_plain_reading(words):
+    """Values behind a word, a separator and spaces, by hand."""
+    known = secrets.dictionary(words)
+    names, seps = ["password", "DB_PASSWORD", "token", "clientSecret", "pin", "compass"], [":", " = ", "=", " is ", " "]
+    values = ["hunter2", "x9$kQ2!vR7z", "something", "Summer2020", "f3ef4d6b2755a36d", "short", "aB3$zz9Qm!"]
+    for n in names:
+        for s in seps:
+            for v in values:
+                got = [x["value"] for x in secrets.find_secrets(f"so {n}{s}{v} end", words=words) if x["kind"] == "guess"]
+                costly = len(v) >= 6 and secrets.guess_cost(v, known)[0] >= 10 and (s != " is " or any(c.isdigit() for c in v))
+                assert got == ([v] if costly and s != " " and n != "compass" else []), (n, s, v)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "score"),
+    [("ship 1.2.3.4 hotel", "ip", 0.6), ("version 1.2.3.4", "ip", 0.3), ("server 1.2.3.4", "ip", 0.9), ("server version 1.2.3.4", "ip", 0.6), ("hotel +1 (202) 555-0143", "phone", 0.6), ("tel +1 (202) 555-0143", "phone", 0.9), ("xip " + "a " * 30 + "1.2.3.4", "ip", 0.6)],
+)
+def test_context_words_are_whole_and_raise_and_lower(text, kind, score):
+    assert [(s["kind"], round(s["score"], 6)) for s in pii.find_spans(text)] == [(kind, score)]
+
+
+@pytest.mark.parametrize(("text", "kinds"), [("NIR 2 55 08 14 168 025 38", ["nir"]), ("NIR 2 55 08 14 168 025 39", []), ("DNI 12345678Z", ["dni"]), ("DNI 12345678A", []), ("order 12345678Z", []), ("Steuer 86 095 742 719", ["steuer"]), ("86095742719", []), ("Steuer 86 095 742 710", []), ("IBAN GB82 WEST 1234 5698 7654 32", ["iban"]), ("NIE X1234567L", ["dni"])])
+def test_national_numbers(text, kinds):
+    assert [s["kind"] for s in pii.find_spans(text) if s["kind"] not in pii.BASE] == kinds
