@@ -58,6 +58,16 @@ def resolve_offsets(content: Column, name: Column, start: Column, end: Column) -
     return F.when(offsets_fit(content, name, start, end), given).when((F.length(name) > 0) & (found >= 0), first)
 
 
+def global_offset(base: Column | str, offset: Column | str) -> Column:
+    """An offset in a section as one in its chapter; a section without a start begins with it."""
+    return F.coalesce(col(base), F.lit(0)) + col(offset)
+
+
+def embed_version(version: Column | str) -> Column:
+    """At least 1, which is also that of a book that has none."""
+    return F.greatest(col(version), F.lit(1))
+
+
 def snippet(content: Column, start: Column, end: Column, window: int = 40) -> Column:
     lo = F.greatest(F.lit(0), start - window)
     return F.substring(content, lo + 1, end + window - lo)

@@ -91,9 +91,13 @@ def stem(word: str) -> str:
     return word
 
 
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
 def terms(text: str | None) -> list[tuple[str, int]]:
     """(stem, position from 1) of the words that are no stop words; stop words keep their positions."""
-    return [(stem(w), i) for i, w in enumerate(_WORD.findall((text or "").lower()), 1) if w not in STOP]
+    return [(stem(w), i) for i, w in enumerate(words(text), 1) if w not in STOP]
 
 
 @dataclass(frozen=True)

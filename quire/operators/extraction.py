@@ -35,14 +35,14 @@ def entities(clusters: DataFrame) -> DataFrame:
 
 
 def _placed(payloads: DataFrame, field: str, name: str) -> DataFrame:
-    rows = payloads.select("book_id", "chapter_id", "section_id", "content", F.coalesce("char_offset_start", F.lit(0)).alias("base"), F.explode(f"payload.{field}").alias("e"))
+    rows = payloads.select("book_id", "chapter_id", "section_id", "content", F.col("char_offset_start").alias("base"), F.explode(f"payload.{field}").alias("e"))
     rows = rows.where(f"e.{name} IS NOT NULL AND trim(e.{name}) != ''")
     rows = rows.withColumn("at", C.resolve_offsets(F.col("content"), F.col(f"e.{name}"), F.col("e.offset_start"), F.col("e.offset_end")))
     return rows.where("at IS NOT NULL").withColumns(
         {
             "context": C.snippet(F.col("content"), F.col("at.start"), F.col("at.end")),
-            "char_offset_start": F.col("base") + F.col("at.start"),
-            "char_offset_end": F.col("base") + F.col("at.end"),
+            "char_offset_start": C.global_offset("base", "at.start"),
+            "char_offset_end": C.global_offset("base", "at.end"),
         }
     )
 
@@ -62,12 +62,12 @@ def dates(payloads: DataFrame) -> DataFrame:
 
 def events(payloads: DataFrame, entities_: DataFrame) -> DataFrame:
     """Events with an anchor in their section, and the book's entities that the description names (null for none)."""
-    rows = payloads.select("book_id", "chapter_id", "section_id", F.length("content").alias("n"), F.coalesce("char_offset_start", F.lit(0)).alias("base"), F.posexplode("payload.events").alias("i", "e"))
+    rows = payloads.select("book_id", "chapter_id", "section_id", F.length("content").alias("n"), F.col("char_offset_start").alias("base"), F.posexplode("payload.events").alias("i", "e"))
     rows = rows.where("e.description IS NOT NULL AND trim(e.description) != ''").withColumn("anchor", F.col("e.anchor_offset").try_cast("int"))
     rows = rows.withColumn("anchor", F.when((F.col("anchor") >= 0) & (F.col("anchor") < F.col("n")), F.col("anchor")).otherwise(0))
     # a book's entities are few: one array a book, so the substring test is no join of pairs
     named = entities_.groupBy("book_id").agg(F.collect_list(F.struct("entity_id", F.lower("name").alias("name"))).alias("known"))
     rows = rows.join(named, "book_id", "left")
     ids = F.transform(F.filter("known", lambda k: F.lower("e.description").contains(k["name"])), lambda k: k["entity_id"])
-    at = (F.col("base") + F.col("anchor")).alias("char_offset_start")
+    at = C.global_offset("base", "anchor").alias("char_offset_start")
     return rows.select("book_id", "chapter_id", "section_id", F.col("e.description").alias("description"), F.lit(None).cast("string").alias("event_date"), F.when(F.size(ids) > 0, ids).alias("entity_ids"), at, at.alias("char_offset_end"))

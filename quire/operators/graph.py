@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_TERMS = 10_000
+
+
 def entity_sections(entities: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Each entity with its sections (a repeated one as often as it occurs), none as []."""
     at = occurrences.where("section_id IS NOT NULL").groupBy("book_id", "entity_id").agg(F.collect_list("section_id").alias("section_ids"))
@@ -27,6 +30,14 @@ def edges(mentions: DataFrame, top: int | None = None) -> DataFrame:
     return out if top is None else out.limit(top)
 
 
+def edge_lines(top_edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(a, b, shared, block, line) of short edges: block ``people`` where both ends are persons, else ``places``."""
+    person = entities.groupBy("name").agg(F.bool_or(F.col("entity_type") == "PERSON").alias("person"))
+    rows = top_edges.join(person.select(F.col("name").alias("a"), F.col("person").alias("pa")), "a", "left").join(person.select(F.col("name").alias("b"), F.col("person").alias("pb")), "b", "left")
+    block = F.when(F.col("pa") & F.col("pb"), "people").otherwise("places")
+    return rows.select("a", "b", "shared", block.alias("block"), F.format_string("  %s + %s: %d", "a", "b", "shared").alias("line")).orderBy(F.desc("shared"), "a", "b")
+
+
 def read_set(top_edges: DataFrame, mentions: DataFrame, event_sections: DataFrame, most: int = 8) -> DataFrame:
     """The sections to read: those of an edge and an event first, then by edges, names and id.
 
@@ -48,7 +59,10 @@ def principal_events(events: DataFrame, top_edges: DataFrame, entities: DataFram
     ends = top_edges.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     people = entities.where("entity_type = 'PERSON'").join(ends, "name", "left_semi")
     terms = people.select(F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("t")).select(F.lower("t").alias("t"))
-    # at most two names an edge and their aliases: one array, so the test stays a row's own expression
-    every = terms.agg(F.collect_set("t").alias("terms"))
-    rows = events.crossJoin(F.broadcast(every))
-    return rows.where((F.size("terms") == 0) | F.exists("terms", lambda t: F.lower("description").contains(t))).drop("terms")
+    # two names an edge at most and their aliases: a literal of the plan, so the test stays a row's own expression
+    every = [r["t"] for r in terms.distinct().limit(MOST_TERMS + 1).collect()]
+    if len(every) > MOST_TERMS:
+        raise ValueError(f"the top edges have more than {MOST_TERMS} names and aliases; take fewer of them")
+    if not every:
+        return events
+    return events.where(F.exists(F.array(*map(F.lit, every)), lambda t: F.lower("description").contains(t)))

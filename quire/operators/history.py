@@ -53,5 +53,8 @@ def reduce_input(chapters: DataFrame, most_chars: int = 50_000) -> DataFrame:
     """(book_id, text): the titles and summaries of a book's chapters in order, blank ones left out, cut to most_chars."""
     title = F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled"))
     one = F.struct("ordinal", F.concat(F.lit("## "), title, F.lit("\n"), F.col("summary")).alias("text"))
-    rows = chapters.where(F.trim(F.coalesce("summary", F.lit(""))) != "").groupBy("book_id").agg(F.sort_array(F.collect_list(one)).alias("c"))
+    rows = chapters.where(F.trim(F.coalesce("summary", F.lit(""))) != "")
+    # a chapter takes six characters at least, so only so many of a book's first ones can have a place; the rest never meet
+    first = F.row_number().over(W.partitionBy("book_id").orderBy("ordinal"))
+    rows = rows.withColumn("__n", first).where(F.col("__n") <= most_chars // 6 + 1).groupBy("book_id").agg(F.sort_array(F.collect_list(one)).alias("c"))
     return rows.select("book_id", F.substring(F.array_join(F.transform("c", lambda x: x["text"]), "\n\n"), 1, most_chars).alias("text"))

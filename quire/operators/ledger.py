@@ -32,6 +32,18 @@ def pending(units: DataFrame, ledger: DataFrame, stage: str, unit_col: str) -> D
     return units.join(done, ["book_id", unit_col], "left_anti")
 
 
+def pending_vectors(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Body chunks without a vector."""
+    return chunks.where("is_body").join(embeddings.where("embedding IS NOT NULL").select("chunk_id"), "chunk_id", "left_anti")
+
+
+def embedding_progress(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(book_id, chunks, embedded, pending) of the body chunks of each book."""
+    has = embeddings.where("embedding IS NOT NULL").select("chunk_id", F.lit(1).alias("__has"))
+    rows = chunks.where("is_body").join(has, "chunk_id", "left")
+    return rows.groupBy("book_id").agg(F.count("*").alias("chunks"), F.count("__has").alias("embedded"), F.count_if(F.col("__has").isNull()).alias("pending"))
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """table with rows in place of those of their keys."""
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)

@@ -23,7 +23,8 @@ def chapter(chapters: DataFrame, number: int) -> DataFrame:
 
 def outline(chapters: DataFrame, up_to_chapter: int | None = None, chapter_: int | None = None) -> DataFrame:
     rows = chapters.where(F.col("is_body") & in_scope("number", up_to_chapter, chapter_))
-    return rows.select("ordinal", "number", "title", "micro_summary", "summary").orderBy("ordinal")
+    book = ["book_id"] if "book_id" in chapters.columns else []
+    return rows.select(*book, "ordinal", "number", "title", "micro_summary", "summary").orderBy(*book, "ordinal")
 
 
 def entities(entities_: DataFrame, occurrences: DataFrame, chapters: DataFrame, name: str, up_to_chapter: int | None = None, chapter_: int | None = None) -> DataFrame:
@@ -65,6 +66,26 @@ def books(books_: DataFrame, chapters: DataFrame) -> DataFrame:
     return books_.join(n, "book_id", "left").select("book_id", "title", "author", "status", "created_at", F.coalesce("chapter_count", F.lit(0)).alias("chapter_count"), url.alias("cover_url")).orderBy(F.desc("created_at"), "book_id")
 
 
+def numbered(sections: DataFrame, chapters: DataFrame) -> DataFrame:
+    """sections (section_id, chapter_id, ...) with the display number of each one's chapter, 0 where there is none."""
+    numbers = chapters.select("chapter_id", "number")
+    return sections.join(numbers, "chapter_id", "left").withColumn("number", F.coalesce("number", F.lit(0)))
+
+
+def body_counts(sections: DataFrame) -> DataFrame:
+    """(book_id, sections, body, body_chapters): sections, those of the body, and the chapters that have such."""
+    chapter = F.countDistinct(F.when(F.col("is_body"), F.col("chapter_id")))
+    return sections.groupBy("book_id").agg(F.count("*").alias("sections"), F.count_if("is_body").alias("body"), chapter.alias("body_chapters"))
+
+
+def occurrence_text(found: DataFrame, most: int = 5, chars: int = 120) -> DataFrame:
+    """(entity_id, text) of the rows of entities(): a head with the count, and a line for each of the first contexts that is not blank."""
+    first = F.transform(F.slice("occurrences", 1, most), lambda o: F.trim(F.coalesce(o["context"], F.lit(""))))
+    lines = F.transform(F.filter(first, lambda c: c != ""), lambda c: F.concat(F.lit("  • "), F.substring(c, 1, chars)))
+    head = F.format_string("%s (%s): %d occurrence(s)", "name", "entity_type", F.size("occurrences"))
+    return found.select("entity_id", F.array_join(F.concat(F.array(head), lines), "\n").alias("text"))
+
+
 def counts(chapters: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
     one = lambda d, n: d.agg(F.count("*").alias(n))
     return one(chapters, "chapters").crossJoin(one(sections, "sections")).crossJoin(one(chunks, "chunks"))  # one row each

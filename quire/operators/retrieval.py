@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import english, questions
 
-FUSION_K, LEXICAL_BOOST, DATE_WEIGHT = 60, 1.5, 0.5
+FUSION_K, LEXICAL_BOOST, DATE_WEIGHT, READ_FIRST = 60, 1.5, 0.5, 3
 
 
 def in_scope(number: Column | str, up_to_chapter: int | None = None, chapter: int | None = None) -> Column:
@@ -58,23 +58,44 @@ def postings(sections: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def lexical_search(posts: DataFrame, sections: DataFrame, query: str, top_k: int = 20, n_sections: int | None = None, mean_length: float | None = None) -> DataFrame:
-    """(section_id, score) of the best body sections that satisfy the query, by BM25 over its positive words.
+def _query(query: str) -> tuple[list[list[english.Clause]], list[str]]:
+    """The alternatives that can match, and all their words; one that only excludes has nothing to rank by, and matches nothing."""
+    alternatives = [a for a in english.parse(query) if not all(c.negative for c in a)]
+    return alternatives, sorted({w for a in alternatives for c in a for w, _ in c.words})
+
 
-    Only the postings of the query's words are read (a pushed filter on term). A section's postings
-    for them meet in one small group, at most one row a word.
+def scan_terms(sections: DataFrame, words: list[str]) -> DataFrame:
+    """(section_id, is_body, length, at) of each section: its number of terms, and where those of ``words`` stand (stem -> positions).
+
+    Without an index, in one Arrow pass: only words that start like a stem of ``words`` (a stem differs from its word in its last
+    two letters at most) go to the stemmer.
+    """
+    starts, wanted = tuple(sorted({w[: max(1, len(w) - 2)] for w in words})), frozenset(words)
+
+    def one(text: str | None) -> tuple[int, list]:
+        found = english.words(text)
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(found, 1):
+            if w.startswith(starts) and w not in english.STOP and (t := english.stem(w)) in wanted:
+                at.setdefault(t, []).append(i)
+        return len(found) - sum(map(english.STOP.__contains__, found)), list(at.items())
+
+    def run(batches):
+        for b in batches:
+            got = [one(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([n for n, _ in got], pa.int32()), pa.array([at for _, at in got], pa.map_(pa.string(), pa.list_(pa.int32())))], ["section_id", "is_body", "length", "at"])
+
+    kind = sections.schema["section_id"].dataType.simpleString()
+    rows = sections.select("section_id", "is_body", F.col("content").cast("string"))
+    return rows.mapInArrow(run, f"section_id {kind}, is_body boolean, length int, at map<string,array<int>>").where("length > 0")
+
+
+def _best(per: DataFrame, alternatives: list[list[english.Clause]], stats, top_k: int) -> DataFrame:
+    """(section_id, score) of the top_k rows of per (section_id, length, at) that satisfy the query, by BM25 over its positive words.
+
+    stats has the number of sections (n), their mean length (l) and, by word, in how many of them it is (d0, d1, ...).
     """
-    # an alternative that only excludes has nothing to rank by, and matches nothing
-    alternatives = [a for a in english.parse(query) if not all(c.negative for c in a)]
     words = sorted({w for a in alternatives for c in a for w, _ in c.words})
-    if not words:
-        return sections.select("section_id", F.lit(0.0).alias("score")).limit(0)
-    hits = posts.where(F.col("term").isin(words)).join(sections.where("is_body").select("section_id"), "section_id")
-    if n_sections is None or mean_length is None:
-        size = posts.select("section_id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("l")).first()
-        n_sections, mean_length = size["n"], size["l"] or 1.0
-    df = {r["term"]: r["n"] for r in posts.where(F.col("term").isin(words)).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    per = hits.groupBy("section_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.max("length").alias("length"))
 
     def holds(c: english.Clause) -> Column:
         at = lambda w: F.try_element_at("at", F.lit(w))
@@ -85,17 +106,43 @@ def lexical_search(posts: DataFrame, sections: DataFrame, query: str, top_k: int
         return ~here if c.negative else here
 
     match = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, map(holds, a)) for a in alternatives))
-    wanted = sorted({w for a in alternatives for c in a if not c.negative for w, _ in c.words})
-    score = F.lit(0.0)
-    for w in wanted:
-        tf = F.coalesce(F.size(F.try_element_at("at", F.lit(w))), F.lit(0))
-        tf = F.when(tf > 0, tf).otherwise(0).cast("double")
-        n = df.get(w, 0)
-        idf = F.log(F.lit(1 + (n_sections - n + 0.5) / (n + 0.5)))
-        score = score + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("length") / mean_length))
+    score, wanted = F.lit(0.0), {w for a in alternatives for c in a if not c.negative for w, _ in c.words}
+    for i, w in enumerate(words):
+        if w in wanted:
+            tf = F.coalesce(F.size(F.try_element_at("at", F.lit(w))), F.lit(0))
+            tf = F.when(tf > 0, tf).otherwise(0).cast("double")
+            idf = F.log(F.lit(1 + (stats["n"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)))
+            score = score + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("length") / (stats["l"] or 1.0)))
     return per.where(match).select("section_id", score.alias("score")).orderBy(F.desc("score"), "section_id").limit(top_k)
 
 
+def lexical_search(posts: DataFrame, sections: DataFrame, query: str, top_k: int = 20) -> DataFrame:
+    """(section_id, score) of the best body sections that satisfy the query, from the postings.
+
+    The positions of the query's words alone are read (a pushed filter on term), and a section's meet in one
+    small group, at most one row a word. What the score needs to know of all sections is one aggregate.
+    """
+    alternatives, words = _query(query)
+    if not words:
+        return sections.select("section_id", F.lit(0.0).alias("score")).limit(0)
+    each = posts.groupBy("section_id").agg(F.max("length").alias("length"), *(F.max((F.col("term") == w).cast("int")).alias(f"d{i}") for i, w in enumerate(words)))
+    stats = each.agg(F.count("*").alias("n"), F.avg("length").alias("l"), *(F.coalesce(F.sum(f"d{i}"), F.lit(0)).alias(f"d{i}") for i in range(len(words)))).first()
+    hits = posts.where(F.col("term").isin(words)).join(sections.where("is_body").select("section_id"), "section_id")
+    per = hits.groupBy("section_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.max("length").alias("length"))
+    return _best(per, alternatives, stats, top_k)
+
+
+def text_search(sections: DataFrame, query: str, top_k: int = 20) -> DataFrame:
+    """As lexical_search, from the texts themselves (section_id, is_body, content): two scans of them, and no index."""
+    alternatives, words = _query(query)
+    if not words:
+        return sections.select("section_id", F.lit(0.0).alias("score")).limit(0)
+    every = scan_terms(sections, words)
+    has = (F.coalesce(F.sum(F.map_contains_key("at", F.lit(w)).cast("int")), F.lit(0)).alias(f"d{i}") for i, w in enumerate(words))
+    stats = every.agg(F.count("*").alias("n"), F.avg("length").alias("l"), *has).first()
+    return _best(every.where("is_body"), alternatives, stats, top_k)
+
+
 # vectors
 
 
@@ -163,3 +210,8 @@ def hybrid_search(lexical: DataFrame, semantic: DataFrame, dates: DataFrame | No
         lists.append(ranked(dates, F.asc("section_id")))
         weights.append(DATE_WEIGHT)
     return fuse(lists, weights).select("section_id", "score").limit(top_k)
+
+
+def first_sections(hits: DataFrame, n: int = READ_FIRST) -> DataFrame:
+    """The first n of a search's hits, which are those that are read."""
+    return hits.limit(n)

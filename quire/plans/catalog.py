@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quire.functions import columns as C
 from quire.functions import questions as Q
 from quire.operators import extraction, graph, history, ledger, lookups, quotes, retrieval, segment
-from quire.operators.numbering import number_rows
+from quire.operators.numbering import running_sums
+from quire.plans import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,15 +39,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 # the library
 
 
-def chapters(spark: SparkSession, d: str, text: bool = False, first: int | None = None) -> DataFrame:
-    """book_id, chapter_id, ordinal, is_body, number (and text, or its first characters where no more are used)."""
-    held = F.substring("text", 1, first).alias("text") if first else F.col("text")
-    docs = read(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), *([held] if text else []))
+def chapters(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
+    """book_id, chapter_id, ordinal, is_body, number (and text)."""
+    docs = read(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), *(["text"] if text else []))
     quality = read(spark, d, "labels").groupBy(F.col("doc_id").alias("chapter_id")).agg(F.max("quality").alias("quality"))
     rows = docs.join(quality, "chapter_id", "left").withColumn("is_body", F.coalesce("quality", F.lit(1)) == 1).drop("quality")
-    rows = number_rows(rows, ["book_id"], "chapter_id", "ordinal", start=0)
-    rows = number_rows(rows, ["book_id", "is_body"], "chapter_id", "number")
-    return rows.withColumn("number", F.when(F.col("is_body"), F.col("number")))
+    rows = running_sums(rows, ["book_id"], "chapter_id", {"ordinal": F.lit(1), "number": F.col("is_body").cast("int")})
+    return rows.withColumns({"ordinal": F.col("ordinal") - 1, "number": F.when(F.col("is_body"), F.col("number"))})
 
 
 CH = """
@@ -60,9 +59,13 @@ num AS (SELECT *, CASE WHEN is_body THEN (row_number() OVER (PARTITION BY book_i
 """
 
 
-@query("SELECT source AS book_id, count(doc_id) AS chapter_count, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
+@query("SELECT c_custkey AS book_id, c_name AS title, count(o_orderkey) AS chapter_count, 'data:image/png;base64,' || to_base64(c_name::BLOB) AS cover_url FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
 def book_list(spark, d):
-    return read(spark, d, "documents").groupBy(F.col("source").alias("book_id")).agg(F.count("doc_id").alias("chapter_count"), F.sum("n_chars").alias("chars"))
+    """The library's listing, with customers as books and orders as their chapters; some have none."""
+    c = read(spark, d, "customer")
+    books = c.select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("title"), F.lit("x").alias("author"), F.lit("ready").alias("status"), F.lit(0).alias("created_at"), F.lit("image/png").alias("cover_mime"), F.col("c_name").cast("binary").alias("cover_data"))
+    chapters_ = read(spark, d, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("chapter_id"))
+    return lookups.books(books, chapters_).select("book_id", "title", "chapter_count", "cover_url")
 
 
 @query(f"WITH {CH} SELECT book_id, chapter_id, ordinal, is_body, number FROM num")
@@ -70,10 +73,11 @@ def chapter_numbers(spark, d):
     return chapters(spark, d).select("book_id", "chapter_id", "ordinal", "is_body", "number")
 
 
-@query(f"WITH {CH} SELECT book_id, ordinal, number, 'Chapter ' || number AS title, text[:80] AS micro FROM num WHERE is_body AND number <= 3")
+@query(f"WITH {CH} SELECT book_id, ordinal, number, NULL::VARCHAR AS title, md5(text) AS micro FROM num WHERE is_body AND number <= 3")
 def chapter_outline_scoped(spark, d):
-    rows = chapters(spark, d, text=True).where(F.col("is_body") & retrieval.in_scope("number", up_to_chapter=3))
-    return rows.select("book_id", "ordinal", "number", C.display_title(F.lit(""), "number").alias("title"), F.substring("text", 1, 80).alias("micro"))
+    """The outline of the chapters up to a ceiling, of each book: the digest of a text stands for its summary."""
+    rows = chapters(spark, d, text=True).select("book_id", "ordinal", "number", "is_body", F.lit(None).cast("string").alias("title"), F.md5(F.col("text").cast("binary")).alias("micro_summary"), F.lit("").alias("summary"))
+    return lookups.outline(rows, up_to_chapter=3).select("book_id", "ordinal", "number", "title", F.col("micro_summary").alias("micro"))
 
 
 @query(f"WITH {CH} SELECT book_id, chapter_id, number, 'Chapter ' || number AS title FROM num WHERE is_body AND number = 2")
@@ -94,36 +98,40 @@ def _rfind(kind: str, s: str, pos: str) -> str:
     return f"CASE WHEN instr(reverse({s}), reverse({kind})) > 0 THEN {pos} + length({s}) - instr(reverse({s}), reverse({kind})) - length({kind}) + 1 ELSE -1 END"
 
 
-def _windows_sql(rows: str, size: int, bound: str, step: str) -> str:
-    """CTE ``part`` of (id, text, pos, e): the windows with both ends, from where each one starts."""
+def _windows_sql(rows: str, size: int, bound: str, step: str, name: str = "part") -> str:
+    """CTE ``name`` of (id, text, pos, e): the windows with both ends, from where each one starts."""
     kinds = [("E'\\n\\n'", 0), ("'. '", 2), ("'! '", 2), ("'? '", 2)]
     ends = " ".join(f"WHEN {_rfind(k, 's', 'p')} > {bound} THEN {_rfind(k, 's', 'p')} + {plus}" for k, plus in kinds)
     return f"""
-part AS (
+{name} AS (
   SELECT id, text, pos, CASE WHEN hard >= length(text) THEN hard {ends} ELSE hard END AS e
   FROM (SELECT id, text, 0 AS pos, 0 AS p, least({size}, length(text)) AS hard, substring(text, 1, {size}) AS s FROM {rows} WHERE length(text) > 0)
   UNION ALL
   SELECT id, text, p AS pos, CASE WHEN hard >= length(text) THEN hard {ends} ELSE hard END AS e
   FROM (
     SELECT id, text, p, least(p + {size}, length(text)) AS hard, substring(text, p + 1, {size}) AS s
-    FROM (SELECT id, text, e, {step} AS p FROM part WHERE e < length(text))
+    FROM (SELECT id, text, e, {step} AS p FROM {name} WHERE e < length(text))
   )
 )"""
 
 
 CHUNK_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE length(text) <= 40000),
-{_windows_sql("d", 1536, "p + 768", "greatest(pos + 1, e - 200)")}
-SELECT id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::INT AS ordinal, pos::INT AS char_start,
-  (pos + length(regexp_replace(substring(text, pos + 1, e - pos), '\\s+$', '')))::INT AS char_end,
+WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents),
+long AS (SELECT id, text FROM d WHERE length(text) > 40000),
+{_windows_sql("long", 40000, "p + hard // 4", "e")},
+cut AS (SELECT id, pos, substring(text, pos + 1, e - pos) AS raw FROM part UNION ALL SELECT id, 0, text FROM d WHERE length(text) <= 40000),
+section AS (SELECT {{'doc': id, 'at': pos + length(raw) - length(regexp_replace(raw, '^\\s+', ''))}} AS id, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS text FROM cut),
+{_windows_sql("section", 1536, "p + 768", "greatest(pos + 1, e - 200)", "chunk")}
+SELECT id.doc AS doc_id, (row_number() OVER (PARTITION BY id.doc ORDER BY id.at, pos) - 1)::INT AS ordinal, (id.at + pos)::INT AS char_start,
+  (id.at + pos + length(regexp_replace(substring(text, pos + 1, e - pos), '\\s+$', '')))::INT AS char_end,
   md5(regexp_replace(substring(text, pos + 1, e - pos), '^\\s+|\\s+$', '', 'g')) AS digest
-FROM part WHERE length(regexp_replace(substring(text, pos + 1, e - pos), '\\s+', '', 'g')) > 0
+FROM chunk WHERE length(regexp_replace(substring(text, pos + 1, e - pos), '\\s+', '', 'g')) > 0
 """
 
 
 @query(CHUNK_SQL)
 def chunk_split(spark, d):
-    """Chunks of all texts, section by section; the SQL has only the texts of up to 40,000 characters, which are one section."""
+    """Chunks of all texts, section by section."""
     docs = read(spark, d, "documents").withColumn("text", C.strip("text"))
     from quire.functions import passages
 
@@ -157,27 +165,31 @@ def section_split_lowcap(spark, d):
 @query(f"WITH RECURSIVE {SECTIONS_CTE} SELECT doc_id, count(*) AS sections, md5(string_agg(content, E'\\n\\n' ORDER BY ordinal)) AS digest FROM sec GROUP BY 1")
 def chapter_concat(spark, d):
     """A chapter's sections in order as one text; only a chapter's own sections meet."""
-    parts = low_sections(spark, d).groupBy(F.col("chapter_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "content"))).alias("s"))
-    return parts.select("doc_id", F.size("s").cast("long").alias("sections"), F.md5(F.array_join(F.transform("s", lambda x: x["content"]), "\n\n").cast("binary")).alias("digest"))
+    rows = low_sections(spark, d)
+    counts = rows.groupBy("chapter_id").agg(F.count("*").alias("sections"))
+    texts = stages.chapter_texts(rows).join(counts, "chapter_id")
+    return texts.select(F.col("chapter_id").alias("doc_id"), "sections", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(
     f"""
-WITH {CH}, s AS (SELECT book_id, is_body, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM ch WHERE length(regexp_replace(text, '\\s+', '', 'g')) > 0),
+WITH RECURSIVE {CH}, {SECTIONS_CTE}, s AS (SELECT book_id, is_body, length(content) AS n FROM sec JOIN ch ON chapter_id = doc_id),
 a AS (
   SELECT book_id, count(*) FILTER (WHERE is_body) AS b, min(n) FILTER (WHERE is_body) AS lo, max(n) FILTER (WHERE is_body) AS hi,
-    count(*) FILTER (WHERE is_body AND n < 100) AS tiny, sum(n) AS total, count(*) FILTER (WHERE ceil(n / 4.0) > 5000) AS big FROM s GROUP BY 1
-), r AS (SELECT book_id, sum(length(text)) AS raw, count(*) FILTER (WHERE is_body) AS nb FROM ch GROUP BY 1)
-SELECT book_id, ((nb < 1)::INT + (coalesce(big, 0) > 0)::INT + coalesce(lo > 0 AND hi / lo > 500, false)::INT + coalesce(b >= 10 AND tiny / b > 0.4, false)::INT
-  + coalesce(raw > 0 AND (total / raw < 0.75 OR total / raw > 1.25), false)::INT + (coalesce(b, 0) < 1)::INT)::INT AS issues
+    count(*) FILTER (WHERE is_body AND n < 100) AS tiny, sum(n) AS total, count(*) FILTER (WHERE ceil(n / 4.0) > 450) AS big FROM s GROUP BY 1
+), r AS (SELECT book_id, sum(length(text)) AS raw, count(*) AS n, count(*) FILTER (WHERE is_body) AS nb FROM ch GROUP BY 1)
+SELECT book_id, ((nb < 1)::INT + (n > 50)::INT + (coalesce(big, 0) > 0)::INT + coalesce(lo > 0 AND hi / lo > 100, false)::INT + coalesce(b >= 10 AND tiny / b > 0.05, false)::INT
+  + coalesce(raw > 0 AND (total / raw < 0.99 OR total / raw > 1.01), false)::INT + (coalesce(b, 0) < 1)::INT)::INT AS issues
 FROM r LEFT JOIN a USING (book_id)
 """
 )
 def validation_gate(spark, d):
+    """The gate over real sections and chunks, with bounds that some books of these tables fail."""
     ch = chapters(spark, d, text=True)
-    sec = ch.select("book_id", "is_body", C.strip("text").alias("content")).where("content != ''")
+    sec = segment.sections(ch, LOW_CAP)
     raw = ch.groupBy("book_id").agg(F.sum(F.length("text")).alias("raw_length"))
-    return segment.gate(ch, sec, sec, raw, cap_tokens=5000).select("book_id", F.size("issues").alias("issues"))
+    issues = segment.gate(ch, sec, segment.chunks(sec), raw, cap_tokens=450, most_chapters=50, widest=100, most_tiny=0.05, drift=0.01)
+    return issues.select("book_id", F.size("issues").alias("issues"))
 
 
 # questions
@@ -188,11 +200,11 @@ ASKED = [
     'Who said "all is well"?', "What did Maria do in 1984?", "why did it rain in may", "On 3/4/1999 what happened", "who", "Where is the old man with the very long white beard and Tom Sawyer mentioned",
     "first and last lines of the poem", "two or three short moments", "the tenth", "Tell me 12 things",
 ]
-ASKED_SQL = "asked(q) AS (VALUES " + ", ".join("('" + q.replace("'", "''") + "')" for q in ASKED) + "), a AS (SELECT q FROM asked UNION ALL SELECT DISTINCT text FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7f]*'))"
+ASKED_SQL = "asked(q) AS (VALUES " + ", ".join("('" + q.replace("'", "''") + "')" for q in ASKED) + "), a AS (SELECT q FROM asked UNION ALL SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL)"
 
 
 def asked(spark, d):
-    """The questions above, and all that was said in conversations; the SQL has what is ASCII, where the two engines' word bounds agree."""
+    """The questions above, and all that was said in conversations."""
     said = read(spark, d, "conversations").where("text IS NOT NULL").select(F.col("text").alias("q")).distinct()
     return spark.createDataFrame([(q,) for q in ASKED], "q string").unionByName(said)
 
@@ -234,7 +246,16 @@ def quote_count(spark, d):
     return rows.select(F.md5(F.col("q").cast("binary")).alias("question"), "count", Q.quote_plan("count")["want"].alias("want"), Q.quote_plan("count")["sections"].alias("sections"))
 
 
-@query()
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_ENTITY = _STRIP("regexp_replace(" + _STRIP(f"regexp_replace(q, '{Q.ASK_PREFIX}', '')") + f", '{Q.ASK_SUFFIX}', '')")
+
+
+@query(
+    # Latin letters beyond ASCII count as part of a word, as they do in Spark's expressions
+    rf"""WITH {ASKED_SQL}, s AS (SELECT q, {_ENTITY} AS s FROM a), n AS (SELECT q, s, regexp_extract_all(regexp_replace(s, '[À-ÖØ-öø-ɏ]', '_', 'g'), '{Q.CAPITALIZED.replace("'", "''")}') AS names FROM s)
+ SELECT md5(q) AS question, CASE WHEN len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) > 4 AND len(names) > 0 THEN array_to_string(names, ' ') ELSE coalesce(nullif(s, ''), q) END AS name,
+ CASE {" ".join(f"WHEN contains(lower(q), '{r}') THEN '{r}'" for r in Q.RECIPES)} ELSE 'generic_fallback' END AS recipe FROM n"""
+)
 def entity_name(spark, d):
     return asked(spark, d).select(F.md5(F.col("q").cast("binary")).alias("question"), Q.entity_name("q").alias("name"), Q.recipe_label("q").alias("recipe"))
 
@@ -290,8 +311,7 @@ FROM c, g WHERE is_body AND tf > 0 AND bad = 0 ORDER BY ln(1 + (docs - df + 0.5)
 
 @query(_bm25_sql("thing", "question", 20))
 def lexical_topk(spark, d):
-    s = _text_sections(spark, d)
-    return retrieval.lexical_search(retrieval.postings(s), s, "things -question", 20).select("section_id", F.round("score", 6).alias("score"))
+    return retrieval.text_search(_text_sections(spark, d), "things -question", 20).select("section_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -309,16 +329,6 @@ def rrf_fuse(spark, d):
     return retrieval.fuse(lists, [1.5, 1.0]).select("section_id", F.round("score", 9).alias("score"))
 
 
-@query()
-def hybrid_search(spark, d):
-    s = _text_sections(spark, d)
-    text = "the thing in may"
-    lexical = retrieval.lexical_search(retrieval.postings(s), s, text, 20)
-    near = retrieval.semantic_search(vectors(spark, d).withColumn("section_id", F.col("section_id").cast("string")), first_vector(spark, d), 20)
-    dates = retrieval.date_sections(order_dates(spark, d).withColumn("section_id", F.col("section_id").cast("string")), text)
-    return retrieval.hybrid_search(lexical, near, dates, False).select("section_id", F.round("score", 9).alias("score"))
-
-
 # dates, entities, events
 
 
@@ -349,16 +359,22 @@ def nations(spark, d):
     return n.select(F.lit("world").alias("book_id"), F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("name"), kind.alias("entity_type"), F.array("r_name").alias("aliases"))
 
 
+def nation_places(spark, d):
+    """Suppliers as the places where their nations occur."""
+    s = read(spark, d, "supplier")
+    key = F.col("s_suppkey")
+    return s.select(F.lit("world").alias("book_id"), F.col("s_nationkey").alias("entity_id"), key.cast("string").alias("section_id"), key.cast("string").alias("chapter_id"), key.cast("int").alias("char_offset_start"), key.cast("int").alias("char_offset_end"), F.col("s_name").alias("context"))
+
+
 @query(
     """
 SELECT n_name AS name, count(s_suppkey) AS occurrences, min(s_suppkey) AS first_offset
-FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0
+FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey
 WHERE n_name ILIKE '%n%' OR r_name ILIKE '%n%' GROUP BY 1
 """
 )
 def entity_lookup(spark, d):
-    at = read(spark, d, "supplier").select(F.lit("world").alias("book_id"), F.col("s_nationkey").alias("entity_id"), F.col("s_suppkey").cast("string").alias("section_id"), F.col("s_suppkey").cast("int").alias("char_offset_start"), F.col("s_suppkey").cast("int").alias("char_offset_end"), F.col("s_name").alias("context"))
-    rows = lookups.entities(nations(spark, d), at, chapters(spark, d), "n")
+    rows = lookups.entities(nations(spark, d), nation_places(spark, d), chapters(spark, d), "n")
     return rows.select("name", F.size("occurrences").cast("long").alias("occurrences"), F.get("occurrences", F.lit(0))["char_offset_start"].cast("long").alias("first_offset"))
 
 
@@ -426,7 +442,7 @@ def expand_section(spark, d):
 
 @query(
     """
-WITH t AS (SELECT doc_id, text, (doc_id % 7)::INT AS s, (doc_id % 7 + 3)::INT AS e, instr(lower(text), 'the')::INT AS i FROM documents WHERE lang = 'en'),
+WITH t AS (SELECT doc_id, text, (doc_id % 7)::INT AS s, (doc_id % 7 + 3)::INT AS e, instr(lower(text), 'the')::INT AS i FROM documents),
 r AS (SELECT *, e <= length(text) AND (contains(lower(text[s + 1 : e]), 'the') OR contains('the', lower(text[s + 1 : e]))) AS fits FROM t),
 f AS (SELECT doc_id, text, CASE WHEN fits THEN s WHEN i > 0 THEN i - 1 END AS s, CASE WHEN fits THEN e WHEN i > 0 THEN i + 2 END AS e FROM r)
 SELECT doc_id, s AS char_start, e AS char_end, text[greatest(0, s - 40) + 1 : e + 40] AS context FROM f WHERE s IS NOT NULL
@@ -480,7 +496,7 @@ def history_cap(spark, d):
 
 @query(
     f"""
-WITH RECURSIVE {CH}, b AS (SELECT book_id, number, trim(text[:700]) AS f, trim(text[:60]) AS m FROM num WHERE is_body AND number <= 30),
+WITH RECURSIVE {CH}, b AS (SELECT book_id, number, trim(text) AS f, md5(text) AS m FROM num WHERE is_body),
 w AS (
   SELECT book_id, 0 AS n, 0::BIGINT AS used, ''::VARCHAR AS out FROM (SELECT DISTINCT book_id FROM b)
   UNION ALL
@@ -491,8 +507,10 @@ SELECT book_id, arg_max(out, n) AS outline FROM w GROUP BY 1
 """
 )
 def outline_fold(spark, d):
-    rows = chapters(spark, d, text=True, first=700).where("is_body")
-    return history.outline(rows.select("book_id", "ordinal", "number", F.lit("").alias("title"), F.substring("text", 1, 700).alias("summary"), F.substring("text", 1, 60).alias("micro_summary")))
+    """Whole texts stand for summaries, their digests for micro summaries."""
+    rows = chapters(spark, d, text=True).where("is_body")
+    return history.outline(rows.select("book_id", "ordinal", "number", F.lit("").alias("title"), F.col("text").alias("summary"), F.md5(F.col("text").cast("binary")).alias("micro_summary")))
+
 
 
 # the ledger
@@ -534,28 +552,59 @@ def counts_report(spark, d):
 
 @query("SELECT d.source AS book_id, count(*) AS chunks, count(e.vec_id) AS embedded, count(DISTINCT CASE WHEN e.vec_id IS NULL THEN d.doc_id END) AS pending FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY 1")
 def embedding_progress(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("e"))
-    rows = read(spark, d, "documents").select("doc_id", F.col("source").alias("book_id")).join(e, "doc_id", "left")
-    return rows.groupBy("book_id").agg(F.count("*").alias("chunks"), F.count("e").alias("embedded"), F.count_if(F.col("e").isNull()).alias("pending"))
+    chunks = read(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chunk_id"), F.lit(True).alias("is_body"))
+    return ledger.embedding_progress(chunks, read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"))
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)")
+def pending_vectors(spark, d):
+    chunks = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit(True).alias("is_body"))
+    return ledger.pending_vectors(chunks, read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")).select("chunk_id")
+
+
+@query("SELECT o_orderkey, greatest(CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 3 - 1 END, 1)::INT AS version FROM orders")
+def embed_versions(spark, d):
+    held = F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 3 - 1)
+    return read(spark, d, "orders").select("o_orderkey", C.embed_version(held).cast("int").alias("version"))
 
 
-@query("SELECT event_id, CASE WHEN json_valid(props) THEN 'json' ELSE 'text' END AS kind FROM events")
+REPLY = """CASE event_id % 5
+  WHEN 0 THEN '{"answer": " ' || event_type || '", "verbatim_quotes": ["' || event_type || '", "x y"]}' WHEN 1 THEN 'Well, {"answer": "So ' || event_type || '", "verbatim_quotes": []} it is'
+  WHEN 2 THEN '{"answer": "  ", "verbatim_quotes": ["q"]}' WHEN 3 THEN '  no braces, ' || event_type || ' ' ELSE '{broken ' || event_type || '}' END"""
+
+
+@query(
+    rf"""
+WITH r AS (SELECT event_id, {REPLY} AS raw FROM events), b AS (SELECT *, regexp_extract(raw, '\{{.*\}}', 0, 's') AS inner_ FROM r),
+j AS (SELECT *, CASE WHEN json_valid(raw) THEN raw WHEN json_valid(inner_) THEN inner_ END AS js FROM b)
+SELECT event_id, coalesce(nullif(trim(js ->> 'answer'), ''), trim(raw)) AS answer, coalesce(json_array_length(js, 'verbatim_quotes'), 0)::INT AS quotes FROM j
+"""
+)
 def reader_replies(spark, d):
-    rows = read(spark, d, "events").select("event_id", "props")
-    return rows.select("event_id", F.when(F.try_parse_json("props").isNotNull(), "json").otherwise("text").alias("kind"))
+    """Readers' replies as JSON, JSON within prose, without an answer, and without JSON."""
+    rows = read(spark, d, "events").select("event_id", C.reader_reply(F.expr(REPLY)).alias("r"))
+    return rows.select("event_id", F.col("r.answer").alias("answer"), F.size("r.quotes").alias("quotes"))
+
+
+FENCED = "CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || '{\"type\": \"' || event_type || '\"}' || chr(10) || '```' WHEN 1 THEN ' {\"type\": \"' || event_type || '\"} ' ELSE '```' || chr(10) || event_type || chr(10) || '```' END"
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN event_type ELSE '{\"type\": \"' || event_type || '\"}' END AS reply, CASE WHEN event_id % 3 < 2 THEN event_type END AS type FROM events")
+def fenced_replies(spark, d):
+    """Replies without the fence that models put around them, and what they say as JSON."""
+    rows = read(spark, d, "events").select("event_id", C.fenced_json(F.expr(FENCED)).alias("reply"))
+    return rows.select("event_id", "reply", F.when(F.try_parse_json("reply").isNotNull(), F.from_json("reply", "type string")["type"]).alias("type"))
 
 
 @query(f"WITH {CH} SELECT book_id, count(*) AS sections, count(*) FILTER (WHERE is_body) AS body, count(DISTINCT CASE WHEN is_body THEN chapter_id END) AS body_chapters FROM ch GROUP BY 1")
 def body_counts(spark, d):
-    rows = chapters(spark, d)
-    return rows.groupBy("book_id").agg(F.count("*").alias("sections"), F.count_if("is_body").alias("body"), F.countDistinct(F.when(F.col("is_body"), F.col("chapter_id"))).alias("body_chapters"))
+    return lookups.body_counts(chapters(spark, d))
 
 
 @query(f"WITH {CH} SELECT vec_id AS section_id, coalesce(number, 0)::INT AS chapter FROM embeddings LEFT JOIN num ON chapter_id = vec_id")
 def section_chapter(spark, d):
-    """The display number of each section's chapter, 0 where there is none: one join for all of them."""
-    numbers = chapters(spark, d).select(F.col("chapter_id").alias("vec_id"), "number")
-    return read(spark, d, "embeddings").select("vec_id").join(numbers, "vec_id", "left").select(F.col("vec_id").alias("section_id"), F.coalesce("number", F.lit(0)).alias("chapter"))
+    sections = read(spark, d, "embeddings").select(F.col("vec_id").alias("section_id"), F.col("vec_id").alias("chapter_id"))
+    return lookups.numbered(sections, chapters(spark, d)).select("section_id", F.col("number").alias("chapter"))
 
 
 @query("SELECT n_nationkey, 'data:image/png;base64,' || to_base64(n_name::BLOB) AS url FROM nation")
@@ -563,9 +612,9 @@ def cover_urls(spark, d):
     return read(spark, d, "nation").select("n_nationkey", C.cover_url(F.lit("image/png"), F.col("n_name").cast("binary")).alias("url"))
 
 
-@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN text[:40] ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 0 THEN lang END, ''), 'No summary available.') AS summary FROM documents")
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 0 THEN lang END, ''), 'No summary available.') AS summary FROM documents")
 def summary_choice(spark, d):
-    full = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 40)).otherwise("")
+    full = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
     return read(spark, d, "documents").select("doc_id", C.any_summary(full, F.when(F.col("doc_id") % 3 == 0, F.col("lang")), "No summary available.").alias("summary"))
 
 
@@ -587,18 +636,31 @@ def evidence_render(spark, d):
     return history.evidence(rows)
 
 
-@query(f"WITH {CH} SELECT book_id, md5(left(string_agg('## Chapter ' || number || chr(10) || text[:300], chr(10) || chr(10) ORDER BY ordinal), 5000)) AS digest FROM num WHERE is_body AND number <= 40 AND trim(text[:300]) <> '' GROUP BY 1")
+@query(f"WITH {CH} SELECT book_id, md5(left(string_agg('## Chapter ' || number || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal), 5000)) AS digest FROM num WHERE is_body AND trim(text) <> '' GROUP BY 1")
 def book_reduce_input(spark, d):
-    rows = chapters(spark, d, text=True, first=300).where("is_body")
-    rows = rows.select("book_id", "ordinal", C.display_title(F.lit(""), "number").alias("title"), F.substring("text", 1, 300).alias("summary"))
+    rows = chapters(spark, d, text=True).where("is_body")
+    rows = rows.select("book_id", "ordinal", C.display_title(F.lit(""), "number").alias("title"), F.col("text").alias("summary"))
     return history.reduce_input(rows, 5000).select("book_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("SELECT n_name || ' (' || CASE WHEN n_regionkey <= 2 THEN 'PERSON' ELSE 'PLACE' END || '): ' || count(s_suppkey) || ' occurrence(s)' AS line FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_regionkey")
+@query(
+    """
+WITH o AS (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)
+SELECT n_nationkey AS entity_id, n_name || ' (' || CASE WHEN n_regionkey <= 2 THEN 'PERSON' ELSE 'PLACE' END || '): ' || count(s_name) || ' occurrence(s)'
+  || coalesce(string_agg(chr(10) || '  • ' || s_name, '' ORDER BY k) FILTER (WHERE k <= 5), '') AS text
+FROM nation LEFT JOIN o ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name, n_regionkey
+"""
+)
 def occurrence_render(spark, d):
-    at = read(spark, d, "supplier").select(F.col("s_nationkey").alias("entity_id"), F.lit("world").alias("book_id"), F.col("s_suppkey").cast("string").alias("section_id"))
-    rows = graph.entity_sections(nations(spark, d), at)
-    return rows.select(F.format_string("%s (%s): %d occurrence(s)", "name", "entity_type", F.size("section_ids")).alias("line"))
+    return lookups.occurrence_text(lookups.entities(nations(spark, d), nation_places(spark, d), chapters(spark, d), ""))
+
+
+@query("SELECT n_nationkey AS entity_id, n_name AS name, count(s_suppkey) AS n, coalesce(sum(s_suppkey), 0)::BIGINT AS total FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
+def entity_sections(spark, d):
+    """Each entity with all its sections."""
+    rows = graph.entity_sections(nations(spark, d), nation_places(spark, d))
+    total = F.aggregate("section_ids", F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return rows.select("entity_id", "name", F.size("section_ids").cast("long").alias("n"), total.alias("total"))
 
 
 @query("SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'PERSON' ELSE 'PLACE' END AS entity_type, o_custkey + 10 AS char_offset FROM orders JOIN customer ON c_custkey = o_custkey")
@@ -606,7 +668,7 @@ def typed_offsets(spark, d):
     """Types by label, and offsets moved from the section to the chapter."""
     rows = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     label = F.when(F.col("c_mktsegment") == "BUILDING", "Character").otherwise(F.col("c_mktsegment"))
-    return rows.select("o_orderkey", C.entity_type(label).alias("entity_type"), (F.coalesce("o_custkey", F.lit(0)) + 10).alias("char_offset"))
+    return rows.select("o_orderkey", C.entity_type(label).alias("entity_type"), C.global_offset("o_custkey", F.lit(10)).alias("char_offset"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'replaced' ELSE o_orderstatus END AS status FROM orders")
@@ -648,8 +710,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Full-text and vector search over the chapters up to a ceiling, fused by reciprocal rank."""
     s = _text_sections(spark, d)
     ch = chapters(spark, d).withColumn("chapter_id", F.col("chapter_id").cast("string"))
-    posts = retrieval.scoped(retrieval.postings(s), ch, up_to_chapter=20)
-    lexical = retrieval.lexical_search(posts, s, "thing", 20)
+    lexical = retrieval.text_search(retrieval.scoped(s, ch, up_to_chapter=20), "thing", 20)
     near = vectors(spark, d).withColumn("chapter_id", F.col("chapter_id").cast("string")).withColumn("section_id", F.col("section_id").cast("string"))
     near = retrieval.semantic_search(retrieval.scoped(near, ch, up_to_chapter=20), first_vector(spark, d), 20)
     return retrieval.hybrid_search(lexical, near, None, False)
+
+
+from quire.plans import recipe_queries  # noqa: E402, F401  it registers its queries here

@@ -7,6 +7,7 @@ model only for units that the ledger has no row of, and rebuilds its tables from
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,17 +21,19 @@ from quire.schema import EXTRACTION
 from quire.sources.store import Store
 
 STAGES = ["summaries", "book_summary", "entities", "embeddings", "fts"]
-CHAPTER_CHARS, BOOK_CHARS, BATCH = 12_000, 50_000, 64
+CHAPTER_CHARS, BOOK_CHARS, BATCH, SIDE_BY_SIDE = 12_000, 50_000, 64, 4
 
 
 def ask(rows: DataFrame, model: ModelClient, kinds: list[str], tokens: list[int]) -> DataFrame:
-    """(book_id, unit_key, payload) of rows (book_id, unit_key, text): one reply a kind, as a JSON array."""
+    """(book_id, unit_key, payload) of rows (book_id, unit_key, text): one reply a kind, as a JSON array. Some units are asked for side by side."""
 
     def run(batches):
-        for b in batches:
-            for book, unit, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got = json.dumps([model.complete(k, text or "", max_tokens=n).strip() for k, n in zip(kinds, tokens, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (book, unit, got)], ["book_id", "unit_key", "payload"])
+        one = lambda text: json.dumps([model.complete(k, text or "", max_tokens=n).strip() for k, n in zip(kinds, tokens, strict=True)])
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, BATCH):
+                    b = whole.slice(lo, BATCH)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pool.map(one, b.column(2).to_pylist()), pa.string())], ["book_id", "unit_key", "payload"])
 
     return rows.select("book_id", "unit_key", "text").mapInArrow(run, "book_id string, unit_key string, payload string")
 
@@ -89,7 +92,7 @@ def entities(store: Store, book_id: str, model: ModelClient) -> None:
 
 def embeddings(store: Store, book_id: str, model: ModelClient) -> None:
     """Vectors of body chunks that have none yet, asked for in batches."""
-    todo = store.of("chunks", book_id).where("is_body").join(store.of("embeddings", book_id).where("embedding IS NOT NULL").select("chunk_id"), "chunk_id", "left_anti")
+    todo = L.pending_vectors(store.of("chunks", book_id), store.of("embeddings", book_id))
 
     def run(batches):
         for b in batches:
@@ -99,6 +102,8 @@ def embeddings(store: Store, book_id: str, model: ModelClient) -> None:
 
     if not todo.isEmpty():
         store.append("embeddings", todo.select("book_id", "chunk_id", "content").mapInArrow(run, "book_id string, chunk_id string, embedding array<float>"))
+    dim = store.of("embeddings", book_id).select(F.max(F.size("embedding"))).first()[0]
+    store.set_book(book_id, embed_version=C.embed_version("embed_version"), embed_dim=F.lit(dim).cast("int"), embed_model=getattr(model, "embed_name", None) or F.col("embed_model"))
 
 
 def fts(store: Store, book_id: str, model: ModelClient) -> None:

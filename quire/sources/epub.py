@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import columns
@@ -130,7 +130,12 @@ def _nav(data: bytes) -> list[tuple[str | None, str]]:
 
 def chapters(book: Book) -> list[Chapter]:
     texts = book.texts()
-    return _by_contents(book, texts) or _by_files(texts) or _by_headings(texts) or _every_file(texts) or _spans(texts)
+    return _by_contents(book, texts) or untitled(texts)
+
+
+def untitled(texts: list[tuple[str, str]]) -> list[Chapter]:
+    """Chapters of (file, text) in reading order without a table of contents: by files, headings, all files, or spans."""
+    return _by_files(texts) or _by_headings(texts) or _every_file(texts) or _spans(texts)
 
 
 def split_at_anchors(markup: bytes, anchors: list[tuple[str, str | None]]) -> list[Chapter]:
@@ -201,6 +206,27 @@ def _spans(texts: list[tuple[str, str]], size: int = 10 * SECTION_TOKENS * CHARS
     return out or [Chapter("Section 1", whole, True, True)]
 
 
+def spine_chapters(files: DataFrame, book_col: str, order_col: str, name: Column, text: Column) -> DataFrame:
+    """(book, ordinal, title, text, is_body, is_synthetic): untitled() over the plain texts of each book's files.
+
+    A book's files meet in one row, as they do in its archive.
+    """
+    kind = files.schema[book_col].dataType.simpleString()
+    gathered = files.groupBy(F.col(book_col).alias("book")).agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("at"), name.alias("name"), text.alias("text")))).alias("files"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for book, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(book, i, c.title, c.text, c.is_body, c.is_synthetic) for i, c in enumerate(untitled([(f["name"], f["text"]) for f in parts]))]
+            names = ["book", "ordinal", "title", "text", "is_body", "is_synthetic"]
+            kinds = [b.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return gathered.mapInArrow(run, f"book {kind}, ordinal int, title string, text string, is_body boolean, is_synthetic boolean").withColumnRenamed("book", book_col)
+
+
 _BOOK = "path string, source_hash string, title string, author string, cover_mime string, cover_data binary, raw_length long, error string, chapters array<struct<ordinal:int,title:string,text:string,is_body:boolean,is_synthetic:boolean>>"
 _CHAPTER = pa.struct([("ordinal", pa.int32()), ("title", pa.string()), ("text", pa.string()), ("is_body", pa.bool_()), ("is_synthetic", pa.bool_())])
 _ARROW = pa.schema([("path", pa.string()), ("source_hash", pa.string()), ("title", pa.string()), ("author", pa.string()), ("cover_mime", pa.string()), ("cover_data", pa.binary()), ("raw_length", pa.int64()), ("error", pa.string()), ("chapters", pa.list_(_CHAPTER))])
