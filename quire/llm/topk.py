@@ -10,10 +10,12 @@ never decides. The k-th score starts at that of the longest vectors (a fixed num
 Queries go in blocks: each is of bounded bytes, broadcast, and scans the table once, so no pair is
 ever shuffled; a task returns k rows a query at most.
 
-Vectors that are null, or hold a null, non-finite or too large component (|x| >= 2**28 / scale,
-which keeps scores within 64 bits) take no part. Shorter vectors count as padded with zeros. Rows
-that repeat an id are one query (its smallest vector) and so many candidates for the others. Ties go to
-the smaller id. Empty tables give no rows.
+Vectors that are null, or hold a null or non-finite component, take no part; all others do. Components of at most 31 bits are kept as
+integers, wider ones as doubles, which hold their floor exactly; scores are summed modulo 2**64, which is exact for every score
+that fits a long, and a score that doesn't, or a component beyond 1e150, is an error, never a missing row. Shorter
+vectors count as padded with zeros; a vector's length is bounded by the memory of a task, which holds ``CHUNK`` of them, and of the driver, which holds
+the square of it once. Rows that repeat an id are one query (its smallest vector) and so many candidates for the
+others. Ties go to the smaller id. Only the two named columns are read, so other names can't clash. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,62 +31,106 @@ from pyspark.sql import functions as F
 from quire.llm.common import materialize, shared_dir, shuffle_partitions, table
 
 CHUNK = 2048
+#: Queries that a chunk is compared with at once, so that their bounds take 64 MB at most.
+ABREAST = 4096
 
 
-def quantized(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024) -> DataFrame:
-    """(id, q, length) of the rows that take part."""
+def quantized(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024) -> tuple[DataFrame, int]:
+    """(id, q, length) of the rows that take part, and the dimension. q holds integers, or scaled doubles whose floor counts."""
     v = F.col(vec_col).cast("array<double>")
-    fits = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float((1 << 28) // scale)))
+    fits = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(fits & F.col("id").isNotNull())
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("int")).alias("q"))
-    return rows.withColumn("length", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
+    dim, most = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    if (most or 0.0) >= 1e150:
+        raise ValueError(f"a component of {most} is too large for scores in 64 bits")
+    if (most or 0.0) * scale < (1 << 31) - 1:
+        rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("int")).alias("q"))
+    else:
+        rows = rows.select("id", F.transform("v", lambda x: x * float(scale)).alias("q"))
+    length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return rows.withColumn("length", length), max(1, dim or 0)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """The lists as rows of an int32 matrix, shorter ones padded."""
+    """The lists as rows of a matrix of int32 or of whole doubles, shorter ones padded."""
     off = column.offsets.to_numpy()
     values = column.values.to_numpy(zero_copy_only=False)
+    if values.dtype == np.float64:
+        values = np.floor(values)
     size = np.diff(off)
     if len(size) and (size == dim).all():
         return values[off[0] : off[-1]].reshape(-1, dim)
-    out = np.zeros((len(size), dim), np.int32)
+    out = np.zeros((len(size), dim), values.dtype)
     for i in range(len(size)):
         out[i, : size[i]] = values[off[i] : off[i + 1]]
     return out
 
 
+def _wrapped(m: np.ndarray) -> np.ndarray:
+    """Whole numbers modulo 2**64, as signed 64-bit integers."""
+    if m.dtype != np.float64:
+        return m.astype(np.int64)
+    r = np.fmod(m, 2.0**64)
+    return np.where(r >= 2.0**63, r - 2.0**64, np.where(r < -(2.0**63), r + 2.0**64, r)).astype(np.int64)
+
+
 def _rotation(rows: DataFrame, dim: int) -> np.ndarray:
-    """Right singular vectors of the whole table, from its Gram matrix; sums are partial by task."""
+    """Right singular vectors of the whole table, from its Gram matrix: a task's partial sums are dim rows of dim doubles, which are summed by row."""
 
-    def run(batches):
+    def partial(batches):
         total = np.zeros((dim, dim))
         for b in batches:
             m = _matrix(b.column(0), dim).astype(np.float64)
             total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["k", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "g"])
+
+    def summed(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(g)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.tobytes() for g in sums.values()], pa.binary())], ["i", "g"])
+
+    parts = rows.select("q").mapInArrow(partial, "i int, g binary").repartition(min(dim, shuffle_partitions(rows.sparkSession)), "i")
+    got = parts.mapInArrow(summed, "i int, g binary").toArrow()
+    gram = np.zeros((dim, dim))
+    for i, g in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+        gram[i] = np.frombuffer(g)
+    # scaled, so that squares of large components stay finite
+    return np.linalg.eigh(gram / max(1.0, np.abs(gram).max()))[1][:, ::-1]
+
 
-    cells = rows.select("q").mapInArrow(run, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).collect()
-    gram = np.zeros(dim * dim)
-    for r in cells:
-        gram[r["k"]] = r["g"]
-    return np.linalg.eigh(gram.reshape(dim, dim))[1][:, ::-1]
+LEAST = np.iinfo(np.int64).min
 
 
 class Block:
     """Queries of one block with what pruning needs: ids, integer rows, rotated rows, lengths, first thresholds."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, basis: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], k: int):
-        self.ids, self.q, self.k = ids, q.astype(np.int64), k
+        self.ids, self.q, self.k, wide = ids, _wrapped(q), k, q.astype(np.float64)
         self.basis, self.head = basis, max(1, basis.shape[1] // 2)
-        r = q @ basis
-        self.rotated, self.length = r[:, : self.head].copy(), np.sqrt((q.astype(np.float64) ** 2).sum(1))
+        self.plain = wide
+        r = wide @ basis
+        self.rotated, self.length = r[:, : self.head].copy(), np.sqrt((wide**2).sum(1))
         self.rest = np.sqrt((r[:, self.head :] ** 2).sum(1))
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), LEAST)
         seed_ids, seed = seeds
         if len(seed_ids) > k:
-            s = self.q @ seed.astype(np.int64).T
-            s = np.where(seed_ids[None, :] == ids[:, None], np.iinfo(np.int64).min, s)
-            self.floor = np.partition(s, -k, axis=1)[:, -k].astype(np.float64)
+            own = seed_ids[None, :] == ids[:, None]
+            s = np.where(own, LEAST, self.q @ _wrapped(seed).T)
+            self._check(np.where(own, 0, wide @ seed.astype(np.float64).T))
+            self.floor = np.partition(s, -k, axis=1)[:, -k]
+
+    @staticmethod
+    def _check(about: np.ndarray) -> None:
+        if about.size and np.abs(about).max() >= 2.0**63:
+            raise OverflowError("a score does not fit 64 bits")
+
+    def _scores(self, qi: np.ndarray, v: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """Inner products of queries qi and vectors, pair by pair, exact."""
+        if len(qi) and self.length.max() * np.sqrt((plain**2).sum(1).max()) >= 2.0**62:
+            self._check(np.einsum("ij,ij->i", self.plain[qi], plain))
+        return np.einsum("ij,ij->i", self.q[qi], v)
 
     def scan(self, batches):
         """(query, id, score) arrays: the k best of each query among the batches' vectors."""
@@ -107,7 +153,8 @@ class Block:
                 qi = live[qi]
                 own = self.ids[qi] != i[vi]
                 qi, vi = qi[own], vi[own]
-                score = np.concatenate([np.einsum("ij,ij->i", self.q[qi[s : s + 65536]], v[vi[s : s + 65536]].astype(np.int64)) for s in range(0, len(qi), 65536)] or [none])
+                exact = _wrapped(v)
+                score = np.concatenate([self._scores(qi[s : s + 65536], exact[vi[s : s + 65536]], f[vi[s : s + 65536]]) for s in range(0, len(qi), 65536)] or [none])
                 keep = score >= floor[qi]
                 best = tuple(np.concatenate(x) for x in zip(best, (qi[keep], i[vi[keep]], score[keep]), strict=True))
                 order = np.lexsort((best[1], -best[2], best[0]))
@@ -123,15 +170,14 @@ class Block:
 def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, block_bytes: int = 4 << 20, seeds: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score). is_query: a condition on the column ``id``."""
     spark = df.sparkSession
-    rows = quantized(df, id_col, vec_col, scale)
+    rows, dim = quantized(df, id_col, vec_col, scale)
     rows = materialize(rows.repartitionByRange(shuffle_partitions(spark), F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id"))
-    stats = rows.agg(F.max(F.size("q")), F.count_if(is_query)).first()
-    dim, n = max(1, stats[0] or 0), stats[1]
+    n = rows.agg(F.count_if(is_query)).first()[0]
     basis = _rotation(rows, dim)
     longest = rows.orderBy(F.desc("length"), "id").limit(seeds).select("id", "q").toArrow().combine_chunks()
     seed = (longest.column(0).to_numpy(), _matrix(longest.column(1).combine_chunks() if longest.num_rows else pa.array([], pa.list_(pa.int32())), dim))
     queries = materialize(rows.where(is_query).groupBy("id").agg(F.min("q").alias("q")))
-    size = max(1, block_bytes // (8 * dim))
+    size = max(1, min(ABREAST, block_bytes // (8 * dim)))
     blocks = max(1, math.ceil(2 * n / size)) if n > size else 1
     of = F.pmod(F.xxhash64("id"), F.lit(blocks))
     path = shared_dir(spark)
@@ -147,6 +193,7 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embed
                 yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
 
             rows.select("id", "q").mapInArrow(run, "query_id long, vec_id long, score long").write.mode("append").parquet(path)
+            shared.destroy()
     found = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -199,24 +199,47 @@ def test_archives_equal_sql(spark, small):
 # top-k
 
 
-@pytest.mark.parametrize("shape", ["spread", "equal", "tiny"])
+@pytest.mark.parametrize("shape", ["spread", "equal", "tiny", "large", "wide"])
 def test_top_k_against_all_products(spark, tables, shape):
     rng = np.random.default_rng(3)
     n = 7 if shape == "tiny" else 700
     v = rng.normal(size=(n, 12)) * rng.lognormal(size=(n, 1))
     if shape == "equal":
         v[100:400] = v[0]
+    if shape in ("large", "wide"):  # components of a million and more, and such as need 64 bits
+        v[::50, 3] = 1e6 if shape == "large" else 1e6 * rng.normal(size=14)
+        v[100, 5], v[4, 5], v[7, 5] = (3e5, -3e5, 1e6) if shape == "large" else (3.0, -1e11, 1e10)
     rows = [(int(i), [float(x) for x in r]) for i, r in enumerate(v)]
     rows += [(1000, None), (1100, [1.0, None]), (1200, [float("nan")]), (1300, [float("inf")]), (1400, []), (1500, [0.5])]
     path = tables(embeddings=(rows, "vec_id long, embedding array<double>"))
-    ok = {i: np.floor(1024 * np.array((r + [0.0] * 12)[:12])).astype(int) for i, r in rows if r is not None and all(x is not None and np.isfinite(x) for x in r)}
+    ok = {i: np.floor(1024 * np.array((r + [0.0] * 12)[:12])).astype(object) for i, r in rows if r is not None and all(x is not None and np.isfinite(x) for x in r)}
     want = set()
     for q in (i for i in ok if i % 100 == 0):
-        best = sorted((-int(ok[q] @ ok[i]), i) for i in ok if i != q)[:10]
+        best = sorted((-sum(int(a) * int(b) for a, b in zip(ok[q], ok[i], strict=True)), i) for i in ok if i != q)[:10]
         want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     assert {tuple(r) for r in topk.op2_topk(spark, path).collect()} == want
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, F.col("id") == 0, k=1).collect()
+    alone = spark.createDataFrame([(0, [1e12, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(alone, F.col("id") == 0, k=1).collect()] == [(0, 1, 2, 1024 * 1024)]
+
+
+def test_top_k_of_repeated_ids_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS q", "'x' AS length", "3 AS rank", "4 AS score")
+    got = [tuple(r) for r in topk.top_k(df, F.col("id") == 0, k=3).orderBy("rank").collect()]
+    unit = 1024 * 1024
+    assert got == [(0, 1, 1, 3 * unit), (0, 2, 1, unit), (0, 3, 2, unit)]  # the query is the smaller of its vectors; ties to the smaller id
+
+
 def test_top_k_of_no_rows_and_many_blocks(spark, tables):
     assert topk.op2_topk(spark, tables(embeddings=([], "vec_id long, embedding array<float>"))).count() == 0
     rows = [(i, [float(i % 7), 1.0]) for i in range(300)]
