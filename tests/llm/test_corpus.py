@@ -35,13 +35,71 @@ def test_held_out_accuracy_and_contract(spark, small):
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held]) >= 0.95
 
 
-def test_code_lengths_are_those_of_a_proper_distribution():
-    model = langid.train({"a": [b"the cat sat on the mat", b"then"], "b": [b"der hund und die katze"]}, order=3)
-    share = np.exp2(-model.bits.astype(float)).reshape(-1, 256, 2).sum(1)
-    assert np.allclose(share, 1, atol=1e-4)
-    text = b"the mat"
-    got = model.lengths(np.frombuffer(text + text, np.uint8), np.array([0, 7, 7, 14]))
-    assert np.allclose(got[0], got[2]) and not got[1].any() and got[0][0] < got[0][1]
+def code_length(samples, text, order):
+    """Bits of a text by the definition: each language's counts of bytes behind contexts, escapes by method C with exclusion."""
+    counts = {}
+    for lang, texts in samples.items():
+        joined = b"".join(b"\n" * order + t for t in texts)
+        for i in range(order, len(joined)):
+            for k in range(order + 1):
+                counts.setdefault(joined[i - k : i], {}).setdefault(lang, Counter())[joined[i]] += 1
+    kept = {c for c, of in counts.items() if not c or sum(n.total() for n in of.values()) >= 3}
+
+    def chance(lang, ctx, byte):
+        if ctx is None:
+            return 1 / 256
+        seen, shorter = counts.get(ctx, {}).get(lang, {}), ctx[1:] if ctx else None
+        if not seen:
+            return chance(lang, shorter, byte)
+        n, d = sum(seen.values()), len(seen)
+        if byte in seen:
+            return seen[byte] / (n + d) if d < 256 else seen[byte] / n
+        return d / (n + d) * chance(lang, shorter, byte) / (1 - sum(chance(lang, shorter, b) for b in seen))
+
+    out = []
+    for lang in sorted(samples):
+        padded, total = b"\n" * order + text, 0.0
+        for i in range(order, len(padded)):
+            ctx = next(padded[i - k : i] for k in range(order, -1, -1) if all(padded[i - j : i] in kept for j in range(k + 1)))
+            total -= np.log2(chance(lang, ctx, padded[i]))
+        out.append(total)
+    return out
+
+
+def test_code_lengths_are_those_of_the_definition():
+    samples = {"a": [b"the cat sat on the mat", b"then the other"], "b": [b"der hund und die katze", b""], "c": [b"eins"]}
+    model = langid.train(samples, order=3)
+    texts = [b"the mat", b"", b"the mat", b"Zoo \xc3\xa9 qua", b"die katze und der hund " * 3, b"t"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    want = [code_length(samples, t, 3) for t in texts]
+    assert np.allclose(model.lengths(data, offsets), want, rtol=1e-5)
+    assert np.allclose(model.lengths(data, offsets, cells=3), want, rtol=1e-5)
+    long = np.frombuffer(b"the cat and der hund " * 2000, np.uint8)
+    assert np.allclose(model.lengths(long, np.array([0, 5, len(long)]), cells=1), model.lengths(long, np.array([0, 5, len(long)]), cells=1 << 30), rtol=1e-6)
+
+
+def test_every_label_is_learned(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        letters = "".join(chr(0x4E00 + 40 * i + k) for k in range(30))
+        rows += [(4 * i + j, "".join(rng.choices(letters, k=60)), f"l{i:03}") for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS spot", "2 AS n", "3 AS upto")
+    model = langid.fit(df)
+    assert len(model.langs) == 300
+    got = langid.predict(df, model).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.99
+
+
+def test_long_texts_are_learned_whole(spark):
+    """What tells the languages apart stands behind 50,000 characters that they share."""
+    rows = [(i, "a b " * 12_500 + ("xyz zyx " * 3000 if i % 2 else "qrs srq " * 3000), "ab"[i % 2]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    asked = spark.createDataFrame([(1, "zyx xyz zyx"), (2, "srq qrs srq")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(asked, model).collect()} == {1: "b", 2: "a"}
+    assert langid.fit(df.repartition(5)).bits.tobytes() == model.bits.tobytes()
 
 
 def test_language_of_odd_rows(odd_documents):
