@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 _WRITTEN: dict[str, SparkSession] = {}
+_PLACE = "_quire_path"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset and all runs on this machine (tests), a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="quire-"))
         base = _LOCAL[0]
@@ -34,12 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for path, spark in _WRITTEN.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:
             return  # the session has ended; the folder belongs to the cluster's own clean-up
 
@@ -49,7 +55,17 @@ def materialize(df: DataFrame, **options) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PLACE, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that no DataFrame still to be run reads."""
+    for t in tables:
+        path = t.__dict__.pop(_PLACE, None)
+        if path and path in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
 
 
 def give_back() -> None:

@@ -15,17 +15,19 @@ a few rows, the buckets are summed first (map-side), and the windows run within
 is found the same way: words by range of finish time, then the documents of one range in order.
 
 Null texts have size 0; a source without words has target 0. Sizes of 0 take nothing. A null id
-hashes as such. Rows that repeat an id count each. Other columns may have any name but those
+hashes as such. Rows that repeat an id count each, in order of size and text. A source is one row of the windows that share out the budget. Texts are only counted, so their length is that of a cell. Other columns may have any name but those
 that start with ``__mix``. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, shuffle_partitions, table
+from quire.llm.common import materialize, release, shuffle_partitions, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,6 +38,8 @@ def _sized(df: DataFrame, source_col: str, text_col: str, id_col: str, seed: int
             "__mix_size": F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long"),
             "__mix_key": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")),
             # 60 bits of a digest that any SQL engine has
+            # what sets apart rows that repeat an id with other texts of the same size
+            "__mix_tie": F.xxhash64(F.col(text_col).cast("string")),
             "__mix_hash": F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("long"),
         }
     )
@@ -63,7 +67,7 @@ def _queued(sized: DataFrame, sources: DataFrame, rows_a_bucket: int) -> DataFra
     before = F.sum("__mix_sum").over(W.partitionBy("__mix_key").orderBy("__mix_bucket").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("__mix_key", "__mix_bucket", F.coalesce(before, F.lit(0)).alias("__mix_before"))
     rows = rows.join(sums, ["__mix_key", "__mix_bucket"])
-    inside = W.partitionBy("__mix_key", "__mix_bucket").orderBy("__mix_hash", "__mix_size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("__mix_key", "__mix_bucket").orderBy("__mix_hash", "__mix_size", "__mix_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.withColumn("__mix_end", F.col("__mix_before") + F.sum("__mix_size").over(inside))
 
 
@@ -71,6 +75,12 @@ def _finish(round_: int | F.Column) -> F.Column:
     return ((round_ - 1) * F.col("__mix_source_size") + F.col("__mix_end") - F.col("__mix_size") / 2) / F.col("__mix_target")
 
 
+def _beyond(sums: DataFrame, order: str, before: int, budget: int):
+    """The first row whose running sum of n passes the budget, with that sum (upto)."""
+    running = sums.withColumn("upto", F.sum("n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) + before)
+    return running.where(F.col("upto") > budget).orderBy(order).first()
+
+
 def cut(queued: DataFrame, max_repeat: int, ranges: int) -> tuple[float, str]:
     """Finish time and source of the first document beyond the budget."""
     offers = queued.where("__mix_target > 0 and __mix_size > 0").select("__mix_key", "__mix_size", F.explode(F.array(*(_finish(i + 1) for i in range(max_repeat)))).alias("f"))
@@ -78,10 +88,14 @@ def cut(queued: DataFrame, max_repeat: int, ranges: int) -> tuple[float, str]:
     offers = offers.withColumn("r", F.floor(F.least("f", F.lit(2.0)) * ranges))
     budget = queued.agg(F.sum("__mix_size")).first()[0] or 0
     sums = offers.groupBy("r").agg(F.sum("__mix_size").alias("n"))
-    running = sums.select("r", "n", F.sum("n").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("upto"))
-    at = running.where(F.col("upto") > budget).orderBy("r").first()
+    # two levels, so that no task orders more than the square root of the ranges
+    wide = max(1, math.isqrt(2 * ranges))
+    sums = materialize(sums.withColumn("c", F.floor(F.col("r") / wide)))
+    at = _beyond(sums.groupBy("c").agg(F.sum("n").alias("n")), "c", 0, budget)
     if at is None:
         return float("inf"), ""
+    at = _beyond(sums.where(F.col("c") == at["c"]), "r", at["upto"] - at["n"], budget)
+    release(sums)
     order = W.orderBy("f", "__mix_key").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = offers.where(F.col("r") == at["r"]).select("f", "__mix_key", F.sum("__mix_size").over(order).alias("upto"))
     first = inside.where(F.col("upto") > budget - (at["upto"] - at["n"])).orderBy("f", "__mix_key").first()

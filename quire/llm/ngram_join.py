@@ -14,6 +14,11 @@ posterior probability of Jaccard >= ``threshold`` (uniform prior) is below ``tol
 What is left is verified on the sets. Tasks return links counted by representative, and a forest that
 spans them, whose components are the groups.
 
+Bands lose a pair at exactly 0.8 that shares none, with that probability, if nothing else connects the two; pruning loses
+less than the tolerance for each pair. Texts are in a task's memory as the sets of their hashes, 8 bytes a word, with
+those of the block they are compared in; there is no other bound on a text's length. An empty table gives an empty one. Only the two named
+columns are read, under names of the operator's own, so others can't clash.
+
 Result: a row for each document: class_id (smallest id of its group: documents joined by chains of
 links), copy_id (smallest id with the same words), n_links (documents linked to it, its copies
 included) and n_text_links (different texts linked to it). Documents without a word (null and empty
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import give_back, materialize, shuffle_partitions, table
+from quire.llm.common import give_back, materialize, release, shuffle_partitions, table
 
 BANDS, ROWS, STEP = 48, 8, 16
 HASHES = BANDS * ROWS
@@ -158,14 +163,18 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(to)
         a = to.select("u", F.col("to").alias("a"))
         b = to.select(F.col("u").alias("v"), F.col("to").alias("b"))
-        edges = edges.join(a, "u").join(b, "v").where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        edges = materialize(edges.distinct())
+        left = edges.join(a, "u").join(b, "v").where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        left, done = materialize(left.distinct()), edges
+        release(done)
+        edges = left
     if not maps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = maps[0].select(F.col("u").alias("node"), F.col("to").alias("component"))
     for m in maps[1:]:
         out = out.join(m.select(F.col("u").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return materialize(out.repartition(parts))
+    out = materialize(out.repartition(parts))
+    release(edges, *maps)
+    return out
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
@@ -219,7 +228,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     posts = reps.select("node", F.explode("bands").alias("band"))
     leads = posts.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
     stars = posts.join(leads.select("band", "lead"), "band").where("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
-    unit = components(stars)
+    unit = unit_ = components(stars)
     sizes = unit.groupBy("component").agg(F.count("*").alias("m"))
     unit = unit.join(sizes, "component")
     side = F.least(F.greatest(F.col("m") / 32, F.lit(64)), F.lit(1024))
@@ -282,7 +291,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         "key", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
     )
-    out = profile.select("id", "key").join(materialize(known), "key", "left")
+    known = materialize(known)
+    release(reps, work, found, unit_, group)
+    out = profile.select("id", "key").join(known, "key", "left")
     none = F.lit(0).cast("long")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"),

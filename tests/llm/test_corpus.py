@@ -338,3 +338,52 @@ def test_pipeline_stages(spark, small, tables):
     assert five.count() == four.count()
     assert corpus_pipeline.run(spark, path).count() == five.count()
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "secrets", "mixing", "sentencepiece"]
+
+
+def grams(text):
+    words = re.findall(r"\w+", (text or "").lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept_by_hand(rows):
+    """Of each group of rows joined by Jaccard of at least 0.8, the first in order of id (null last) and place."""
+    sets, root = [grams(r["text"]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    best = {}
+    for i, r in enumerate(rows):
+        rank = (r["doc_id"] is None, r["doc_id"] or 0, i)
+        best[find(i)] = min(best.get(find(i), rank), rank)
+    return Counter((rows[k]["doc_id"], rows[k]["text"]) for _, _, k in best.values())
+
+
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [prose(rng, 60) for _ in range(6)]
+    rows = [(1, base[0]), (1, base[1]), (2, base[0]), (2, base[0]), (3, base[1] + " end"), (3, base[2]), (None, base[2]), (None, base[3]), (None, base[3] + " x"), (4, ""), (5, None), (4, ""), (-7, base[4]), (9, base[4]), (9, "short one"), (9, "short one"), (10, base[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS key", "1 AS class_id", "2 AS id", "'x' AS rep")
+    got = corpus_pipeline.near_duplicates(spark, df.coalesce(1), "")
+    assert got.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == kept_by_hand([r.asDict() for r in df.collect()])
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tables, odd_documents):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, tables(documents=([], DOCS))).count() == 0
+    docs = odd_documents
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        docs = out
+    assert {c for c in corpus_pipeline.STAGES[-1][1](spark, docs, "").columns} == {"doc_id", "samples"}
