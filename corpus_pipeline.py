@@ -3,13 +3,15 @@
 1. language_id: documents without a language (no letter, or no language with most of the
    probability) go.
 2. near_duplicates: of each group of documents joined by five-word Jaccard of at least 0.8, the one with the
-   smallest id stays. Documents without a word or an id have no group and stay.
+   smallest id (and of rows that repeat it, one) stays. Rows are told apart by place, so a row with a repeated id goes only
+   for its own text, and rows without an id take part, after all others. Documents without a word have no group and stay.
 3. secrets: every secret in a text is replaced; n_chars follows. No document goes.
 4. mixing: documents are repeated or left out so that sources meet their target weights.
 5. sentencepiece: two sampled segmentations of each text, the corpus's token ids.
 
 Each stage reads the table that the one before wrote, and all but the last return the columns of
-their input. SQL cannot express them, so ``ORACLE_SQL`` is None.
+their input. Ties go to the smaller id, then to the row that comes first; rows that repeat are rows of their own until the second stage. An empty
+table stays empty. Names that start with ``__`` are reserved. SQL cannot express them, so ``ORACLE_SQL`` is None.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = ngram_join.join(docs).where("doc_id != class_id").select("doc_id")
-    return docs.join(materialize(others), "doc_id", "left_anti").select(*docs.columns)
+    # a name for each row, in order of id (null last); written, so that it is the same wherever it is read
+    order = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    row = F.concat(F.coalesce(order, F.lit("null")), F.lit("-"), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
+    named = materialize(docs.withColumn("__row", row))
+    others = materialize(ngram_join.join(named, id_col="__row").where("__row != class_id").select("__row"))
+    return named.join(others, "__row", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
