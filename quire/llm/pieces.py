@@ -20,8 +20,10 @@ The lattices of all distinct words of some documents are built and sampled toget
 steps of a character or piece; that takes about 200 bytes for each character of those words, some
 of which are kept. Whole
 texts are encoded. A null text is the empty one, which has one segmentation, without pieces. Texts
-with fewer than k segmentations give all of them (but those whose word's remaining share has
-fallen below 1e-12). Rows with equal keys and texts give equal results.
+with fewer than k segmentations give all of them: what is left of a word once some segmentations are taken is 1 less their shares, and where that
+is lost in rounding and a text would get fewer than k for it, it is summed over the lattice without them. Rows with equal keys
+and texts give equal results, and ties of perturbed values do not occur but by equal hashes. An empty table gives an empty one. Only the
+two named columns are read, so other names can't clash.
 The model's path must exist on the executors; it is a parameter.
 """
 
@@ -47,6 +49,7 @@ MARK = "▁"
 _K = np.uint64(0x9E3779B97F4A7C15)
 CHARS = 1 << 18  # of the texts that are worked on together
 STORE = 400_000  # words whose lattices are kept, some 400 bytes each
+TRIES = 16  # draws of a word before what is taken is left out of its lattice
 RARE = 127  # the kind of characters that are in few pieces
 
 
@@ -180,7 +183,7 @@ class Lattice:
         for k, b, got in found:
             if len(b):
                 ids[b, most - k] = got
-        cum = np.zeros((len(ids), most), np.float32)
+        cum = np.zeros((len(ids), most))
         logz = np.full(len(ids) + most, -np.inf)  # of boundary b at b + most
         logz[first + most] = 0
         order = np.argsort(-size, kind="stable")
@@ -220,7 +223,7 @@ class Words:
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
         # pieces that end at boundary b: begin[b] to begin[b + 1] of id, cum (shares up to each) and length
-        self.begin, self.id, self.cum, self.length = np.zeros(1, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int8)
+        self.begin, self.id, self.cum, self.length = np.zeros(1, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int8)
         self.first, self.last, self.logz = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
         self.clear()
 
@@ -251,7 +254,7 @@ class Words:
         live = np.flatnonzero(self.last[word] > first)
         at, start = self.last[word[live]], first[live]
         while len(live):
-            u = _uniform(seed[live], round_ << 32 | len(steps)).astype(np.float32)
+            u = _uniform(seed[live], round_ << 32 | len(steps))
             k = self.begin[at]
             more = np.flatnonzero(self.cum[k] <= u)
             while len(more):
@@ -270,21 +273,70 @@ class Words:
             out[begin[rows] + count[rows] - 1 - i] = got
         return out, count, logp
 
-    def all(self, word: int, most: int = 4096) -> list[tuple[float, tuple[int, ...]]] | None:
-        """(log probability, pieces) of every segmentation; None if there are more than ``most``."""
+    def all(self, word: int) -> list[tuple[float, tuple[int, ...]]]:
+        """(log probability, pieces) of every segmentation of a short word."""
         out, stack = [], [(int(self.last[word]), -float(self.logz[word]), ())]
         while stack:
             at, p, path = stack.pop()
             if at == self.first[word]:
                 out.append((p, path))
-                continue
-            for k in range(self.begin[at], self.begin[at + 1]):
-                i = int(self.id[k])
-                stack.append((at - int(self.length[k]), p + float(self.lattice.weight[max(i, -2)]), (i, *path)))
-            if len(out) + len(stack) > most:
-                return None
+            else:
+                stack += [(at - int(self.length[k]), p + float(self.lattice.weight[max(int(self.id[k]), -2)]), (int(self.id[k]), *path)) for k in range(self.begin[at], self.begin[at + 1])]
         return out
 
+    def rest(self, word: int, taken: set[tuple[int, ...]]) -> tuple[float, "Rest"]:
+        """The log share of the word's segmentations that are not taken, and what draws from them."""
+        rest = Rest(self, word, taken)
+        return rest.left(()) - rest.beta[0], rest
+
+
+class Rest:
+    """A word's lattice without some segmentations: sums and draws over what is left, in logarithms."""
+
+    def __init__(self, words: Words, word: int, taken: set[tuple[int, ...]]):
+        first, last = int(words.first[word]), int(words.last[word])
+        self.size = last - first
+        self.edges: list[list[tuple[int, int, float]]] = [[] for _ in range(self.size + 1)]  # by start: end, piece, weight
+        for at in range(first + 1, last + 1):
+            for k in range(words.begin[at], words.begin[at + 1]):
+                i, n = int(words.id[k]), int(words.length[k])
+                self.edges[at - n - first].append((at - first, i, float(words.lattice.weight[max(i, -2)])))
+        self.beta = [-np.inf] * self.size + [0.0]
+        for b in range(self.size - 1, -1, -1):
+            self.beta[b] = float(np.logaddexp.reduce([w + self.beta[e] for e, _, w in self.edges[b]])) if self.edges[b] else -np.inf
+        # beginnings of what is taken, and where they end
+        self.place, self.memo = {(): 0}, {}
+        for path in taken:
+            for n, i in enumerate(path):
+                at = self.place[path[:n]]
+                self.place[path[: n + 1]] = next(e for e, j, _ in self.edges[at] if j == i)
+        for path in taken:
+            self.memo[path] = -np.inf
+        for path in sorted(self.place, key=len, reverse=True):
+            if path not in self.memo:
+                self.memo[path] = float(np.logaddexp.reduce([v for _, _, v in self._options(path)])) if self.place[path] < self.size else 0.0
+
+    def left(self, path: tuple[int, ...]) -> float:
+        return self.memo[path]
+
+    def _options(self, path: tuple[int, ...]) -> list[tuple[int, int, float]]:
+        return [(e, i, w + (self.memo[(*path, i)] if (*path, i) in self.place else self.beta[e])) for e, i, w in self.edges[self.place[path]]]
+
+    def draw(self, seed: np.ndarray) -> tuple[np.ndarray, float]:
+        """(pieces, log probability) of one that is not taken."""
+        path, at, logp, free = (), 0, -self.beta[0], False
+        while at < self.size:
+            options = [(e, i, w + self.beta[e]) for e, i, w in self.edges[at]] if free else self._options(path)
+            value = np.array([v for _, _, v in options])
+            upto = np.cumsum(np.exp(value - value.max()))
+            k = int(np.searchsorted(upto, _uniform(seed, 1 << 42 | len(path))[0] * upto[-1], "right"))
+            k = min(k, int(np.flatnonzero(value > -np.inf)[-1]))
+            weight, (at, i, _) = self.edges[at][k][2], options[k]
+            logp += weight
+            path = (*path, i)
+            free = free or path not in self.place
+        return np.array(path, np.int64), logp
+
 
 _UNITS = re.compile(" *[^ \n]+| +|\n")
 
@@ -341,13 +393,14 @@ class _Tree:
                 return key
         return path, level
 
-    def taken(self) -> set[bytes]:
-        out = set()
-        for n, _ in self.seen[self.branch]:
-            pieces, count = self.paths[n][:2]
-            a = int(count[: self.level].sum())
-            out.add(pieces[a : a + int(count[self.level])].tobytes())
-        return out
+    def at(self, path: int, level: int) -> tuple[int, ...]:
+        """The pieces of a path at a word."""
+        pieces, count = self.paths[path][:2]
+        a = int(count[:level].sum())
+        return tuple(pieces[a : a + int(count[level])].tolist())
+
+    def taken(self) -> set[tuple[int, ...]]:
+        return {self.at(n, self.level) for n, _ in self.seen[self.branch] if n < len(self.paths)}
 
     def kappa(self) -> float:
         return -self.queue[0][0] if self.queue else -np.inf
@@ -387,6 +440,8 @@ def sample_texts(lattice: Lattice, texts: list[str | None], keys: list[str], k:
             if i in other:
                 own, c = np.concatenate([other[i][0], own[c[0] :]]), c.copy()
                 c[0] = len(other[i][0])
+            if n + 1 < k and np.count_nonzero(depth[at : at + m] < np.inf) < k - n:
+                _exact_depths(words, t, own, c, word[at : at + m], depth[at : at + m], noise[at : at + m] - before[at : at + m])
             t.add(own, c, logp[at : at + m], depth[at : at + m])
         active = [t for t in active if n + 1 < k and t.pop()]
     out = []
@@ -396,33 +451,40 @@ def sample_texts(lattice: Lattice, texts: list[str | None], keys: list[str], k:
     return out
 
 
+def _exact_depths(words: Words, t: _Tree, pieces: np.ndarray, count: np.ndarray, word: np.ndarray, depth: np.ndarray, without: np.ndarray) -> None:
+    """Fills in the depths that rounding lost: of words whose other segmentations have next to no share, but are some."""
+    ends = np.cumsum(count)
+    for j in np.flatnonzero(depth == np.inf):
+        own = tuple(pieces[ends[j] - count[j] : ends[j]].tolist())
+        taken = {own} | (t.taken() if j == 0 and t.base is not None else set())
+        share = words.rest(int(word[j]), taken)[0]
+        if share > -np.inf:
+            depth[j] = without[j] - share
+
+
 def _inclusion(above: float) -> float:
     """log(1 - exp(-exp(above)))."""
     return above if above < -30 else log(-expm1(-exp(min(above, 700.0))))
 
 
 def _others(words: Words, trees: list[_Tree], word: np.ndarray, seeds: np.ndarray, starts: np.ndarray, pieces: np.ndarray, begin: np.ndarray) -> dict[int, tuple[np.ndarray, float]]:
-    """For the trees whose first word came out as a segmentation that is taken there: another one, drawn until it isn't."""
+    """For the trees whose first word came out as a segmentation that is taken there: another one, drawn anew some times, then from what is left."""
     taken = [t.taken() for t in trees]
-    left = [i for i, a in enumerate(starts) if pieces[begin[a] : begin[a + 1]].tobytes() in taken[i]]
-    out, tries = {}, 0
-    while left:
-        tries += 1
-        if tries == 16:
-            for i in left:
-                if (every := words.all(int(word[starts[i]]))) is not None:
-                    free = [(q, x) for q, x in every if np.array(x, np.int64).tobytes() not in taken[i]]
-                    share = np.exp([q for q, _ in free])
-                    k = min(len(free) - 1, int(np.searchsorted(np.cumsum(share), _uniform(seeds[starts[i] : starts[i] + 1], 1 << 42)[0] * share.sum(), "right")))
-                    out[i] = np.array(free[k][1], np.int64), free[k][0]
-            left = [i for i in left if i not in out]
+    left = [i for i, a in enumerate(starts) if tuple(pieces[begin[a] : begin[a + 1]].tolist()) in taken[i]]
+    out = {}
+    for tries in range(1, TRIES):
+        if not left:
+            return out
         at = starts[left]
         got, count, logp = words.draw(word[at], seeds[at], tries)
         ends = np.cumsum(count)
         for i, a, b, p in zip(left, ends - count, ends, logp, strict=True):
-            if got[a:b].tobytes() not in taken[i]:
+            if tuple(got[a:b].tolist()) not in taken[i]:
                 out[i] = got[a:b], p
         left = [i for i in left if i not in out]
+    for i in left:
+        a = starts[i]
+        out[i] = words.rest(int(word[a]), taken[i])[1].draw(seeds[a : a + 1])
     return out
 
 

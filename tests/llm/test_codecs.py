@@ -123,6 +123,36 @@ def test_all_segmentations_come_in_the_end(lattice):
     assert all(s["log_inclusion"] == 0 for s in got)
 
 
+def test_what_is_left_of_a_word(lattice):
+    """Shares and draws without some segmentations, against all of them."""
+    words = lattice.build([" thing", " aaaa"])
+    for w in (0, 1):
+        every = sorted(words.all(w), reverse=True)
+        for n in (1, 2, len(every) - 1, len(every)):
+            share, rest = words.rest(w, {x for _, x in every[:n]})
+            want = sum(np.exp(p) for p, _ in every[n:])
+            assert np.isclose(np.exp(share), want, rtol=1e-9, atol=0)
+            if n < len(every):
+                drawn = Counter()
+                for i in range(3000):
+                    got, p = rest.draw(np.array([i + 1], np.uint64))
+                    drawn[tuple(got.tolist())] += 1
+                    assert np.isclose(p, dict((x, q) for q, x in every)[tuple(got.tolist())])
+                assert set(drawn) <= {x for _, x in every[n:]}
+                top = every[n]
+                assert abs(drawn[top[1]] / 3000 - np.exp(top[0]) / want) < 0.05
+
+
+def test_no_segmentation_is_lost_in_rounding():
+    """At a steep alpha all but one segmentation have next to no share; they come all the same."""
+    steep = pieces.Lattice(SP, 8.0)
+    every = steep.build([" thing"]).all(0)
+    assert sum(np.exp(p) < 1e-13 for p, _ in every) > 5
+    got = pieces.sample_texts(steep, ["thing"], ["k"], len(every) + 3, 4)[0]
+    assert len({tuple(s["ids"]) for s in got}) == len(every) == len(got)
+    assert {tuple(s["ids"]): round(s["log_prob"], 6) for s in got} == {x: round(p, 6) for p, x in every}
+
+
 def test_samples_do_not_depend_on_batches(lattice):
     texts = ["the cat sat", "on the mat", "a b c d e f g"]
     alone = [pieces.sample_texts(lattice, [t], [k], 3, 5)[0] for t, k in zip(texts, "xyz", strict=True)]
