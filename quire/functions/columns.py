@@ -22,8 +22,8 @@ def strip(text: Column | str) -> Column:
 
 
 # Marks around a public-domain text, and titles and files that hold no prose.
-_END_MARK = r"(?is)\*{3}\s*END OF (?:THIS |THE )?PROJECT GUTENBERG.*"
-_START_MARK = r"(?is)^.*?\*{3}\s*START OF (?:THIS |THE )?PROJECT GUTENBERG[^\*]*\*{3}"
+END_MARK = r"(?is)\*{3}\s*END OF (?:THIS |THE )?PROJECT GUTENBERG.*"
+START_MARK = r"(?is)^.*?\*{3}\s*START OF (?:THIS |THE )?PROJECT GUTENBERG[^\*]*\*{3}"
 NON_BODY_TITLE = (
     r"(?i)^\s*(title\s*page?|copyright|table\s*of\s*contents?|contents?|dedication|preface|foreword|introduction\s+by"
     r"|acknowledgements?|appendix|bibliography|index|glossary|notes?|about\s*the\s*author|colophon|epigraph|halftitle|cover)\s*$"
@@ -32,7 +32,7 @@ NON_CONTENT_FILE = r"(?i)(cover|toc|nav|ncx|colophon|titlepage|frontmatter|copyr
 
 
 def strip_boilerplate(text: Column | str) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(col(text), _END_MARK, ""), _START_MARK, ""))
+    return strip(F.regexp_replace(F.regexp_replace(col(text), END_MARK, ""), START_MARK, ""))
 
 
 def is_non_body(title: Column | str) -> Column:

@@ -43,8 +43,10 @@ def outline(chapters: DataFrame, budget: int = 8000) -> DataFrame:
 
 
 def evidence(results: DataFrame) -> DataFrame:
-    """(conv_id, evidence): each result (result_no, chapter, answer) under its number, in order."""
-    one = F.concat(F.lit("[Source "), F.col("result_no").cast("string"), F.lit(" — chapter "), F.col("chapter").cast("string"), F.lit("]\n"), F.col("answer"))
+    """(conv_id, evidence): each result (result_no, chapter, answer, quotes) under its number, in order, with its quotes where it has any."""
+    quoted = F.array_join(F.transform("quotes", lambda q: F.concat(F.lit('"'), q, F.lit('"'))), " | ")
+    said = F.when(F.size("quotes") > 0, F.concat(F.lit("\nQuotes: "), quoted)).otherwise("")
+    one = F.concat(F.lit("[Source "), F.col("result_no").cast("string"), F.lit(" — chapter "), F.col("chapter").cast("string"), F.lit("]\n"), F.col("answer"), said)
     rows = results.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("result_no", one.alias("text")))).alias("r"))
     return rows.select("conv_id", F.array_join(F.transform("r", lambda x: x["text"]), "\n\n").alias("evidence"))
 

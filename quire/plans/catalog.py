@@ -621,8 +621,8 @@ def summary_choice(spark, d):
 @query(
     """
 WITH n AS (SELECT conv_id, (count(*) - 1) % 4 AS n, count(*) % 2 = 0 AS weak FROM conversations GROUP BY 1)
-SELECT conv_id, CASE WHEN n = 0 THEN 'I couldn''t find any passages that clearly speak to that.' WHEN weak THEN 'The closest ' || CASE WHEN n = 1 THEN 'passage' ELSE 'passages' END || ' I found only touch on this loosely:'
-  ELSE 'Here ' || CASE WHEN n = 1 THEN 'is ' ELSE 'are ' END || n || CASE WHEN n = 1 THEN ' passage' ELSE ' passages' END || ' that speak to that:' END AS framing FROM n
+SELECT conv_id, CASE WHEN n = 0 THEN 'The text holds no passage on this.' WHEN weak THEN 'No close match; the nearest ' || CASE WHEN n = 1 THEN 'passage' ELSE 'passages' END || ':'
+  ELSE n || CASE WHEN n = 1 THEN ' passage' ELSE ' passages' END || ' from the text:' END AS framing FROM n
 """
 )
 def quote_framing(spark, d):
@@ -630,9 +630,10 @@ def quote_framing(spark, d):
     return n.select("conv_id", Q.quote_framing((F.col("c") - 1) % 4, F.col("c") % 2 == 0).alias("framing"))
 
 
-@query("SELECT conv_id, string_agg('[Source ' || turn || ' — chapter ' || turn % 5 || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS evidence FROM conversations GROUP BY 1")
+@query("SELECT conv_id, string_agg('[Source ' || turn || ' — chapter ' || turn % 5 || ']' || chr(10) || text || CASE WHEN turn % 2 = 1 THEN chr(10) || 'Quotes: \"' || role || '\" | \"x\"' ELSE '' END, chr(10) || chr(10) ORDER BY turn) AS evidence FROM conversations GROUP BY 1")
 def evidence_render(spark, d):
-    rows = read(spark, d, "conversations").select("conv_id", F.col("turn").alias("result_no"), (F.col("turn") % 5).alias("chapter"), F.col("text").alias("answer"))
+    quoted = F.when(F.col("turn") % 2 == 1, F.array("role", F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    rows = read(spark, d, "conversations").select("conv_id", F.col("turn").alias("result_no"), (F.col("turn") % 5).alias("chapter"), F.col("text").alias("answer"), quoted.alias("quotes"))
     return history.evidence(rows)
 
 

@@ -1,7 +1,8 @@
-"""The stages that make a stored book ready: summaries, entities, embeddings and full text, each resumable.
+"""The stages that make stored books ready: summaries, entities, embeddings and full text, each resumable.
 
-A unit's reply goes to the ledger with the batch it came in; a stage that starts again asks the
-model only for units that the ledger has no row of, and rebuilds its tables from all of them.
+A stage takes all its books at once, as a DataFrame of their ids, so a library costs as many jobs as a book. A unit's
+reply goes to the ledger; a stage that starts again asks the model only for units that the ledger has no row of, and
+rebuilds its tables from all of them. Units that a model fails on are left out of the ledger, the others kept, and then the stage fails.
 """
 
 from __future__ import annotations
@@ -22,28 +23,55 @@ from quire.sources.store import Store
 
 STAGES = ["summaries", "book_summary", "entities", "embeddings", "fts"]
 CHAPTER_CHARS, BOOK_CHARS, BATCH, SIDE_BY_SIDE = 12_000, 50_000, 64, 4
+CLUSTERS = "struct<entities:array<struct<canonical:string,type:string,aliases:array<string>>>>"
+
+
+class StageError(RuntimeError):
+    """errors: what a model said of some books (book_id -> message)."""
+
+    def __init__(self, stage: str, errors: dict[str, str]):
+        super().__init__(f"{stage}: " + "; ".join(f"{b}: {e}" for b, e in errors.items()))
+        self.errors = errors
 
 
 def ask(rows: DataFrame, model: ModelClient, kinds: list[str], tokens: list[int]) -> DataFrame:
-    """(book_id, unit_key, payload) of rows (book_id, unit_key, text): one reply a kind, as a JSON array. Some units are asked for side by side."""
+    """(book_id, unit_key, payload, error) of rows (book_id, unit_key, text): one reply a kind, as a JSON array. Some units are asked for side by side."""
+
+    def one(text: str | None) -> tuple[str | None, str | None]:
+        try:
+            return json.dumps([model.complete(k, text or "", max_tokens=n).strip() for k, n in zip(kinds, tokens, strict=True)]), None
+        except Exception as e:  # one unit must not stop the others
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches):
-        one = lambda text: json.dumps([model.complete(k, text or "", max_tokens=n).strip() for k, n in zip(kinds, tokens, strict=True)])
         with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
             for whole in batches:
                 for lo in range(0, whole.num_rows, BATCH):
                     b = whole.slice(lo, BATCH)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pool.map(one, b.column(2).to_pylist()), pa.string())], ["book_id", "unit_key", "payload"])
+                    got = list(pool.map(one, b.column(2).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.string()) for x in zip(*got, strict=True))], ["book_id", "unit_key", "payload", "error"])
 
-    return rows.select("book_id", "unit_key", "text").mapInArrow(run, "book_id string, unit_key string, payload string")
+    return rows.select("book_id", "unit_key", "text").mapInArrow(run, "book_id string, unit_key string, payload string, error string")
 
 
-def _replies(store: Store, book_id: str, stage: str, units: DataFrame, model: ModelClient, kinds: list[str], tokens: list[int]) -> DataFrame:
+def _asked(store: Store, stage: str, units: DataFrame, model: ModelClient, kinds: list[str], tokens: list[int], keep: bool = True) -> DataFrame:
+    """The replies (book_id, unit_key, payload), pinned; to the ledger as well, if they are to be kept. Fails if a unit did, once the others are kept."""
+    got = store.pin(ask(units, model, kinds, tokens))
+    if keep:
+        store.mark(got.where("error IS NULL"), stage)
+    errors = {r["book_id"]: r["error"] for r in got.where("error IS NOT NULL").groupBy("book_id").agg(F.first("error").alias("error")).limit(100).collect()}
+    if errors:
+        store.unpin(got)
+        raise StageError(stage, errors)
+    return got
+
+
+def _replies(store: Store, books: DataFrame, stage: str, units: DataFrame, model: ModelClient, kinds: list[str], tokens: list[int]) -> DataFrame:
     """The payloads of all units (book_id, unit_key, text), those of new ones asked for and written first."""
-    todo = L.pending(units, store.of("ledger", book_id), stage, "unit_key")
+    todo = L.pending(units, store.of("ledger", books), stage, "unit_key")
     if not todo.isEmpty():
-        store.mark(ask(todo, model, kinds, tokens), stage)
-    return L.payloads(store.of("ledger", book_id), stage)
+        store.unpin(_asked(store, stage, todo, model, kinds, tokens))
+    return L.payloads(store.of("ledger", books), stage)
 
 
 def chapter_texts(sections: DataFrame) -> DataFrame:
@@ -52,47 +80,45 @@ def chapter_texts(sections: DataFrame) -> DataFrame:
     return rows.select("book_id", "chapter_id", F.array_join(F.transform("s", lambda x: x["content"]), "\n\n").alias("text"))
 
 
-def summaries(store: Store, book_id: str, model: ModelClient) -> None:
-    units = chapter_texts(store.of("sections", book_id)).select("book_id", F.col("chapter_id").alias("unit_key"), F.substring("text", 1, CHAPTER_CHARS).alias("text"))
-    got = _replies(store, book_id, "summaries", units, model, ["micro", "summary"], [60, 700])
+def summaries(store: Store, books: DataFrame, model: ModelClient) -> None:
+    units = chapter_texts(store.of("sections", books)).select("book_id", F.col("chapter_id").alias("unit_key"), F.substring("text", 1, CHAPTER_CHARS).alias("text"))
+    got = _replies(store, books, "summaries", units, model, ["micro", "summary"], [60, 700])
     got = got.select("book_id", F.col("unit_key").alias("chapter_id"), F.from_json("payload", "array<string>").alias("r"))
-    chapters = store.of("chapters", book_id).drop("summary", "micro_summary").join(got, ["book_id", "chapter_id"], "left")
+    chapters = store.of("chapters", books).drop("summary", "micro_summary").join(got, ["book_id", "chapter_id"], "left")
     store.replace("chapters", chapters.withColumns({"micro_summary": F.get("r", F.lit(0)), "summary": F.get("r", F.lit(1))}).drop("r"))
 
 
-def book_summary(store: Store, book_id: str, model: ModelClient) -> None:
-    row = history.reduce_input(store.of("chapters", book_id).where("is_body"), BOOK_CHARS).first()
-    text = row["text"] if row else ""
-    store.set_book(book_id, summary=model.complete("book", text, max_tokens=600).strip() if text else "")
+def book_summary(store: Store, books: DataFrame, model: ModelClient) -> None:
+    units = history.reduce_input(store.of("chapters", books).where("is_body"), BOOK_CHARS).where("text != ''").select("book_id", F.lit("book").alias("unit_key"), "text")
+    got = _replies(store, books, "book_summary", units, model, ["book"], [600])
+    reply = got.select("book_id", F.get(F.from_json("payload", "array<string>"), F.lit(0)).alias("r"))
+    rows = store.of("books", books).join(reply, "book_id", "left").withColumn("summary", F.coalesce("r", F.lit(""))).drop("r")
+    store.replace("books", rows.withColumn("updated_at", F.current_timestamp()))
 
 
-def entities(store: Store, book_id: str, model: ModelClient) -> None:
-    body = store.of("sections", book_id).where("is_body")
+def entities(store: Store, books: DataFrame, model: ModelClient) -> None:
+    """A book's distinct names meet in one row, as the model that clusters them must see them all."""
+    body = store.of("sections", books).where("is_body")
     units = body.select("book_id", F.col("section_id").alias("unit_key"), F.col("content").alias("text"))
-    got = _replies(store, book_id, "entities", units, model, ["extract"], [1500])
+    got = _replies(store, books, "entities", units, model, ["extract"], [1500])
     reply = F.from_json(C.fenced_json(F.get(F.from_json("payload", "array<string>"), F.lit(0))), EXTRACTION)
     payloads = body.join(got.select("book_id", F.col("unit_key").alias("section_id"), reply.alias("payload")), ["book_id", "section_id"])
-    names = [{"name": r["name"], "type": r["type"]} for r in extraction.candidates(payloads).orderBy("name").collect()]  # of one book
-    try:
-        found = json.loads(model.complete("cluster", json.dumps(names), max_tokens=3000)).get("entities", []) if names else []
-    except (ValueError, AttributeError):
-        found = []
-    if not found:
-        found = [{"canonical": n["name"], "type": n["type"], "aliases": []} for n in names]
-    rows = [(book_id, i, c.get("canonical"), c.get("type"), c.get("aliases") or []) for i, c in enumerate(found) if c.get("canonical")]
-    clusters = store.spark.createDataFrame(rows, "book_id string, position int, canonical string, type string, aliases array<string>")
+    names = extraction.candidates(payloads).groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("name", "type"))).alias("names"))
+    asked = _asked(store, "clusters", names.select("book_id", F.lit("names").alias("unit_key"), F.to_json("names").alias("text")), model, ["cluster"], [3000], keep=False)
+    found = F.from_json(C.fenced_json(F.get(F.from_json("payload", "array<string>"), F.lit(0))), CLUSTERS)["entities"]
+    alone = F.transform("names", lambda n: F.struct(n["name"].alias("canonical"), n["type"].alias("type"), F.array().cast("array<string>").alias("aliases")))
+    rows = names.join(asked.select("book_id", found.alias("found")), "book_id", "left")
+    rows = rows.select("book_id", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(alone)).alias("position", "c"))
+    clusters = store.pin(rows.where("c.canonical != ''").select("book_id", "position", "c.canonical", "c.type", "c.aliases"))
     own = extraction.entities(clusters)
     made = {"entities": own, "occurrences": extraction.occurrences(payloads, extraction.aliases(clusters), own), "dates": extraction.dates(payloads), "events": extraction.events(payloads, own)}
-    for name, table in made.items():
-        if table.isEmpty():
-            store.drop(book_id, [name])
-        else:
-            store.replace(name, table)
+    store.replace_all(made, books)
+    store.unpin(asked, clusters)
 
 
-def embeddings(store: Store, book_id: str, model: ModelClient) -> None:
+def embeddings(store: Store, books: DataFrame, model: ModelClient) -> None:
     """Vectors of body chunks that have none yet, asked for in batches."""
-    todo = L.pending_vectors(store.of("chunks", book_id), store.of("embeddings", book_id))
+    todo = L.pending_vectors(store.of("chunks", books), store.of("embeddings", books))
 
     def run(batches):
         for b in batches:
@@ -102,21 +128,27 @@ def embeddings(store: Store, book_id: str, model: ModelClient) -> None:
 
     if not todo.isEmpty():
         store.append("embeddings", todo.select("book_id", "chunk_id", "content").mapInArrow(run, "book_id string, chunk_id string, embedding array<float>"))
-    dim = store.of("embeddings", book_id).select(F.max(F.size("embedding"))).first()[0]
-    store.set_book(book_id, embed_version=C.embed_version("embed_version"), embed_dim=F.lit(dim).cast("int"), embed_model=getattr(model, "embed_name", None) or F.col("embed_model"))
+    dim = store.of("embeddings", books).groupBy("book_id").agg(F.max(F.size("embedding")).alias("dim"))
+    name = getattr(model, "embed_name", None)
+    rows = store.of("books", books).join(dim, "book_id", "left").withColumns({"embed_version": C.embed_version("embed_version"), "embed_dim": F.col("dim"), "embed_model": F.lit(name) if name else F.col("embed_model")})
+    store.replace("books", rows.drop("dim"))
 
 
-def fts(store: Store, book_id: str, model: ModelClient) -> None:
+def fts(store: Store, books: DataFrame, model: ModelClient) -> None:
     """Postings of all sections, clustered by term, so that a query's filter on terms skips row groups."""
-    store.replace("postings", retrieval.postings(store.of("sections", book_id)).sort("term"))
+    store.replace("postings", retrieval.postings(store.of("sections", books)).repartition("book_id").sortWithinPartitions("book_id", "term"))
 
 
-def run(store: Store, book_id: str, model: ModelClient, progress=lambda stage, state: None) -> None:
+def run(store: Store, books: DataFrame, model: ModelClient, progress=lambda stage, state: None) -> None:
+    """All stages, each over those of the books that it is not done for."""
     for stage in STAGES:
-        if store.done(book_id, stage):
+        done = store.of("ledger", books).where((F.col("stage") == stage) & (F.col("unit_key") == L.ALL)).select("book_id")
+        todo = store.pin(books.select("book_id").join(done, "book_id", "left_anti"))
+        if todo.isEmpty():
             progress(stage, "skipped")
-            continue
-        progress(stage, "started")
-        globals()[stage](store, book_id, model)
-        store.mark_done(book_id, stage)
-        progress(stage, "done")
+        else:
+            progress(stage, "started")
+            globals()[stage](store, todo, model)
+            store.mark_done(todo, stage)
+            progress(stage, "done")
+        store.unpin(todo)

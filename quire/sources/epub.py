@@ -32,8 +32,7 @@ HEADINGS = [
     re.compile(r"^[ \t]*\*[ \t]*\*[ \t]*\*[ \t]*$", re.M),
 ]
 _NON_BODY, _NON_CONTENT = re.compile(columns.NON_BODY_TITLE), re.compile(columns.NON_CONTENT_FILE)
-_START = re.compile(r"\*{3}\s*START OF (?:THIS |THE )?PROJECT GUTENBERG[^\*]*\*{3}", re.I)
-_END = re.compile(r"\*{3}\s*END OF (?:THIS |THE )?PROJECT GUTENBERG.*", re.I | re.S)
+_START, _END = re.compile(columns.START_MARK), re.compile(columns.END_MARK)
 
 
 @dataclass
@@ -60,11 +59,7 @@ class Book:
 
 def plain(text: str) -> str:
     """Without what a public-domain edition puts around the book."""
-    if m := _END.search(text):
-        text = text[: m.start()]
-    if m := _START.search(text):
-        text = text[m.end() :]
-    return text.strip()
+    return _START.sub("", _END.sub("", text)).strip()
 
 
 def _non_body(title: str | None) -> bool:
@@ -232,7 +227,7 @@ _CHAPTER = pa.struct([("ordinal", pa.int32()), ("title", pa.string()), ("text",
 _ARROW = pa.schema([("path", pa.string()), ("source_hash", pa.string()), ("title", pa.string()), ("author", pa.string()), ("cover_mime", pa.string()), ("cover_data", pa.binary()), ("raw_length", pa.int64()), ("error", pa.string()), ("chapters", pa.list_(_CHAPTER))])
 
 
-def read_epubs(spark: SparkSession, path: str) -> DataFrame:
+def read_epubs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row for each file below path, with its chapters as an array; a file that is no EPUB has an error instead."""
 
     def run(batches):
