@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 _WRITTEN: dict[str, SparkSession] = {}
-_PLACE = "_quire_path"
+_PLACE, _PARTS = "_quire_path", "_quire_parts"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,18 @@ def materialize(df: DataFrame, **options) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes tables of materialize() that no DataFrame still to be run reads."""
+    """Deletes tables of materialize() that no DataFrame still to be run reads; for one of reading(), the tables that it was made from."""
     for t in tables:
         path = t.__dict__.pop(_PLACE, None)
         if path and path in _WRITTEN:
             _delete(_WRITTEN.pop(path), path)
+        release(*t.__dict__.pop(_PARTS, ()))
+
+
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, with the tables that it reads, so that its user can release them once it has run."""
+    setattr(df, _PARTS, tables)
+    return df
 
 
 def give_back() -> None:

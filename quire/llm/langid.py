@@ -162,6 +162,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     # twice as many as are wanted pass a threshold of their hash; those of the smallest hash are taken of them
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     share = df.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (2 * each + 64) / r["count"]) * (1 << 30))) for r in found], "lang string, upto long")
+    if len(found) <= 100_000:
+        share = F.broadcast(share)  # a row a language, counted just now
     near = rows.withColumn("spot", spot).join(share, "lang").where("spot < upto").groupBy("lang", "spot").agg(F.min("text").alias("text"))
     sample = near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("spot"))).where(F.col("n") <= each)
     texts: dict[str, list[bytes]] = {r["lang"]: [] for r in found}

@@ -114,12 +114,14 @@ def plan(df: DataFrame, source_col: str = "source", text_col: str = "text", id_c
     n, parts = slim.count(), shuffle_partitions(df.sparkSession)
     rows_a_bucket = max(64, n // (64 * parts))
     queued = materialize(_queued(slim, sources, rows_a_bucket))
+    release(slim)
     return queued, sources, cut(queued, max_repeat, max(256, n // 1024)), rows_a_bucket
 
 
 def mix(df: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: int = 9) -> DataFrame:
     """The rows of df that the mix takes, a row as often as it is taken."""
-    _, sources, at, rows_a_bucket = plan(df, source_col, text_col, id_col, weights, max_repeat, seed)
+    queued, sources, at, rows_a_bucket = plan(df, source_col, text_col, id_col, weights, max_repeat, seed)
+    release(queued)
     rows = _queued(_sized(df, source_col, text_col, id_col, seed), sources, rows_a_bucket)
     rows = rows.select(*(F.col(c) for c in df.columns), _copies(at, max_repeat).alias("__mix_copies")).where("__mix_copies > 0")
     return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_copies"))).select(*df.columns)

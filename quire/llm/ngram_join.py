@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import give_back, materialize, release, shuffle_partitions, table
+from quire.llm.common import give_back, materialize, reading, release, shuffle_partitions, table
 
 BANDS, ROWS, STEP = 48, 8, 16
 HASHES = BANDS * ROWS
@@ -295,10 +295,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     release(reps, work, found, unit_, group)
     out = profile.select("id", "key").join(known, "key", "left")
     none = F.lit(0).cast("long")
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"),
         F.coalesce("n_links", none).alias("n_links"), F.coalesce("n_text_links", none).alias("n_text_links"),
     )
+    return reading(out, profile, known)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
