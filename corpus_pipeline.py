@@ -10,17 +10,18 @@
 5. sentencepiece: two sampled segmentations of each text, the corpus's token ids.
 
 Each stage reads the table that the one before wrote, and all but the last return the columns of
-their input. Ties go to the smaller id, then to the row that comes first; rows that repeat are rows of their own until the second stage. An empty
+their input. Ties go to the smaller id, then to one of its rows; rows that repeat are rows of their own until the second stage. An empty
 table stays empty. Names that start with ``__`` are reserved. SQL cannot express them, so ``ORACLE_SQL`` is None.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import langid, mixing, ngram_join, pieces, secrets
-from quire.llm.common import materialize, table
+from quire.llm.common import materialize, release, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +30,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.where("__lang != 'und' and __score >= 0.5").select(*docs.columns)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # a name for each row, in order of id (null last); written, so that it is the same wherever it is read
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with ``__row``, a name of each row in order of id (null last): the id, the file and the place in it, which are
+    the same however the table is read. Rows that come from no file are written first."""
+    try:
+        place = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    except AnalysisException:
+        place = materialize(docs).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
     order = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    row = F.concat(F.coalesce(order, F.lit("null")), F.lit("-"), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
-    named = materialize(docs.withColumn("__row", row))
-    others = materialize(ngram_join.join(named, id_col="__row").where("__row != class_id").select("__row"))
+    row = F.concat(F.coalesce(order, F.lit("null")), F.lit("-"), F.hex(F.xxhash64("__file")), F.lit("-"), F.hex("__place"))
+    return place.withColumn("__row", row).drop("__file", "__place")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = _named(docs)
+    groups = ngram_join.join(named, id_col="__row")
+    others = materialize(groups.where("__row != class_id").select("__row"))
+    release(groups)
     return named.join(others, "__row", "left_anti").select(*docs.columns)
 
 
@@ -68,5 +80,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        done, docs = docs, materialize(stage(spark, docs, sf_dir))
+        release(done)
     return STAGES[-1][1](spark, docs, sf_dir)
