@@ -6,8 +6,8 @@ a class, its representative, goes on: copies cost one row each, whatever their n
 
 Proposal: 384 MinHash values in 48 bands of 8, which miss a pair at Jaccard 0.8 with
 probability 0.0002 and less above it; the connected components of "shares a band" (by stars to the smallest
-member, never by pairs) are the work units. A component of m representatives is cut into blocks, and a task takes
-a pair of blocks, so that a large group spreads over many tasks and no pair becomes a row.
+member, never by pairs) are the work units. A component of m representatives is cut into blocks by number and by bytes, and a task takes
+a pair of blocks, so that a large group, or one of long texts, spreads over many tasks and no pair becomes a row.
 
 Pruning in a task: MinHash values are compared 16 at a time; after each step a pair whose
 posterior probability of Jaccard >= ``threshold`` (uniform prior) is below ``tolerance`` is dropped.
@@ -41,6 +41,7 @@ from quire.llm.common import give_back, materialize, reading, release, shuffle_p
 
 BANDS, ROWS, STEP = 48, 8, 16
 HASHES = BANDS * ROWS
+BLOCK_BYTES = 32 << 20
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -178,7 +179,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """(id, key, size, bands): key names the sequence of words, null where there are none."""
+    """(id, key, bands, words): key names the sequence of words, null where there are none; words is their number."""
 
     def run(batches):
         for b in batches:
@@ -194,12 +195,12 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 values = bands(signatures(sets)).ravel() if sets else np.zeros(0, np.int64)
                 own = set(first.values())
                 count = np.array([0, *(BANDS * (i in own) for i in range(len(keys)))]).cumsum().astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(count), pa.array(values))], ["id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(count), pa.array(values)), pa.array(list(map(len, words)), pa.int64())], ["id", "key", "bands", "words"])
         _CACHE.clear()
         give_back()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, key binary, bands array<bigint>")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, key binary, bands array<bigint>, words long")
 
 
 def _rows_of_groups(batches, key: int):
@@ -223,16 +224,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = materialize(_profile(docs, n))
     # a copy's bands are empty where an earlier row of its batch has them
-    reps = profile.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("bands").alias("bands"))
+    reps = profile.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("bands").alias("bands"), F.max("words").alias("words"))
     reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()))
     posts = reps.select("node", F.explode("bands").alias("band"))
     leads = posts.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
     stars = posts.join(leads.select("band", "lead"), "band").where("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     unit = unit_ = components(stars)
-    sizes = unit.groupBy("component").agg(F.count("*").alias("m"))
+    sizes = unit.join(reps.select("node", "words"), "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("words").alias("total"))
     unit = unit.join(sizes, "component")
+    # blocks of up to 1024 texts, and of about BLOCK_BYTES of sets
     side = F.least(F.greatest(F.col("m") / 32, F.lit(64)), F.lit(1024))
-    unit = unit.withColumn("nb", F.ceil(F.col("m") / side).cast("int"))
+    unit = unit.withColumn("nb", F.greatest(F.ceil(F.col("m") / side), F.ceil(F.col("total") * 8 / BLOCK_BYTES)).cast("int"))
     work = unit.join(reps.select("node", "rep", "key", "copies"), "node")
     work = materialize(work.select("component", "nb", F.pmod(F.xxhash64("node"), "nb").cast("int").alias("block"), "node", "copies", "key", "rep"))
     # a merge join at every size: how much moves then grows with the input alone

@@ -7,8 +7,10 @@ takes every word as the start of a chain, one without a word the hash of itself,
 texts, and only they, agree there too. Null is the empty text.
 
 Likeness is Jaccard, 0 without further work if the set lengths alone keep it below ``floor``.
-``similar_pairs`` joins on the rarest part of each set within partitions by set length.
-Ids are taken as unique; rows that repeat one come in order of text. A null id comes before all others.
+``similar_pairs`` joins on the rarest signatures of each set within partitions by set length.
+Ids are taken as unique; rows that repeat one come in order of text. A null id comes before all others. A text is held whole with its
+words, some hundred bytes a word; there is no other bound on its length. Columns that start with ``__fp`` or ``__nx`` are reserved, others are kept as they are;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -59,25 +61,35 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
 def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3) -> tuple[DataFrame, DataFrame]:
     """(id, class_id) of each row, and (a, b, likeness) of class representatives with likeness of at least ``threshold``.
 
-    Rows of equal fingerprints are one class, named by its smallest id, so copies cost no pairs. A
-    class goes to its own length partition (powers of 1 / threshold) and the next; within one, a pair must
-    share one of the smallest (n - ceil(threshold * n) + 1) hashes of either set.
+    Rows of equal fingerprints are one class, named by its smallest id (null ids last), so copies cost no pairs. A
+    class goes to its own length partition (powers of 1 / threshold), and is compared with that and the next. Signatures stand in
+    order of how many classes have them, rarest first; a pair must share one of the first n - ceil(threshold * n) + 1 of either
+    set, and a shared one at places i and j leaves at most 1 + min(na - i, nb - j) in common (from 1 on), which must reach what the threshold
+    asks for. So a common signature makes candidates only of sets that have nothing rarer. What is left is compared exactly.
     """
     rows = fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp", chain).drop("text")
     rows = rows.withColumn("key", F.sha2(F.array_join(F.col("fp").cast("array<string>"), ","), 256))
     classes = rows.groupBy("key").agg(F.min("id").alias("class_id"), F.any_value("fp").alias("fp"))
     members = rows.join(classes.select("key", "class_id"), "key").select("id", "class_id")
-    n = F.size("fp")
-    prefix = F.slice("fp", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))
-    part = F.floor(F.log(n.cast("double")) / math.log(1 / threshold)).cast("int")
-    posts = classes.select("class_id", F.col("fp"), n.alias("n"), part.alias("part"), F.explode(prefix).alias("sig"))
-    left = posts.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "sig", F.col("part"))
-    right = posts.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1, F.col("part") - 1)).alias("part"))
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = left.join(right, ["sig", "part"]).where(close).select("a", "b").distinct()
-    sets = classes.select("class_id", "fp")
-    pairs = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("fp").alias("fa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("fp").alias("fb")), "b")
-    return members, pairs.select("a", "b", likeness(F.col("fa"), F.col("fb"), threshold).alias("likeness")).where(F.col("likeness") >= threshold)
+    sigs = classes.select("key", F.explode("fp").alias("sig"))
+    often = sigs.groupBy("sig").agg(F.count("*").alias("often"))
+    ranked = sigs.join(often, "sig").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("s"))
+    n = F.size("s")
+    part = F.floor(F.log(n.cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
+    prefix = F.slice("s", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    posts = ranked.select("key", n.alias("n"), part.alias("part"), F.posexplode(prefix).alias("i", "x")).select("key", "n", "part", "i", "x.sig")
+    left = posts.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col("i").alias("ia"), "sig", "part")
+    right = posts.select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("i").alias("ib"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), F.col("part").alias("own"))
+    # the shorter on the right, so that the next partition is enough; equal lengths in order of key
+    ordered = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("kb") < F.col("ka")))
+    needed = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    possible = 1 + F.least(F.col("na") - 1 - F.col("ia"), F.col("nb") - 1 - F.col("ib")) >= needed
+    pairs = left.join(right, ["sig", "part"]).where(ordered & possible & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select("ka", "kb").distinct()
+    sets = classes.select("key", "class_id", "fp")
+    pairs = pairs.join(sets.select(F.col("key").alias("ka"), F.col("class_id").alias("ca"), F.col("fp").alias("fa")), "ka").join(sets.select(F.col("key").alias("kb"), F.col("class_id").alias("cb"), F.col("fp").alias("fb")), "kb")
+    near = pairs.withColumn("likeness", likeness(F.col("fa"), F.col("fb"), threshold)).where(F.col("likeness") >= threshold - 1e-12)
+    swap = F.col("ca") <= F.col("cb")
+    return members, near.select(F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("a"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("b"), "likeness")
 
 
 def with_next(df: DataFrame, id_col: str, columns: dict[str, str], buckets: int, prepare=None) -> DataFrame:

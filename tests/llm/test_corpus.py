@@ -189,6 +189,24 @@ def test_similar_pairs_against_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_similar_pairs_with_a_common_signature(spark, threshold):
+    """Every text holds one signature, many hold another; sets are small and of all lengths, so that bounds are met exactly."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(160):
+        own = [f"the w{rng.randrange(12)} x{i % 7} y" for _ in range(rng.randrange(0, 9))]
+        texts.append(". ".join(["the very common start", *(["a rather common line"] if i % 2 else []), *own]))
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[3]), (None, None), (500, "")], "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS fp", "3 AS n")
+    members, pairs = spotsigs.similar_pairs(df, threshold=threshold)
+    of = {r["id"]: r["class_id"] for r in members.collect()}
+    reps = sorted({c for i, c in of.items() if c is not None and c < 500})
+    want = {(a, b): jaccard(spots(texts[a]), spots(texts[b])) for a in reps for b in reps if a < b}
+    want = {k: v for k, v in want.items() if v >= threshold - 1e-12}
+    got = {(r["a"], r["b"]): r["likeness"] for r in pairs.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 # mixing
 
 
