@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import columns as C
 from quire.functions import questions as Q
+from quire.functions.english import STOP
 from quire.operators import extraction, graph, history, ledger, lookups, quotes, retrieval, segment
 from quire.operators.numbering import running_sums
 from quire.plans import stages
@@ -279,9 +280,20 @@ def _semantic_sql(where: str, k: int) -> str:
     return f"WITH {CH}, {VECTORS}, vq AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT section_id, {_COS} + 0.0 AS distance FROM v e, vq WHERE is_body {where} ORDER BY 1 - list_cosine_similarity(e.embedding::DOUBLE[], vq.v::DOUBLE[]), section_id LIMIT {k}"
 
 
-@query(_semantic_sql("", 20))
+_DIST = "1 - list_cosine_similarity(e.embedding::DOUBLE[], vq.v::DOUBLE[])"
+
+
+@query(
+    f"""
+WITH {CH}, {VECTORS}, vq AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+near AS (SELECT section_id // 3 AS section_id, {_DIST} AS distance FROM v e, vq WHERE is_body ORDER BY 2, e.section_id LIMIT 80)
+SELECT section_id, round(min(distance), 6) + 0.0 AS distance FROM near GROUP BY 1 ORDER BY min(distance), section_id LIMIT 20
+"""
+)
 def semantic_topk(spark, d):
-    return retrieval.semantic_search(vectors(spark, d), first_vector(spark, d), 20).select("section_id", (F.round("distance", 6) + 0.0).alias("distance"))
+    """Sections of three chunks each, by their nearest."""
+    rows = vectors(spark, d).withColumn("section_id", F.floor(F.col("chunk_id") / 3))
+    return retrieval.semantic_search(rows, first_vector(spark, d), 20).select("section_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query(_semantic_sql("AND number <= 10", 20))
@@ -314,6 +326,39 @@ def lexical_topk(spark, d):
     return retrieval.text_search(_text_sections(spark, d), "things -question", 20).select("section_id", F.round("score", 6).alias("score"))
 
 
+def _words_sql(rows: str, top: int) -> str:
+    """Over w (chapter_id, is_body, w: the words), ``rows`` says n, the counts t0 and t1 of two stems, and what matches (ok)."""
+    score = lambda i: f"ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * n / mean))"
+    return f"""
+WITH {CH}, w AS (SELECT chapter_id, is_body, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM num),
+c AS (SELECT chapter_id, is_body, len(list_filter(w, lambda x: x NOT IN ({", ".join("'" + x + "'" for x in sorted(STOP))})))::DOUBLE AS n, {rows} FROM w),
+g AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean, count(*) FILTER (WHERE t0 > 0)::DOUBLE AS d0, count(*) FILTER (WHERE t1 > 0)::DOUBLE AS d1 FROM c WHERE n > 0)
+SELECT chapter_id::VARCHAR AS section_id, round({score(0)} + {score(1)}, 6) AS score FROM c, g WHERE is_body AND ok ORDER BY {score(0)} + {score(1)} DESC, section_id LIMIT {top}"""
+
+
+_THING, _TION = "'^thing(e|s|es|ed|ing|ings)?$'", "'^tion(e|s|es|ed|ing|ings)?$'"
+_COUNT = lambda form: f"len(list_filter(w, lambda x: regexp_matches(x, {form})))::DOUBLE"
+
+
+@query(_words_sql(f"{_COUNT(_THING)} AS t0, {_COUNT(_TION)} AS t1, t0 > 0 OR t1 > 0 AS ok", 20))
+def lexical_or(spark, d):
+    return retrieval.text_search(_text_sections(spark, d), "things OR tion", 20).select("section_id", F.round("score", 6).alias("score"))
+
+
+@query(_words_sql("len(list_filter(w, lambda x: x IN ('la', 'las')))::DOUBLE AS t0, len(list_filter(w, lambda x: x IN ('de', 'des')))::DOUBLE AS t1, len(list_filter(range(1, len(w)), lambda i: w[i] IN ('la', 'las') AND w[i + 1] IN ('de', 'des'))) > 0 AS ok", 20))
+def lexical_phrase(spark, d):
+    return retrieval.text_search(_text_sections(spark, d), '"la de" -question', 20).select("section_id", F.round("score", 6).alias("score"))
+
+
+@query(_words_sql("len(list_filter(w, lambda x: x IN ('la', 'las')))::DOUBLE AS t0, len(list_filter(w, lambda x: x IN ('de', 'des')))::DOUBLE AS t1, len(list_filter(range(1, len(w)), lambda i: w[i] IN ('la', 'las') AND w[i + 1] IN ('de', 'des'))) > 0 AS ok", 20))
+def lexical_index(spark, d):
+    """The same search over postings that are written first."""
+    from quire.sources.store import scratch
+
+    s = _text_sections(spark, d)
+    return retrieval.lexical_search(scratch(retrieval.postings(s)), s, '"la de"', 20).select("section_id", F.round("score", 6).alias("score"))
+
+
 @query(
     """
 WITH l AS (SELECT doc_id AS section_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50),
@@ -333,20 +378,32 @@ def rrf_fuse(spark, d):
 
 
 def order_dates(spark, d):
-    at = F.to_date("o_orderdate")
-    return read(spark, d, "orders").select(F.col("o_orderkey").alias("section_id"), F.col("o_custkey").alias("chapter_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("raw_text"), at.alias("normalized_date"), F.col("o_orderkey").alias("char_offset_start"), F.col("o_orderpriority").alias("context"))
+    """Orders' days as dates; some texts hold no year, some days are not known."""
+    key = F.col("o_orderkey")
+    raw = F.when(key % 5 == 0, F.date_format("o_orderdate", "MMMM d")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    at = F.when(key % 7 > 0, F.to_date("o_orderdate"))
+    return read(spark, d, "orders").select(key.alias("section_id"), F.col("o_custkey").alias("chapter_id"), raw.alias("raw_text"), at.alias("normalized_date"), key.alias("char_offset_start"), F.col("o_orderpriority").alias("context"))
+
 
+DATES = "od AS (SELECT o_orderkey AS section_id, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%B %-d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS raw_text, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate::DATE END AS normalized_date FROM orders)"
 
-@query("SELECT DISTINCT o_orderkey AS section_id FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') ILIKE '%1995%' OR strftime(o_orderdate, '%Y-%m-%d') ILIKE '%may%' ORDER BY 1 LIMIT 10")
+
+@query(f"WITH {DATES} SELECT DISTINCT section_id FROM od WHERE raw_text ILIKE '%1995%' OR raw_text ILIKE '%may%' ORDER BY 1 LIMIT 10")
 def date_sections(spark, d):
     return retrieval.date_sections(order_dates(spark, d), "What was ordered in May 1995?")
 
 
-@query("SELECT o_orderkey AS section_id, strftime(o_orderdate, '%Y-%m-%d') AS raw_text, o_orderdate::DATE AS normalized_date FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') ILIKE '%1996%' OR year(o_orderdate)::VARCHAR = '1996' ORDER BY o_orderdate::DATE NULLS LAST, o_orderkey LIMIT 20")
+@query(f"WITH {DATES} SELECT section_id, raw_text, normalized_date FROM od WHERE raw_text ILIKE '%1996%' OR year(normalized_date)::VARCHAR = '1996' ORDER BY normalized_date NULLS LAST, section_id LIMIT 20")
 def date_lookup(spark, d):
     return lookups.dates(order_dates(spark, d), chapters(spark, d), "1996").select("section_id", "raw_text", "normalized_date")
 
 
+@query(f"WITH {DATES} SELECT section_id, raw_text, normalized_date FROM od WHERE raw_text ILIKE '%-12-3%' ORDER BY normalized_date NULLS LAST, section_id LIMIT 100000")
+def undated_last(spark, d):
+    """A search by a part of the text, all of it: what has no date stands last."""
+    return lookups.dates(order_dates(spark, d), chapters(spark, d), "-12-3", limit=100_000).select("section_id", "raw_text", "normalized_date")
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_type ILIKE '%c%' ORDER BY event_id LIMIT 20")
 def event_lookup(spark, d):
     rows = read(spark, d, "events").select("event_id", "event_type", F.col("event_type").alias("description"), F.col("event_id").alias("char_offset_start"), F.col("event_id").alias("section_id"), F.expr("CAST(NULL AS array<string>)").alias("entity_ids"))

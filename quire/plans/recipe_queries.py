@@ -8,7 +8,7 @@ from quire.functions import columns as C
 from quire.functions import questions as Q
 from quire.operators import extraction, graph, lookups, quotes, retrieval
 from quire.plans import catalog
-from quire.plans.catalog import CH, VECTORS, M_SQL, chapters, first_vector, mentions, nations, query, read, vectors
+from quire.plans.catalog import CH, DATES, VECTORS, M_SQL, chapters, first_vector, mentions, nations, query, read, vectors
 from quire.sources import epub
 
 # searches
@@ -23,7 +23,7 @@ def _hybrid_sql(top: int, lists: int, boost: float = 1.0, dates: bool = False, c
 
     stop = ", ".join("'" + w + "'" for w in sorted(STOP))
     third = " UNION ALL SELECT section_id, 2, rank, 0.5 FROM dl" if dates else ""
-    date_cte = ", dl AS (SELECT *, row_number() OVER (ORDER BY section_id) AS rank FROM (SELECT DISTINCT o_orderkey::VARCHAR AS section_id FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') ILIKE '%1995%' OR strftime(o_orderdate, '%Y-%m-%d') ILIKE '%may%' ORDER BY 1 LIMIT 10))" if dates else ""
+    date_cte = f", {DATES}, dl AS (SELECT *, row_number() OVER (ORDER BY section_id) AS rank FROM (SELECT DISTINCT section_id::VARCHAR AS section_id FROM od WHERE raw_text ILIKE '%1995%' OR raw_text ILIKE '%may%' ORDER BY 1 LIMIT 10))" if dates else ""
     return f"""
 WITH {CH}, {VECTORS}, w AS (SELECT chapter_id, is_body, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({stop})) AS w FROM num),
 c AS (SELECT chapter_id, is_body, len(w)::DOUBLE AS n, len(list_filter(w, lambda x: regexp_matches(x, '^thing(e|s|es|ed|ing|ings|ness|ful)?$')))::DOUBLE AS tf FROM w WHERE len(w) > 0),

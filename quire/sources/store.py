@@ -10,6 +10,7 @@ partitions change places. Where a writer is lost between, the next store that op
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 
@@ -20,6 +21,24 @@ from quire.operators import ledger as L
 from quire.schema import TABLES, key
 
 
+def scratch(rows: DataFrame) -> DataFrame:
+    """rows, written once below ``spark.checkpoint.dir`` (or the warehouse) until the program ends, for plans that read them more than once."""
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/quire-scratch-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:
+        return  # the session has ended; the folder belongs to the cluster's own clean-up
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
