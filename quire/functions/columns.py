@@ -58,6 +58,10 @@ def resolve_offsets(content: Column, name: Column, start: Column, end: Column) -
     return F.when(offsets_fit(content, name, start, end), given).when((F.length(name) > 0) & (found >= 0), first)
 
 
+def content_hash(data: Column | str) -> Column:
+    return F.sha2(col(data).cast("binary"), 256)
+
+
 def global_offset(base: Column | str, offset: Column | str) -> Column:
     """An offset in a section as one in its chapter; a section without a start begins with it."""
     return F.coalesce(col(base), F.lit(0)) + col(offset)

@@ -18,6 +18,11 @@ def stage_done(ledger: DataFrame, book_id: str, stage: str) -> bool:
     return not ledger.where((F.col("book_id") == book_id) & (F.col("stage") == stage) & (F.col("unit_key") == ALL)).isEmpty()
 
 
+def done_books(ledger: DataFrame, stage: str) -> DataFrame:
+    """The books that a whole stage is done for."""
+    return ledger.where((F.col("stage") == stage) & (F.col("unit_key") == ALL)).select("book_id").distinct()
+
+
 def done_units(ledger: DataFrame, stage: str) -> DataFrame:
     return ledger.where((F.col("stage") == stage) & (F.col("unit_key") != ALL)).select("book_id", "unit_key").distinct()
 

@@ -86,6 +86,19 @@ def occurrence_text(found: DataFrame, most: int = 5, chars: int = 120) -> DataFr
     return found.select("entity_id", F.array_join(F.concat(F.array(head), lines), "\n").alias("text"))
 
 
+def unsummarized(books_: DataFrame) -> DataFrame:
+    """Ready books without a summary."""
+    return books_.where("status = 'ready' AND summary IS NULL")
+
+
+def resume_plan(found: DataFrame, books_: DataFrame, chapters: DataFrame, reindex: bool = False) -> DataFrame:
+    """(book_id, plan) of the books of found: ``skip`` where one is ready, ``resume`` where its chapters are stored, else ``store`` (all of them with reindex)."""
+    rows = found.select("book_id").distinct().join(books_.select("book_id", "status"), "book_id", "left")
+    rows = rows.join(chapters.select("book_id").distinct().withColumn("__stored", F.lit(True)), "book_id", "left")
+    plan = F.when(F.lit(reindex), "store").when(F.col("status") == "ready", "skip").when(F.col("__stored"), "resume").otherwise("store")
+    return rows.select("book_id", plan.alias("plan"))
+
+
 def counts(chapters: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
     one = lambda d, n: d.agg(F.count("*").alias(n))
     return one(chapters, "chapters").crossJoin(one(sections, "sections")).crossJoin(one(chunks, "chunks"))  # one row each

@@ -774,4 +774,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hybrid_search(lexical, near, None, False)
 
 
-from quire.plans import recipe_queries  # noqa: E402, F401  it registers its queries here
+from quire.plans import recipe_queries, store_queries  # noqa: E402, F401  they register their queries here

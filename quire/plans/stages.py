@@ -142,8 +142,7 @@ def fts(store: Store, books: DataFrame, model: ModelClient) -> None:
 def run(store: Store, books: DataFrame, model: ModelClient, progress=lambda stage, state: None) -> None:
     """All stages, each over those of the books that it is not done for."""
     for stage in STAGES:
-        done = store.of("ledger", books).where((F.col("stage") == stage) & (F.col("unit_key") == L.ALL)).select("book_id")
-        todo = store.pin(books.select("book_id").join(done, "book_id", "left_anti"))
+        todo = store.pin(books.select("book_id").join(L.done_books(store.of("ledger", books), stage), "book_id", "left_anti"))
         if todo.isEmpty():
             progress(stage, "skipped")
         else:

@@ -21,14 +21,19 @@ from quire.operators import ledger as L
 from quire.schema import TABLES, key
 
 
-def scratch(rows: DataFrame) -> DataFrame:
-    """rows, written once below ``spark.checkpoint.dir`` (or the warehouse) until the program ends, for plans that read them more than once."""
-    spark = rows.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder below ``spark.checkpoint.dir`` (or the warehouse) that goes when the program ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/quire-scratch-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return path
+
+
+def scratch(rows: DataFrame) -> DataFrame:
+    """rows, written once, for plans that read them more than once."""
+    path = scratch_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
