@@ -8,8 +8,8 @@ Within a block three orders predict the next id. Order 2 and order 1 each name t
 two ids or the id before, with a probability learned for how often in a row that came true. Order 0 is the distribution of the
 ids so far: their counts, taken anew at the positions of ``REFRESH``, and, with as many counts as there are distinct
 ids, an escape to all ids alike. The three are mixed linearly; an order's weight is the mean probability that it gave to what came, lately.
-The mixture is coded as an interval of the range: first the order-2 id, the order-1 id (one interval,
-if they agree) or neither, then where neither the id in order 0, then where that escapes the id itself.
+The mixture is coded in intervals of the range: first the named id (order 2's, else order 1's; its share is what the mixture
+gives it, from both orders if they agree) or another, then of another the id in order 0, then where that escapes the id itself.
 
 The range coder keeps 48 bits and moves 16 at a time; carries are settled at the end. Its numbers are doubles that hold whole
 numbers below 2**53 exactly, and probabilities change by single IEEE operations, so files read the same everywhere.
@@ -88,7 +88,7 @@ class Lanes:
         self.v2, self.v1 = self.w2 / w, self.w1 / w
 
     def predict(self) -> None:
-        """The ids that order 2 and order 1 name, and their shares of CHOICE."""
+        """The id that order 2, else order 1, names, and its share of CHOICE in the mixture."""
         h1 = self.prev * U32(2654435769)
         h2 = (h1 + self.prev2 * U32(81007)) * U32(73244475)
         self.s2 = (h2 >> U32(8) & U32(SLOTS2 - 1)) + self.base2
@@ -104,11 +104,11 @@ class Lanes:
         self.c2, self.c1 = e2 & U32(65535), e1 & U32(65535)
         self.at2, self.at1 = k2 + self.base_k, k1 + self.base_k
         self.a2, self.a1 = self.p2.take(self.at2), self.p1.take(self.at1)
-        self.f2, self.f1 = np.floor(self.a2 * self.v2), np.floor(self.a1 * self.v1)
-        both = self.f1 * (self.c2 == self.c1)
-        self.f2 += both
-        self.f1 -= both
-        self.f = self.f2 + self.f1
+        self.c = np.where(k2, self.c2, self.c1)
+        f = self.a1 * self.v1
+        f *= self.c == self.c1
+        f += self.a2 * self.v2
+        self.f = np.floor(f, out=f)
 
     def learn(self, x: np.ndarray) -> None:
         """The ids that came."""
@@ -213,13 +213,12 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             part = BELOW / total
         x = ids[t, :live].astype(U32)
         m.predict()
-        hit2, hit1 = x == m.c2, x == m.c1
-        hit2 &= m.f2 > 0
-        hit1 &= m.f1 > 0
-        miss = ~(hit2 | hit1)
+        miss = x != m.c
+        miss |= m.f == 0
         r = np.floor(m.range * (1 / CHOICE))
-        low += r * np.where(miss, m.f, hit1 * m.f2)
-        r *= np.where(miss, CHOICE - m.f, np.where(hit1, m.f1, m.f2))
+        skip = m.f * miss
+        low += r * skip
+        r *= np.where(miss, CHOICE - skip, m.f)
         r = np.floor(r * part)
         g = number[t, :live] + home
         below, count = flat.take(g - 1), flat.take(g)
@@ -317,17 +316,17 @@ def _decode(data: list[bytes], size: np.ndarray, vocabulary: int) -> list[np.nda
             table = table.ravel()
         m.predict()
         r = np.floor(m.range * (1 / CHOICE))
-        f2, f = r * m.f2, r * m.f
-        hit2, miss = code < f2, code >= f
-        code -= np.where(miss, f, np.where(hit2, 0.0, f2))
-        r *= np.where(miss, CHOICE - m.f, np.where(hit2, m.f2, m.f1))
+        f = r * m.f
+        miss = code >= f
+        code -= f * miss
+        r *= np.where(miss, CHOICE - m.f, m.f)
         r = np.floor(r * part)
         spot = np.minimum(np.floor(code / r), float(seen)) * miss
         e = table.take(spot.astype(np.int64) + home)
         below, count = e >> 16 & 65535, e & 65535
         code -= r * (below * miss)
         m.range = r * np.where(miss, count, total)
-        x = np.where(miss, e >> 32, np.where(hit2, m.c2, m.c1)).astype(U32)
+        x = np.where(miss, e >> 32, m.c).astype(U32)
         i = np.flatnonzero(miss & (below == seen))
         if len(i):
             take(i[m.range[i] < ENOUGH])
