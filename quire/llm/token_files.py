@@ -59,7 +59,7 @@ ENOUGH = 2.0**26
 BELOW = 1 - 2.0**-45
 SLICE = 128
 #: Bytes of text that are tokenized together; a longer text is taken alone.
-TAKE = 1 << 24
+TAKE = 1 << 23
 
 
 class Lanes:
