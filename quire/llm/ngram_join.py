@@ -23,7 +23,8 @@ Result: a row for each document: class_id (smallest id of its group: documents j
 links), copy_id (smallest id with the same words), n_links (documents linked to it, its copies
 included) and n_text_links (different texts linked to it). Documents without a word (null and empty
 texts too) have neither copies nor links and are their own class. Ids are taken as unique; rows
-that repeat an id and words are copies of each other, as are rows with a null id, which name no class.
+that repeat an id and words are copies of each other; rows with a null id take part and name no class, unless all of a class
+are such: its class_id and copy_id are null then.
 """
 
 from __future__ import annotations
@@ -203,6 +204,18 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, key binary, bands array<bigint>, words long")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, text), as _profile names them, of texts with words."""
+
+    def run(batches):
+        for b in batches:
+            words = [_word_hashes(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words], pa.binary()), b.column(0)], ["key", "text"])
+        _CACHE.clear()
+
+    return docs.select("text").mapInArrow(run, "key binary, text string").where("key IS NOT NULL")
+
+
 def _rows_of_groups(batches, key: int):
     """The rows of each run of equal first ``key`` columns, over batches."""
     held, name = [], None
@@ -238,7 +251,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     work = unit.join(reps.select("node", "rep", "key", "copies"), "node")
     work = materialize(work.select("component", "nb", F.pmod(F.xxhash64("node"), "nb").cast("int").alias("block"), "node", "copies", "key", "rep"))
     # a merge join at every size: how much moves then grows with the input alone
-    texts = docs.join(work.hint("merge"), docs["id"] == work["rep"]).select("component", "nb", "block", "node", "copies", "key", "text")
+    columns = ["component", "nb", "block", "node", "copies", "key", "text"]
+    texts = docs.join(work.hint("merge"), docs["id"] == work["rep"]).select(*columns)
+    # a class that no id names is found by its words
+    nameless = _keyed(docs.where("id IS NULL")).groupBy("key").agg(F.min("text").alias("text"))
+    texts = texts.unionByName(work.where("rep IS NULL").join(nameless, "key").select(*columns))
 
     def to_sets(batches):
         names = ["component", "nb", "block", "node", "copies", "shingles"]

@@ -405,3 +405,22 @@ def test_pipeline_of_empty_and_odd_tables(spark, tables, odd_documents):
         assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
         docs = out
     assert {c for c in corpus_pipeline.STAGES[-1][1](spark, docs, "").columns} == {"doc_id", "samples"}
+
+
+def test_rows_without_an_id_have_links(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(None, a), (None, a), (3, a + " more"), (None, b), (None, b + " more"), (8, c)]
+    got = {(r["doc_id"], r["class_id"], r["copy_id"], r["n_links"], r["n_text_links"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 3, None, 2, 1), (3, 3, 3, 2, 1), (None, None, None, 1, 1), (8, 8, 8, 0, 0)}
+
+
+def test_fingerprints_among_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the quick brown fox", "a"), (2, None, "b"), (3, "", "c")], "doc_id long, text string, words string")
+    df = df.selectExpr("*", "1 AS sig", "2 AS fp", "3 AS at", "4 AS content", "5 AS next_text")
+    got = spotsigs.fingerprint(df, "text", "out")
+    assert got.columns == [*df.columns, "out"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[2]["out"] == rows[3]["out"] != rows[1]["out"] and [rows[1][c] for c in df.columns[2:]] == ["a", 1, 2, 3, 4, 5]
+    moved = spotsigs.with_next(df, "doc_id", {"text": "after"}, 4)
+    assert {r["doc_id"]: r["after"] for r in moved.collect()} == {3: None, 2: "the quick brown fox", 1: ""}

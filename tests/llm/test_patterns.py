@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -114,10 +115,17 @@ def test_long_runs_before_a_value_take_linear_time():
 
 
 @pytest.mark.parametrize("scan", [pii.detect, secrets.scan])
-def test_odd_rows(scan, odd_documents):
+def test_odd_rows(scan, odd_documents, spark):
     got = scan(odd_documents).collect()
-    assert len(got) == odd_documents.count()
+    assert len(got) == odd_documents.count() and not any(r["spans"] for r in got)
     assert scan(odd_documents.limit(0)).count() == 0
+    held = "x" * 60_000 + " token = abcdefgh12 mail a.b@c.de " + "y" * 60_000
+    rows = [(1, held), (1, held), (None, "secret: 0123456789 a@b.cd"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' AS id", "'z' AS kind", "1 AS start")
+    found = Counter((r["doc_id"], tuple((s["kind"], s["start"], s["end"], s["value"]) for s in r["spans"])) for r in scan(df).collect())
+    mine = ("email", held.index("a.b@"), held.index("a.b@") + 8, "a.b@c.de") if scan is pii.detect else ("assign", held.index("token"), held.index("token") + 18, "token = abcdefgh12")
+    other = ("email", 19, 25, "a@b.cd") if scan is pii.detect else ("assign", 0, 18, "secret: 0123456789")
+    assert found == Counter({(1, (mine,)): 2, (None, (other,)): 1, (2, ()): 1, (3, ()): 1})
 
 
 def test_masking_keeps_rows_and_columns(spark):
