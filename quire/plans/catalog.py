@@ -744,24 +744,39 @@ def cascade_delete(spark, d):
     return left["customer"].join(left["orders"], "c_custkey", "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
 
 
-@query()
-def html_text_chunks(spark, d):
-    """Chunks of the text of web pages: markup to text to windows, in two Arrow passes."""
+# text nodes each on their own line, a line more for a break and the end of a block; of entities, those that these pages hold
+_HTML = r"""
+n AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->|<![^>]*>|</?[a-zA-Z][^>]*>|[^<]+') AS n FROM pages),
+h AS (SELECT page_id, array_to_string(list_transform(list_filter(n, lambda x: x[1] <> '<' OR regexp_matches(lower(x), '^(<br\b|</(p|div|h[1-6])\b)')),
+  lambda x: CASE WHEN x[1] = '<' THEN chr(10) ELSE regexp_replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') END), chr(10)) AS text FROM n)"""
+
+
+@query(f"WITH {_HTML} SELECT page_id, length(text)::INT AS chars, md5(text) AS digest FROM h")
+def html_text(spark, d):
     from quire.functions import passages
     from quire.operators.quotes import _mapped
 
     pages = read(spark, d, "pages").select("page_id", "html")
-    text = _mapped(pages, ["html"], "text string", lambda h: {"text": passages.html_text(h)[0].strip()})
-    return segment.explode_text(text, "text", passages.chunks, ["page_id"]).select("page_id", "ordinal", "char_start", "char_end")
+    return _mapped(pages, ["html"], "text string", lambda h: {"text": passages.html_text(h)[0]}).select("page_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
-def html_text(spark, d):
+@query(
+    f"""
+WITH RECURSIVE {_HTML}, t AS (SELECT page_id AS id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM h),
+{_windows_sql("t", 1536, "p + 768", "greatest(pos + 1, e - 200)")}
+SELECT id AS page_id, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::INT AS ordinal, pos::INT AS char_start,
+  (pos + length(regexp_replace(substring(text, pos + 1, e - pos), '\\s+$', '')))::INT AS char_end
+FROM part WHERE length(regexp_replace(substring(text, pos + 1, e - pos), '\\s+', '', 'g')) > 0
+"""
+)
+def html_text_chunks(spark, d):
+    """Chunks of the text of web pages: markup to text to windows, in two Arrow passes."""
     from quire.functions import passages
     from quire.operators.quotes import _mapped
 
     pages = read(spark, d, "pages").select("page_id", "html")
-    return _mapped(pages, ["html"], "text string", lambda h: {"text": passages.html_text(h)[0]}).select("page_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    text = _mapped(pages, ["html"], "text string", lambda h: {"text": passages.html_text(h)[0].strip()})
+    return segment.explode_text(text, "text", passages.chunks, ["page_id"]).select("page_id", "ordinal", "char_start", "char_end")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -154,7 +154,7 @@ def untitled_chapters(spark, d):
 
 # quotes and extraction
 
-QUOTED = "CASE doc_id % 4 WHEN 0 THEN substring(text, 11, 40) WHEN 1 THEN substring(text, length(text) - 20, 15) WHEN 2 THEN 'zq' || substring(text, 3, 9) || 'qz' ELSE '  ' END"
+QUOTED = "CASE doc_id % 4 WHEN 0 THEN substring(text, 11, 40) WHEN 1 THEN substring(text, greatest(1, length(text) - 20), 15) WHEN 2 THEN 'zq' || substring(text, 3, 9) || 'qz' ELSE '  ' END"
 
 
 @query("WITH q AS (SELECT doc_id, text, " + QUOTED + " AS q FROM documents) SELECT doc_id, CASE WHEN trim(q) <> '' AND contains(text, q) THEN (instr(text, q) - 1)::INT END AS quote_start, CASE WHEN trim(q) <> '' AND contains(text, q) THEN (instr(text, q) - 1 + length(q))::INT END AS quote_end FROM q")
@@ -213,3 +213,43 @@ def extracted_dates(spark, d):
 def extracted_events(spark, d):
     rows = extraction.events(payloads(spark, d), extraction.entities(clusters(spark, d)))
     return rows.select("book_id", "section_id", "description", F.col("char_offset_start").cast("long").alias("start"), F.size("entity_ids").alias("named"))
+
+
+HEADED = "'CHAPTER I' || chr(10) || text || chr(10) || 'Chapter II: ' || lang || chr(10) || text"
+
+
+@query(
+    f"""
+WITH t AS (SELECT doc_id, lang, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, {HEADED} AS whole FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)
+SELECT doc_id, 0 AS ordinal, 'CHAPTER I' AS title, length(t)::INT AS chars FROM t WHERE length(t) >= 100
+UNION ALL SELECT doc_id, 1, 'Chapter II: ' || lang, length(t)::INT FROM t WHERE length(t) >= 100
+UNION ALL SELECT doc_id, 0, NULL, length(trim(whole, ' ' || chr(9) || chr(10) || chr(13)))::INT FROM t WHERE length(t) < 100
+"""
+)
+def headed_chapters(spark, d):
+    """Chapters of books of one file, by their headings; a text that is too short for two chapters stays one."""
+    files = read(spark, d, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = epub.spine_chapters(files, "doc_id", "lang", F.lit("text/all.xhtml"), C.strip(F.expr(HEADED)))
+    return rows.select("doc_id", "ordinal", "title", F.length("text").alias("chars"))
+
+
+@query(
+    r"""
+WITH RECURSIVE s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT doc_id, 1 AS i, 0 AS g, greatest(1, ceil(length(ss[1]) / 4.0)) AS size FROM s
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN size + n > 200 THEN g + 1 ELSE g END, CASE WHEN size + n > 200 THEN n ELSE size + n END
+  FROM (SELECT w.*, greatest(1, ceil(length(ss[i + 1]) / 4.0)) AS n FROM w JOIN s USING (doc_id) WHERE i < len(ss))
+), c AS (SELECT doc_id, g, regexp_replace(string_agg(ss[i], ' ' ORDER BY i), '^\s+|\s+$', '', 'g') AS content FROM w JOIN s USING (doc_id) GROUP BY 1, 2),
+p AS (SELECT *, coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS ordinal, start::INT AS char_start, (start + length(content))::INT AS char_end, md5(content) AS digest FROM p WHERE content <> ''
+"""
+)
+def paragraph_split(spark, d):
+    """Long paragraphs as sections of whole sentences."""
+    from quire.functions import passages
+    from quire.operators import segment
+
+    parts = segment.explode_text(read(spark, d, "documents"), "text", lambda t: passages.paragraph_sections(t or "", 0, 200), ["doc_id"])
+    return parts.select("doc_id", "ordinal", "char_start", "char_end", F.md5(F.col("content").cast("binary")).alias("digest"))
