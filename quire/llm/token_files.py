@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import struct
 import zlib
 from functools import lru_cache
@@ -58,6 +59,7 @@ ENOUGH = 2.0**26
 #: What keeps a rounded quotient from lying above the true one.
 BELOW = 1 - 2.0**-45
 SLICE = 128
+_P1, _P2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that are tokenized together; a longer text is taken alone.
 TAKE = 1 << 23
 
@@ -224,7 +226,7 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         below, count = flat.take(g - 1), flat.take(g)
         count -= below
         unseen = count == 0
-        below[unseen] = seen
+        below = np.where(unseen, np.int16(seen), below)
         low += r * (below * miss)
         m.range = r * np.where(miss, np.where(unseen, escape, count), total)
         i = np.flatnonzero(unseen & miss)
@@ -264,19 +266,18 @@ def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     t, n = ids.shape
     table, distinct = np.empty((n, t + 1), np.int64), np.empty(n)
     for lo in range(0, n, SLICE):
-        part = ids[:, lo : lo + SLICE]
-        s = np.full((part.shape[1], t + 1), 1 << 20, np.int32)
-        s[:, :t] = part.T
+        s = ids[:, lo : lo + SLICE].T.copy()
         s.sort(axis=1)
         first = np.ones(s.shape, bool)
         np.not_equal(s[:, 1:], s[:, :-1], out=first[:, 1:])
-        distinct[lo : lo + len(s)] = many = np.count_nonzero(first, axis=1) - 1
+        many = np.count_nonzero(first, axis=1)
         at = np.flatnonzero(first)
-        run = np.diff(np.append(at, first.size))
-        spots = np.repeat(at % (t + 1) << 16 | run, run).reshape(s.shape)
+        run = np.diff(at, append=first.size)
+        spot = at - np.repeat(np.arange(len(s)) * t, many)
+        spots = table[lo : lo + len(s)]
+        spots[:, :t] = np.repeat(s.ravel()[at].astype(np.int64) << 32 | spot << 16 | run, run).reshape(s.shape)
         spots[:, t] = many + (t << 16)
-        spots |= s.astype(np.int64) << 32
-        table[lo : lo + len(s)] = spots
+        distinct[lo : lo + len(s)] = many
     return table, distinct
 
 
@@ -380,11 +381,82 @@ class Segment:
         self.blocks = [(data[starts[i] : starts[i + 1]], min(BLOCK, total - i * BLOCK), int(sums[i])) for i in range(n)]
 
 
+class Known:
+    """Words that are remembered, under numbers from 0 on: a hash table over their bytes, looked up for many words at once."""
+
+    def __init__(self, most: int, most_bytes: int):
+        self.most, self.most_bytes = most, most_bytes
+        self.slots = np.full(1 << (2 * most - 1).bit_length(), -1, np.int32)
+        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.data = np.zeros(8, np.uint8)
+        self.seed = np.uint64(int.from_bytes(os.urandom(8), "little"))
+
+    @staticmethod
+    def _part(data: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8 k to 8 k + 7 of each word, as one number; what lies behind a word is 0. Data must end 8 bytes behind the last word."""
+        every = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        left = np.minimum(size - 8 * k, 8).astype(np.uint64)
+        return every[start + 8 * k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
+
+    def hash(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = size.astype(np.uint64) * _P1 + self.seed
+        on, k = np.flatnonzero(size > 0), 0
+        while len(on):
+            x = (h[on] ^ self._part(data, start[on], size[on], k)) * _P2
+            h[on] = (x ^ (x >> np.uint64(29))) * _P1
+            k += 1
+            on = on[size[on] > 8 * k]
+        return h ^ (h >> np.uint64(32))
+
+    def find(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, -1 where it is not remembered, and the words' hashes."""
+        h, mask = self.hash(data, start, size), np.uint64(len(self.slots) - 1)
+        out, on = np.full(len(h), -1, np.int64), np.arange(len(h))
+        at = (h & mask).astype(np.int64)
+        while len(on):
+            got = self.slots[at]
+            same = np.flatnonzero(got >= 0)
+            same = same[self.hashes[got[same]] == h[on[same]]]
+            out[on[same]] = got[same]
+            go = (got >= 0) & (out[on] < 0)
+            on, at = on[go], (at[go] + 1) & int(mask)
+        # a hash may be that of another word: bytes decide
+        on = np.flatnonzero(out >= 0)
+        wrong, k = self.size[out[on]] != size[on], 0
+        out[on[wrong]] = -1
+        on = on[~wrong]
+        on = on[size[on] > 0]
+        while len(on):
+            wrong = self._part(self.data, self.start[out[on]], size[on], k) != self._part(data, start[on], size[on], k)
+            out[on[wrong]] = -1
+            on, k = on[~wrong], k + 1
+            on = on[size[on] > 8 * k]
+        return out, h
+
+    def add(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> bool:
+        """Numbers distinct words that are not remembered, if there is room for all of them."""
+        first, total = len(self.hashes), int(size.sum())
+        if first + len(h) > self.most or len(self.data) + total > self.most_bytes:
+            return False
+        ends = np.cumsum(size)
+        fresh = data[np.repeat(start - (ends - size), size) + np.arange(total)]
+        self.start = np.concatenate([self.start, (len(self.data) - 8 + ends - size).astype(np.int32)])
+        self.data = np.concatenate([self.data[:-8], fresh, np.zeros(8, np.uint8)])
+        self.hashes, self.size = np.concatenate([self.hashes, h]), np.concatenate([self.size, size.astype(np.int32)])
+        at, on, mask = (h & np.uint64(len(self.slots) - 1)).astype(np.int64), np.arange(first, first + len(h), dtype=np.int32), len(self.slots) - 1
+        while len(on):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = on[free]  # of several for one slot, one gets it
+            go = self.slots[at] != on
+            on, at = on[go], (at[go] + 1) & mask
+        return True
+
+
 class Tokenizer:
     _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
     #: Texts where a space may be no start of a piece, or where an added token may be.
     _WHOLE = f"{_WHITE} (?:{_WHITE}|$)|<\\|"
-    KNOWN, BYTES = 1 << 20, 1 << 24
+    KNOWN, BYTES = 1 << 21, 3 << 23
 
     def __init__(self, path: str):
         import tokenizers
@@ -397,7 +469,7 @@ class Tokenizer:
         # "Ġ" is how a byte-level vocabulary writes the space
         self.opens = np.array([(self.own.id_to_token(i) or "").startswith("Ġ") for i in range(self.vocabulary)])
         # words behind a space that are remembered, and their ids
-        self.known, self.ids, self.starts = pa.array([], pa.large_string()), np.zeros(0, U32), np.zeros(1, np.int64)
+        self.known, self.ids, self.starts = Known(self.KNOWN, self.BYTES), np.zeros(0, U32), np.zeros(1, np.int64)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         call = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
@@ -415,17 +487,17 @@ class Tokenizer:
 
     def _look(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, where in them each piece starts (and the last ends), and which piece each distinct word is."""
-        known = len(self.known)
-        at = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy().astype(np.int64)
+        off = np.frombuffer(names.buffers()[1], np.int64, len(names) + 1, 8 * names.offset)
+        data = np.concatenate([np.frombuffer(names.buffers()[2] or b"", np.uint8)[off[0] : off[-1]], np.zeros(8, np.uint8)])
+        start, size = off[:-1] - off[0], np.diff(off)
+        at, h = self.known.find(data, start, size)
         fresh = np.flatnonzero(at < 0)
-        new = names.take(pa.array(fresh))
-        ids, n = self._words(new.to_pylist())
-        at[fresh] = known + np.arange(len(new))
-        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
-        ids = np.concatenate([self.ids, ids])
+        ids, n = self._words(names.take(pa.array(fresh)).to_pylist())
+        at[fresh] = len(self.starts) - 1 + np.arange(len(fresh))
+        starts, ids = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)]), np.concatenate([self.ids, ids])
         # frequent words come early, so what is full stays as it is
-        if known + len(new) <= self.KNOWN and self.known.nbytes + new.nbytes <= self.BYTES:
-            self.known, self.starts, self.ids = pa.concat_arrays([self.known, new]), starts, ids
+        if self.known.add(data, start[fresh], size[fresh], h[fresh]):
+            self.starts, self.ids = starts, ids
         return ids, starts, at
 
     def encode(self, texts: list[str] | pa.Array, end: int) -> list[np.ndarray]:
