@@ -69,11 +69,12 @@ class Lanes:
 
     def __init__(self, n: int):
         lane = np.arange(n)
-        self.base2, self.base1, self.base_k = lane * SLOTS2, lane * SLOTS1, lane * 8
+        self.base2, self.base1, self.base_k = lane * SLOTS2, lane * SLOTS1, lane * 9
         # id, times in a row << 16 (0: nothing yet), check of the context << 19
         self.held2, self.held1 = np.zeros(n * SLOTS2, U32), np.zeros(n * SLOTS1, U32)
-        start = np.minimum(400.0 * np.arange(1, 9), 3600.0)
-        start[0] = 0
+        # by times in a row; 0 and 8 (another context's) name nothing
+        start = np.minimum(400.0 * np.arange(1, 10), 3600.0)
+        start[[0, 8]] = 0
         self.p2, self.p1 = np.tile(start, n), np.tile(start, n)
         self.w2, self.w1, self.w0 = np.full(n, 1024.0), np.full(n, 1024.0), np.full(n, 512.0)
         self.prev, self.prev2 = np.zeros(n, U32), np.zeros(n, U32)
@@ -99,14 +100,11 @@ class Lanes:
         h2 &= U32(0xFFF80000)
         h1 &= U32(0xFFF80000)
         self.h2, self.h1 = h2, h1
-        k2, k1 = (e2 ^ h2) >> U32(16), (e1 ^ h1) >> U32(16)
-        k2 *= k2 < 8
-        k1 *= k1 < 8
-        self.k2, self.k1 = k2, k1
+        self.k2, self.k1 = k2, k1 = np.minimum((e2 ^ h2) >> U32(16), U32(8)), np.minimum((e1 ^ h1) >> U32(16), U32(8))
         self.c2, self.c1 = e2 & U32(65535), e1 & U32(65535)
         self.at2, self.at1 = k2 + self.base_k, k1 + self.base_k
         self.a2, self.a1 = self.p2.take(self.at2), self.p1.take(self.at1)
-        self.c = np.where(k2, self.c2, self.c1)
+        self.c = np.where(self.a2, self.c2, self.c1)
         f = self.a1 * self.v1
         f *= self.c == self.c1
         f += self.a2 * self.v2
@@ -115,13 +113,14 @@ class Lanes:
     def learn(self, x: np.ndarray) -> None:
         """The ids that came."""
         e2, e1 = x == self.c2, x == self.c1
-        e2 &= self.k2 > 0
-        e1 &= self.k1 > 0
-        g2, g1 = e2 * 4000.0 - self.a2, e1 * 4000.0 - self.a1
-        self.p2[self.at2] = self.a2 + g2 * 0.0625
-        self.p1[self.at1] = self.a1 + g1 * 0.0625
+        e2 &= self.a2 > 0
+        e1 &= self.a1 > 0
         self.step += 1
-        if self.step % 4 == 0:
+        if self.step % 2:  # every other position teaches the probabilities, every fourth the weights
+            g2, g1 = e2 * 4000.0 - self.a2, e1 * 4000.0 - self.a1
+            self.p2[self.at2] = self.a2 + g2 * 0.125
+            self.p1[self.at1] = self.a1 + g1 * 0.125
+        if self.step % 4 == 1:
             # 4000 less what is missing is the probability that an order gave to what came
             self.w2 += (4000.0 - np.abs(g2) - self.w2) * 0.125
             self.w1 += (4000.0 - np.abs(g1) - self.w1) * 0.125
