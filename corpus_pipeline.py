@@ -31,23 +31,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """docs with ``__row``, a name of each row in order of id (null last): the id, the file and the place in it, which are
-    the same however the table is read. Rows that come from no file are written first."""
+    """docs with ``__file`` and ``__place``, which name a row however the table is read, and ``__row``, a name of
+    the same in order of id (null last). Rows that come from no file are written first."""
+    place = (F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
     try:
-        place = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+        rows = docs.select("*", *place)
     except AnalysisException:
-        place = materialize(docs).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+        rows = materialize(docs).select("*", *place)
     order = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    row = F.concat(F.coalesce(order, F.lit("null")), F.lit("-"), F.hex(F.xxhash64("__file")), F.lit("-"), F.hex("__place"))
-    return place.withColumn("__row", row).drop("__file", "__place")
+    return rows.withColumn("__row", F.concat_ws("-", F.coalesce(order, F.lit("null")), F.hex("__file"), F.hex("__place")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = _named(docs)
     groups = ngram_join.join(named, id_col="__row")
-    others = materialize(groups.where("__row != class_id").select("__row"))
+    part = lambda i: F.conv(F.split("__row", "-")[i], 16, -10).cast("long")
+    others = materialize(groups.where("__row != class_id").select(part(1).alias("__file"), part(2).alias("__place")))
     release(groups)
-    return named.join(others, "__row", "left_anti").select(*docs.columns)
+    return named.join(others, ["__file", "__place"], "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
