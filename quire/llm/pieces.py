@@ -50,6 +50,7 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 CHARS = 1 << 18  # of the texts that are worked on together
 STORE = 400_000  # words whose lattices are kept, some 400 bytes each
 TRIES = 16  # draws of a word before what is taken is left out of its lattice
+ONE = 1 << 32  # shares of a boundary's pieces are kept to 32 bits, for what is drawn first; what is left is summed in doubles
 RARE = 127  # the kind of characters that are in few pieces
 
 
@@ -62,11 +63,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _uniform(seed: np.ndarray, *places) -> np.ndarray:
-    """In (0, 1), by hash."""
+def _hash(seed: np.ndarray, *places) -> np.ndarray:
     x = seed
     for p in places:
         x = _mix(x * _K + (np.uint64(p) if np.isscalar(p) else p.astype(np.uint64)))
+    return x
+
+
+def _uniform(seed: np.ndarray, *places) -> np.ndarray:
+    """In (0, 1), by hash."""
+    x = _hash(seed, *places)
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -183,7 +189,7 @@ class Lattice:
         for k, b, got in found:
             if len(b):
                 ids[b, most - k] = got
-        cum = np.zeros((len(ids), most))
+        cum = np.zeros((len(ids), most), np.uint32)
         logz = np.full(len(ids) + most, -np.inf)  # of boundary b at b + most
         logz[first + most] = 0
         order = np.argsort(-size, kind="stable")
@@ -197,11 +203,12 @@ class Lattice:
             np.exp(w, out=w)
             np.cumsum(w, 1, out=w)
             logz[b + most] = top + np.log(w[:, -1])
-            cum[b] = w / w[:, -1:]
+            w *= ONE / w[:, -1:]
+            cum[b] = np.minimum(w, ONE - 1, out=w)
         last = first + size
         row, col = np.nonzero(ids != -1)  # by boundary, the longest piece first
         share = cum[row, col]
-        share[np.flatnonzero(np.diff(row, append=len(ids)))] = 2  # a draw stops at a boundary's last piece
+        share[np.flatnonzero(np.diff(row, append=len(ids)))] = ONE - 1  # a draw stops at a boundary's last piece
         begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))])
         return begin, ids[row, col], share, (most - col).astype(np.int8), first, last, logz[last + most]
 
@@ -223,7 +230,7 @@ class Words:
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
         # pieces that end at boundary b: begin[b] to begin[b + 1] of id, cum (shares up to each) and length
-        self.begin, self.id, self.cum, self.length = np.zeros(1, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int8)
+        self.begin, self.id, self.cum, self.length = np.zeros(1, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.int8)
         self.first, self.last, self.logz = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
         self.clear()
 
@@ -254,7 +261,7 @@ class Words:
         live = np.flatnonzero(self.last[word] > first)
         at, start = self.last[word[live]], first[live]
         while len(live):
-            u = _uniform(seed[live], round_ << 32 | len(steps))
+            u = np.minimum(_hash(seed[live], round_ << 32 | len(steps)) >> np.uint64(32), np.uint64(ONE - 2)).astype(np.uint32)
             k = self.begin[at]
             more = np.flatnonzero(self.cum[k] <= u)
             while len(more):
