@@ -116,11 +116,10 @@ class Lanes:
         e2 &= self.a2 > 0
         e1 &= self.a1 > 0
         self.step += 1
-        if self.step % 2:  # every other position teaches the probabilities, every fourth the weights
+        if self.step % 4 == 1:  # every fourth position teaches the probabilities and the weights
             g2, g1 = e2 * 4000.0 - self.a2, e1 * 4000.0 - self.a1
             self.p2[self.at2] = self.a2 + g2 * 0.125
             self.p1[self.at1] = self.a1 + g1 * 0.125
-        if self.step % 4 == 1:
             # 4000 less what is missing is the probability that an order gave to what came
             self.w2 += (4000.0 - np.abs(g2) - self.w2) * 0.125
             self.w1 += (4000.0 - np.abs(g1) - self.w1) * 0.125
@@ -455,7 +454,7 @@ class Tokenizer:
     _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
     #: Texts where a space may be no start of a piece, or where an added token may be.
     _WHOLE = f"{_WHITE} (?:{_WHITE}|$)|<\\|"
-    KNOWN, BYTES = 1 << 21, 3 << 23
+    KNOWN, BYTES = 3 << 19, 1 << 24
 
     def __init__(self, path: str):
         import tokenizers
@@ -589,8 +588,10 @@ def write_tokens(df: DataFrame, path: str, model: str, id_col: str = "doc_id", t
     rows.mapInArrow(run, "shard int, seq int, n_docs long, n_ids long, segment binary").write.option("compression", "none").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before; ids are little-endian 32-bit, as one binary. A damaged block is an error that names it."""
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before; ids are little-endian 32-bit, as one binary. A damaged block is an error that names it.
+
+    With ``digest``, ids_crc32 in place of ids: the crc32 of that binary, taken where the ids are decoded, so that they need not travel."""
     files = spark.read.schema("shard int, seq int, n_docs long, n_ids long, segment binary").parquet(path)
     # a row for each segment; the table grows by one row per quarter million ids
     from pyspark.sql import Window as W
@@ -617,13 +618,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 at += len(s.blocks)
                 raw = np.concatenate([np.zeros(0, U32), *own]).astype("<u4", copy=False)
                 ends = np.concatenate([[0], np.cumsum(s.counts)])
-                if 4 * ends[-1] >= 1 << 31:
+                if digest:
+                    whole = memoryview(raw)
+                    last = pa.array([zlib.crc32(whole[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+                elif 4 * ends[-1] < 1 << 31:
+                    last = pa.Array.from_buffers(pa.binary(), len(s.counts), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(raw)])
+                else:
                     raise ValueError(f"the text at id {start} has too many ids for a row")
-                lists = pa.Array.from_buffers(pa.binary(), len(s.counts), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, pa.int64()), pa.array(start + ends[:-1]), pa.array(s.counts), lists],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start + ends[:-1]), pa.array(s.counts), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
             held.clear()
 
         for b in batches:
@@ -635,7 +637,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         yield from flush()
         give_back()
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -643,4 +645,4 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = shared_dir(spark)
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, path, digest=True)
