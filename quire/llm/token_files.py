@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import give_back, input_bytes, materialize, shared_dir, shuffle_partitions, table
 
-BLOCK, LANES, SEGMENT = 2048, 4096, 1 << 18
+BLOCK, LANES, SEGMENT = 2048, 3072, 1 << 18
 MAGIC = b"QTK2"
 U32 = np.uint32
 SLOTS2, SLOTS1 = 256, 128
@@ -61,7 +61,7 @@ BELOW = 1 - 2.0**-45
 SLICE = 128
 _P1, _P2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that are tokenized together; a longer text is taken alone.
-TAKE = 1 << 23
+TAKE = 6 << 20
 
 
 class Lanes:
@@ -454,7 +454,7 @@ class Tokenizer:
     _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
     #: Texts where a space may be no start of a piece, or where an added token may be.
     _WHOLE = f"{_WHITE} (?:{_WHITE}|$)|<\\|"
-    KNOWN, BYTES = 3 << 19, 1 << 24
+    KNOWN, BYTES = 1 << 20, 3 << 22
 
     def __init__(self, path: str):
         import tokenizers
