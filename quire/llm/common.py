@@ -55,9 +55,13 @@ def materialize(df: DataFrame, **options) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    setattr(out, _PLACE, path)
-    return out
+    return written(spark.read.schema(df.schema).parquet(path), path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as the table of a folder of shared_dir(), for release()."""
+    setattr(df, _PLACE, path)
+    return df
 
 
 def release(*tables: DataFrame) -> None:
