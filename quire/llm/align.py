@@ -6,10 +6,11 @@ these spaces, and a unit's tokens don't depend on its place. The alignment is th
 instead of all their occurrences: tokens by posexplode, ends by a windowed sum of lengths, an equi-join on (unit, end),
 the running count of cuts as group id, links by group. Tokenizers that may cut otherwise (``separable``) get whole texts as units.
 
-Documents lie in blocks of bounded bytes, and a block needs the units that it holds once each: the tables of units are joined to the
-pairs (block, unit), and a block's documents meet its units in one task. That happens twice: to count in how many
-documents each pair of ids is linked, and, with these counts summed by unit, to add up each document. What is shuffled is a
-block's texts and its distinct units, never an occurrence; neither a hot unit, nor a hot pair, nor many copies of a text make a large group.
+Documents lie in blocks of bounded bytes, and a block needs the units that it holds once each: the aligned units are joined to the
+pairs (block, unit), and a block's documents meet its units in one task, which writes each document's groups and its distinct links. In how many
+documents a pair is linked is summed over the blocks, and joined to each block's pairs; these meet the documents' links for the
+last sums. What is shuffled are a block's texts, its distinct units and pairs, and each document's links,
+never an occurrence; neither a hot unit, nor a hot pair, nor many copies of a text make a large group.
 
 Texts that are null, empty, or whose tokens don't spell a space and the text again have no tokens: zeros, an empty string, and no part in any
 count. Texts are taken whole; a text (and what its groups look like as a string) must fit a task. Repeated rows are documents of their own. A null id is
@@ -22,22 +23,22 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, reading, release, table
+from quire.llm.common import forget_shuffles, materialize, reading, release, setting, table
 
 #: Characters that are white space, in a form that Java and Python read alike.
 _SPACE = r"\t\n\x0B\x0C\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 CUT = rf"(?<=[^{_SPACE}]) (?=[^{_SPACE}])"
 _CUT, _ODD = re.compile(CUT), re.compile(rf"[{_SPACE}]{{2}}|\A[{_SPACE}]|[{_SPACE}]\Z")
-#: Links that are counted at once in a task.
-AT_ONCE = 2_000_000
 
 
 def cut(text: str, whole: bool = False) -> list[str]:
@@ -95,12 +96,12 @@ def separable(byte_path: str, piece_path: str) -> bool:
 
 def _lists(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for r in ids for x in r), np.int32, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
     return np.concatenate([[0], np.cumsum(sizes)]), flat
 
 
 def tokenized(units: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """(uid, a, b): the tokens (id, n bytes) of each unit (uid, unit) that both tokenizers spell right; others are left out."""
+    """(uid, unit, a, a_bytes, b, b_bytes): ids and numbers of bytes of the tokens of each unit (uid, unit) that both tokenizers spell right; others are left out."""
 
     def run(batches):
         (ta, bytes_a), (tb, bytes_b) = _byte_level(byte_path), _pieces(piece_path)
@@ -109,160 +110,244 @@ def tokenized(units: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 texts = part.column(1).to_pylist()
-                a = [e.ids for e in ta.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+                a = [e.ids for e in ta.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
                 b = tb.encode(texts, num_threads=1)
                 right = []
                 for i, t in enumerate(texts):
                     whole = b" " + t.encode()
                     if b"".join([bytes_a[x] for x in a[i]]) == whole == b"".join([bytes_b[x] for x in b[i]]):
                         right.append(i)
-                cols = [part.column(0).take(pa.array(right, pa.int64()))]
+                cols = [c.take(pa.array(right, pa.int64())) for c in part.columns]
                 for ids, lengths in ((a, long_a), (b, long_b)):
                     off, flat = _lists([ids[i] for i in right])
-                    token = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array(lengths[flat], pa.int32())], ["id", "n"])
-                    cols.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), token))
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "a", "b"])
+                    cols += [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x, pa.int32())) for x in (flat, lengths[flat])]
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "unit", "a", "a_bytes", "b", "b_bytes"])
 
-    return units.select("uid", "unit").mapInArrow(run, "uid long, a array<struct<id:int,n:int>>, b array<struct<id:int,n:int>>")
+    return units.select("uid", "unit").mapInArrow(run, "uid long, unit string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
 
 
 def groups(tokens: DataFrame) -> DataFrame:
-    """(uid, groups): of each unit its groups in order, each with the ids of A and of B."""
+    """(unit, shown): each unit's groups in order, as ``a1,a2|b1;a3|b2,b3``.
+
+    All steps are by unit, so the tokens of tokenized() are dealt out once (``CO_PARTITIONED`` lets the joins on (unit, end)
+    and (unit, group) use that).
+    """
+    dealt = tokens.repartition("uid")
 
     def ends(side: str) -> DataFrame:
-        rows = tokens.select("uid", F.posexplode(side).alias("i", "t"))
+        rows = dealt.select("uid", "unit", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("n"))).alias("i", "t"))
         end = F.sum("t.n").over(W.partitionBy("uid").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-        return rows.select("uid", end.alias("end"), F.col("t.id").alias(side))
+        # the first token alone carries its unit
+        return rows.select("uid", F.when(F.col("i") == 0, F.col("unit")).alias("unit"), end.alias("end"), F.col("t.id").alias("id"))
+
+    def grouped(side: str, other: str) -> DataFrame:
+        # a cut is where both end; a token belongs to the group that the cuts before its end have opened
+        rows = ends(side).join(ends(other).select("uid", "end", F.lit(1).alias("cut")), ["uid", "end"], "left")
+        before = F.coalesce(F.sum("cut").over(W.partitionBy("uid").orderBy("end").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.select("uid", "unit", "end", "id", before.alias("gid"))
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda t: t["id"].cast("string"))
+        return rows.groupBy("uid", "gid").agg(F.array_join(ids, ",").alias(side), F.max("unit").alias("unit"))
+
+    both = grouped("a", "b").join(grouped("b", "a").drop("unit"), ["uid", "gid"])
+    one = F.struct("gid", F.concat_ws("|", "a", "b").alias("g"))
+    each = both.groupBy("uid").agg(F.max("unit").alias("unit"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["g"]).alias("groups"))
+    return each.select("unit", F.array_join("groups", ";").alias("shown"))
+
 
-    both = ends("a").join(ends("b"), ["uid", "end"], "full")
-    # a cut is where both end; a token belongs to the group that the cuts before its end have opened
-    cuts = F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0))
-    before = F.coalesce(cuts.over(W.partitionBy("uid").orderBy("end").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = both.withColumn("gid", before)
+CO_PARTITIONED = "spark.sql.requireAllClusterKeysForCoPartition"
+IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 
-    def ids(side: str):
-        kept = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
-        return F.transform(kept, lambda x: x[side]).alias(side)
 
-    each = rows.groupBy("uid", "gid").agg(ids("a"), ids("b"))
-    in_order = F.array_sort(F.collect_list(F.struct("gid", "a", "b")))
-    return each.groupBy("uid").agg(F.transform(in_order, lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("groups"))
+def _written(t: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, t.schema, options=IPC) as w:
+        w.write_table(t)
+    return out.getvalue().to_pybytes()
 
 
-def links(grouped: DataFrame) -> DataFrame:
-    """(uid, a, b, times): the linked id pairs of each unit, and how often."""
-    rows = grouped.select("uid", F.explode("groups").alias("g")).select("uid", F.explode("g.a").alias("a"), "g.b")
-    return rows.select("uid", "a", F.explode("b").alias("b")).groupBy("uid", "a", "b").agg(F.count("*").alias("times"))
+def _read(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
-def _blocked(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """docs (id, text) with the block that a row lies in: rows of a task, one after another, up to about block_bytes."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _blocked(docs: DataFrame, block_bytes: int, whole: bool) -> DataFrame:
+    """(p, docs, units) of docs (id, text): blocks of rows of a task, one after another, up to about block_bytes; their documents, and their distinct units."""
 
     def run(batches):
-        done, first = 0, TaskContext.get().partitionId() << 32
+        first, n, waiting, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def block():
+            t = pa.concat_tables(waiting)
+            units: set[str] = set()
+            for text in t.column("text").to_pylist():
+                if text:
+                    units.update(cut(text, whole))
+            return pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([_written(t)], pa.binary()), pa.array([list(units)], pa.list_(pa.string()))], ["p", "docs", "units"])
+
         for b in batches:
-            size = np.array([len(x) if x is not None else 0 for x in b.column(1).cast(pa.binary()).to_pylist()], np.int64)
-            before = done + np.cumsum(size) - size
-            done += int(size.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(first + before // block_bytes), *b.columns], ["p", "id", "text"])
+            lengths = np.cumsum([len(x) if x is not None else 0 for x in b.column(1).cast(pa.binary()).to_pylist()])
+            at = 0
+            while at < b.num_rows:
+                upto = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + block_bytes - size, side="right")))
+                waiting.append(pa.Table.from_batches([b.slice(at, upto - at)]))
+                size += int(lengths[upto - 1] - (lengths[at - 1] if at else 0))
+                at = upto
+                if at < b.num_rows or size >= block_bytes:
+                    yield block()
+                    n, waiting, size = n + 1, [], 0
+        if waiting:
+            yield block()
 
-    return docs.mapInArrow(run, f"p long, id {kind}, text string")
+    return docs.mapInArrow(run, "p long, docs binary, units array<string>")
 
 
-def _known(units: pa.Table) -> dict[str, int]:
-    return {u: i for i, u in enumerate(units.column("unit").to_pylist())}
+def _packed(units: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """(p, units): rows (p, unit, shown) of a task, those of a block together."""
 
+    def run(batches):
+        waiting, size = [], 0
 
-def _counted(docs: DataFrame, units: DataFrame, whole: bool) -> DataFrame:
-    """(a, b, n): in how many documents each id pair is linked. units: p, unit, pairs (null for a unit that isn't spelled right)."""
+        def packed():
+            t = pa.concat_tables(waiting)
+            t = t.take(pc.sort_indices(t, [("p", "ascending"), ("unit", "ascending")]))
+            p = t.column("p").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            for s, e in zip(starts, [*starts[1:], len(p)], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([p[s]]), pa.array([_written(t.slice(s, e - s).drop_columns("p").combine_chunks())], pa.binary())], ["p", "units"])
 
-    def run(key, docs: pa.Table, units: pa.Table) -> pa.Table:
-        known, pairs = _known(units), units.column("pairs").combine_chunks()
-        if isinstance(pairs, pa.ChunkedArray):
-            pairs = pa.concat_arrays(pairs.chunks) if pairs.num_chunks else pa.array([], pa.list_(pa.int64()))
-        bad = pairs.is_null().to_numpy(zero_copy_only=False)
-        off, flat = pairs.offsets.to_numpy().astype(np.int64), pairs.values.to_numpy()
-        code, of = np.unique(flat, return_inverse=True)
-        n, size = np.zeros(len(code), np.int64), np.diff(off)
-        rows: list[np.ndarray] = []
-        waiting = 0
-
-        def add():
-            if rows:
-                unit, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-                k = size[unit]
-                place = np.repeat(off[unit] - np.cumsum(k) + k, k) + np.arange(k.sum())
-                once = np.unique(np.repeat(doc, k) * np.int64(max(1, len(code))) + of[place])
-                n[:] += np.bincount(once % max(1, len(code)), minlength=len(code))
-
-        for text in docs.column("text").to_pylist():
-            if text:
-                unit = np.array([known[u] for u in set(cut(text, whole))], np.int64)
-                if not bad[unit].any():
-                    rows.append(unit)
-                    waiting += int(size[unit].sum())
-                    if waiting > AT_ONCE:
-                        add()
-                        rows, waiting = [], 0
-        add()
-        some = n > 0
-        return pa.table([pa.array((code[some] >> 32).astype(np.int32)), pa.array((code[some] & 0xFFFFFFFF).astype(np.int32)), pa.array(n[some])], ["a", "b", "n"])
-
-    found = docs.groupBy("p").cogroup(units.groupBy("p")).applyInArrow(run, "a int, b int, n long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-
-
-def _summed(docs: DataFrame, units: DataFrame, whole: bool) -> DataFrame:
-    """(id, the sums, groups_sha256) of each document. units: p, unit, shown (null as above), the sums of the unit."""
-    kind = docs.schema["id"].dataType.simpleString()
+        for b in batches:
+            waiting.append(pa.Table.from_batches([b]))
+            size += b.nbytes
+            if size > most:
+                yield from packed()
+                waiting, size = [], 0
+        if size:
+            yield from packed()
+
+    return units.mapInArrow(run, "p long, units binary")
+
+
+class Units:
+    """The units of a block: what their groups look like, their sums, and their links as numbers of ``codes``, the block's distinct pairs."""
+
+    def __init__(self, t: pa.Table):
+        shown = t.column("shown").combine_chunks()
+        self.known = {u: i for i, u in enumerate(t.column("unit").to_pylist())}
+        self.bad = shown.is_null().to_numpy(zero_copy_only=False)
+        self.shown = shown.to_pylist()
+        right = shown.drop_null()
+        text = ";".join(right.to_pylist()).encode()
+        ids = np.fromstring(text.translate(bytes.maketrans(b",|;", b"   ")), np.int64, sep=" ") if text else np.zeros(0, np.int64)
+        mark = np.frombuffer(text, np.uint8)
+        mark = mark[(mark < 48) | (mark > 57)]
+        # the marks before a number say which group it is in, and whether it stands before or behind the bar
+        group = np.concatenate([[0], np.cumsum(mark == 59)])[: len(ids)]
+        behind = np.concatenate([[0], np.cumsum(mark == 124)])[: len(ids)] > group
+        a, b = ids[~behind], ids[behind]
+        n = int(group[-1]) + 1 if len(ids) else 0
+        n_a, n_b = np.bincount(group[~behind], minlength=n), np.bincount(group[behind], minlength=n)
+        per = np.zeros(len(self.shown), np.int64)
+        per[~self.bad] = pc.add(pc.count_substring(right, ";"), 1).to_numpy(zero_copy_only=False)
+        of_unit = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(per)])])
+        self.sums = np.array([of_unit(n_a), of_unit(n_b), per, of_unit(n_a * n_b)])
+        times = n_b[group[~behind]]
+        first_b = np.cumsum(n_b) - n_b
+        partner = np.repeat(first_b[group[~behind]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        self.codes, self.link = np.unique((np.repeat(a, times) << 32) | b[partner], return_inverse=True)
+        self.end = np.cumsum(self.sums[3])
+
+    def links(self, units: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct links of units that occur so often, by number, and how often each occurs."""
+        k = self.sums[3][units]
+        place = np.repeat(self.end[units] - np.cumsum(k), k) + np.arange(k.sum())
+        found, which = np.unique(self.link[place], return_inverse=True)
+        return found, np.bincount(which, np.repeat(times, k), minlength=len(found)).astype(np.int64)
+
+
+SUMS = ["n_a", "n_b", "n_groups", "n_links"]
+
+
+def _assembled(blocks: DataFrame, units: DataFrame, kind: str, whole: bool) -> DataFrame:
+    """A row a document: p, id, the sums, groups_sha256, its links (numbers within the block, and times); a block's first row has the pairs
+    behind the numbers (codes), and in how many of its documents each one is (held)."""
 
     def run(key, docs: pa.Table, units: pa.Table) -> pa.Table:
-        known, shown = _known(units), units.column("shown").to_pylist()
-        each = np.array([units.column(c).to_numpy() for c in SUMS]).astype(np.int64).reshape(len(SUMS), -1)
-        bad = np.array([s is None for s in shown], bool)
-        sums, digests = np.zeros((len(SUMS), docs.num_rows), np.int64), [""] * docs.num_rows
+        known = Units(pa.concat_tables([_read(x) for x in units.column("units").to_pylist()]) if units.num_rows else pa.table({"unit": pa.array([], pa.string()), "shown": pa.array([], pa.string())}))
+        docs = _read(docs.column("docs")[0].as_py())
+        n = docs.num_rows
+        sums, digests = np.zeros((len(SUMS), n), np.int64), [""] * n
+        held = np.zeros(len(known.codes), np.int64)
+        links, times = [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
+        index, shown = known.known, known.shown
         for i, text in enumerate(docs.column("text").to_pylist()):
-            if text:
-                unit = [known[u] for u in cut(text, whole)]
-                if not bad[unit].any():
-                    sums[:, i] = each[:, unit].sum(axis=1)
-                    digests[i] = hashlib.sha256(";".join([shown[u] for u in unit]).encode()).hexdigest()
-        return pa.table([docs.column("id"), *map(pa.array, sums), pa.array(digests, pa.string())], ["id", *SUMS, "groups_sha256"])
-
-    return docs.groupBy("p").cogroup(units.groupBy("p")).applyInArrow(run, f"id {kind}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string")
-
-
-def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+            if not text:
+                continue
+            unit = [index[u] for u in cut(text, whole)]
+            of = np.array(unit, np.int64)
+            if known.bad[of].any():
+                continue
+            sums[:, i] = known.sums[:, of].sum(axis=1)
+            digests[i] = hashlib.sha256(";".join([shown[u] for u in unit]).encode()).hexdigest()
+            links[i], times[i] = known.links(*np.unique(of, return_counts=True))
+            held[links[i]] += 1
+        off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in links])]), pa.int32())
+        lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x), pa.int32())) for x in (links, times)]
+        once = [pa.array([x, *[None] * (n - 1)], pa.list_(pa.int64())) for x in (known.codes, held)]
+        p = pa.array(np.full(n, key[0].as_py()), pa.int64())
+        return pa.table([p, docs.column("id"), *map(pa.array, sums), pa.array(digests, pa.string()), *lists, *once], ["p", "id", *SUMS, "groups_sha256", "links", "times", "codes", "held"])
+
+    schema = f"p long, id {kind}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string, links array<int>, times array<int>, codes array<long>, held array<long>"
+    return blocks.select("p", "docs").groupBy("p").cogroup(units.groupBy("p")).applyInArrow(run, schema)
+
+
+def _counted(found: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
+    """The documents of found with n_best and count_sum, from the counts (of, link, n, best) of each block's pairs."""
+
+    def run(key, docs: pa.Table, pairs: pa.Table) -> pa.Table:
+        link = pairs.column("link").to_numpy()
+        n, best = np.zeros((2, int(link.max()) + 1 if len(link) else 0), np.int64)
+        n[link], best[link] = pairs.column("n").to_numpy(), pairs.column("best").to_numpy(zero_copy_only=False)
+        out = np.zeros((2, docs.num_rows), np.int64)
+        links, times = (docs.column(c).combine_chunks() for c in ("links", "times"))
+        off, of, often = links.offsets.to_numpy(), links.values.to_numpy(), times.values.to_numpy().astype(np.int64)
+        for row, value in enumerate((best, n)):
+            total = np.concatenate([[0], np.cumsum(value[of] * often)])
+            out[row] = total[off[1:]] - total[off[:-1]]
+        return pa.table([docs.column("id"), *(docs.column(c) for c in SUMS), *map(pa.array, out), docs.column("groups_sha256")], ["id", *SUMS, "n_best", "count_sum", "groups_sha256"])
+
+    schema = f"id {kind}, {', '.join(f'{c} long' for c in [*SUMS, 'n_best', 'count_sum'])}, groups_sha256 string"
+    return found.drop("codes", "held").groupBy("p").cogroup(pairs.groupBy("of")).applyInArrow(run, schema)
+
+
+def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """Two tables: of each document (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), and of each
     linked pair of ids (a, b, n, best): in how many documents it is linked, and whether that is the highest of its a."""
+    spark = docs.sparkSession
     whole = not separable(byte_path, piece_path)
-    rows = materialize(_blocked(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), block_bytes), compression="zstd")
-    units = F.array("text") if whole else F.split("text", CUT)
-    held = materialize(rows.where("text != ''").select("p", F.explode(F.array_distinct(units)).alias("unit")).distinct())
-    names = materialize(held.select("unit").distinct().select(F.monotonically_increasing_id().alias("uid"), "unit"))
-    grouped = materialize(groups(tokenized(names, byte_path, piece_path).repartition("uid")))
-    named = materialize(held.join(names, "unit"))
-    release(held, names)
-
-    code = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-    pairs = F.flatten(F.transform("groups", lambda g: F.flatten(F.transform(F.array_distinct(g["a"]), lambda a: F.transform(F.array_distinct(g["b"]), lambda b: code(a, b))))))
-    linked = grouped.select("uid", F.array_distinct(pairs).alias("pairs"))
-    counts = _counted(rows, named.join(linked, "uid", "left").select("p", "unit", "pairs"), whole)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = materialize(_blocked(rows, block_bytes, whole), compression="zstd")
+    held = blocks.select("p", F.explode("units").alias("unit"))
+    names = held.select("unit").distinct().select(F.monotonically_increasing_id().alias("uid"), "unit")
+    tokens = materialize(tokenized(names, byte_path, piece_path), compression="zstd")
+    with setting(spark, CO_PARTITIONED, "false"):
+        shown = materialize(groups(tokens), compression="zstd")
+    release(tokens)
+    del names, tokens
+    forget_shuffles(spark)
+
+    found = materialize(_assembled(blocks, _packed(held.join(shown, "unit", "left").select("p", "unit", "shown")), kind, whole), compression="zstd")
+    release(blocks, shown)
+    del blocks, shown, held
+    forget_shuffles(spark)
+
+    first = found.where("codes IS NOT NULL")
+    n = first.select(F.explode(F.arrays_zip("codes", "held")).alias("x")).groupBy("x.codes").agg(F.sum("x.held").alias("n")).where("n > 0")
+    a, b = F.shiftrightunsigned("codes", 32).cast("int"), F.col("codes").bitwiseAND(0xFFFFFFFF).cast("int")
     # an id of A has as many pairs as B has ids at most
+    counts = n.select("codes", a.alias("a"), b.alias("b"), "n")
     counts = materialize(counts.withColumn("best", F.col("n") == F.max("n").over(W.partitionBy("a"))))
-
-    sums = links(grouped).join(counts, ["a", "b"]).groupBy("uid").agg(F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    size = lambda side: F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + F.size(g[side]))
-    shown = F.array_join(F.transform("groups", lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
-    shapes = grouped.select("uid", size("a").alias("n_a"), size("b").alias("n_b"), F.size("groups").cast("long").alias("n_groups"), shown.alias("shown"))
-    # a unit that no document with tokens holds has no counts, and no use for them
-    each = shapes.join(sums, "uid", "left")
-    found = _summed(rows, named.join(each, "uid", "left").select("p", "unit", "shown", *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS)), whole)
-    return reading(found.withColumnRenamed("id", id_col), rows, named, grouped, counts), counts
+    pairs = first.select(F.col("p").alias("of"), F.posexplode("codes").alias("link", "codes")).join(counts, "codes").select("of", "link", "n", "best")
+    return reading(_counted(found, pairs, kind).withColumnRenamed("id", id_col), found, counts), counts.drop("codes")
 
 
 def op13_align(spark, sf_dir: str) -> DataFrame:

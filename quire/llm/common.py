@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,26 @@ def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
     return df
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose DataFrames are gone: it does so once the JVM has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for the jobs that are run within."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Returns freed memory to the system, where the C library can: a Python worker lives on for other stages."""
     gc.collect()

@@ -190,7 +190,7 @@ def test_alignment_is_that_of_whole_texts(spark, tokenizers_):
     rows = [(i, "".join(rng.choices([*PARTS, "▁"] if i % 4 == 0 else PARTS, k=rng.randint(0, 12)))) for i in range(250)]
     rows += [(None, "hello there"), (5, None), (6, ""), (7, "same text same text"), (7, "same text same text"), (8, " "), (9, "the word " * 3000)]
     want, pairs = brute_alignment(rows, tokenizers_)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "p", "uid", "unit", "a", "b", "n")})
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "p", "uid", "unit", "units", "docs", "a", "b", "n")})
     got, counts = align.align(df, *tokenizers_, block_bytes=2000)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
     assert {(r["a"], r["b"]): r["n"] for r in counts.collect()} == dict(pairs)
