@@ -200,7 +200,7 @@ def _blocked(docs: DataFrame, block_bytes: int, whole: bool) -> DataFrame:
     return docs.mapInArrow(run, "p long, docs binary, units array<string>")
 
 
-def _packed(units: DataFrame, most: int = 32 << 20) -> DataFrame:
+def _packed(units: DataFrame, most: int = 16 << 20) -> DataFrame:
     """(p, units): rows (p, unit, shown) of a task, those of a block together."""
 
     def run(batches):
@@ -318,7 +318,7 @@ def _counted(found: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     return found.drop("codes", "held").groupBy("p").cogroup(pairs.groupBy("of")).applyInArrow(run, schema)
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """Two tables: of each document (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), and of each
     linked pair of ids (a, b, n, best): in how many documents it is linked, and whether that is the highest of its a."""
     spark = docs.sparkSession
