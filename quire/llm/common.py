@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -81,9 +82,11 @@ def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose DataFrames are gone: it does so once the JVM has collected them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of jobs whose DataFrames are gone: it does so, beside other work, once the JVM has collected them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @contextmanager
