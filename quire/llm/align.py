@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import forget_shuffles, materialize, reading, release, setting, table
+from quire.llm.common import forget_shuffles, give_back, materialize, reading, release, setting, table
 
 #: Characters that are white space, in a form that Java and Python read alike.
 _SPACE = r"\t\n\x0B\x0C\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -122,6 +122,7 @@ def tokenized(units: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                     off, flat = _lists([ids[i] for i in right])
                     cols += [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x, pa.int32())) for x in (flat, lengths[flat])]
                 yield pa.RecordBatch.from_arrays(cols, ["uid", "unit", "a", "a_bytes", "b", "b_bytes"])
+        give_back()
 
     return units.select("uid", "unit").mapInArrow(run, "uid long, unit string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
 
@@ -196,6 +197,8 @@ def _blocked(docs: DataFrame, block_bytes: int, whole: bool) -> DataFrame:
                     n, waiting, size = n + 1, [], 0
         if waiting:
             yield block()
+        waiting = []
+        give_back()
 
     return docs.mapInArrow(run, "p long, docs binary, units array<string>")
 
@@ -222,6 +225,8 @@ def _packed(units: DataFrame, most: int = 16 << 20) -> DataFrame:
                 waiting, size = [], 0
         if size:
             yield from packed()
+        waiting = []
+        give_back()
 
     return units.mapInArrow(run, "p long, units binary")
 
@@ -252,7 +257,8 @@ class Units:
         times = n_b[group[~behind]]
         first_b = np.cumsum(n_b) - n_b
         partner = np.repeat(first_b[group[~behind]] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        self.codes, self.link = np.unique((np.repeat(a, times) << 32) | b[partner], return_inverse=True)
+        self.codes, link = np.unique((np.repeat(a, times) << 32) | b[partner], return_inverse=True)
+        self.link = link.astype(np.int32)
         self.end = np.cumsum(self.sums[3])
 
     def links(self, units: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,6 +299,8 @@ def _assembled(blocks: DataFrame, units: DataFrame, kind: str, whole: bool) -> D
         lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x), pa.int32())) for x in (links, times)]
         once = [pa.array([x, *[None] * (n - 1)], pa.list_(pa.int64())) for x in (known.codes, held)]
         p = pa.array(np.full(n, key[0].as_py()), pa.int64())
+        del known, index, shown
+        give_back()
         return pa.table([p, docs.column("id"), *map(pa.array, sums), pa.array(digests, pa.string()), *lists, *once], ["p", "id", *SUMS, "groups_sha256", "links", "times", "codes", "held"])
 
     schema = f"p long, id {kind}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string, links array<int>, times array<int>, codes array<long>, held array<long>"
@@ -318,7 +326,7 @@ def _counted(found: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     return found.drop("codes", "held").groupBy("p").cogroup(pairs.groupBy("of")).applyInArrow(run, schema)
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
+def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """Two tables: of each document (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), and of each
     linked pair of ids (a, b, n, best): in how many documents it is linked, and whether that is the highest of its a."""
     spark = docs.sparkSession
