@@ -94,8 +94,10 @@ def entity_type(label: Column | str) -> Column:
 
 
 def fenced_json(text: Column | str) -> Column:
-    """Without the lines of a code fence."""
-    return strip(F.regexp_replace(strip(text), r"(?m)^```[^\n]*\n?", ""))
+    """Without the code fence around it: the first line where that opens one, and then the last where it closes it."""
+    whole = strip(text)
+    inner = F.regexp_replace(F.regexp_replace(whole, r"(?s)^```[^\n]*\n?", ""), r"(?s)\n?[ \t]*```[ \t]*$", "")
+    return F.when(F.startswith(whole, F.lit("```")), inner).otherwise(whole)
 
 
 def reader_reply(raw: Column | str) -> Column:

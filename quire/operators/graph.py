@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-MOST_TERMS = 10_000
+from quire.operators import patterns
 
 
 def entity_sections(entities: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -59,10 +58,6 @@ def principal_events(events: DataFrame, top_edges: DataFrame, entities: DataFram
     ends = top_edges.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     people = entities.where("entity_type = 'PERSON'").join(ends, "name", "left_semi")
     terms = people.select(F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("t")).select(F.lower("t").alias("t"))
-    # two names an edge at most and their aliases: a literal of the plan, so the test stays a row's own expression
-    every = [r["t"] for r in terms.distinct().limit(MOST_TERMS + 1).collect()]
-    if len(every) > MOST_TERMS:
-        raise ValueError(f"the top edges have more than {MOST_TERMS} names and aliases; take fewer of them")
-    if not every:
+    if terms.isEmpty():
         return events
-    return events.where(F.exists(F.array(*map(F.lit, every)), lambda t: F.lower("description").contains(t)))
+    return patterns.holding(events, F.lower("description"), terms)

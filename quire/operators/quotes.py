@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from quire.functions import passages
+from quire.operators import patterns
 
 
 def comparable(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -58,46 +59,9 @@ def citations(results: DataFrame) -> DataFrame:
     return rows.select("answer_id", "section_id", F.col("first.chapter").alias("chapter"), at.alias("position"))
 
 
-def find_all(docs: DataFrame, items: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """(doc_id, item_id, quote_start, quote_end): the first place of each quote of items (item_id, quote) in each text of docs (doc_id, text).
-
-    The quotes become one automaton that every task scans its texts with once, as long as they are of
-    at most ``most_bytes``; more of them are taken in parts by number, a scan of the texts for each.
-    """
-    size = items.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
-    parts = size // most_bytes + 1
-    out = None
-    for i in range(parts):
-        held = {r["item_id"]: r["quote"] for r in items.where((F.col("quote") != "") & (F.pmod(F.hash("item_id"), F.lit(parts)) == i)).collect()}
-        found = docs.select("doc_id", "text").mapInArrow(_scan(held), "doc_id long, item_id long, quote_start int, quote_end int")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _scan(held: dict[int, str]):
-    by_text: dict[str, list[int]] = {}
-    for item, quote in held.items():
-        by_text.setdefault(quote, []).append(item)
-
-    def run(batches):
-        try:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for q in by_text:
-                automaton.add_word(q, q)
-            automaton.make_automaton()
-            ends = lambda t: ((e + 1 - len(q), q) for e, q in automaton.iter(t))
-        except ImportError:
-            ends = lambda t: ((t.find(q), q) for q in by_text if q in t)
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                first: dict[str, int] = {}
-                for at, q in ends(text or "") if by_text else ():
-                    first.setdefault(q, at)
-                rows += [(doc, item, at, at + len(q)) for q, at in first.items() for item in by_text[q]]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "item_id", "quote_start", "quote_end"])
-
-    return run
+def find_all(docs: DataFrame, items: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, item_id, quote_start, quote_end): the first place of each quote of items (item_id, quote) in each text of docs (doc_id, text)."""
+    held = patterns.marked(docs.select("doc_id", "text"), F.col("text"), items.select("quote"), most_bytes=most_bytes)
+    rows = held.select("doc_id", F.explode("found").alias("f")).select("doc_id", F.col("f.pattern").alias("quote"), F.col("f.start").alias("quote_start"))
+    rows = rows.join(items.select("item_id", "quote"), "quote")
+    return rows.select("doc_id", "item_id", "quote_start", (F.col("quote_start") + F.length("quote")).alias("quote_end"))

@@ -486,7 +486,7 @@ SELECT canonical, count(*) AS mentions FROM customer JOIN nation ON c_nationkey
 )
 def alias_resolve(spark, d):
     n = read(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("aliases"))
-    clusters = read(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.lit("world").alias("book_id"), F.col("r_regionkey").alias("position"), F.col("r_name").alias("canonical"), F.lit("place").alias("type"), "aliases")
+    clusters = read(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.lit("world").alias("book_id"), F.col("r_regionkey").alias("position"), F.col("r_name").alias("canonical"), F.lit("location").alias("type"), "aliases")
     said = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.lower("n_name").alias("alias"))
     return said.join(extraction.aliases(clusters), "alias").groupBy("canonical").agg(F.count("*").alias("mentions"))
 

@@ -26,7 +26,7 @@ PROMPTS = {
     "synthesize": f"Answer the question from the numbered sources. {_GROUNDED}",
     "synthesize_open": f"Answer the question from the numbered sources. {_OPEN}",
     "extract": (
-        'List what the text names, in JSON: {"entities": [{"name", "type": "character" or "place", "offset_start", "offset_end"}], '
+        'List what the text names, in JSON: {"entities": [{"name", "type": "character" or "location", "offset_start", "offset_end"}], '
         '"dates": [{"raw_text", "normalized": "yyyy-MM-dd", "offset_start", "offset_end"}], "events": [{"description", "anchor_offset"}]}, three events at most.'
     ),
     "cluster": 'Group the names that mean the same person or place, in JSON: {"entities": [{"canonical", "type", "aliases": []}]}.',

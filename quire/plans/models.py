@@ -76,7 +76,7 @@ class StandIn:
     _book = _summary
 
     def _extract(self, text: str, question: str) -> str:
-        names = [{"name": m[0], "type": "place" if re.search(r"\b(?:in|at|to|from) $", text[max(0, m.start() - 6) : m.start()]) else "character", "offset_start": m.start(), "offset_end": m.end()} for m in re.finditer(r"(?<=[a-z,;] )[A-Z][a-z]+(?: [A-Z][a-z]+)*", text)]
+        names = [{"name": m[0], "type": "location" if re.search(r"\b(?:in|at|to|from) $", text[max(0, m.start() - 6) : m.start()]) else "character", "offset_start": m.start(), "offset_end": m.end()} for m in re.finditer(r"(?<=[a-z,;] )[A-Z][a-z]+(?: [A-Z][a-z]+)*", text)]
         dates = [{"raw_text": m[0], "normalized": f"{m[0]}-01-01", "offset_start": m.start(), "offset_end": m.end()} for m in re.finditer(r"\b1[0-9]{3}\b|\b20[0-9]{2}\b", text)]
         events = [{"description": s, "anchor_offset": str(text.find(s))} for s in self._sentences(text)[:1]]
         return json.dumps({"entities": names, "dates": dates, "events": events})

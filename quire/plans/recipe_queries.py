@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import columns as C
 from quire.functions import questions as Q
-from quire.operators import extraction, graph, lookups, quotes, retrieval
+from quire.operators import extraction, graph, lookups, patterns, quotes, retrieval
 from quire.plans import catalog
 from quire.plans.catalog import CH, DATES, VECTORS, M_SQL, chapters, first_vector, mentions, nations, query, read, vectors
 from quire.sources import epub
@@ -165,70 +165,93 @@ def quote_align(spark, d):
 
 
 def payloads(spark, d):
-    """Orders as sections of their customers' books: an event's words as a model's reply, with right, wrong and missing offsets."""
-    o = read(spark, d, "orders")
+    """Orders as sections of their customers' books, with what models reply: right, wrong, missing, textual and padded."""
+    o, n = read(spark, d, "orders"), F.col("o_orderkey")
     content = F.concat(F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" Clerk "), F.col("o_orderpriority"), F.lit(" and "), F.col("o_orderstatus"), F.lit("town met."))
-    spot = lambda name, at: F.struct(name.alias("name"), F.when(F.col("o_orderkey") % 2 == 0, "Character").otherwise("place").alias("type"), at.cast("int").alias("offset_start"), (at + F.length(name)).cast("int").alias("offset_end"))
-    town = F.concat(F.col("o_orderstatus"), F.lit("TOWN"))
+    kind = F.when(n % 7 == 0, "organization").when(n % 2 == 0, " character").otherwise("location")
+    spot = lambda name, at: F.struct(name.alias("name"), kind.alias("type"), at.cast("int").alias("offset_start"), (at + F.length(name)).cast("int").alias("offset_end"))
+    town = F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit("TOWN "))
     who = F.array(spot(F.concat(F.lit("Clerk "), F.col("o_orderpriority")), F.lit(14)), spot(town, F.lit(3)), spot(F.lit("Nobody"), F.lit(5)), spot(F.lit(" "), F.lit(0)))
-    when = F.array(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("raw_text"), F.when(F.col("o_orderkey") % 3 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("normalized"), F.lit(99).alias("offset_start"), F.lit(None).cast("int").alias("offset_end")))
-    what = F.array(F.struct(F.concat(F.lit("Ftown and "), F.col("o_orderstatus"), F.lit("town meet")).alias("description"), F.when(F.col("o_orderkey") % 2 == 0, "7").otherwise("many").alias("anchor_offset")))
-    rows = o.select(F.col("o_custkey").cast("string").alias("book_id"), F.lit("c").alias("chapter_id"), F.col("o_orderkey").alias("section_id"), content.alias("content"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey")).cast("long").alias("char_offset_start"), who.alias("entities"), when.alias("dates"), what.alias("events"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    when = F.array(F.struct(F.concat(F.lit(" "), day, F.lit("  ")).alias("raw_text"), F.when(n % 3 == 0, "soon").otherwise(day).alias("normalized"), F.lit(99).alias("offset_start"), F.lit(None).cast("int").alias("offset_end")))
+    anchor = F.when(n % 4 == 0, "7").when(n % 4 == 1, "many").when(n % 4 == 2, F.when(n % 3 == 0, "500").otherwise("-1"))
+    what = F.array(F.struct(F.concat(F.lit(" Ftown and "), F.col("o_orderstatus"), F.lit("town meet ")).alias("description"), anchor.alias("anchor_offset")), F.struct(F.lit("none").alias("description"), F.lit("0").alias("anchor_offset")))
+    rows = o.select(F.col("o_custkey").cast("string").alias("book_id"), F.lit("c").alias("chapter_id"), n.alias("section_id"), content.alias("content"), F.when(n % 5 > 0, n).cast("long").alias("char_offset_start"), who.alias("entities"), when.alias("dates"), what.alias("events"))
     return rows.withColumn("payload", F.struct("entities", "dates", "events")).drop("entities", "dates", "events")
 
 
-_P = "p AS (SELECT o_custkey::VARCHAR AS book_id, o_orderkey AS section_id, o_orderkey % 2 = 0 AS even, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey ELSE 0 END AS base, 'Clerk ' || o_orderpriority AS who, o_orderstatus || 'TOWN' AS town, o_orderstatus AS st, o_orderpriority AS pr, o_orderdate::DATE AS day FROM orders)"
+_P = "p AS (SELECT o_custkey::VARCHAR AS book_id, o_orderkey AS section_id, o_orderkey % 7 > 0 AS known, o_orderkey % 2 = 0 AS even, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey ELSE 0 END AS base, 'Clerk ' || o_orderpriority AS who, o_orderstatus || 'TOWN' AS town, o_orderstatus AS st, o_orderpriority AS pr, o_orderdate::DATE AS day FROM orders)"
 
 
-@query(f"WITH {_P}, n AS (SELECT book_id, section_id, even, who AS name FROM p UNION ALL SELECT book_id, section_id, even, town FROM p UNION ALL SELECT book_id, section_id, even, 'Nobody' FROM p) SELECT book_id, name, CASE WHEN arg_max(even, section_id) THEN 'Character' ELSE 'place' END AS type FROM n GROUP BY 1, 2")
+@query(f"WITH {_P}, n AS (SELECT book_id, section_id, even, who AS name FROM p WHERE known UNION ALL SELECT book_id, section_id, even, town FROM p WHERE known UNION ALL SELECT book_id, section_id, even, 'Nobody' FROM p WHERE known) SELECT book_id, name, CASE WHEN arg_max(even, section_id) THEN 'character' ELSE 'location' END AS type FROM n GROUP BY 1, 2")
 def extracted_names(spark, d):
     return extraction.candidates(payloads(spark, d))
 
 
 def clusters(spark, d):
-    """Towns with an alias each, and one clerk."""
+    """Towns with an alias each, a town that is a person as well, a clerk, and groups that are no entities."""
     towns = [("F", 0), ("O", 1), ("P", 2)]
-    rows = [(f"{s}town", i, "place", [f"{s}burg"]) for s, i in towns] + [("Clerk 1-URGENT", 3, "character", None)]
+    rows = [(f"{s}town", i, "location", [f" {s}burg ", " "]) for s, i in towns] + [("Clerk 1-URGENT", 3, "character", None), ("Otown", 4, "character", ["Otto"]), ("Clerk 2-HIGH", 5, "organization", []), ("  ", 6, "location", ["Clerk 3-MEDIUM"]), (" Clerk Low ", 7, " character ", ["clerk 5-low"])]
     books = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("book_id")).distinct()
-    named = F.explode(F.array(*(F.struct(F.lit(n).alias("canonical"), F.lit(i).alias("position"), F.lit(t).alias("type"), (F.array(*map(F.lit, a)) if a else F.lit(None).cast("array<string>")).alias("aliases")) for n, i, t, a in rows)))
+    named = F.explode(F.array(*(F.struct(F.lit(n).alias("canonical"), F.lit(i).alias("position"), F.lit(t).alias("type"), (F.array(*map(F.lit, a)) if a is not None else F.lit(None)).cast("array<string>").alias("aliases")) for n, i, t, a in rows)))
     return books.select("book_id", named.alias("c")).select("book_id", "c.*")
 
 
-@query(f"WITH {_P} SELECT book_id, section_id, st || 'town' AS name, (base + instr('On 2000-01-01 Clerk ' || pr || ' and ', ' and ') + 4)::BIGINT AS start, 'PLACE' AS entity_type FROM p UNION ALL SELECT book_id, section_id, who, (base + 14)::BIGINT, 'PERSON' FROM p WHERE pr = '1-URGENT'")
+@query(f"""WITH {_P} SELECT book_id, section_id, st || 'town' AS name, (base + instr('On 2000-01-01 Clerk ' || pr || ' and ', ' and ') + 4)::BIGINT AS start, CASE WHEN st = 'O' THEN 'PERSON' ELSE 'PLACE' END AS entity_type FROM p
+UNION ALL SELECT book_id, section_id, CASE WHEN pr = '5-LOW' THEN 'Clerk Low' ELSE who END, (base + 14)::BIGINT, 'PERSON' FROM p WHERE pr IN ('1-URGENT', '5-LOW')""")
 def extracted_occurrences(spark, d):
-    """Where names that clusters know occur, by offsets that fit or are found anew, in the chapter's offsets."""
+    """Where names that clusters know occur, by offsets that fit or are found anew, in the chapter's offsets. Otown is last claimed as a person."""
     c = clusters(spark, d)
     known = extraction.entities(c)
     rows = extraction.occurrences(payloads(spark, d), extraction.aliases(c), known).join(known.select("entity_id", "name", "entity_type"), "entity_id")
     return rows.select("book_id", "section_id", "name", F.col("char_offset_start").cast("long").alias("start"), "entity_type")
 
 
-@query(f"WITH {_P} SELECT book_id, section_id, CASE WHEN section_id % 3 > 0 THEN day END AS normalized_date, (base + 3)::BIGINT AS start, 'On ' || day || ' Clerk ' || pr || ' and ' || st || 'town met.' AS whole FROM p".replace("'On ' || day || ' Clerk ' || pr || ' and ' || st || 'town met.' AS whole", "left('On ' || day || ' Clerk ' || pr || ' and ' || st || 'town met.', 53) AS context"))
+@query("SELECT DISTINCT o_custkey::VARCHAR AS book_id, name, entity_type, aliases FROM orders, (VALUES ('Ftown', 'PLACE', 'Fburg'), ('Otown', 'PLACE', 'Oburg'), ('Otown', 'PERSON', 'Otto'), ('Ptown', 'PLACE', 'Pburg'), ('Clerk 1-URGENT', 'PERSON', ''), ('Clerk Low', 'PERSON', 'clerk 5-low')) AS c(name, entity_type, aliases)")
+def extracted_entities(spark, d):
+    """A name of two types is two entities, here since an alias still stands for the first; blank names and other types are none."""
+    return extraction.entities(clusters(spark, d)).select("book_id", "name", "entity_type", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(f"WITH {_P} SELECT book_id, section_id, day::VARCHAR AS raw_text, CASE WHEN section_id % 3 > 0 THEN day END AS normalized_date, (base + 3)::BIGINT AS start, left('On ' || day || ' Clerk ' || pr || ' and ' || st || 'town met.', 53) AS context FROM p")
 def extracted_dates(spark, d):
     rows = extraction.dates(payloads(spark, d))
-    return rows.select("book_id", "section_id", "normalized_date", F.col("char_offset_start").cast("long").alias("start"), "context")
+    return rows.select("book_id", "section_id", "raw_text", "normalized_date", F.col("char_offset_start").cast("long").alias("start"), "context")
 
 
-@query(f"WITH {_P} SELECT book_id, section_id, 'Ftown and ' || st || 'town meet' AS description, (base + CASE WHEN even THEN 7 ELSE 0 END)::BIGINT AS start, (CASE WHEN st = 'F' THEN 1 ELSE 2 END)::INT AS named FROM p")
+@query(f"WITH {_P} SELECT book_id, section_id, 'Ftown and ' || st || 'town meet' AS description, (base + 7)::BIGINT AS start, (CASE st WHEN 'F' THEN 1 WHEN 'O' THEN 3 ELSE 2 END)::INT AS named FROM p WHERE section_id % 4 = 0 UNION ALL SELECT book_id, section_id, 'none', base::BIGINT, NULL FROM p")
 def extracted_events(spark, d):
+    """Only events whose anchor is a number within their section; Otown is two entities."""
     rows = extraction.events(payloads(spark, d), extraction.entities(clusters(spark, d)))
-    return rows.select("book_id", "section_id", "description", F.col("char_offset_start").cast("long").alias("start"), F.size("entity_ids").alias("named"))
+    return rows.select("book_id", "section_id", "description", F.col("char_offset_start").cast("long").alias("start"), F.when(F.col("entity_ids").isNotNull(), F.size("entity_ids")).alias("named"))
+
+
+_LONG_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS p FROM documents"
+
+
+@query(f"WITH w AS ({_LONG_WORDS}) SELECT item_id, count(*) AS words, sum(instr(lower(text), p) - 1)::BIGINT AS places FROM benchmark JOIN w ON contains(lower(text), p) GROUP BY 1")
+def many_names(spark, d):
+    """Which of all longer words of the corpus each benchmark text holds, also within its own words, and where first."""
+    words = read(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), 1)).alias("p"))
+    rows = patterns.marked(read(spark, d, "benchmark").select("item_id", "text"), F.lower("text"), words)
+    rows = rows.select("item_id", F.explode("found").alias("f"))
+    return rows.groupBy("item_id").agg(F.count("*").alias("words"), F.sum("f.start").alias("places"))
 
 
-HEADED = "'CHAPTER I' || chr(10) || text || chr(10) || 'Chapter II: ' || lang || chr(10) || text"
+HEADED = "'CHAPTER I' || chr(10) || text || chr(10) || 'Chapter II: ' || coalesce(lang, 'none') || chr(10) || text"
 
 
 @query(
     f"""
-WITH t AS (SELECT doc_id, lang, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, {HEADED} AS whole FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)
+WITH t AS (SELECT doc_id, lang, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, {HEADED} AS whole FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, 0 AS ordinal, 'CHAPTER I' AS title, length(t)::INT AS chars FROM t WHERE length(t) >= 100
-UNION ALL SELECT doc_id, 1, 'Chapter II: ' || lang, length(t)::INT FROM t WHERE length(t) >= 100
+UNION ALL SELECT doc_id, 1, 'Chapter II: ' || coalesce(lang, 'none'), length(t)::INT FROM t WHERE length(t) >= 100
 UNION ALL SELECT doc_id, 0, NULL, length(trim(whole, ' ' || chr(9) || chr(10) || chr(13)))::INT FROM t WHERE length(t) < 100
 """
 )
 def headed_chapters(spark, d):
     """Chapters of books of one file, by their headings; a text that is too short for two chapters stays one."""
-    files = read(spark, d, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    files = read(spark, d, "documents").where("text IS NOT NULL")
     rows = epub.spine_chapters(files, "doc_id", "lang", F.lit("text/all.xhtml"), C.strip(F.expr(HEADED)))
     return rows.select("doc_id", "ordinal", "title", F.length("text").alias("chars"))
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import extraction, graph, history, ledger, lookups, numbering, quotes, retrieval, segment
+from quire.operators import extraction, graph, history, ledger, lookups, numbering, patterns, quotes, retrieval, segment
 
 
 @pytest.fixture(scope="module")
@@ -172,10 +172,10 @@ def test_ledger(spark):
 
 def test_extraction(spark):
     schema = "book_id string, chapter_id string, section_id string, content string, char_offset_start int, payload struct<entities:array<struct<name:string,type:string,offset_start:int,offset_end:int>>,dates:array<struct<raw_text:string,normalized:string,offset_start:int,offset_end:int>>,events:array<struct<description:string,anchor_offset:string>>>"
-    rows = [("b", "c", "s1", "Ann met Bo in 1900.", 100, ([("Ann", "character", 99999, 88888), ("Bo", "place", 8, 10), ("Zed", "character", 0, 3), ("", "place", 0, 0)], [("1900", "1900-01-01", 0, 1), ("1900", "bad", 14, 18)], [("Ann meets Bo", "4"), ("x", "many")]))]
+    rows = [("b", "c", "s1", "Ann met Bo in 1900.", 100, ([("Ann", "character", 99999, 88888), (" Bo ", "location", 8, 10), ("Zed", "character", 0, 3), ("", "location", 0, 0), ("Corp", "organization", 0, 1), ("Rex", "place", 0, 1)], [("1900", "1900-01-01", 0, 1), ("1900", "bad", 14, 18)], [(" Ann meets Bo", "4"), ("x", "many"), ("y", None), ("z", "19"), ("w", "-1"), ("v", "18")]))]
     p = spark.createDataFrame(rows, schema)
-    clusters = spark.createDataFrame([("b", 0, "Ann Lee", "character", ["Ann"]), ("b", 1, "Bo", "place", []), ("b", 2, "Bo", "place", ["B"])], "book_id string, position int, canonical string, type string, aliases array<string>")
-    assert {(r["name"], r["type"]) for r in extraction.candidates(p).collect()} == {("Ann", "character"), ("Bo", "place"), ("Zed", "character")}
+    clusters = spark.createDataFrame([("b", 0, "Ann Lee", "character", ["Ann"]), ("b", 1, "Bo", "location", []), ("b", 2, "Bo", "location", ["B", " "]), ("b", 3, "Acme", "organization", ["Ann"])], "book_id string, position int, canonical string, type string, aliases array<string>")
+    assert {(r["name"], r["type"]) for r in extraction.candidates(p).collect()} == {("Ann", "character"), ("Bo", "location"), ("Zed", "character")}
     e = extraction.entities(clusters)
     assert {(r["name"], r["entity_type"]) for r in e.collect()} == {("Ann Lee", "PERSON"), ("Bo", "PLACE")}
     occ = extraction.occurrences(p, extraction.aliases(clusters), e).collect()
@@ -183,4 +183,31 @@ def test_extraction(spark):
     assert sorted((r["char_offset_start"], str(r["normalized_date"])) for r in extraction.dates(p).collect()) == [(114, "1900-01-01"), (114, "None")]
     ev = {r["description"]: r for r in extraction.events(p, e).collect()}
     assert ev["Ann meets Bo"]["char_offset_start"] == 104 and len(ev["Ann meets Bo"]["entity_ids"]) == 1
-    assert ev["x"]["char_offset_start"] == 100 and ev["x"]["entity_ids"] is None
+    assert set(ev) == {"Ann meets Bo", "v"} and ev["v"]["char_offset_start"] == 118 and ev["v"]["entity_ids"] is None
+
+
+def test_a_name_of_two_types_is_two_entities(spark):
+    schema = "book_id string, position int, canonical string, type string, aliases array<string>"
+    rows = [("b", 0, "Paris", "character", ["Paris Hilton"]), ("b", 1, "Paris", "location", ["Paris city"]), ("b", 2, "Anna", "character", ["Ann"]), ("b", 3, "Annabel", "character", ["Anna"])]
+    clusters = spark.createDataFrame(rows, schema)
+    means = {r["alias"]: (r["canonical"], r["entity_type"]) for r in extraction.aliases(clusters).collect()}
+    assert means == {"paris": ("Paris", "PLACE"), "paris hilton": ("Paris", "PERSON"), "paris city": ("Paris", "PLACE"), "anna": ("Annabel", "PERSON"), "ann": ("Anna", "PERSON"), "annabel": ("Annabel", "PERSON")}
+    assert {(r["name"], r["entity_type"]): r["aliases"] for r in extraction.entities(clusters).collect()} == {
+        ("Paris", "PERSON"): ["Paris Hilton"], ("Paris", "PLACE"): ["Paris city"], ("Annabel", "PERSON"): ["Anna"], ("Anna", "PERSON"): ["Ann"],
+    }
+
+
+def test_many_patterns_are_found_as_one_by_one(spark):
+    import random
+
+    rng = random.Random(8)
+    names = {"".join(rng.choices("abcdé ", k=rng.randint(1, 9))) for _ in range(100_000)} | {"x" * 300, "日本"}
+    texts = ["".join(rng.choices("abcdé x日本", k=rng.randint(0, 60))) for _ in range(40)] + ["x" * 700, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    pats = spark.createDataFrame([(n,) for n in names] + [(None,), ("",), ("ab",), ("ab",)], "p string")
+    want = {i: sorted((t.find(n), n) for n in names if n in t) if t else [] for i, t in enumerate(texts)}
+    for most in (32 << 20, 200_000):
+        got = {r["i"]: sorted((f["start"], f["pattern"]) for f in r["found"]) for r in patterns.marked(df, F.col("t"), pats, most_bytes=most).collect()}
+        assert got == want
+    assert {r["i"] for r in patterns.holding(df, F.col("t"), pats).collect()} == {i for i, w in want.items() if w}
+    assert patterns.holding(df, F.col("t"), pats.limit(0)).count() == 0
