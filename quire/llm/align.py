@@ -6,8 +6,8 @@ these spaces, and a unit's tokens don't depend on its place. The alignment is th
 instead of all their occurrences: tokens by posexplode, ends by a windowed sum of lengths, an equi-join on (unit, end),
 the running count of cuts as group id, links by group. Tokenizers that may cut otherwise (``separable``) get whole texts as units.
 
-Documents lie in blocks of bounded bytes, and a block needs the units that it holds once each: the aligned units are joined to the
-pairs (block, unit), and a block's documents meet its units in one task, which writes each document's groups and its distinct links. In how many
+Documents lie in blocks of bounded bytes, and a block needs the units that it holds once each: a unit goes through the alignment with the list of its
+blocks (of ``TOGETHER`` at most; a unit of more is aligned again), and a block's documents meet its units in one task, which writes each document's groups and its distinct links. In how many
 documents a pair is linked is summed over the blocks, and joined to each block's pairs; these meet the documents' links for the
 last sums. What is shuffled are a block's texts, its distinct units and pairs, and each document's links,
 never an occurrence; neither a hot unit, nor a hot pair, nor many copies of a text make a large group.
@@ -23,7 +23,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,22 @@ from quire.llm.common import forget_shuffles, give_back, materialize, reading, r
 #: Characters that are white space, in a form that Java and Python read alike.
 _SPACE = r"\t\n\x0B\x0C\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 CUT = rf"(?<=[^{_SPACE}]) (?=[^{_SPACE}])"
-_CUT, _ODD = re.compile(CUT), re.compile(rf"[{_SPACE}]{{2}}|\A[{_SPACE}]|[{_SPACE}]\Z")
+_CUT = re.compile(CUT)
+_OTHERS = [c for c in map(chr, range(0x3001)) if c != " " and re.match(f"[{_SPACE}]", c)]
+
+
+def _plain(text: str) -> bool:
+    """Whether every space of the text stands between two characters that are no white space."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return False
+    return not any(c in text and (c + " " in text or " " + c in text) for c in _OTHERS)
 
 
 def cut(text: str, whole: bool = False) -> list[str]:
-    """The units of a text, without the space before each."""
+    """The units of a text that is not empty, without the space before each."""
     if whole:
         return [text]
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    return text.split(" ") if _plain(text) else _CUT.split(text)
 
 
 @lru_cache(2)
@@ -101,7 +109,7 @@ def _lists(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenized(units: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """(uid, unit, a, a_bytes, b, b_bytes): ids and numbers of bytes of the tokens of each unit (uid, unit) that both tokenizers spell right; others are left out."""
+    """(uid, unit, blocks, a, a_bytes, b, b_bytes): ids and numbers of bytes of the tokens of units (uid, unit, blocks); none for one that a tokenizer does not spell right."""
 
     def run(batches):
         (ta, bytes_a), (tb, bytes_b) = _byte_level(byte_path), _pieces(piece_path)
@@ -112,23 +120,22 @@ def tokenized(units: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 texts = part.column(1).to_pylist()
                 a = [e.ids for e in ta.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
                 b = tb.encode(texts, num_threads=1)
-                right = []
                 for i, t in enumerate(texts):
                     whole = b" " + t.encode()
-                    if b"".join([bytes_a[x] for x in a[i]]) == whole == b"".join([bytes_b[x] for x in b[i]]):
-                        right.append(i)
-                cols = [c.take(pa.array(right, pa.int64())) for c in part.columns]
+                    if not b"".join([bytes_a[x] for x in a[i]]) == whole == b"".join([bytes_b[x] for x in b[i]]):
+                        a[i], b[i] = [], []
+                cols = part.columns
                 for ids, lengths in ((a, long_a), (b, long_b)):
-                    off, flat = _lists([ids[i] for i in right])
+                    off, flat = _lists(ids)
                     cols += [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x, pa.int32())) for x in (flat, lengths[flat])]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "unit", "a", "a_bytes", "b", "b_bytes"])
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "unit", "blocks", "a", "a_bytes", "b", "b_bytes"])
         give_back()
 
-    return units.select("uid", "unit").mapInArrow(run, "uid long, unit string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
+    return units.select("uid", "unit", "blocks").mapInArrow(run, "uid long, unit string, blocks array<long>, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
 
 
 def groups(tokens: DataFrame) -> DataFrame:
-    """(unit, shown): each unit's groups in order, as ``a1,a2|b1;a3|b2,b3``.
+    """(unit, blocks, shown): each unit's groups in order, as ``a1,a2|b1;a3|b2,b3``; units without tokens are left out.
 
     All steps are by unit, so the tokens of tokenized() are dealt out once (``CO_PARTITIONED`` lets the joins on (unit, end)
     and (unit, group) use that).
@@ -136,26 +143,32 @@ def groups(tokens: DataFrame) -> DataFrame:
     dealt = tokens.repartition("uid")
 
     def ends(side: str) -> DataFrame:
-        rows = dealt.select("uid", "unit", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("n"))).alias("i", "t"))
+        held = [F.struct("unit", "blocks").alias("of")] if side == "a" else []
+        rows = dealt.select("uid", *held, F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("n"))).alias("i", "t"))
+        # the first token of A alone carries its unit along
+        held = [F.when(F.col("i") == 0, F.col("of")).alias("of")] if held else []
+        rows = rows.select("uid", *held, "i", "t")
         end = F.sum("t.n").over(W.partitionBy("uid").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-        # the first token alone carries its unit
-        return rows.select("uid", F.when(F.col("i") == 0, F.col("unit")).alias("unit"), end.alias("end"), F.col("t.id").alias("id"))
+        return rows.select("uid", *(["of"] if held else []), end.alias("end"), F.col("t.id").alias("id"))
 
     def grouped(side: str, other: str) -> DataFrame:
         # a cut is where both end; a token belongs to the group that the cuts before its end have opened
         rows = ends(side).join(ends(other).select("uid", "end", F.lit(1).alias("cut")), ["uid", "end"], "left")
         before = F.coalesce(F.sum("cut").over(W.partitionBy("uid").orderBy("end").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.select("uid", "unit", "end", "id", before.alias("gid"))
+        held = [F.first("of", ignorenulls=True).alias("of")] if side == "a" else []
+        rows = rows.withColumn("gid", before)
         ids = F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda t: t["id"].cast("string"))
-        return rows.groupBy("uid", "gid").agg(F.array_join(ids, ",").alias(side), F.max("unit").alias("unit"))
+        return rows.groupBy("uid", "gid").agg(F.array_join(ids, ",").alias(side), *held)
 
-    both = grouped("a", "b").join(grouped("b", "a").drop("unit"), ["uid", "gid"])
+    both = grouped("a", "b").join(grouped("b", "a"), ["uid", "gid"])
     one = F.struct("gid", F.concat_ws("|", "a", "b").alias("g"))
-    each = both.groupBy("uid").agg(F.max("unit").alias("unit"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["g"]).alias("groups"))
-    return each.select("unit", F.array_join("groups", ";").alias("shown"))
+    each = both.groupBy("uid").agg(F.first("of", ignorenulls=True).alias("of"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["g"]).alias("groups"))
+    return each.select("of.unit", "of.blocks", F.array_join("groups", ";").alias("shown"))
 
 
 CO_PARTITIONED = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Blocks that share the alignment of a unit.
+TOGETHER = 4096
 IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
@@ -235,12 +248,10 @@ class Units:
     """The units of a block: what their groups look like, their sums, and their links as numbers of ``codes``, the block's distinct pairs."""
 
     def __init__(self, t: pa.Table):
-        shown = t.column("shown").combine_chunks()
+        shown = t.column("shown")
         self.known = {u: i for i, u in enumerate(t.column("unit").to_pylist())}
-        self.bad = shown.is_null().to_numpy(zero_copy_only=False)
         self.shown = shown.to_pylist()
-        right = shown.drop_null()
-        text = ";".join(right.to_pylist()).encode()
+        text = ";".join(self.shown).encode()
         ids = np.fromstring(text.translate(bytes.maketrans(b",|;", b"   ")), np.int64, sep=" ") if text else np.zeros(0, np.int64)
         mark = np.frombuffer(text, np.uint8)
         mark = mark[(mark < 48) | (mark > 57)]
@@ -250,8 +261,7 @@ class Units:
         a, b = ids[~behind], ids[behind]
         n = int(group[-1]) + 1 if len(ids) else 0
         n_a, n_b = np.bincount(group[~behind], minlength=n), np.bincount(group[behind], minlength=n)
-        per = np.zeros(len(self.shown), np.int64)
-        per[~self.bad] = pc.add(pc.count_substring(right, ";"), 1).to_numpy(zero_copy_only=False)
+        per = pc.count_substring(shown, ";").to_numpy().astype(np.int64) + 1
         of_unit = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(per)])])
         self.sums = np.array([of_unit(n_a), of_unit(n_b), per, of_unit(n_a * n_b)])
         times = n_b[group[~behind]]
@@ -287,9 +297,9 @@ def _assembled(blocks: DataFrame, units: DataFrame, kind: str, whole: bool) -> D
         for i, text in enumerate(docs.column("text").to_pylist()):
             if not text:
                 continue
-            unit = [index[u] for u in cut(text, whole)]
+            unit = list(map(index.get, cut(text, whole), repeat(-1)))
             of = np.array(unit, np.int64)
-            if known.bad[of].any():
+            if of.min() < 0:
                 continue
             sums[:, i] = known.sums[:, of].sum(axis=1)
             digests[i] = hashlib.sha256(";".join([shown[u] for u in unit]).encode()).hexdigest()
@@ -326,7 +336,7 @@ def _counted(found: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     return found.drop("codes", "held").groupBy("p").cogroup(pairs.groupBy("of")).applyInArrow(run, schema)
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """Two tables: of each document (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), and of each
     linked pair of ids (a, b, n, best): in how many documents it is linked, and whether that is the highest of its a."""
     spark = docs.sparkSession
@@ -334,18 +344,23 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     blocks = materialize(_blocked(rows, block_bytes, whole), compression="zstd")
+    # a unit is aligned once for so many blocks, which bounds the list of its blocks
+    tasks, n = blocks.agg(F.max(F.shiftright("p", 32)) + 1, F.count("*")).first()
+    width = max(1, TOGETHER * (tasks or 1) // max(1, n))
     held = blocks.select("p", F.explode("units").alias("unit"))
-    names = held.select("unit").distinct().select(F.monotonically_increasing_id().alias("uid"), "unit")
-    tokens = materialize(tokenized(names, byte_path, piece_path), compression="zstd")
+    names = held.groupBy("unit", F.floor(F.shiftright("p", 32) / width).alias("part")).agg(F.collect_list("p").alias("blocks"))
+    tokens = materialize(tokenized(names.select(F.monotonically_increasing_id().alias("uid"), "unit", "blocks"), byte_path, piece_path), compression="zstd")
+    del names, held
+    forget_shuffles(spark)
     with setting(spark, CO_PARTITIONED, "false"):
         shown = materialize(groups(tokens), compression="zstd")
     release(tokens)
-    del names, tokens
+    del tokens
     forget_shuffles(spark)
 
-    found = materialize(_assembled(blocks, _packed(held.join(shown, "unit", "left").select("p", "unit", "shown")), kind, whole), compression="zstd")
+    found = materialize(_assembled(blocks, _packed(shown.select(F.explode("blocks").alias("p"), "unit", "shown")), kind, whole), compression="zstd")
     release(blocks, shown)
-    del blocks, shown, held
+    del blocks, shown
     forget_shuffles(spark)
 
     first = found.where("codes IS NOT NULL")
