@@ -789,4 +789,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hybrid_search(lexical, near, None, False)
 
 
-from quire.plans import index_queries, recipe_queries, store_queries  # noqa: E402, F401  they register their queries here
+from quire.plans import index_queries, recipe_queries, sql_queries, store_queries  # noqa: E402, F401  they register their queries here

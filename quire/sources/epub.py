@@ -76,9 +76,19 @@ def _first(root, name: str) -> str | None:
 
 def read_book(path: str, data: bytes) -> Book:
     """Raises ValueError where the file is no EPUB."""
-    book = Book(source_hash=hashlib.sha256(data).hexdigest())
+    book = open_book(path, io.BytesIO(data))
+    book.source_hash = hashlib.sha256(data).hexdigest()
+    return book
+
+
+def open_book(path: str, file, images: bool = True) -> Book:
+    """The book of a seekable file, of which the members that are needed are read, each on its own; the cover only with images.
+
+    Raises ValueError where the file is no EPUB. The digest of the file is not taken.
+    """
+    book = Book()
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
+        z = zipfile.ZipFile(file)
         names = set(z.namelist())
         root = next((e.get("full-path") for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if _tag(e) == "rootfile"), None)
         package = ElementTree.fromstring(z.read(root))
@@ -90,10 +100,10 @@ def read_book(path: str, data: bytes) -> Book:
     book.title = _first(package, "title") or posixpath.splitext(posixpath.basename(path))[0]
     book.author = _first(package, "creator")
     marked = {e.get("content") for e in package.iter() if _tag(e) == "meta" and e.get("name") == "cover"}
-    images = [(i, *x) for i, x in items.items() if x[1].startswith("image/") and x[0] in names]
-    chosen = [x for x in images if "cover-image" in x[3] or x[0] in marked] or [x for x in images if "cover" in x[1].lower()]
+    pictures = [(i, *x) for i, x in items.items() if x[1].startswith("image/") and x[0] in names]
+    chosen = [x for x in pictures if "cover-image" in x[3] or x[0] in marked] or [x for x in pictures if "cover" in x[1].lower()]
     if chosen:
-        book.cover_mime, book.cover = chosen[0][2], z.read(chosen[0][1])
+        book.cover_mime, book.cover = chosen[0][2], z.read(chosen[0][1]) if images else None
     for e in package.iter():
         if _tag(e) == "itemref" and (got := items.get(e.get("idref"))) and got[0] in names and "html" in got[1]:
             book.spine.append((got[0], z.read(got[0])))
@@ -227,22 +237,27 @@ _CHAPTER = pa.struct([("ordinal", pa.int32()), ("title", pa.string()), ("text",
 _ARROW = pa.schema([("path", pa.string()), ("source_hash", pa.string()), ("title", pa.string()), ("author", pa.string()), ("cover_mime", pa.string()), ("cover_data", pa.binary()), ("raw_length", pa.int64()), ("error", pa.string()), ("chapters", pa.list_(_CHAPTER))])
 
 
+def book_row(path: str, read) -> pa.RecordBatch:
+    """The row of a book that read() gives; with an error where it is none."""
+    row = dict.fromkeys(_ARROW.names)
+    row["path"] = path
+    try:
+        book = read()
+        found = chapters(book)
+        row |= {"source_hash": book.source_hash, "title": book.title, "author": book.author, "cover_mime": book.cover_mime, "cover_data": book.cover, "raw_length": sum(len(t) for _, t in book.texts())}
+        row["chapters"] = [{"ordinal": i, "title": c.title, "text": c.text, "is_body": c.is_body, "is_synthetic": c.is_synthetic} for i, c in enumerate(found)]
+    except ValueError as e:
+        row["error"] = str(e)
+    return pa.RecordBatch.from_pylist([row], _ARROW)
+
+
 def read_epubs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row for each file below path, with its chapters as an array; a file that is no EPUB has an error instead."""
 
     def run(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                row = dict.fromkeys(_ARROW.names)
-                row["path"] = name
-                try:
-                    book = read_book(name, data.as_py())
-                    found = chapters(book)
-                    row |= {"source_hash": book.source_hash, "title": book.title, "author": book.author, "cover_mime": book.cover_mime, "cover_data": book.cover, "raw_length": sum(len(t) for _, t in book.texts())}
-                    row["chapters"] = [{"ordinal": i, "title": c.title, "text": c.text, "is_body": c.is_body, "is_synthetic": c.is_synthetic} for i, c in enumerate(found)]
-                except ValueError as e:
-                    row["error"] = str(e)
-                yield pa.RecordBatch.from_pylist([row], _ARROW)
+                yield book_row(name, lambda data=data, name=name: read_book(name, data.as_py()))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.epub").load(path)
     return files.select("path", "content").mapInArrow(run, _BOOK)
