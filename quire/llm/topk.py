@@ -14,8 +14,8 @@ Vectors that are null, or hold a null or non-finite component, take no part; all
 integers, wider ones as doubles, which hold their floor exactly; scores are summed modulo 2**64, which is exact for every score
 that fits a long, and a score that doesn't, or a component beyond 1e150, is an error, never a missing row. Shorter
 vectors count as padded with zeros; a vector's length is bounded by the memory of a task, which holds ``CHUNK`` of them, and of the driver, which holds
-the square of it once. Rows that repeat an id are one query (its smallest vector) and so many candidates for the
-others. Ties go to the smaller id. Only the two named columns are read, so other names can't clash. Empty tables give no rows.
+the square of it once. Rows are told apart by place, not by id: rows that repeat an id are queries of their own, with a list each, and each is a candidate for the
+others. Rows without an id take no part. Ties go to the smaller id. Only the two named columns are read, so other names can't clash. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, shared_dir, shuffle_partitions, table
+from quire.llm.common import materialize, reading, shared_dir, shuffle_partitions, table, written
 
 CHUNK = 2048
 #: Queries that a chunk is compared with at once, so that their bounds take 64 MB at most.
@@ -104,19 +104,19 @@ LEAST = np.iinfo(np.int64).min
 
 
 class Block:
-    """Queries of one block with what pruning needs: ids, integer rows, rotated rows, lengths, first thresholds."""
+    """Queries of one block with what pruning needs: places, integer rows, rotated rows, lengths, first thresholds."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, basis: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], k: int):
-        self.ids, self.q, self.k, wide = ids, _wrapped(q), k, q.astype(np.float64)
+    def __init__(self, places: np.ndarray, q: np.ndarray, basis: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], k: int):
+        self.places, self.q, self.k, wide = places, _wrapped(q), k, q.astype(np.float64)
         self.basis, self.head = basis, max(1, basis.shape[1] // 2)
         self.plain = wide
         r = wide @ basis
         self.rotated, self.length = r[:, : self.head].copy(), np.sqrt((wide**2).sum(1))
         self.rest = np.sqrt((r[:, self.head :] ** 2).sum(1))
-        self.floor = np.full(len(ids), LEAST)
-        seed_ids, seed = seeds
-        if len(seed_ids) > k:
-            own = seed_ids[None, :] == ids[:, None]
+        self.floor = np.full(len(places), LEAST)
+        seed_places, seed = seeds
+        if len(seed_places) > k:
+            own = seed_places[None, :] == places[:, None]
             s = np.where(own, LEAST, self.q @ _wrapped(seed).T)
             self._check(np.where(own, 0, wide @ seed.astype(np.float64).T))
             self.floor = np.partition(s, -k, axis=1)[:, -k]
@@ -133,12 +133,12 @@ class Block:
         return np.einsum("ij,ij->i", self.q[qi], v)
 
     def scan(self, batches):
-        """(query, id, score) arrays: the k best of each query among the batches' vectors."""
+        """(place of the query, id, score) arrays: the k best of each query among the batches' (places, ids, vectors)."""
         floor, none = self.floor.copy(), np.zeros(0, np.int64)
         best = (none, none, none)
-        for ids, m in batches:
+        for places, ids, m in batches:
             for at in range(0, len(ids), CHUNK):
-                i, v = ids[at : at + CHUNK], m[at : at + CHUNK]
+                place, i, v = places[at : at + CHUNK], ids[at : at + CHUNK], m[at : at + CHUNK]
                 f = v.astype(np.float64)
                 length = np.sqrt((f**2).sum(1))
                 # the margin covers the rounding of sums of products up to this size
@@ -151,8 +151,8 @@ class Block:
                 bound += np.outer(self.rest[live], np.sqrt((r[:, self.head :] ** 2).sum(1)))
                 qi, vi = np.nonzero(bound + slack[live, None] >= floor[live, None])
                 qi = live[qi]
-                own = self.ids[qi] != i[vi]
-                qi, vi = qi[own], vi[own]
+                other = self.places[qi] != place[vi]
+                qi, vi = qi[other], vi[other]
                 exact = _wrapped(v)
                 score = np.concatenate([self._scores(qi[s : s + 65536], exact[vi[s : s + 65536]], f[vi[s : s + 65536]]) for s in range(0, len(qi), 65536)] or [none])
                 keep = score >= floor[qi]
@@ -164,23 +164,24 @@ class Block:
                 kth = rank == self.k - 1
                 floor[best[0][kth]] = np.maximum(floor[best[0][kth]], best[2][kth])
                 best = tuple(x[rank < self.k] for x in best)
-        return self.ids[best[0]], best[1], best[2]
+        return self.places[best[0]], best[1], best[2]
 
 
 def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, block_bytes: int = 4 << 20, seeds: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score). is_query: a condition on the column ``id``."""
     spark = df.sparkSession
     rows, dim = quantized(df, id_col, vec_col, scale)
-    rows = materialize(rows.repartitionByRange(shuffle_partitions(spark), F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id"))
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
+    rows = materialize(ordered.select(F.monotonically_increasing_id().alias("place"), "id", "q", "length"))
     n = rows.agg(F.count_if(is_query)).first()[0]
     basis = _rotation(rows, dim)
-    longest = rows.orderBy(F.desc("length"), "id").limit(seeds).select("id", "q").toArrow().combine_chunks()
+    longest = rows.orderBy(F.desc("length"), "id", "place").limit(seeds).select("place", "q").toArrow().combine_chunks()
     seed = (longest.column(0).to_numpy(), _matrix(longest.column(1).combine_chunks() if longest.num_rows else pa.array([], pa.list_(pa.int32())), dim))
-    queries = materialize(rows.where(is_query).groupBy("id").agg(F.min("q").alias("q")))
+    queries = rows.where(is_query).select("place", "q")
     size = max(1, min(ABREAST, block_bytes // (8 * dim)))
     blocks = max(1, math.ceil(2 * n / size)) if n > size else 1
-    of = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    path = shared_dir(spark)
+    of = F.pmod(F.xxhash64("place"), F.lit(blocks))
+    path, schema = shared_dir(spark), "place long, vec_id long, score long"
     for b in range(blocks):
         got = queries.where(of == b).toArrow().combine_chunks()
         for s in range(0, max(1, got.num_rows), size):
@@ -189,14 +190,15 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embed
             shared = spark.sparkContext.broadcast(Block(part.column(0).to_numpy(), q, basis, seed, k))
 
             def run(batches, shared=shared):
-                query, vec, score = shared.value.scan((b.column(0).to_numpy(), _matrix(b.column(1), dim)) for b in batches)
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+                query, vec, score = shared.value.scan((b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), dim)) for b in batches)
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], ["place", "vec_id", "score"])
 
-            rows.select("id", "q").mapInArrow(run, "query_id long, vec_id long, score long").write.mode("append").parquet(path)
+            rows.select("place", "id", "q").mapInArrow(run, schema).write.mode("append").parquet(path)
             shared.destroy()
-    found = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = written(spark.read.schema(schema).parquet(path), path)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("place").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    named = rows.where(is_query).select("place", F.col("id").alias("query_id"))
+    return reading(ranked.join(named, "place").select("query_id", "rank", "vec_id", "score"), rows, found)
 
 
 def op2_topk(spark, sf_dir: str) -> DataFrame:
@@ -205,13 +207,13 @@ def op2_topk(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+  SELECT a.n, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.n <> b.n WHERE a.vec_id % 100 = 0
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -291,9 +291,18 @@ def test_top_k_of_repeated_ids_and_clashing_names(spark):
 
     rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS q", "'x' AS length", "3 AS rank", "4 AS score")
-    got = [tuple(r) for r in topk.top_k(df, F.col("id") == 0, k=3).orderBy("rank").collect()]
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") == 0, k=3).collect())
     unit = 1024 * 1024
-    assert got == [(0, 1, 1, 3 * unit), (0, 2, 1, unit), (0, 3, 2, unit)]  # the query is the smaller of its vectors; ties to the smaller id
+    # each row is a query of its own, and a candidate for the other; ties to the smaller id
+    assert got == sorted([(0, 1, 1, 3 * unit), (0, 2, 0, 2 * unit), (0, 3, 1, unit), (0, 1, 1, 6 * unit), (0, 2, 0, 2 * unit), (0, 3, 1, 2 * unit)])
+
+
+def test_top_k_of_repeated_ids_is_what_its_sql_says(spark, tables):
+    rows = [(i % 120, [float((i * 7) % 11) / 10, float(i % 5) / 5]) for i in range(400)] + [(None, [1.0, 1.0])]
+    d = tables(embeddings=(rows, "vec_id long, embedding array<float>"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet/*.parquet'")
+    want = sorted(duckdb.sql(topk.OP2_SQL).fetchall())
+    assert sorted(tuple(r) for r in topk.op2_topk(spark, d).collect()) == want and len(want) == 10 * 7
 
 
 def test_top_k_of_no_rows_and_many_blocks(spark, tables):
