@@ -137,7 +137,8 @@ def op8_spotsigs(spark, sf_dir: str) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
     rows = fingerprint(rows.drop("text", "next_text"), "edited", "edited_fingerprint")
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown("fingerprint"), shown("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
