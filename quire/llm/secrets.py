@@ -4,7 +4,8 @@ Every text is read whole. Base kinds (assign, access, hex) are the leftmost non-
 matches of their pattern; matches that fail their length are dropped without another try. The
 method adds ``guess``: the value after a credential word that the cheapest segmentation into
 words, dates, repeats, keyboard walks and brute-force spans still makes costly to guess
-(log10 of guesses at least ``min_log10``). A value ends at white space or a quote. Behind the word "is" it is
+(log10 of guesses at least ``min_log10``). A value ends at white space or a quote, a quoted one at its closing quote; a bearer token needs no separator. Addresses and places in the
+net are no values. Masking takes the rest of a value along that a base pattern's letters leave over. Behind the word "is" it is
 prose unless it holds a digit, a capital inside or a mark that words don't have.
 
 Words cost their rank: first some credential words, then the whole words of a tokenizer's vocabulary (``words``, the path
@@ -39,15 +40,22 @@ SCHEMA = "array<struct<kind:string,start:int,end:int,log10_guesses:double,value:
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-#: A credential word, a separator or "is", and the value up to white space or a quote. The longer words may end any name
-#: (DB_PASSWORD, PGPASSWORD, clientSecret); the shorter ones stand alone, behind _ or as a part in camel case (not in compass).
+#: A credential word (English, French, German, Spanish), a separator or "is", and the value: up to white space or a quote, or within quotes up to
+#: the closing one. The longer words may end any name (DB_PASSWORD, PGPASSWORD, clientSecret); the shorter ones stand alone, behind _ or as
+#: a part in camel case (not in compass).
 _CONTEXT = re.compile(
-    r"""(?:(?ai:password|passwd|passphrase|secret|credentials?|token|api[_-]?key|access[_-]?key)|(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?ai:pass|pwd|pin|bearer|auth|login))"""
-    r"""["']?(?:[\x20\t]*+[:=]{1,2}>?[\x20\t]*+|(?P<prose>[\x20\t]++(?ai:is)[\x20\t]++))["']?(?P<value>[!#-&(-~]{6,})"""
+    r"""(?:(?ai:password|passwd|passphrase|secret|credentials?|token|api[_-]?key|access[_-]?key)|(?i:passwort|kennwort|mot\x20de\x20passe|contrase[ñn]a|clave)|(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?ai:pass|pwd|pin|bearer|auth|login))"""
+    r"""["']?(?:[\x20\t]*+[:=]{1,2}>?[\x20\t]*+|(?P<prose>[\x20\t]++(?ai:is)[\x20\t]++))(?:"(?P<double>[^"\n]{6,128})"|'(?P<single>[^'\n]{6,128})'|["']?(?P<value>[^\s"'\x00-\x1f]{6,}))"""
 )
+#: A bearer token, with or without the name of its header.
+_BEARER = re.compile(r"""(?<![A-Za-z0-9])(?ai:bearer)[\x20\t]++["']?(?P<value>[A-Za-z0-9._~+/=-]{16,})""")
+#: What stands behind a credential word and is none: places in the net without a password in them, and addresses.
+_NO_SECRET = re.compile(r"(?ai)[a-z][a-z0-9+.-]*://[^@\s]*|(?:mailto:)?[^@\s:/]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+")
+#: What goes on behind the end of a match, as part of the same value.
+_TAIL = re.compile(r"""[^\s"'<>]*""")
 #: What a word of prose does not hold.
 _UNLIKE_PROSE = re.compile(r"[0-9]|(?<!^)[A-Z]|[!@#$%^&*=+~|\\<>{}\[\]]")
-_WORD_HINT = re.compile(r"(?ai:pass|pwd|pin|secret|credential|token|bearer|key|auth|login)")
+_WORD_HINT = re.compile(r"(?i:pass|pwd|pin|secret|credential|token|bearer|key|auth|login|kennwort|contrase|clave)")
 
 # Ranked words of credentials: the guesses of a word are its rank.
 WORDS = (
@@ -177,11 +185,16 @@ def _proposed(text: str, min_log10: float, known: Dictionary) -> Iterator[tuple[
             if len(m[1]) >= 8:
                 yield "assign", *m.span(), guess_cost(m[1], known)[0]
         for m in _CONTEXT.finditer(text):
-            value = m["value"].rstrip(",;.)")
-            if len(value) < 6 or (m["prose"] and not _UNLIKE_PROSE.search(value)):
+            group = m.lastgroup if m.lastgroup != "prose" else "value"
+            value = m[group] if group != "value" else m[group].rstrip(",;.)")
+            # words between blanks are prose, quoted or not
+            if len(value) < 6 or _NO_SECRET.fullmatch(value) or ((m["prose"] or " " in value) and not _UNLIKE_PROSE.search(value)):
                 continue
             if (cost := guess_cost(value, known)[0]) >= min_log10:
-                yield "guess", m.start("value"), m.start("value") + len(value), cost
+                yield "guess", m.start(group), m.start(group) + len(value), cost
+        for m in _BEARER.finditer(text):
+            if (cost := guess_cost(m["value"], known)[0]) >= min_log10:
+                yield "guess", *m.span("value"), cost
     if "AKIA" in text:
         for m in _ACCESS.finditer(text):
             if m.end() - m.start() >= 16:
@@ -192,7 +205,9 @@ def _proposed(text: str, min_log10: float, known: Dictionary) -> Iterator[tuple[
 
 def find_secrets(text: str | None, min_log10: float = 10.0, words: str | None = None) -> list[dict]:
     text = text or ""
-    out = [{"kind": k, "start": s, "end": e, "log10_guesses": c, "value": text[s:e]} for k, s, e, c in _proposed(text, min_log10, dictionary(words))]
+    # a value may be found by its header and by its word
+    once = dict.fromkeys(_proposed(text, min_log10, dictionary(words)))
+    out = [{"kind": k, "start": s, "end": e, "log10_guesses": c, "value": text[s:e]} for k, s, e, c in once]
     return sorted(out, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
 
@@ -222,7 +237,9 @@ def mask_column(df: DataFrame, text_col: str = "text", min_log10: float = 10.0,
                 for s in find_secrets(t, min_log10, words):
                     if s["start"] >= done:
                         out += [t[done : s["start"]], mask]
-                    done = max(done, s["end"])
+                    # a value goes to its end, also where the pattern's letters do not
+                    whole = s["kind"] in ("assign", "guess")
+                    done = max(done, _TAIL.match(t, s["end"]).end() if whole else s["end"])
                 if out:
                     texts[i] = "".join([*out, t[done:]])
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in range(len(names))], names)
