@@ -137,8 +137,8 @@ def tokenized(units: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 def groups(tokens: DataFrame) -> DataFrame:
     """(unit, blocks, shown): each unit's groups in order, as ``a1,a2|b1;a3|b2,b3``; units without tokens are left out.
 
-    All steps are by unit, so the tokens of tokenized() are dealt out once (``CO_PARTITIONED`` lets the joins on (unit, end)
-    and (unit, group) use that).
+    The tokens of tokenized() are dealt out by unit once for both sides (``CO_PARTITIONED`` lets the join on (unit, end) use that), and what the
+    full join gives once more.
     """
     dealt = tokens.repartition("uid")
 
@@ -151,19 +151,19 @@ def groups(tokens: DataFrame) -> DataFrame:
         end = F.sum("t.n").over(W.partitionBy("uid").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
         return rows.select("uid", *(["of"] if held else []), end.alias("end"), F.col("t.id").alias("id"))
 
-    def grouped(side: str, other: str) -> DataFrame:
-        # a cut is where both end; a token belongs to the group that the cuts before its end have opened
-        rows = ends(side).join(ends(other).select("uid", "end", F.lit(1).alias("cut")), ["uid", "end"], "left")
-        before = F.coalesce(F.sum("cut").over(W.partitionBy("uid").orderBy("end").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        held = [F.first("of", ignorenulls=True).alias("of")] if side == "a" else []
-        rows = rows.withColumn("gid", before)
-        ids = F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda t: t["id"].cast("string"))
-        return rows.groupBy("uid", "gid").agg(F.array_join(ids, ",").alias(side), *held)
+    both = ends("a").withColumnRenamed("id", "a").join(ends("b").withColumnRenamed("id", "b"), ["uid", "end"], "full")
+    # a cut is where both end; a token belongs to the group that the cuts before its end have opened
+    cuts = F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(W.partitionBy("uid").orderBy("end").rowsBetween(W.unboundedPreceding, -1))
+    rows = both.withColumn("gid", F.coalesce(cuts, F.lit(0)))
 
-    both = grouped("a", "b").join(grouped("b", "a"), ["uid", "gid"])
-    one = F.struct("gid", F.concat_ws("|", "a", "b").alias("g"))
-    each = both.groupBy("uid").agg(F.first("of", ignorenulls=True).alias("of"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["g"]).alias("groups"))
-    return each.select("of.unit", "of.blocks", F.array_join("groups", ";").alias("shown"))
+    def ids(side: str):
+        held = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
+        return F.array_join(F.transform(held, lambda t: t[side].cast("string")), ",")
+
+    each = rows.groupBy("uid", "gid").agg(F.concat_ws("|", ids("a"), ids("b")).alias("g"), F.first("of", ignorenulls=True).alias("of"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("gid", "g"))), lambda x: x["g"])
+    each = each.groupBy("uid").agg(F.first("of", ignorenulls=True).alias("of"), F.array_join(in_order, ";").alias("shown"))
+    return each.select("of.unit", "of.blocks", "shown")
 
 
 CO_PARTITIONED = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -216,7 +216,7 @@ def _blocked(docs: DataFrame, block_bytes: int, whole: bool) -> DataFrame:
     return docs.mapInArrow(run, "p long, docs binary, units array<string>")
 
 
-def _packed(units: DataFrame, most: int = 16 << 20) -> DataFrame:
+def _packed(units: DataFrame, most: int = 8 << 20) -> DataFrame:
     """(p, units): rows (p, unit, shown) of a task, those of a block together."""
 
     def run(batches):
@@ -287,6 +287,9 @@ def _assembled(blocks: DataFrame, units: DataFrame, kind: str, whole: bool) -> D
     behind the numbers (codes), and in how many of its documents each one is (held)."""
 
     def run(key, docs: pa.Table, units: pa.Table) -> pa.Table:
+        # a worker lives on from the stage before, with its tokenizers
+        _byte_level.cache_clear()
+        _pieces.cache_clear()
         known = Units(pa.concat_tables([_read(x) for x in units.column("units").to_pylist()]) if units.num_rows else pa.table({"unit": pa.array([], pa.string()), "shown": pa.array([], pa.string())}))
         docs = _read(docs.column("docs")[0].as_py())
         n = docs.num_rows
@@ -336,7 +339,7 @@ def _counted(found: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     return found.drop("codes", "held").groupBy("p").cogroup(pairs.groupBy("of")).applyInArrow(run, schema)
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
     """Two tables: of each document (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), and of each
     linked pair of ids (a, b, n, best): in how many documents it is linked, and whether that is the highest of its a."""
     spark = docs.sparkSession
