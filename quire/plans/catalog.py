@@ -566,7 +566,7 @@ SELECT book_id, arg_max(out, n) AS outline FROM w GROUP BY 1
 def outline_fold(spark, d):
     """Whole texts stand for summaries, their digests for micro summaries."""
     rows = chapters(spark, d, text=True).where("is_body")
-    return history.outline(rows.select("book_id", "ordinal", "number", F.lit("").alias("title"), F.col("text").alias("summary"), F.md5(F.col("text").cast("binary")).alias("micro_summary")))
+    return history.outline_by_ranges(rows.select("book_id", "ordinal", "number", F.lit("").alias("title"), F.col("text").alias("summary"), F.md5(F.col("text").cast("binary")).alias("micro_summary")))
 
 
 

@@ -96,3 +96,31 @@ def ranked_topk(spark, d):
 def ranked_phrase(spark, d):
     """A phrase, from blocks with positions."""
     return Ranked.build(_text_sections(spark, d), scratch_folder(spark)).search('"la de"', 20).select("section_id", F.round("score", 6).alias("score"))
+
+
+# tables in buckets: customers as books, orders as their chapters, line items as sections
+
+
+def bucketed(spark, d):
+    from quire.sources.buckets import Buckets
+
+    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
+    b = Buckets(spark, scratch_folder(spark), 16)
+    chapter = F.col("o_orderkey").cast("string").alias("chapter_id")
+    b.write("chapters", o.select(F.col("o_custkey").cast("string").alias("book_id"), chapter, F.col("o_orderstatus").alias("title")))
+    owner = o.select("o_orderkey", F.col("o_custkey").cast("string").alias("book_id"))
+    b.write("sections", li.join(owner, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("book_id", F.col("l_orderkey").cast("string").alias("chapter_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_quantity").alias("size")))
+    return b
+
+
+@query("SELECT o_custkey::VARCHAR AS book_id, o_orderkey::VARCHAR AS chapter_id, count(l_linenumber) AS sections, coalesce(sum(l_quantity), 0)::BIGINT AS size FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def bucket_join(spark, d):
+    """Each chapter with its sections: one join and one aggregate, none of them with a shuffle."""
+    rows = bucketed(spark, d).joined("chapters", "sections", "left")
+    return rows.groupBy("book_id", "chapter_id").agg(F.count("ordinal").alias("sections"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS chapter_id, o_orderstatus AS title FROM orders WHERE o_custkey = 7")
+def bucket_scan(spark, d):
+    """The chapters of a book, of the row groups that can hold it."""
+    return bucketed(spark, d).of("chapters", "7").select("chapter_id", "title")

@@ -211,3 +211,18 @@ def test_many_patterns_are_found_as_one_by_one(spark):
         assert got == want
     assert {r["i"] for r in patterns.holding(df, F.col("t"), pats).collect()} == {i for i, w in want.items() if w}
     assert patterns.holding(df, F.col("t"), pats.limit(0)).count() == 0
+
+
+def test_outlines_by_ranges_are_those_of_one_row(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for b in ("a", "b", None, "c"):
+        for i in range({"a": 300, "b": 40, "c": 1}.get(b, 5)):
+            rows.append((b, i, i + 1, rng.choice(["", "T", None]), rng.choice(["", None, "full " * rng.randint(1, 60)]), rng.choice(["", None, "m" * rng.randint(1, 3)])))
+    df = spark.createDataFrame(rows, "book_id string, ordinal int, number int, title string, summary string, micro_summary string")
+    for budget in (0, 50, 400, 5000):
+        want = {r["book_id"]: r["outline"] for r in history.outline(df, budget).collect()}
+        assert {r["book_id"]: r["outline"] for r in history.outline_by_ranges(df, budget).collect()} == want
+    assert history.outline_by_ranges(df.limit(0)).collect() == []
