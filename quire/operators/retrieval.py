@@ -116,17 +116,25 @@ def _best(per: DataFrame, alternatives: list[list[english.Clause]], stats, top_k
     return per.where(match).select("section_id", score.alias("score")).orderBy(F.desc("score"), "section_id").limit(top_k)
 
 
-def lexical_search(posts: DataFrame, sections: DataFrame, query: str, top_k: int = 20) -> DataFrame:
+def section_lengths(posts: DataFrame) -> DataFrame:
+    """(book_id, chapter_id, section_id, length) of each section with terms: what scores need to know of all sections."""
+    return posts.groupBy("book_id", "chapter_id", "section_id").agg(F.max("length").alias("length"))
+
+
+def lexical_search(posts: DataFrame, sections: DataFrame, query: str, top_k: int = 20, lengths: DataFrame | None = None) -> DataFrame:
     """(section_id, score) of the best body sections that satisfy the query, from the postings.
 
-    The positions of the query's words alone are read (a pushed filter on term), and a section's meet in one
-    small group, at most one row a word. What the score needs to know of all sections is one aggregate.
+    Of the postings those of the query's words alone are read (a pushed filter on term), and a section's meet in one
+    small group, at most one row a word. The number of sections and their mean length come from ``lengths`` (section_lengths()), a
+    row a section; without it, from all postings.
     """
     alternatives, words = _query(query)
     if not words:
         return sections.select("section_id", F.lit(0.0).alias("score")).limit(0)
-    each = posts.groupBy("section_id").agg(F.max("length").alias("length"), *(F.max((F.col("term") == w).cast("int")).alias(f"d{i}") for i, w in enumerate(words)))
-    stats = each.agg(F.count("*").alias("n"), F.avg("length").alias("l"), *(F.coalesce(F.sum(f"d{i}"), F.lit(0)).alias(f"d{i}") for i in range(len(words)))).first()
+    stats = (section_lengths(posts) if lengths is None else lengths).agg(F.count("*").alias("n"), F.avg("length").alias("l")).first().asDict()
+    # a section has one row of a term
+    held = {r["term"]: r["n"] for r in posts.where(F.col("term").isin(words)).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    stats |= {f"d{i}": held.get(w, 0) for i, w in enumerate(words)}
     hits = posts.where(F.col("term").isin(words)).join(sections.where("is_body").select("section_id"), "section_id")
     per = hits.groupBy("section_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.max("length").alias("length"))
     return _best(per, alternatives, stats, top_k)

@@ -356,7 +356,8 @@ def lexical_index(spark, d):
     from quire.sources.store import scratch
 
     s = _text_sections(spark, d)
-    return retrieval.lexical_search(scratch(retrieval.postings(s)), s, '"la de"', 20).select("section_id", F.round("score", 6).alias("score"))
+    posts = scratch(retrieval.postings(s))
+    return retrieval.lexical_search(posts, s, '"la de"', 20, scratch(retrieval.section_lengths(posts))).select("section_id", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -226,6 +226,29 @@ def extracted_events(spark, d):
     return rows.select("book_id", "section_id", "description", F.col("char_offset_start").cast("long").alias("start"), F.when(F.col("entity_ids").isNotNull(), F.size("entity_ids")).alias("named"))
 
 
+@query(
+    """
+WITH n AS (SELECT DISTINCT p_brand AS book_id, p_type AS type, p_name AS name FROM part),
+w AS (SELECT book_id, type, name, unnest(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+'))) AS w FROM n)
+SELECT book_id, type, count(DISTINCT name) AS names, count(DISTINCT w) AS words FROM w GROUP BY 1, 2"""
+)
+def name_words(spark, d):
+    """Brands as books: the distinct words that names are linked by."""
+    from quire.operators import naming
+
+    rows = read(spark, d, "part").select(F.col("p_brand").alias("book_id"), F.col("p_type").alias("type"), F.col("p_name").alias("name")).distinct()
+    rows = rows.select("book_id", "type", "name", F.explode(naming.words("name")).alias("w"))
+    return rows.groupBy("book_id", "type").agg(F.count_distinct("name").alias("names"), F.count_distinct("w").alias("words"))
+
+
+@query()
+def name_groups(spark, d):
+    """Parts' names of each brand and type in groups of names that may mean the same."""
+    from quire.operators import naming
+
+    return naming.groups(read(spark, d, "part").select(F.col("p_brand").alias("book_id"), F.col("p_type").alias("type"), F.col("p_name").alias("name")), 10)
+
+
 _LONG_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS p FROM documents"
 
 

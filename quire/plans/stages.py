@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import columns as C
-from quire.operators import extraction, history, retrieval
+from quire.operators import extraction, history, naming, retrieval
 from quire.operators import ledger as L
 from quire.plans.models import ModelClient
 from quire.schema import EXTRACTION
@@ -97,23 +97,26 @@ def book_summary(store: Store, books: DataFrame, model: ModelClient) -> None:
 
 
 def entities(store: Store, books: DataFrame, model: ModelClient) -> None:
-    """A book's distinct names meet in one row, as the model that clusters them must see them all."""
+    """Entities, occurrences, dates and events from what a model finds in each section, and says of names that may mean the same."""
     body = store.of("sections", books).where("is_body")
     units = body.select("book_id", F.col("section_id").alias("unit_key"), F.col("content").alias("text"))
     got = _replies(store, books, "entities", units, model, ["extract"], [1500])
     reply = F.from_json(C.fenced_json(F.get(F.from_json("payload", "array<string>"), F.lit(0))), EXTRACTION)
     payloads = body.join(got.select("book_id", F.col("unit_key").alias("section_id"), reply.alias("payload")), ["book_id", "section_id"])
-    names = extraction.candidates(payloads).groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("name", "type"))).alias("names"))
-    asked = _asked(store, "clusters", names.select("book_id", F.lit("names").alias("unit_key"), F.to_json("names").alias("text")), model, ["cluster"], [3000], keep=False)
+    # names that may mean the same go to the model together, and no more than a prompt holds
+    parts = naming.groups(extraction.candidates(payloads)).groupBy("book_id", "type", "component", "part")
+    names = store.pin(parts.agg(F.sort_array(F.collect_list(F.struct("name", "type"))).alias("names")).withColumn("no", F.monotonically_increasing_id()))
+    asked = _asked(store, "clusters", names.select("book_id", F.col("no").cast("string").alias("unit_key"), F.to_json("names").alias("text")), model, ["cluster"], [3000], keep=False)
     found = F.from_json(C.fenced_json(F.get(F.from_json("payload", "array<string>"), F.lit(0))), CLUSTERS)["entities"]
     alone = F.transform("names", lambda n: F.struct(n["name"].alias("canonical"), n["type"].alias("type"), F.array().cast("array<string>").alias("aliases")))
-    rows = names.join(asked.select("book_id", found.alias("found")), "book_id", "left")
-    rows = rows.select("book_id", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(alone)).alias("position", "c"))
-    clusters = store.pin(rows.where("c.canonical != ''").select("book_id", "position", "c.canonical", "c.type", "c.aliases"))
+    rows = names.join(asked.select("book_id", F.col("unit_key").cast("long").alias("no"), found.alias("found")), ["book_id", "no"], "left")
+    at = F.struct("component", "type", "part", "n")
+    rows = rows.select("book_id", "component", "type", "part", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(alone)).alias("n", "c"))
+    clusters = store.pin(rows.where("c.canonical != ''").select("book_id", at.alias("position"), "c.canonical", "c.type", "c.aliases"))
     own = extraction.entities(clusters)
     made = {"entities": own, "occurrences": extraction.occurrences(payloads, extraction.aliases(clusters), own), "dates": extraction.dates(payloads), "events": extraction.events(payloads, own)}
     store.replace_all(made, books)
-    store.unpin(asked, clusters)
+    store.unpin(names, asked, clusters)
 
 
 def embeddings(store: Store, books: DataFrame, model: ModelClient) -> None:
@@ -135,8 +138,10 @@ def embeddings(store: Store, books: DataFrame, model: ModelClient) -> None:
 
 
 def fts(store: Store, books: DataFrame, model: ModelClient) -> None:
-    """Postings of all sections, clustered by term, so that a query's filter on terms skips row groups."""
-    store.replace("postings", retrieval.postings(store.of("sections", books)).repartition("book_id").sortWithinPartitions("book_id", "term"))
+    """Postings of all sections, clustered by term, so that a query's filter on terms skips row groups, and the sections' lengths."""
+    posts = store.pin(retrieval.postings(store.of("sections", books)))
+    store.replace_all({"postings": posts.repartition("book_id").sortWithinPartitions("book_id", "term"), "lengths": retrieval.section_lengths(posts)})
+    store.unpin(posts)
 
 
 def run(store: Store, books: DataFrame, model: ModelClient, progress=lambda stage, state: None) -> None:

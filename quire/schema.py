@@ -14,6 +14,7 @@ TABLES: dict[str, str] = {
     "chunks": "book_id string, chapter_id string, section_id string, chunk_id string, ordinal int, content string, char_offset_start int, char_offset_end int, is_body boolean",
     "embeddings": "book_id string, chunk_id string, embedding array<float>",
     "postings": "book_id string, chapter_id string, section_id string, term string, positions array<int>, length int",
+    "lengths": "book_id string, chapter_id string, section_id string, length int",
     "entities": "book_id string, entity_id string, name string, entity_type string, aliases array<string>",
     "occurrences": "book_id string, entity_id string, chapter_id string, section_id string, char_offset_start int, char_offset_end int, context string",
     "dates": "book_id string, chapter_id string, section_id string, raw_text string, normalized_date date, char_offset_start int, char_offset_end int, context string",
@@ -22,7 +23,7 @@ TABLES: dict[str, str] = {
 }
 
 #: Tables that a deleted chapter takes with it.
-CHILDREN = ["sections", "chunks", "embeddings", "postings", "occurrences", "dates", "events"]
+CHILDREN = ["sections", "chunks", "embeddings", "postings", "lengths", "occurrences", "dates", "events"]
 
 #: What a model returns for a section.
 EXTRACTION = (

@@ -226,3 +226,47 @@ def test_outlines_by_ranges_are_those_of_one_row(spark):
         want = {r["book_id"]: r["outline"] for r in history.outline(df, budget).collect()}
         assert {r["book_id"]: r["outline"] for r in history.outline_by_ranges(df, budget).collect()} == want
     assert history.outline_by_ranges(df.limit(0)).collect() == []
+
+
+def apart(a, b):
+    """Whether words are equal, or a letter apart and long enough."""
+    if a == b:
+        return True
+    if len(a) == len(b):
+        return len(a) >= 5 and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(a) >= 5 and len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def test_name_groups_are_components_in_bounded_parts(spark):
+    import random
+    import re
+
+    from quire.operators import naming
+
+    rng = random.Random(12)
+    first = ["Ann", "Anna", "Robert", "Roberto", "Marta", "Martha", "Mr", "The", "Lou"]
+    last = ["Vane", "Vanes", "Lee", "Harbour", "Harbor", "Stone", "Stonne", "King", "O'Hara", "Ōe"]
+    rows = {(rng.choice("ab"), " ".join(rng.sample(first, rng.randint(0, 1)) + rng.sample(last, rng.randint(0, 1))), rng.choice(["character", "location"])) for _ in range(250)}
+    rows |= {("c", f"Lord Nr{i}x Smith", "character") for i in range(57)} | {("a", "", "character"), ("a", "!!", "character")}
+    names = sorted(rows)
+    got = {(r["book_id"], r["name"], r["type"]): (r["component"], r["part"]) for r in naming.groups(spark.createDataFrame([*names, *names[:9], ("a", None, "x")], "book_id string, name string, type string"), 10).collect()}
+    assert set(got) == set(names)
+
+    def told(n):
+        every = [w for w in re.split(r"[^\w]+", n.lower()) if w]
+        return [w for w in every if w not in naming.TITLES] or every
+
+    label = {n: n for n in names}
+    changed = True
+    while changed:
+        changed = False
+        for x in names:
+            for y in names:
+                if x[0] == y[0] and x[2] == y[2] and label[y] < label[x] and any(apart(a, b) for a in told(x[1]) for b in told(y[1])):
+                    label[x], changed = label[y], True
+    assert {n: c for n, (c, _) in got.items()} == {n: label[n][1] for n in names}
+    from collections import Counter
+
+    sizes = Counter((n[0], n[2], *got[n]) for n in names)
+    assert max(sizes.values()) == 10 and {got[n][1] for n in names if n[0] == "c"} == set(range(6))
