@@ -109,7 +109,8 @@ def _lists(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenized(units: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """(uid, unit, blocks, a, a_bytes, b, b_bytes): ids and numbers of bytes of the tokens of units (uid, unit, blocks); none for one that a tokenizer does not spell right."""
+    """(uid, unit, blocks, a, a_bytes, a_ends, b, b_bytes, b_ends): ids and numbers of bytes of the tokens of units (uid, unit, blocks), and
+    the bytes where they end, for whom they are looked up by; none for a unit that a tokenizer does not spell right."""
 
     def run(batches):
         (ta, bytes_a), (tb, bytes_b) = _byte_level(byte_path), _pieces(piece_path)
@@ -127,18 +128,21 @@ def tokenized(units: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 cols = part.columns
                 for ids, lengths in ((a, long_a), (b, long_b)):
                     off, flat = _lists(ids)
-                    cols += [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x, pa.int32())) for x in (flat, lengths[flat])]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "unit", "blocks", "a", "a_bytes", "b", "b_bytes"])
+                    n = lengths[flat]
+                    end = np.cumsum(n)
+                    start = np.concatenate([[0], end])[off[:-1]]
+                    cols += [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x, k)) for x, k in ((flat, pa.int32()), (n, pa.int32()), (end - np.repeat(start, np.diff(off)), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "unit", "blocks", "a", "a_bytes", "a_ends", "b", "b_bytes", "b_ends"])
         give_back()
 
-    return units.select("uid", "unit", "blocks").mapInArrow(run, "uid long, unit string, blocks array<long>, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
+    return units.select("uid", "unit", "blocks").mapInArrow(run, "uid long, unit string, blocks array<long>, a array<int>, a_bytes array<int>, a_ends array<long>, b array<int>, b_bytes array<int>, b_ends array<long>")
 
 
 def groups(tokens: DataFrame) -> DataFrame:
     """(unit, blocks, shown): each unit's groups in order, as ``a1,a2|b1;a3|b2,b3``; units without tokens are left out.
 
-    The tokens of tokenized() are dealt out by unit once for both sides (``CO_PARTITIONED`` lets the join on (unit, end) use that), and what the
-    full join gives once more.
+    All steps are by unit, so the tokens of tokenized() are dealt out once (``CO_PARTITIONED`` lets the joins on (unit, end)
+    and (unit, group) use that).
     """
     dealt = tokens.repartition("uid")
 
@@ -151,19 +155,20 @@ def groups(tokens: DataFrame) -> DataFrame:
         end = F.sum("t.n").over(W.partitionBy("uid").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
         return rows.select("uid", *(["of"] if held else []), end.alias("end"), F.col("t.id").alias("id"))
 
-    both = ends("a").withColumnRenamed("id", "a").join(ends("b").withColumnRenamed("id", "b"), ["uid", "end"], "full")
-    # a cut is where both end; a token belongs to the group that the cuts before its end have opened
-    cuts = F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(W.partitionBy("uid").orderBy("end").rowsBetween(W.unboundedPreceding, -1))
-    rows = both.withColumn("gid", F.coalesce(cuts, F.lit(0)))
-
-    def ids(side: str):
-        held = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
-        return F.array_join(F.transform(held, lambda t: t[side].cast("string")), ",")
-
-    each = rows.groupBy("uid", "gid").agg(F.concat_ws("|", ids("a"), ids("b")).alias("g"), F.first("of", ignorenulls=True).alias("of"))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("gid", "g"))), lambda x: x["g"])
-    each = each.groupBy("uid").agg(F.first("of", ignorenulls=True).alias("of"), F.array_join(in_order, ";").alias("shown"))
-    return each.select("of.unit", "of.blocks", "shown")
+    def grouped(side: str, other: str) -> DataFrame:
+        # a cut is where both end; a token belongs to the group that the cuts before its end have opened
+        others = dealt.select("uid", F.explode(f"{other}_ends").alias("end"), F.lit(1).alias("cut"))
+        rows = ends(side).join(others, ["uid", "end"], "left")
+        before = F.coalesce(F.sum("cut").over(W.partitionBy("uid").orderBy("end").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        held = [F.first("of", ignorenulls=True).alias("of")] if side == "a" else []
+        rows = rows.withColumn("gid", before)
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda t: t["id"].cast("string"))
+        return rows.groupBy("uid", "gid").agg(F.array_join(ids, ",").alias(side), *held)
+
+    both = grouped("a", "b").join(grouped("b", "a"), ["uid", "gid"])
+    one = F.struct("gid", F.concat_ws("|", "a", "b").alias("g"))
+    each = both.groupBy("uid").agg(F.first("of", ignorenulls=True).alias("of"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["g"]).alias("groups"))
+    return each.select("of.unit", "of.blocks", F.array_join("groups", ";").alias("shown"))
 
 
 CO_PARTITIONED = "spark.sql.requireAllClusterKeysForCoPartition"
