@@ -27,6 +27,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,14 +88,26 @@ def record_text(date: str) -> Column:
     )
 
 
+#: About what a record takes besides its payload.
+HEAD = 1024
+
+
+def _size_class(n: Column, bounds: list[int]) -> Column:
+    return reduce(lambda a, b: a + (n > b).cast("int"), bounds, F.lit(0))
+
+
 def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", small: int = 1 << 16, target: int = 64 << 20, most: int = 1 << 30, **columns) -> None:
+    """Archives of up to about ``target`` bytes: payloads go by size classes, each a factor of four wide, and a file takes as many records as the
+    largest payload of its class allows. Payloads beyond ``small`` are one class, by their mean; a file of these is of ``most`` bytes at most, or one record."""
     plan = plan_records(pages, **columns)
     html = F.octet_length(F.coalesce(F.col(columns.get("html_col", "html")).cast("string"), F.lit("")))
-    long = pages.select(html.alias("n")).where(F.col("n") > small).agg(F.count("*").alias("n"), F.sum("n").alias("total"), F.max("n").alias("longest")).first()
-    parts = [(F.col("payload_bytes") <= small, min(1000, target // 1024))]
-    if long["n"]:
-        mean = long["total"] // long["n"]
-        parts.append((F.col("payload_bytes") > small, max(1, min(target // mean, most // (long["longest"] + 4096)))))
+    bounds = [b for b in (small // 16, small // 4, small) if b]
+    found = pages.select(html.alias("n")).groupBy(_size_class(F.col("n"), bounds).alias("k")).agg(F.count("*").alias("n"), F.sum("n").alias("total"), F.max("n").alias("longest")).collect()
+    parts = [] if found else [(F.lit(False), 1)]  # no pages are an archive folder all the same
+    for r in found:
+        k = r["k"]
+        records = target // (bounds[k] + HEAD) if k < len(bounds) else min(target // (r["total"] // r["n"]), most // (r["longest"] + HEAD))
+        parts.append((_size_class(F.col("payload_bytes"), bounds) == k, max(1, records)))
     for which, records in parts:
         out = plan.where(which).select(record_text(date).alias("value"))
         out.write.mode("append").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records).text(path)

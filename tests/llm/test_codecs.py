@@ -252,6 +252,17 @@ def test_archives_equal_sql(spark, small):
     assert {tuple(r) for r in warc.op6_warc(spark, small).collect()} == want
 
 
+def test_many_small_pages_are_few_archives(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.range(0, 30_000, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(F.lit("x"), F.pmod("id", F.lit(90)).cast("int") * 80), F.col("id").cast("string")).alias("html"))
+    warc.write_warc(pages, f"file://{tmp_path}/w", target=8 << 20)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("*.txt")]
+    # by classes of size: none beyond the target, and most of them near it
+    assert max(sizes) <= 8 << 20 and len(sizes) <= 4 * sum(sizes) // (8 << 20) + 3
+    assert warc.read_warc(spark, f"file://{tmp_path}/w", payloads=False).count() == 30_000
+
+
 # top-k
 
 
