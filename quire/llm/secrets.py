@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import span_digests, table
+from quire.llm.common import give_back, span_digests, table
 
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "guess"]
@@ -211,14 +211,21 @@ def find_secrets(text: str | None, min_log10: float = 10.0, words: str | None =
     return sorted(out, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
 
+def parted(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few texts are in memory in two forms at once."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0, words: str | None = None) -> DataFrame:
     """(id, spans) of each row: spans with kind, start, end (code points), log10_guesses and value."""
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("log10_guesses", pa.float64()), ("value", pa.string())]))
-        for b in batches:
+        for b in parted(batches):
             spans = [find_secrets(t, min_log10, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["id", "spans"])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, spans {SCHEMA}").withColumnRenamed("id", id_col)
@@ -230,7 +237,7 @@ def mask_column(df: DataFrame, text_col: str = "text", min_log10: float = 10.0,
     at = names.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in parted(batches):
             texts = b.column(at).to_pylist()
             for i, t in enumerate(texts):
                 out, done = [], 0
@@ -243,6 +250,7 @@ def mask_column(df: DataFrame, text_col: str = "text", min_log10: float = 10.0,
                 if out:
                     texts[i] = "".join([*out, t[done:]])
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in range(len(names))], names)
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
