@@ -1,7 +1,8 @@
 """A cell index of vectors, kept as Parquet: every row lies in the partition of its nearest centroid, as 16-bit halves.
 
 ``build`` fits the centroids on a bounded sample (``sample_bytes`` of vectors, the rows whose ids have the smallest hashes, so rows of all
-parts of the table), puts *every* row into its cell, and measures on the sample how many cells must be probed for ``target`` recall. A
+parts of the table), puts *every* row into its cell, and measures against all rows, for some of them as queries, how many cells must be probed for
+``target`` recall; ``probes_for`` measures the same within a scope, as ``search_many`` and ``recall`` do where no number is given. A
 search reads the cells nearest to its query, by partition filter; with fewer rows in scope than asked for it goes on to
 twice as many. ``exact`` then reads every cell that could still hold a nearer row: by the triangle inequality of
 angles, no row of a cell is nearer to the query than the cell's least and greatest angle to its centroid allow. Where vectors have no
@@ -130,9 +131,11 @@ class VectorIndex:
         table = [(int(i), c[i].astype(np.float64).tolist() if i >= 0 else [], float(stats[i]["near"]), float(stats[i]["far"]), stats[i]["n"]) for i in sorted(stats)]
         spark.createDataFrame(table, "cell int, centroid array<double>, near double, far double, n long").write.mode("overwrite").parquet(f"{root}/cells")
         index = VectorIndex(spark, root, id_col, dim, 1, *VectorIndex._arrays(table, dim), kept)
-        index.probes = index._calibrated(sample, k, target)
         schema = rows.schema.json()
-        spark.createDataFrame([(id_col, dim, index.probes, kept, schema)], "id_col string, dim int, probes int, kept array<string>, schema string").coalesce(1).write.mode("overwrite").parquet(f"{root}/about")
+        about = "id_col string, dim int, probes int, kept array<string>, schema string"
+        spark.createDataFrame([(id_col, dim, 1, kept, schema)], about).coalesce(1).write.mode("overwrite").parquet(f"{root}/about")
+        index.probes = index.probes_for(None, k, target)
+        spark.createDataFrame([(id_col, dim, index.probes, kept, schema)], about).coalesce(1).write.mode("overwrite").parquet(f"{root}/about")
         return index
 
     @staticmethod
@@ -152,21 +155,25 @@ class VectorIndex:
         table = [tuple(r) for r in spark.read.parquet(f"{root}/cells").orderBy("cell").collect()]
         return VectorIndex(spark, root.rstrip("/"), about["id_col"], about["dim"], about["probes"], *VectorIndex._arrays(table, about["dim"]), list(about["kept"]))
 
-    def _calibrated(self, sample: np.ndarray, k: int, target: float, queries: int = 256) -> int:
-        """The least number of probes with the target recall within the sample."""
-        if len(self.cells) < 2 or len(sample) <= k:
+    def probes_for(self, where: Column | None = None, k: int = 10, target: float = 0.95, queries: int = 256) -> int:
+        """The least number of probes with the target recall in a scope: for some rows, those with the smallest hashes, the exact k nearest of
+        *all* rows in scope are found, and the cells that they lie in.
+
+        Neighbours in a scope lie further away than those among all rows, so a scope needs more cells than the index as a whole.
+        """
+        asked = self.table().where(F.col("cell") != AIMLESS).select(F.col(self.id_col).alias("query_id"), "packed").orderBy(F.xxhash64(self.id_col), self.id_col).limit(queries)
+        asked = asked.toArrow().combine_chunks()
+        if not asked.num_rows or len(self.cells) < 2:
             return max(1, len(self.cells))
-        asked = np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)
-        place = np.concatenate([_angles(sample[at : at + ROWS], self.centroid).argmin(1) for at in range(0, len(sample), ROWS)])
-        order = np.argsort(_angles(sample[asked], self.centroid), axis=1, kind="stable")
+        found = self._many(self.spark.createDataFrame(asked), k, where, len(self.cells), True, 8 << 20).select("query_id", "cell").toArrow()
+        vectors = half.unpack_arrow(asked.column(1).combine_chunks(), self.dim)
+        order = np.argsort(_angles(_unit(vectors), self.centroid), axis=1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
-        needed = []
-        for q, i in enumerate(asked):
-            s = sample @ sample[i]
-            s[i] = -2
-            needed += rank[q, place[np.argpartition(-s, k - 1)[:k]]].tolist()
-        return int(np.sort(needed)[max(0, math.ceil(target * len(needed)) - 1)]) + 1
+        row = {q: i for i, q in enumerate(asked.column(0).to_pylist())}
+        place = np.searchsorted(self.cells, found.column(1).to_numpy())
+        needed = np.sort(rank[[row[q] for q in found.column(0).to_pylist()], place])
+        return int(needed[max(0, math.ceil(target * len(needed)) - 1)]) + 1 if len(needed) else len(self.cells)
 
     # searching
 
@@ -232,18 +239,24 @@ class VectorIndex:
     def search_many(self, queries: DataFrame, k: int = 10, where: Column | None = None, probes: int | None = None, query_id: str = "query_id", vec_col: str = "embedding", not_self: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
         """(query_id, rank, id, distance) of many queries at once, each with its own cells (all of them where probes is 0).
 
-        Queries go in blocks, each broadcast with its cells; a cell's rows are compared with the queries that probe it. not_self leaves out the row whose
-        id is the query's. Queries that are no vectors of the index's dimension, or without direction, have no rows.
+        Queries go in blocks, each broadcast with its cells; a cell's rows are compared with the queries that probe it. In a scope the number of
+        probes is measured first (probes_for), unless it is given. not_self leaves out the row whose id is the query's. Queries that are no
+        vectors of the index's dimension, or without direction, have no rows.
         """
+        packed = half.pack(queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("v")).where(F.size("v") == self.dim), "v", "packed").where("packed IS NOT NULL")
+        if probes is None:
+            probes = self.probes if where is None else self.probes_for(where, k)
+        n = len(self.cells) if probes == 0 else min(len(self.cells), probes)
+        return self._many(packed.select("query_id", "packed"), k, where, n, not_self, block_bytes).select("query_id", "rank", "id", "distance")
+
+    def _many(self, asked: DataFrame, k: int, where: Column | None, n: int, not_self: bool, block_bytes: int) -> DataFrame:
+        """(query_id, rank, id, distance, cell) of the k nearest rows in the n cells nearest to each query (query_id, packed)."""
         spark, dim = self.spark, self.dim
         scope = self.table() if where is None else self.table().where(where)
-        packed = half.pack(queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("v")).where(F.size("v") == dim), "v", "packed").where("packed IS NOT NULL")
-        kind, id_kind = packed.schema["query_id"].dataType.simpleString(), self.table().schema[self.id_col].dataType.simpleString()
+        kind, id_kind = asked.schema["query_id"].dataType.simpleString(), self.table().schema[self.id_col].dataType.simpleString()
         size = max(1, block_bytes // max(1, 8 * dim))
-        asked = packed.select("query_id", "packed")
         blocks = max(1, math.ceil(2 * asked.count() / size))
-        schema = f"query_id {kind}, id {id_kind}, distance double"
-        n = len(self.cells) if probes == 0 else min(len(self.cells), probes or self.probes)
+        schema = f"query_id {kind}, id {id_kind}, distance double, cell int"
         out = None
         for block in range(blocks):
             got = asked.where(F.pmod(F.xxhash64("query_id", "packed"), F.lit(blocks)) == block).toArrow().combine_chunks()
@@ -262,7 +275,7 @@ class VectorIndex:
         if out is None:
             out = spark.createDataFrame([], schema)
         ranked = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id")))
-        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance", "cell")
 
     def recall(self, queries: DataFrame, k: int = 10, where: Column | None = None, probes: int | None = None, not_self: bool = True) -> DataFrame:
         """(queries, wanted, found): over all queries, the rows of the exact answer, and those of them that the index finds."""
@@ -298,7 +311,7 @@ def _compared(shared, dim: int, k: int, not_self: bool):
                     q, r = np.nonzero(near)
                     found.append((asking[q], i[r], d[q, r]))
             q, r, d = (np.concatenate(x) for x in zip(*found, strict=True))
-            t = pa.table({"q": q, "id": b.column(0).take(pa.array(r)), "distance": d})
+            t = pa.table({"q": q, "id": b.column(0).take(pa.array(r)), "distance": d, "cell": b.column(2).take(pa.array(r))})
             if not_self:
                 own = pc.equal(ids.take(pa.array(q)).cast(t.column("id").type, safe=False), t.column("id"))
                 t = t.filter(pc.invert(own))
@@ -310,7 +323,7 @@ def _compared(shared, dim: int, k: int, not_self: bool):
             floor[q[last]] = best.column("distance").to_numpy()[last]
             best = best.filter(pa.array(rank < k))
         if best is not None:
-            yield from pa.table({"query_id": ids.take(best.column("q").combine_chunks()), "id": best.column("id"), "distance": best.column("distance")}).to_batches()
+            yield from pa.table({"query_id": ids.take(best.column("q").combine_chunks()), "id": best.column("id"), "distance": best.column("distance"), "cell": best.column("cell")}).to_batches()
 
     return run
 

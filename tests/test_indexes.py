@@ -60,6 +60,17 @@ def test_every_vector_is_indexed(clustered):
     assert index.rows.sum() == len(rows) - 2
 
 
+def test_recall_holds_in_a_narrow_scope(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, i % 50, v) for i, v in enumerate(rng.normal(size=(2000, 16)).tolist())], "chunk_id long, part int, embedding array<double>")
+    index = VectorIndex.build(df, str(tmp_path / "index"))
+    asked = df.where("chunk_id % 20 = 3").select(F.col("chunk_id").alias("query_id"), "embedding")
+    for where in (None, F.col("part") == 7):
+        got = index.recall(asked, where=where).first()
+        assert got["wanted"] == 1000 and got["found"] >= 900
+    assert index.probes < index.probes_for(F.col("part") == 7) <= len(index.cells)
+
+
 def test_exact_search_is_brute_force(spark, clustered):
     rows, index = clustered
     rng = np.random.default_rng(1)
