@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,18 +42,15 @@ def postings(sections: DataFrame) -> DataFrame:
     schema = "book_id string, chapter_id string, section_id string, term string, positions array<int>, length int"
 
     def run(batches):
+        vocabulary = english.Vocabulary()
         for b in batches:
             for lo in range(0, b.num_rows, 128):
-                out = []
-                for book, chapter, section, text in zip(*(c.to_pylist() for c in b.slice(lo, 128).columns), strict=True):
-                    found: dict[str, list[int]] = {}
-                    got = english.terms(text)
-                    for term, at in got:
-                        found.setdefault(term, []).append(at)
-                    out += [(book, chapter, section, t, p, len(got)) for t, p in found.items()]
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                kinds = [pa.string()] * 4 + [pa.list_(pa.int32()), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["book_id", "chapter_id", "section_id", "term", "positions", "length"])
+                part = b.slice(lo, 128)
+                text, term, position, length = vocabulary.postings(part.column(3).to_pylist())
+                first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (text[1:] != text[:-1])])) if len(term) else np.zeros(0, np.int64)
+                of, names = pa.array(text[first]), pa.array([vocabulary.stems[t] for t in term[first].tolist()], pa.string())
+                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(term)).astype(np.int32)), pa.array(position.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(of) for i in range(3)), names, at, pa.array(length[text[first]].astype(np.int32))], ["book_id", "chapter_id", "section_id", "term", "positions", "length"])
 
     kept = sections.select(F.col("book_id").cast("string"), F.col("chapter_id").cast("string"), F.col("section_id").cast("string"), "content")
     return kept.mapInArrow(run, schema)
@@ -82,8 +80,11 @@ def scan_terms(sections: DataFrame, words: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = [one(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([n for n, _ in got], pa.int32()), pa.array([at for _, at in got], pa.map_(pa.string(), pa.list_(pa.int32())))], ["section_id", "is_body", "length", "at"])
+            # a few texts at a time, whose Python strings may take four times their bytes
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                got = [one(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([n for n, _ in got], pa.int32()), pa.array([at for _, at in got], pa.map_(pa.string(), pa.list_(pa.int32())))], ["section_id", "is_body", "length", "at"])
 
     kind = sections.schema["section_id"].dataType.simpleString()
     rows = sections.select("section_id", "is_body", F.col("content").cast("string"))
