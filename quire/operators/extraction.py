@@ -63,12 +63,21 @@ def _placed(payloads: DataFrame, field: str, name: str) -> DataFrame:
     )
 
 
-def occurrences(payloads: DataFrame, alias_map: DataFrame, entities_: DataFrame) -> DataFrame:
-    """Mentions whose text is in the section and whose name some cluster knows; offsets are the chapter's. A name of two types is two entities."""
+def named_occurrences(payloads: DataFrame, alias_map: DataFrame, entities_: DataFrame) -> DataFrame:
+    """Mentions whose text is in the section and whose name some cluster knows, with the entity's name and type; offsets are the chapter's.
+
+    A name of two types is two entities. What an alias stands for is found first, in small rows, so that the mentions meet it in one join and
+    no other has to follow.
+    """
     rows = _placed(payloads, "entities", "name").withColumn("alias", F.lower("said"))
     named = entities_.select("book_id", "entity_id", F.col("name").alias("canonical"), "entity_type")
     known = alias_map.select("book_id", "alias", "canonical", "entity_type").join(named, ["book_id", "canonical", "entity_type"])
-    return rows.join(known, ["book_id", "alias"]).select("book_id", "entity_id", "chapter_id", "section_id", "char_offset_start", "char_offset_end", "context")
+    return rows.join(known, ["book_id", "alias"]).select("book_id", "entity_id", "chapter_id", "section_id", "char_offset_start", "char_offset_end", "context", F.col("canonical").alias("name"), "entity_type")
+
+
+def occurrences(payloads: DataFrame, alias_map: DataFrame, entities_: DataFrame) -> DataFrame:
+    """Rows of the table occurrences."""
+    return named_occurrences(payloads, alias_map, entities_).drop("name", "entity_type")
 
 
 def dates(payloads: DataFrame) -> DataFrame:
