@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import english, questions
+from quire.functions.batches import few
 
 FUSION_K, LEXICAL_BOOST, DATE_WEIGHT, READ_FIRST = 60, 1.5, 0.5, 3
 
@@ -44,9 +45,8 @@ def postings(sections: DataFrame) -> DataFrame:
     def run(batches):
         vocabulary = english.Vocabulary()
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                text, term, position, length = vocabulary.postings(part.column(3).to_pylist())
+            for part in few(b):
+                text, term, position, length = vocabulary.postings(part.column(3).to_pylist(), by_text=True)
                 first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (text[1:] != text[:-1])])) if len(term) else np.zeros(0, np.int64)
                 of, names = pa.array(text[first]), pa.array([vocabulary.stems[t] for t in term[first].tolist()], pa.string())
                 at = pa.ListArray.from_arrays(pa.array(np.append(first, len(term)).astype(np.int32)), pa.array(position.astype(np.int32)))
@@ -80,9 +80,7 @@ def scan_terms(sections: DataFrame, words: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            # a few texts at a time, whose Python strings may take four times their bytes
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
+            for part in few(b):
                 got = [one(t) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([n for n, _ in got], pa.int32()), pa.array([at for _, at in got], pa.map_(pa.string(), pa.list_(pa.int32())))], ["section_id", "is_body", "length", "at"])
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 from quire.functions import passages
+from quire.functions.batches import few
 from quire.schema import key
 
 
@@ -22,8 +23,7 @@ def explode_text(df: DataFrame, text_col: str, split: Callable[[str | None], lis
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in few(b):
                 rows, found = [], []
                 for i, text in enumerate(part.column(len(keep)).to_pylist()):
                     for n, got in enumerate(split(text)):

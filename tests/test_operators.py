@@ -270,3 +270,27 @@ def test_name_groups_are_components_in_bounded_parts(spark):
 
     sizes = Counter((n[0], n[2], *got[n]) for n in names)
     assert max(sizes.values()) == 10 and {got[n][1] for n in names if n[0] == "c"} == set(range(6))
+
+
+def test_mentions_meet_entities_in_one_join(spark):
+    """A mention is joined to what its alias stands for, and its row is not shuffled by entity again."""
+    from quire.plans import recipe_queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = recipe_queries.extracted_occurrences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 2
+
+
+def test_batches_are_taken_in_parts():
+    import pyarrow as pa
+
+    from quire.functions.batches import few
+
+    b = pa.RecordBatch.from_pydict({"i": list(range(1000)), "t": ["x" * (5000 if i == 7 else 10) for i in range(1000)]})
+    parts = list(few(b, 100, 4000))
+    assert pa.Table.from_batches(parts).column("i").to_pylist() == list(range(1000))
+    assert all(p.num_rows <= 100 and (p.nbytes <= 4000 or p.num_rows == 1) for p in parts) and not list(few(b.slice(0, 0)))
