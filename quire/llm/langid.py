@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.batches import few
 from quire.llm.common import give_back, table
 
 _ASCII_LETTER = re.compile(b"[A-Za-z]")
@@ -197,7 +198,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in few(batch, 1024, 4 << 20)):
             langs, scores = _predict(shared.value, b.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, lang_out, score_out])
         give_back()

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from quire.functions.batches import few
 from quire.llm.common import give_back, table
 
 MARK = "▁"
@@ -545,7 +546,7 @@ def sample(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         own = lattice(model, alpha)
         own.keep = keep_words
-        for b in batches:
+        for b in (part for batch in batches for part in few(batch, 1024, 4 * chars)):
             texts, keys = b.column(1).to_pylist(), b.column(2).to_pylist()
             for at, end in _parts(texts, chars):
                 rows = sample_texts(own, texts[at:end], keys[at:end], k, seed)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.batches import few
 from quire.llm.common import give_back, span_digests, table
 
 BASE = ["assign", "access", "hex"]
@@ -214,7 +215,7 @@ def find_secrets(text: str | None, min_log10: float = 10.0, words: str | None =
 def parted(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in parts, so that few texts are in memory in two forms at once."""
     for b in batches:
-        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+        yield from few(b, rows, 2 << 20)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0, words: str | None = None) -> DataFrame:
@@ -250,6 +251,7 @@ def mask_column(df: DataFrame, text_col: str = "text", min_log10: float = 10.0,
                 if out:
                     texts[i] = "".join([*out, t[done:]])
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in range(len(names))], names)
+        dictionary.cache_clear()
         give_back()
 
     return df.mapInArrow(run, df.schema)
