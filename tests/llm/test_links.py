@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,39 @@ def test_query_of_alignment_takes_the_whole_table(spark, small, tokenizers_):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = registry.queries()["op13_align"](spark, small)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_alignment(docs, tokenizers_)[0]
+
+
+def test_documents_are_numbers_of_their_units():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 9))) for _ in range(200)] + [None, "", "plain words, plain words"]
+    for whole in (False, True):
+        lists, units = align._numbered(pa.array(texts), whole)
+        units = units.to_pylist()
+        assert len(set(units)) == len(units)
+        assert [x and [units[i] for i in x] for x in lists.to_pylist()] == [align.cut(t, whole) if t else None for t in texts]
+
+
+def test_places_keep_blocks_and_numbers(spark):
+    place, rows = align.Place(3, 20), [(0, 0), ((7 << 32) | 6, (1 << 20) - 1), (((1 << 30) << 32) | 7, 5), (5 << 32, 0)]
+    packed = [r[0] for r in spark.createDataFrame(rows, "p long, k int").select(place.of("p", "k")).collect()]
+    assert list(zip(*(x.tolist() for x in place.parts(np.array(packed))), strict=True)) == rows
+
+
+def test_alignment_moves_a_row_a_block_and_sums_in_order(spark, tokenizers_, monkeypatch):
+    seen, write = [], align.materialize
+
+    def noted(df, **options):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        out = write(df, **options)
+        seen.append((set(df.columns), out.count(), plan))
+        return out
+
+    monkeypatch.setattr(align, "materialize", noted)
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7}, and 日本 ") for i in range(300)], "doc_id long, text string").coalesce(1)
+    assert align.align(docs, *tokenizers_, block_bytes=2000)[0].count() == 300
+    blocks, tokens, shown, found, _ = seen
+    # behind the blocks no text and no unit is carried along, and a block is a row, not each document with its links
+    assert all("unit" not in columns for columns, _, _ in seen)
+    assert 1 < blocks[1] == found[1] < 300
+    # lists by key are gathered by sorting once, which joins and sums by the same keys use
+    assert all("ObjectHashAggregate" not in plan for _, _, plan in (tokens, shown))
