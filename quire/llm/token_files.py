@@ -24,7 +24,8 @@ length. Ids of tokens lie below 2**16 (checked on writing). An empty table gives
 Parquet containers, written by Spark's committer.
 
 Tokenizing: a space that other text follows starts a piece of the pre-tokenizer, so texts are cut there, and the library
-encodes each distinct word of a batch once; of the words some are remembered (``KNOWN``, ``BYTES``). Texts where a space stands
+encodes each distinct word of a batch once. A piece never goes on from a letter to what is none, so a word is cut again where that first happens
+(between ASCII characters), and its two parts are encoded once each: most new words are known ones with a comma, say. Of the parts some are remembered (``KNOWN``, ``BYTES``). Texts where a space stands
 between white space or between it and the end, and any with ``<|``, go through the library whole. Only a
 byte-level BPE tokenizer with the usual split is taken that way; with any other, all texts go through the library.
 """
@@ -96,14 +97,15 @@ class Lanes:
         h2 = (h1 + self.prev2 * U32(81007)) * U32(73244475)
         self.s2 = (h2 >> U32(8) & U32(SLOTS2 - 1)) + self.base2
         self.s1 = (h1 >> U32(10) & U32(SLOTS1 - 1)) + self.base1
-        e2, e1 = self.held2.take(self.s2), self.held1.take(self.s1)
+        # all places exist; "clip" only saves looking for one that doesn't
+        e2, e1 = self.held2.take(self.s2, mode="clip"), self.held1.take(self.s1, mode="clip")
         h2 &= U32(0xFFF80000)
         h1 &= U32(0xFFF80000)
         self.h2, self.h1 = h2, h1
         self.k2, self.k1 = k2, k1 = np.minimum((e2 ^ h2) >> U32(16), U32(8)), np.minimum((e1 ^ h1) >> U32(16), U32(8))
         self.c2, self.c1 = e2 & U32(65535), e1 & U32(65535)
         self.at2, self.at1 = k2 + self.base_k, k1 + self.base_k
-        self.a2, self.a1 = self.p2.take(self.at2), self.p1.take(self.at1)
+        self.a2, self.a1 = self.p2.take(self.at2, mode="clip"), self.p1.take(self.at1, mode="clip")
         self.c = np.where(self.a2, self.c2, self.c1)
         f = self.a1 * self.v1
         f *= self.c == self.c1
@@ -131,6 +133,14 @@ class Lanes:
         self.prev2, self.prev = self.prev, x
 
 
+def _turned(a: np.ndarray) -> np.ndarray:
+    """Columns as rows; some rows at a time, since numpy alone jumps through all of them for each column."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for lo in range(0, len(a), 64):
+        out[:, lo : lo + 64] = a[lo : lo + 64].T
+    return out
+
+
 def _sorted(sizes: list[int]) -> list[list[int]]:
     """Blocks in descending size, in parts of LANES."""
     order = sorted(range(len(sizes)), key=lambda b: -sizes[b])
@@ -175,7 +185,7 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     for k, b in enumerate(blocks):
         ids[k, : len(b)] = b
     number, new, wide = _dense(ids, size)
-    ids, number, new = ids.T.astype(np.uint16, order="C"), number.T.copy(), new.T.copy()
+    ids, number = _turned(ids), _turned(number)
     m, low = Lanes(n), np.zeros(n)
     words = np.zeros((3 * steps + 8) * n, U32)
     all_low, all_at = low, m.at
@@ -208,31 +218,53 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
                 k = fresh.shape[1]
                 counts = np.bincount((fresh + home[:k]).ravel(), minlength=k * (wide + 1)).reshape(k, wide + 1)
                 upto[lo : lo + k] += np.cumsum(counts, axis=1, dtype=np.int16)
-            distinct = distinct + np.count_nonzero(new[seen:t, :live], axis=0)
+            distinct = distinct + np.count_nonzero(new[:live, seen:t], axis=1)
             seen, escape, total = t, distinct, distinct + t
             part = BELOW / total
         x = ids[t, :live].astype(U32)
         m.predict()
         miss = x != m.c
         miss |= m.f == 0
+        other = miss.astype(float)
         r = np.floor(m.range * (1 / CHOICE))
-        skip = m.f * miss
+        skip = m.f * other
         low += r * skip
-        r *= np.where(miss, CHOICE - skip, m.f)
-        r = np.floor(r * part)
+        # f where the named id came, else CHOICE - f
+        r *= np.abs(CHOICE * other - m.f)
+        r *= part
+        np.floor(r, out=r)
         g = number[t, :live] + home
-        below, count = flat.take(g - 1), flat.take(g)
+        below, count = flat.take(g - 1, mode="clip"), flat.take(g, mode="clip")
         count -= below
         unseen = count == 0
-        below = np.where(unseen, np.int16(seen), below)
-        low += r * (below * miss)
-        m.range = r * np.where(miss, np.where(unseen, escape, count), total)
-        i = np.flatnonzero(unseen & miss)
+        unseen &= miss
+        i = np.flatnonzero(unseen)
+        below[i], count[i] = seen, escape[i]
+        low += r * (below * other)
+        # count where another id came, else total
+        count = count - total
+        count *= other
+        count += total
+        r *= count
+        m.range = r
         if len(i):
             emit(i[m.range[i] < ENOUGH])
             r = np.floor(m.range[i] * (BELOW / vocabulary))
             low[i] += r * x[i]
             m.range[i] = r
+        # about half of all lanes move 16 bits: all write them, and those that don't move will write there again
+        word = np.floor(low * (1 / ROOM))
+        words[m.at] = word
+        full = m.range < ROOM
+        move = full.astype(float)
+        word *= move
+        word *= ROOM
+        low -= word
+        move *= WORD - 1
+        move += 1
+        low *= move
+        m.range *= move
+        m.at += full * n
         emit(np.flatnonzero(m.range < ROOM))
         m.learn(x)
     for _ in range(3):
@@ -244,7 +276,7 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     rows = words.reshape(-1, n)[: ends.max()]
     for j in range(len(rows) - 1, 0, -1):
         rows[j - 1] += rows[j] >> U32(16)
-    settled = rows.astype("<u2").T.copy()
+    settled = _turned(rows.astype("<u2"))
     return [settled[k, : ends[k]].tobytes() for k in range(n)]
 
 
@@ -264,7 +296,7 @@ def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     t, n = ids.shape
     table, distinct = np.empty((n, t + 1), np.int64), np.empty(n)
     for lo in range(0, n, SLICE):
-        s = ids[:, lo : lo + SLICE].T.copy()
+        s = _turned(ids[:, lo : lo + SLICE]).astype(np.int32)  # numpy sorts 32 bits several times faster than 16
         s.sort(axis=1)
         first = np.ones(s.shape, bool)
         np.not_equal(s[:, 1:], s[:, :-1], out=first[:, 1:])
@@ -284,7 +316,7 @@ def _decode(data: list[bytes], size: np.ndarray, vocabulary: int) -> list[np.nda
     held = np.zeros((n, max(map(len, data)) // 2 + 4), np.uint16)
     for k, d in enumerate(data):
         held[k, : len(d) // 2] = np.frombuffer(d, "<u2", len(d) // 2)
-    m, words, last = Lanes(n), held.T.astype(np.uint16), held.size - 1
+    m, words, last = Lanes(n), _turned(held), held.size - 1
     code = words[0] * ROOM + words[1] * WORD + words[2]
     words = words.ravel()
     m.at += 3 * n
@@ -317,29 +349,48 @@ def _decode(data: list[bytes], size: np.ndarray, vocabulary: int) -> list[np.nda
         r = np.floor(m.range * (1 / CHOICE))
         f = r * m.f
         miss = code >= f
-        code -= f * miss
-        r *= np.where(miss, CHOICE - m.f, m.f)
-        r = np.floor(r * part)
-        spot = np.minimum(np.floor(code / r), float(seen)) * miss
-        e = table.take(spot.astype(np.int64) + home)
-        below, count = e >> 16 & 65535, e & 65535
-        code -= r * (below * miss)
-        m.range = r * np.where(miss, count, total)
-        x = np.where(miss, e >> 32, m.c).astype(U32)
+        other = miss.astype(float)
+        code -= f * other
+        r *= np.abs(CHOICE * other - m.f)
+        r *= part
+        np.floor(r, out=r)
+        spot = np.floor(code / r)
+        np.minimum(spot, float(seen), out=spot)
+        spot *= other
+        e = table.take(spot.astype(np.int64) + home, mode="clip")
+        below, count = (e >> 16 & 65535).astype(float), (e & 65535) - total
         i = np.flatnonzero(miss & (below == seen))
+        below *= other
+        below *= r
+        code -= below
+        count *= other
+        count += total
+        r *= count
+        m.range = r
+        x = np.where(miss, (e >> 32).astype(U32), m.c)
         if len(i):
             take(i[m.range[i] < ENOUGH])
             r = np.floor(m.range[i] * (BELOW / vocabulary))
             c = code[i]
             v = np.minimum(np.floor(c / r), vocabulary - 1.0)
             x[i], code[i], m.range[i] = v, c - r * v, r
+        # all lanes look at what comes, and about half take it
+        full = m.range < ROOM
+        move = full.astype(float)
+        word = words.take(m.at, mode="clip") * move
+        move *= WORD - 1
+        move += 1
+        code *= move
+        code += word
+        m.range *= move
+        m.at += full * n
         take(np.flatnonzero(m.range < ROOM))
         x &= U32(65535)
         ids[t, :live] = x
         m.learn(x)
     out = []
     for lo in range(0, n, SLICE):
-        rows = ids[:, lo : lo + SLICE].T.astype(U32, order="C")
+        rows = _turned(ids[:, lo : lo + SLICE]).astype(U32)
         out += [row[:m] for row, m in zip(rows, size[lo : lo + SLICE], strict=True)]
     return out
 
@@ -450,13 +501,53 @@ class Known:
         return True
 
 
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of large strings (8 more behind them), where each begins and its size."""
+    off = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    return np.concatenate([data, np.zeros(8, np.uint8)]), off[:-1] - off[0], np.diff(off)
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces pick, joined, and where each begins (and the last ends)."""
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(4 * starts), pa.py_buffer(ids)])
+    taken = pieces.take(pa.array(pick))
+    upto = np.frombuffer(taken.buffers()[1], np.int64, len(pick) + 1) // 4
+    return np.frombuffer(taken.buffers()[2] or b"", U32, upto[-1]), upto
+
+
+class Memory:
+    """Strings that were encoded, and their ids; call encodes others: (ids, joined, and how many each has)."""
+
+    def __init__(self, most: int, most_bytes: int, call):
+        self.known, self.call, self.ids, self.starts = Known(most, most_bytes), call, np.zeros(0, U32), np.zeros(1, np.int64)
+
+    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, where in them each piece begins (and the last ends), and which piece each of distinct words is."""
+        data, start, size = _bytes(words)
+        at, h = self.known.find(data, start, size)
+        fresh = np.flatnonzero(at < 0)
+        ids, n = self.call(words.take(pa.array(fresh)))
+        at[fresh] = len(self.starts) - 1 + np.arange(len(fresh))
+        starts, ids = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)]), np.concatenate([self.ids, ids])
+        # frequent words come early, so what is full stays as it is
+        if self.known.add(data, start[fresh], size[fresh], h[fresh]):
+            self.starts, self.ids = starts, ids
+        return ids, starts, at
+
+
 class Tokenizer:
     _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
     #: Texts where a space may be no start of a piece, or where an added token may be.
     _WHOLE = f"{_WHITE} (?:{_WHITE}|$)|<\\|"
-    KNOWN, BYTES = 1 << 20, 3 << 22
+    #: Words behind a space, and what stands behind no space.
+    KNOWN, BYTES = (1 << 20, 1 << 17), (3 << 22, 3 << 19)
+    #: ASCII letters are 1, the rest of ASCII 2.
+    _KIND = np.array([0 if c > 127 else 1 if chr(c).isalpha() else 2 for c in range(256)], np.uint8)
 
     def __init__(self, path: str):
+        # a task has one core; the library's threads would take those of other tasks, and wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
 
         self.own = tokenizers.Tokenizer.from_file(path)
@@ -466,37 +557,46 @@ class Tokenizer:
         self.split = plan.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(x["content"].startswith("<|") for x in plan.get("added_tokens", []))
         # "Ġ" is how a byte-level vocabulary writes the space
         self.opens = np.array([(self.own.id_to_token(i) or "").startswith("Ġ") for i in range(self.vocabulary)])
-        # words behind a space that are remembered, and their ids
-        self.known, self.ids, self.starts = Known(self.KNOWN, self.BYTES), np.zeros(0, U32), np.zeros(1, np.int64)
+        self.words, self.others = (Memory(n, size, call) for n, size, call in zip(self.KNOWN, self.BYTES, (self._words, self._each), strict=True))
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         call = getattr(self.own, "encode_batch_fast", self.own.encode_batch)
         return [np.array(e.ids, U32) for e in call(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words behind a space each, joined, and how many each has."""
-        lines = [" " + " ".join(words[i : i + 2048]) for i in range(0, len(words), 2048)]
-        ids = np.concatenate([np.zeros(0, U32), *self._library(lines)])
+    def _each(self, texts: pa.Array, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, joined, and how many each has."""
+        each = self._library([lead + t for t in texts.to_pylist()])
+        return np.concatenate([np.zeros(0, U32), *each]), np.array(list(map(len, each)), np.int64)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words behind a space each, 256 in a line."""
+        lines = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 256), len(words)), pa.int32()), words)
+        ids = np.concatenate([np.zeros(0, U32), *self._library([" " + x for x in pc.binary_join(lines, pa.scalar(" ", pa.large_string())).to_pylist()])])
         start = np.flatnonzero(self.opens[ids])
         if len(start) != len(words):  # a vocabulary that writes spaces in another way
-            each = self._library([" " + w for w in words])
-            return np.concatenate([np.zeros(0, U32), *each]), np.array(list(map(len, each)), np.int64)
+            return self._each(words, " ")
         return ids, np.diff(np.append(start, len(ids)))
 
     def _look(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, where in them each piece starts (and the last ends), and which piece each distinct word is."""
-        off = np.frombuffer(names.buffers()[1], np.int64, len(names) + 1, 8 * names.offset)
-        data = np.concatenate([np.frombuffer(names.buffers()[2] or b"", np.uint8)[off[0] : off[-1]], np.zeros(8, np.uint8)])
-        start, size = off[:-1] - off[0], np.diff(off)
-        at, h = self.known.find(data, start, size)
-        fresh = np.flatnonzero(at < 0)
-        ids, n = self._words(names.take(pa.array(fresh)).to_pylist())
-        at[fresh] = len(self.starts) - 1 + np.arange(len(fresh))
-        starts, ids = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)]), np.concatenate([self.ids, ids])
-        # frequent words come early, so what is full stays as it is
-        if self.known.add(data, start[fresh], size[fresh], h[fresh]):
-            self.starts, self.ids = starts, ids
-        return ids, starts, at
+        """ids, where in them each piece begins (and the last ends), and which piece each distinct word behind a space is."""
+        data, start, size = _bytes(names)
+        kind = self._KIND[data]
+        # places of ASCII that is no letter behind a letter; of each word the first, or its end
+        turn = np.append(np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1, len(data))
+        left = np.minimum(turn[np.searchsorted(turn, start, "right")] - start, size)
+        ends = np.append(np.stack([start, start + left], axis=1).ravel(), len(data) - 8)
+        parts = pa.Array.from_buffers(pa.large_string(), 2 * len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        front = parts.take(pa.array(np.arange(0, 2 * len(start), 2))).dictionary_encode()
+        ids, starts, at = self.words.look(front.dictionary)
+        at = at[front.indices.to_numpy()]
+        both = np.flatnonzero(left < size)
+        back = parts.take(pa.array(2 * both + 1)).dictionary_encode()
+        ids_b, starts_b, at_b = self.others.look(back.dictionary)
+        first = len(starts) - 1
+        pick = np.stack([at[both], first + at_b[back.indices.to_numpy()]], axis=1).ravel()
+        joined, upto = _gather(np.concatenate([ids, ids_b]), np.append(starts, starts[-1] + starts_b[1:]), pick)
+        at[both] = first + np.arange(len(both))
+        return np.concatenate([ids, joined]), np.append(starts, starts[-1] + upto[2::2]), at
 
     def encode(self, texts: list[str] | pa.Array, end: int) -> list[np.ndarray]:
         """Ids of each text with the end id."""
@@ -523,10 +623,8 @@ class Tokenizer:
         pick[off[:-1]] = len(starts) - 1 + heads.indices.to_numpy()
         starts = np.concatenate([starts, starts[-1] + np.cumsum(list(map(len, own)))])
         ids = np.concatenate([ids, *own])
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(4 * starts), pa.py_buffer(ids)])
-        taken = pieces.take(pa.array(pick))
-        upto = np.frombuffer(taken.buffers()[1], np.int64, len(pick) + 1)[off] // 4
-        flat = np.frombuffer(taken.buffers()[2] or b"", U32, upto[-1])
+        flat, upto = _gather(ids, starts, pick)
+        upto = upto[off]
         joined = np.empty(len(flat) + len(which), U32)
         for k, (i, a, b) in enumerate(zip(which, upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
             joined[a + k : b + k] = flat[a:b]

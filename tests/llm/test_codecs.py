@@ -57,6 +57,42 @@ def test_pieces_equal_the_library():
     assert own.split
 
 
+def test_pieces_of_odd_joints_equal_the_library():
+    """Words are cut behind their letters, wherever those end."""
+    own, rng = token_files.Tokenizer(BPE), random.Random(5)
+    parts = ["'s", "'re", "'", "a", "the", "Then", "x1", "12", ".", ",", "!!", "\n", "\r\n", " ", " ", " ", "é", "ñandú", "日本", "\u0301", "²", "ǅ", "_", "\x00", "<|", "ſ", "😀"]
+    for _ in range(20):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(30)]
+        assert [x.tolist() for x in own.encode(texts, 2)] == [e.ids + [2] for e in own.own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_known_words_are_not_encoded_again_for_what_follows_them(monkeypatch):
+    own, seen = token_files.Tokenizer(BPE), []
+    real = own._library
+    monkeypatch.setattr(own, "_library", lambda texts: seen.extend(texts) or real(texts))
+    own.encode(["x qualmost verandine", "x orth; orth"], 2)
+    assert any("qualmost" in t for t in seen)
+    seen.clear()
+    texts = ["x qualmost, verandine.\nOrth verandine! orth", "x orth's (orth qualmost..."]
+    assert [x.tolist() for x in own.encode(texts, 2)] == [e.ids + [2] for e in own.own.encode_batch(texts, add_special_tokens=False)]
+    assert not any("qualmost" in t or "verandine" in t for t in seen)
+
+
+def test_coded_bytes_stay_what_they_were():
+    rng = np.random.default_rng(11)
+    blocks = [(rng.zipf(1.3, n) % 50257).astype(np.uint32) for n in (2048, 2048, 1345, 97, 32, 1, 0)]
+    data = token_files.encode_blocks(blocks, 50257)
+    assert zlib.crc32(b"".join(data)) == 4085957383
+    for a, b in zip(blocks, token_files.decode_blocks(data, list(map(len, blocks)), 50257), strict=True):
+        assert (a == b).all()
+
+
+@pytest.mark.parametrize("shape", [(0, 3), (1, 1), (63, 5), (64, 7), (130, 9)])
+def test_turned(shape):
+    a = np.arange(shape[0] * shape[1], dtype=np.uint16).reshape(shape)
+    assert (token_files._turned(a[:, 1:]) == a[:, 1:].T).all()
+
+
 @pytest.mark.parametrize("bits", [64, 3])
 def test_known_words_against_a_dict(bits, monkeypatch):
     """Where most hashes are equal words may be missed, never taken for others."""
